@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the corpus contracts define word boundaries.
@@ -69,3 +69,15 @@ def keep(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], verdict: Colu
     judged = judge(keyed.select(F.col("_key").alias("doc_id"), "text", "lang"))
     passed = judged.where(verdict).select(F.col("doc_id").alias("_key")).distinct()
     return keyed.join(passed, "_key", "left_semi").drop("_key")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``position``, its place from 0 in the given order, without bringing all rows to one task.
+
+    Rows are dealt out by ranges of the order; each range numbers its own rows and starts where the ranges before end.
+    """
+    parts = stored(df.repartitionByRange(partitions(df.sparkSession), *order).withColumn("_part", F.spark_partition_id()), name)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))  # a row a partition
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_at", at).join(F.broadcast(starts), "_part").withColumn("position", F.col("_start") + F.col("_at") - 1).drop("_part", "_at", "_start")
