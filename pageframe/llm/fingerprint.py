@@ -74,6 +74,10 @@ def text_form(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
+def _longs(values: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
 def with_next(df: DataFrame, key: str, ties: list[str], carried: list[str]) -> DataFrame:
     """Every row with ``next``, a struct of the carried columns of the row after it in descending order of ``key`` (nulls last,
     ties by ``ties``); after the last row comes the first.
@@ -82,16 +86,17 @@ def with_next(df: DataFrame, key: str, ties: list[str], carried: list[str]) -> D
     one task never sees more than its range and the text is shuffled once.
     """
     n = common.partitions(df.sparkSession)
+    ranges = 4 * n
     held = F.coalesce(F.col(key), F.lit(-(2**63)))
-    edges = sorted(set(df.agg(F.percentile_approx(held, [i / n for i in range(1, n)], 100 * n)).first()[0] or [])) if n > 1 else []  # fewer than n numbers
-    bounds = F.split(F.lit(",".join(map(str, edges))), ",").cast("array<bigint>") if edges else F.array().cast("array<bigint>")
-    part = F.size(F.filter(bounds, lambda b: held > b))  # ranges in ascending order
+    found = df.agg(F.percentile_approx(held, [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
+    edges = sorted(set(found or []))  # fewer than `ranges` numbers
+    part = F.size(F.filter(_longs(edges), lambda b: held > b))  # ranges in ascending order
     tops = {r.part: r.top for r in df.groupBy(part.alias("part")).agg(F.max(held).alias("top")).collect()}  # a row a range
     order = sorted(tops, reverse=True)
     before = {p: order[i - 1] for i, p in enumerate(order)}  # the range that ends where this one begins; before the first, the last
-    copies = F.lit(None).cast("int")
-    for p in order:
-        copies = F.when((F.col("_part") == p) & (held == tops[p]), before[p]).otherwise(copies)
+    top = _longs([tops.get(p, 0) for p in range(len(edges) + 1)])
+    onto = _longs([before.get(p, 0) for p in range(len(edges) + 1)])
+    copies = F.when(held == F.get(top, F.col("_part")), F.get(onto, F.col("_part")).cast("int"))
     dealt = df.withColumn("_part", part).withColumn("_to", F.filter(F.array(F.struct(F.col("_part").alias("part"), F.lit(0).alias("guest")), F.struct(copies.alias("part"), F.lit(1).alias("guest"))), lambda x: x["part"].isNotNull()))
     dealt = dealt.select(*df.columns, F.explode("_to").alias("_to")).select(*df.columns, F.col("_to.part").alias("_part"), F.col("_to.guest").alias("_guest"))
     ahead = Window.partitionBy("_part").orderBy("_guest", F.col(key).desc_nulls_last(), *ties)
