@@ -54,6 +54,9 @@ class Fit:
 
 DEFAULT = Fit()
 
+#: Score below which a filter takes a text for no learned language.
+MIN_SCORE = 0.5
+
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
@@ -168,20 +171,23 @@ def learned(rows: DataFrame, fit: Fit = DEFAULT) -> Model | None:
     return fitted(x, list(found["lang"]), fit)
 
 
-def identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred and score of every row of (doc_id, text)."""
+def predicted(text: Column, model: Model | None) -> Column:
+    """struct<lang_pred, score> of a text column."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                x = features(text, model.dims) if model else None
-                out.append((UNDETERMINED, 0.0) if x is None else model.predict(x))
-            rows = pd.DataFrame(out, columns=["lang_pred", "score"])
-            rows.insert(0, "doc_id", batch["doc_id"].array)
-            yield rows
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            x = features(text, model.dims) if model else None
+            out.append((UNDETERMINED, 0.0) if x is None else model.predict(x))
+        return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return predict(text)
+
+
+def identified(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, lang_pred and score of every row of (doc_id, text)."""
+    return docs.select("doc_id", predicted(F.col("text"), model).alias("is")).select("doc_id", "is.*")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -194,3 +200,10 @@ def cross_checked(docs: DataFrame, fit: Fit = DEFAULT) -> DataFrame:
     model = learned(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), fit)
     found = identified(docs, model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def kept(docs: DataFrame, fit: Fit = DEFAULT, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows whose text is in a learned language, with all their columns; null, letterless and unclear texts go."""
+    model = learned(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), fit)
+    found = docs.withColumn("_is", predicted(F.col("text"), model))
+    return found.where((F.col("_is.lang_pred") != UNDETERMINED) & (F.col("_is.score") >= min_score)).drop("_is")

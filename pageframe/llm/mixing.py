@@ -112,3 +112,12 @@ def mixed(docs: DataFrame, mix: Mix = DEFAULT) -> DataFrame:
     extra = F.when((F.col("bin") < F.col("cut")) | (F.col("reached") <= F.col("missing")), 1).otherwise(0)
     out = rest.unionByName(last).withColumn("copies", (F.col("whole") + extra).cast("long"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
+
+
+def repeated(docs: DataFrame, mix: Mix = DEFAULT) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with all their columns. Rows equal in id and text are repeated alike."""
+    key = F.xxhash64("doc_id", "text", "source")
+    keyed = docs.withColumn("_key", key)
+    copies = mixed(keyed.select(F.col("_key").alias("doc_id"), "text", "source"), mix).groupBy(F.col("doc_id").alias("_key")).agg(F.max("copies").alias("_copies"))
+    taken = keyed.join(copies.where("_copies > 0"), "_key")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")

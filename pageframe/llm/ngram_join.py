@@ -186,3 +186,11 @@ def linked(docs: DataFrame, join: Join = DEFAULT) -> DataFrame:
     labels = components(found)
     out = rows.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, join: Join = NEAR) -> DataFrame:
+    """The rows of the smallest doc_id of every group of linked documents, one row an id; rows without id stay."""
+    kept = linked(docs, join).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
+    return named.withColumn("_n", first).where("_n = 1").select(docs.columns).union(docs.where("doc_id IS NULL"))
