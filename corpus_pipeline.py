@@ -1,27 +1,55 @@
-"""From raw documents to a token mix, in stages that each read the last one's Parquet."""
+"""From raw documents to a token mix, in stages that each read the last one's Parquet.
+
+Quality rules and language identification drop what they reject, the n-gram join keeps one document of each group of
+near copies (five words, similarity 0.8), mixing repeats documents to its sources' targets, and encoding gives the
+number of tokens of every row of the mix with digests of its ids and decoded bytes.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageframe.llm import common, quality
+from pageframe.llm import bpe, common, langid, mixing, ngram_join, quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, with the columns they came with."""
     return common.keep(docs, quality.verdicts, F.col("kept"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality_rules", quality_rules)]
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.kept(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.repeated(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("source_mixing", source_mixing),
+    ("byte_bpe", byte_bpe),
+]
+#: Encoding and the fitted stages are beyond SQL; the tests hold the run against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, over the table ``documents``."""
+    """All stages over the table ``documents``, each written as Parquet in the shared folder and read by the next."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir), name)
+        docs = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
