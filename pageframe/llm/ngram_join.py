@@ -4,15 +4,16 @@ A document is the set of its distinct word n-grams (64-bit hashes). All sets are
 n-gram order into fragments; the overlaps of a pair are counted fragment by fragment, in separate tasks, and summed per
 pair. Two documents link when their Jaccard similarity reaches ``percent``.
 
-Which pairs are counted: documents of equal sets are one class from the start. In the global order n-grams of a low
-quarter of the hash space come first, the rarer the earlier, then the others. Two sets that link share one of their
-first ``n - ceil(t n) + 1`` n-grams in that order, and n-grams that no other document has cannot be it, so only the
-shared n-grams of each set's first ones are looked at (candidate lists by n-gram).
+Which pairs are counted: documents of equal sets are one class from the start. Two sets that link share one of their
+first ``n - ceil(t n) + 1`` n-grams in any global order, and n-grams that no other document has cannot be it. The first
+order begins with a low quarter of the hash space, rare n-grams first, so only that quarter is shuffled to see which
+classes have such an n-gram at all. Theirs alone are then ordered by rarity over the whole space, and the shared ones
+among the first of each make candidate lists by n-gram.
 
-No list is expanded into all its pairs. First each document of a list is paired with the list's smallest id of its
-size class and with its neighbour in size; the links found join documents to components. Then lists are reduced to
-components, and only pairs between different components of one list are counted. Every link between different
-components shares a list, so the components are those of all links.
+No list is expanded into all its pairs. In a few rounds each document of a list is paired with the list's hub, the one
+nearest to what the list's near copies have in common; the links found join documents to components. Then lists are
+reduced to components, and only pairs between different components of one list are counted. Every link between
+different components shares a list, so the components are those of all links.
 
 Defined cases: null or empty text has no n-grams, links with nothing and is its own component; a text of fewer words
 than ``width`` has one n-gram, all its words; rows that repeat a doc_id are one document with the links of all its
@@ -40,6 +41,8 @@ class Join:
     low: int = -(1 << 62)
     #: So many ids are broadcast to pick texts; beyond, they are joined by a shuffle.
     broadcast_ids: int = 1_000_000
+    #: Rounds in which lists' members are paired with hubs, before all pairs of different components that are left.
+    hub_rounds: int = 3
 
 
 DEFAULT = Join()
@@ -76,64 +79,101 @@ def classes(docs: DataFrame, join: Join = DEFAULT) -> DataFrame:
     return common.stored(sets.select("doc_id", common.let(F.col("h"), parts).alias("x")).select("doc_id", "x.*"), "join-sets")
 
 
-def candidates(sets: DataFrame, join: Join = DEFAULT) -> DataFrame:
-    """(h, rep, n, at): for each class, by its smallest doc_id, the shared n-grams among its first ones, with their place in its order."""
+def undecided(sets: DataFrame, join: Join = DEFAULT) -> DataFrame:
+    """(doc_id, s1, s2, n): classes, by their smallest doc_id, with an n-gram among their first ones that another class has too."""
     reps = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "first"), "doc_id").alias("x"))
     n_low = F.size(F.filter("x.first", lambda h: h < join.low))
-    each = reps.select("rep", F.col("x.n").alias("n"), n_low.alias("n_low"), (F.size("x.first") - n_low).alias("n_high"), F.explode("x.first").alias("h"))
+    counted = reps.select("rep", "s1", "s2", F.col("x.n").alias("n"), n_low.alias("n_low"), F.col("x.first").alias("first"))
+    each = counted.select("rep", "n", "n_low", F.explode("first").alias("h"))
     shared = each.withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
-    zone = F.when(F.col("h") < join.low, 0).otherwise(1)
-    by_rep = shared.groupBy("rep", "n", "n_low", "n_high").agg(F.sort_array(F.collect_list(F.struct(zone.alias("zone"), "df", "h"))).alias("sorted"))  # at most a document's own n-grams
-    by_rep = by_rep.withColumn("low_shared", F.size(F.filter("sorted", lambda x: x["zone"] == 0)))
-    # Of a zone the n-grams that no other class has come first; places count from 1.
-    low_alone, high_alone = F.col("n_low") - F.col("low_shared"), F.col("n_high") - (F.size("sorted") - F.col("low_shared"))
-    place = lambda x, i: F.when(x["zone"] == 0, low_alone + i + 1).otherwise(F.col("n_low") + high_alone + i - F.col("low_shared") + 1)
-    placed = F.filter(F.transform("sorted", lambda x, i: F.struct(x["h"].alias("h"), place(x, i).alias("at"))), lambda x: x["at"] <= F.col("needed"))
-    listed = by_rep.withColumn("needed", _needed(F.col("n"), join)).select("rep", "n", F.explode(placed).alias("x"))
-    return common.stored(listed.select("x.h", "rep", "n", "x.at"), "join-lists")
-
-
-def first_pairs(lists: DataFrame, join: Join = DEFAULT) -> DataFrame:
-    """(a, b) with a < b: the two most frequent partners of each class among the hubs of its lists and its neighbours in size."""
+    is_low = F.col("h") < join.low
+    # N-grams that no other class has come first in their zone; with a whole prefix of them a set links with none.
+    sums = shared.groupBy("rep", "n", "n_low").agg(F.count_if(is_low).alias("low"), F.count_if(~is_low).alias("high"))
+    open_ = sums.where((F.col("n_low") - F.col("low") < _needed(F.col("n"), join)) & ((F.col("low") > 0) | (F.col("n_low") < _needed(F.col("n"), join))))
+    return common.stored(counted.join(open_.select("rep"), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), "join-open")
+
+
+def sets_of(docs: DataFrame, classes_: DataFrame, join: Join = DEFAULT) -> DataFrame:
+    """(doc_id, h) of the given classes (doc_id, s1, s2), read from the texts again: one row each, though a doc_id may repeat."""
+    small = classes_.count() <= join.broadcast_ids
+    known = classes_.select("doc_id", F.struct("s1", "s2").alias("is"))
+    picked = docs.select("doc_id", "text").join(F.broadcast(known) if small else known, "doc_id")
+    found = picked.select("doc_id", "is", grams(F.col("text"), join).alias("h"))
+    return found.where((F.xxhash64("h") == F.col("is.s1")) & (F.xxhash64(F.lit(1), "h") == F.col("is.s2"))).select("doc_id", "h")
+
+
+def candidates(docs: DataFrame, open_: DataFrame, join: Join = DEFAULT) -> DataFrame:
+    """(h, rep, n, at, k): the shared n-grams among the first ones of every undecided class, in the order of rarity among these classes.
+
+    ``at`` is an n-gram's place in its set, ``k`` its place among the set's shared ones.
+    """
+    each = sets_of(docs, open_, join).select("doc_id", F.size("h").alias("n"), F.explode("h").alias("h")).dropDuplicates(["h", "doc_id"])
+    shared = each.withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
+    by_rep = shared.groupBy(F.col("doc_id").alias("rep"), "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("sorted"))  # at most a document's own n-grams
+    by_rep = by_rep.withColumn("alone", F.col("n") - F.size("sorted"))
+    by_rep = by_rep.withColumn("first", F.slice("sorted", F.lit(1), F.greatest(_needed(F.col("n"), join) - F.col("alone"), F.lit(0)).cast("int")))
+    listed = by_rep.select("rep", "n", "alone", F.posexplode("first").alias("i", "x"))
+    return common.stored(listed.select("x.h", "rep", "n", (F.col("alone") + F.col("i") + 1).alias("at"), (F.col("i") + 1).alias("k")), "join-lists")
+
+
+def hub_pairs(lists: DataFrame, labels: DataFrame | None, join: Join = DEFAULT) -> DataFrame:
+    """(a, b) with a < b: the two most frequent partners of each class among its lists' hubs, where their labels differ.
+
+    A list's hub in a size class is the class with the smallest share of n-grams of its own: of near copies, the one nearest to what
+    they are copies of.
+    """
+    held = _labelled(lists, labels)
     size_class = F.floor(F.log(F.col("n")) / -F.log(F.lit(join.percent / 100)))
-    hub = F.min(F.struct("rep", "n")).over(Window.partitionBy("h", size_class))
-    beside = F.lag(F.struct("rep", "n")).over(Window.partitionBy("h").orderBy("n", "rep"))
-    offered = lists.select("rep", "n", F.array(hub, beside).alias("to")).select("rep", "n", F.explode("to").alias("to")).where((F.col("to.rep") != F.col("rep")) & _sizes_fit(F.col("n"), F.col("to.n"), join))
+    # A size class and the next one: sizes that fit may lie on both sides of a border.
+    spread = held.select("*", F.explode(F.array(size_class, size_class + 1)).alias("sizes"))
+    own = (F.col("at") - F.col("k")) / F.col("n")
+    hub = F.min(F.struct(own.alias("own"), "rep", "n", "at", "k", "label")).over(Window.partitionBy("h", "sizes"))
+    offered = spread.withColumn("to", hub).where((F.col("to.label") != F.col("label")) & _fits(join, *[(F.col(c), F.col(f"to.{c}")) for c in ("n", "at", "k")]))
     votes = offered.groupBy("rep", F.col("to.rep").alias("to")).agg(F.count("*").alias("votes"))
     best = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("votes"), "to"))
     return votes.withColumn("best", best).where("best <= 2").select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
 
 
-def later_pairs(lists: DataFrame, labels: DataFrame, join: Join = DEFAULT) -> DataFrame:
-    """(a, b) of all classes that share a list but no component, and whose sizes and places let them link."""
+def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Lists with each class's component; those of one component go."""
+    if labels is None:
+        return lists.withColumn("label", F.col("rep"))
     held = lists.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     in_list = Window.partitionBy("h")
-    mixed = common.stored(held.withColumn("least", F.min("label").over(in_list)).withColumn("most", F.max("label").over(in_list)).where("least <> most").select("h", "rep", "n", "at", "label"), "join-mixed")
-    per_label = mixed.groupBy("h", "label").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
+    return held.withColumn("least", F.min("label").over(in_list)).withColumn("most", F.max("label").over(in_list)).where("least <> most").select("h", "rep", "n", "at", "k", "label")
+
+
+def _fits(join: Join, n: tuple[Column, Column], at: tuple[Column, Column], k: tuple[Column, Column]) -> Column:
+    """Whether two sets with a common n-gram can link, by their sizes and its places: what they share up to it and after it is bounded by both."""
+    most = F.least(*k) + F.least(n[0] - at[0], n[1] - at[1])
+    return _sizes_fit(*n, join) & ((100 + join.percent) * most >= join.percent * (n[0] + n[1]))
+
+
+def later_pairs(lists: DataFrame, labels: DataFrame, join: Join = DEFAULT) -> DataFrame:
+    """(a, b) of all classes that share a list but no component, and whose sizes and places let them link."""
+    mixed = common.stored(_labelled(lists, labels), "join-mixed")
+    # What a class of the component can share with any other is at most its shared n-grams.
+    per_label = mixed.groupBy("h", "label").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max(F.col("n") - F.col("at") + F.col("k")).alias("shared"))
     x, y = per_label.alias("x"), per_label.alias("y")
     meets = (F.col("x.label") < F.col("y.label")) & (100 * F.col("x.n_max") >= join.percent * F.col("y.n_min")) & (100 * F.col("y.n_max") >= join.percent * F.col("x.n_min"))
+    meets = meets & ((100 + join.percent) * F.least("x.shared", "y.shared") >= join.percent * (F.col("x.n_min") + F.col("y.n_min")))
     both = x.join(y, (F.col("x.h") == F.col("y.h")) & meets).select(F.col("x.h").alias("h"), F.col("x.label").alias("label"), F.col("y.label").alias("other"))
-    left = mixed.select("h", "label", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
-    right = mixed.select("h", F.col("label").alias("other"), F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-    n_a, n_b, at_a, at_b = (F.col(c) for c in ("n_a", "n_b", "at_a", "at_b"))
-    # What two sets share before, at and after a common n-gram is bounded by its places in both.
-    most = F.least(at_a, at_b) + F.least(n_a - at_a, n_b - at_b)
-    fits = _sizes_fit(n_a, n_b, join) & ((100 + join.percent) * most >= join.percent * (n_a + n_b))
+    side = lambda label, s: mixed.select("h", F.col("label").alias(label), F.col("rep").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "at", "k")])
+    left, right = side("label", "a"), side("other", "b")
+    fits = _fits(join, *[(F.col(f"{c}_a"), F.col(f"{c}_b")) for c in ("n", "at", "k")])
     pairs = both.join(left, ["h", "label"]).join(right, ["h", "other"]).where(fits)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def overlaps(docs: DataFrame, sets: DataFrame, pairs: DataFrame, join: Join = DEFAULT) -> DataFrame:
+def overlaps(docs: DataFrame, open_: DataFrame, pairs: DataFrame, join: Join = DEFAULT) -> DataFrame:
     """(a, b, shared, n_a, n_b) of pairs of classes: partial overlaps by fragment of the order, summed per pair."""
     pairs = common.stored(pairs, "join-pairs")
-    ids = common.stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "join-ids")
-    small = ids.count() <= join.broadcast_ids
-    known = sets.where("n > 0").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("is"))
-    picked = docs.select("doc_id", "text").join(F.broadcast(known) if small else known, "doc_id")
-    h = picked.select("doc_id", "is", grams(F.col("text"), join).alias("h")).where((F.xxhash64("h") == F.col("is.s1")) & (F.xxhash64(F.lit(1), "h") == F.col("is.s2")))
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    h = sets_of(docs, common.stored(open_.join(ids, "doc_id", "left_semi"), "join-ids"), join)
     width = (1 << 64) // join.fragments
     fragments = F.array(*[_between(F.col("h"), -(1 << 63) + i * width, -(1 << 63) + (i + 1) * width) for i in range(join.fragments)])
-    parts = h.select("doc_id", F.size("h").alias("n"), F.posexplode(fragments).alias("part", "held")).dropDuplicates(["doc_id", "part"])
+    cut = h.select("doc_id", F.size("h").alias("n"), fragments.alias("fragments"))
+    parts = cut.select("doc_id", "n", F.posexplode("fragments").alias("part", "held")).dropDuplicates(["doc_id", "part"])
     spread = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(join.fragments - 1))).alias("part"))
     of = lambda side: parts.select(F.col("doc_id").alias(side), "part", F.col("n").alias(f"n_{side}"), F.col("held").alias(f"held_{side}"))
     met = spread.join(of("a"), ["a", "part"]).join(of("b"), ["b", "part"])
@@ -173,11 +213,18 @@ def linked(docs: DataFrame, join: Join = DEFAULT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     docs = docs.select("doc_id", "text")
     sets = classes(docs, join)
-    lists = candidates(sets, join)
-    links = lambda pairs: overlaps(docs, sets, pairs, join).where(f"100 * shared >= {join.percent} * (n_a + n_b - shared)").select("a", "b")
-    first = common.stored(links(first_pairs(lists, join)), "join-links")
-    labels = components(first)
-    found = first.union(common.stored(links(later_pairs(lists, labels, join)), "join-links"))
+    open_ = undecided(sets, join)
+    lists = candidates(docs, open_, join)
+    links = lambda pairs: overlaps(docs, open_, pairs, join).where(f"100 * shared >= {join.percent} * (n_a + n_b - shared)").select("a", "b")
+    found, labels = None, None
+    for _ in range(join.hub_rounds):
+        more = common.stored(links(hub_pairs(lists, labels, join)), "join-links")
+        if more.isEmpty():
+            break
+        found = more if found is None else found.union(more)
+        labels = components(found)
+    last = common.stored(links(later_pairs(lists, labels, join)), "join-links")
+    found = last if found is None else found.union(last)
     members = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     rows = sets.select("doc_id", "n", "s1", "s2").join(members, ["s1", "s2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
     rows = common.stored(rows, "join-rows")
