@@ -19,6 +19,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def computed(df: DataFrame, keep: list[str], struct: Column) -> DataFrame:
+    """``keep`` and the fields of ``struct`` as columns, computed once a row: later filters and projections do not repeat the expression."""
+    return df.select(*keep, F.inline(F.array(struct)))
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text, split at ASCII white space; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

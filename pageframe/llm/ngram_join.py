@@ -69,21 +69,20 @@ def _sizes_fit(a: Column, b: Column, join: Join) -> Column:
 
 def classes(docs: DataFrame, join: Join = DEFAULT) -> DataFrame:
     """Per row: its set's size, two hashes of the set, and the n-grams of it that may decide: the low ones, or all where those are too few."""
-    sets = docs.select("doc_id", grams(F.col("text"), join).alias("h"))
 
     def parts(h: Column) -> Column:
         low = F.filter(h, lambda x: x < join.low)
         enough = common.let(low, lambda some: F.when(F.size(some) >= F.size(h) - F.ceil(F.size(h) * join.percent / 100) + 1, some).otherwise(h))
         return F.struct(F.size(h).alias("n"), F.xxhash64(h).alias("s1"), F.xxhash64(F.lit(1), h).alias("s2"), enough.alias("first"))
 
-    return common.stored(sets.select("doc_id", common.let(F.col("h"), parts).alias("x")).select("doc_id", "x.*"), "join-sets")
+    return common.stored(common.computed(docs, ["doc_id"], common.let(grams(F.col("text"), join), parts)), "join-sets")
 
 
 def undecided(sets: DataFrame, join: Join = DEFAULT) -> DataFrame:
     """(doc_id, s1, s2, n): classes, by their smallest doc_id, with an n-gram among their first ones that another class has too."""
     reps = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "first"), "doc_id").alias("x"))
     n_low = F.size(F.filter("x.first", lambda h: h < join.low))
-    counted = reps.select("rep", "s1", "s2", F.col("x.n").alias("n"), n_low.alias("n_low"), F.col("x.first").alias("first"))
+    counted = common.computed(reps, ["rep", "s1", "s2"], F.struct(F.col("x.n").alias("n"), n_low.alias("n_low"), F.col("x.first").alias("first")))
     each = counted.select("rep", "n", "n_low", F.explode("first").alias("h"))
     shared = each.withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
     is_low = F.col("h") < join.low
@@ -98,8 +97,9 @@ def sets_of(docs: DataFrame, classes_: DataFrame, join: Join = DEFAULT) -> DataF
     small = classes_.count() <= join.broadcast_ids
     known = classes_.select("doc_id", F.struct("s1", "s2").alias("is"))
     picked = docs.select("doc_id", "text").join(F.broadcast(known) if small else known, "doc_id")
-    found = picked.select("doc_id", "is", grams(F.col("text"), join).alias("h"))
-    return found.where((F.xxhash64("h") == F.col("is.s1")) & (F.xxhash64(F.lit(1), "h") == F.col("is.s2"))).select("doc_id", "h")
+    known_by = lambda h: F.struct(F.xxhash64(h).alias("t1"), F.xxhash64(F.lit(1), h).alias("t2"), h.alias("h"))
+    found = common.computed(picked, ["doc_id", "is"], common.let(grams(F.col("text"), join), known_by))
+    return found.where("t1 = is.s1 AND t2 = is.s2").select("doc_id", "h").dropDuplicates(["doc_id"])
 
 
 def candidates(docs: DataFrame, open_: DataFrame, join: Join = DEFAULT) -> DataFrame:
@@ -107,7 +107,7 @@ def candidates(docs: DataFrame, open_: DataFrame, join: Join = DEFAULT) -> DataF
 
     ``at`` is an n-gram's place in its set, ``k`` its place among the set's shared ones.
     """
-    each = sets_of(docs, open_, join).select("doc_id", F.size("h").alias("n"), F.explode("h").alias("h")).dropDuplicates(["h", "doc_id"])
+    each = sets_of(docs, open_, join).select("doc_id", F.size("h").alias("n"), F.explode("h").alias("h"))
     shared = each.withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
     by_rep = shared.groupBy(F.col("doc_id").alias("rep"), "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("sorted"))  # at most a document's own n-grams
     by_rep = by_rep.withColumn("alone", F.col("n") - F.size("sorted"))
@@ -173,7 +173,7 @@ def overlaps(docs: DataFrame, open_: DataFrame, pairs: DataFrame, join: Join = D
     width = (1 << 64) // join.fragments
     fragments = F.array(*[_between(F.col("h"), -(1 << 63) + i * width, -(1 << 63) + (i + 1) * width) for i in range(join.fragments)])
     cut = h.select("doc_id", F.size("h").alias("n"), fragments.alias("fragments"))
-    parts = cut.select("doc_id", "n", F.posexplode("fragments").alias("part", "held")).dropDuplicates(["doc_id", "part"])
+    parts = cut.select("doc_id", "n", F.posexplode("fragments").alias("part", "held"))
     spread = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(join.fragments - 1))).alias("part"))
     of = lambda side: parts.select(F.col("doc_id").alias(side), "part", F.col("n").alias(f"n_{side}"), F.col("held").alias(f"held_{side}"))
     met = spread.join(of("a"), ["a", "part"]).join(of("b"), ["b", "part"])
