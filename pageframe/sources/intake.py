@@ -24,7 +24,10 @@ SUFFIXES = (
 
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*", max_bytes: int | None = None) -> DataFrame:
-    """Files of a folder; a size limit reaches the source, and their bytes are only read where ``content`` is selected."""
+    """Files of a folder; a size limit reaches the source, and their bytes are only read where ``content`` is selected.
+
+    Spark's file sources pass over files without bytes; where those matter, list names and sizes as a table instead.
+    """
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     if max_bytes is not None:
         found = found.where(F.col("length") <= max_bytes)
@@ -126,7 +129,7 @@ def read_sheet_csv(spark: SparkSession, path: str) -> DataFrame:
 
     A file's rows are numbered by their place in the file, so a file is read as one piece; quoted line breaks are kept.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     row = r'(?:"(?:[^"]|"")*"|[^"\r\n])*(?:\r\n|\n|\r|$)'
     rows = whole.select("path", F.posexplode(F.filter(F.regexp_extract_all("value", F.lit(f"({row})"), 1), lambda r: r != "")).alias("row_no", "row"))
     cell = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
