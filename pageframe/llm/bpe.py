@@ -222,7 +222,8 @@ def encode_column(text: Column, path: str, pattern: str) -> Column:
     @F.pandas_udf("array<int>")
     def ids(rows: pd.Series) -> pd.Series:
         encode = codec(path, pattern).encode_many
-        return texts.map(lambda t: np.array(encode(t or ""), dtype=np.int32))
+        texts = (t if isinstance(t, str) else "" for t in rows)
+        return pd.Series([np.array(ids, dtype=np.int32) for ids in encode(texts)], dtype=object)
 
     return ids(text)
 
@@ -233,7 +234,7 @@ def decode_column(ids: Column, path: str, pattern: str) -> Column:
     @F.pandas_udf("binary")
     def data(rows: pd.Series) -> pd.Series:
         decode = codec(path, pattern).decode
-        return rows.map(lambda r: b"" if r is None else decode(r.tolist()))
+        return rows.map(lambda r: decode(r.tolist()) if isinstance(r, np.ndarray) else b"")
 
     return data(ids)
 
@@ -245,7 +246,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         c = codec(path, pattern)
         for batch in batches:
             rows = []
-            for ids in c.encode_many(t or "" for t in batch["text"]):
+            for ids in c.encode_many(t if isinstance(t, str) else "" for t in batch["text"]):
                 rows.append((len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", batch["doc_id"].array)

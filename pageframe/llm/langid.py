@@ -66,7 +66,7 @@ def _letters() -> np.ndarray:
 
 def features(text: str | None, dims: int) -> np.ndarray | None:
     """Unit vector of a whole text, or None if it has no letter."""
-    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    points = np.frombuffer((text if isinstance(text, str) else "").lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
     letter = _letters()[points]
     if not letter.any():
         return None

@@ -304,7 +304,7 @@ def wrappers(pages: DataFrame, fan_in: int = 64) -> DataFrame:
         known: dict[str, list] = {}
         for batch in batches:
             for name, page in zip(batch["host"], batch["html"], strict=True):
-                one = form(tree(page or ""))
+                one = form(tree(page if isinstance(page, str) else ""))
                 held = known.get(name)
                 known[name] = [merged(held[0], one), held[1] + 1] if held else [one, 1]
             if len(known) > 20_000:  # the same host may come again; its parts are aligned later
@@ -352,7 +352,7 @@ def extracted(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
             for page, region in zip(batch["html"], batch["region"], strict=True):
                 if region not in known:
                     known[region] = tuple(json.loads(region))
-                texts.append("\n".join(blocks(tree(page or ""), known[region])))
+                texts.append("\n".join(blocks(tree(page if isinstance(page, str) else ""), known[region])))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": list(map(len, texts))})
 
     return rows.mapInPandas(lay, "page_id long, url string, text string, n_chars long")

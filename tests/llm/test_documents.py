@@ -133,7 +133,11 @@ def test_fingerprints(spark, odd_docs, no_docs):
     rows = sorted(docs.collect(), key=lambda r: -r.doc_id)
     got = {r.doc_id: r for r in fingerprint.compared(docs).collect()}
     true = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-    five = lambda t: {tuple((w := words(t))[i : i + 5]) for i in range(max(1, len(w) - 4))} if words(t) else set()
+
+    def five(text):
+        w = words(text)
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
     for i, r in enumerate(rows):
         a, b = r.text or "", rows[(i + 1) % len(rows)].text or ""
         half = len(a) // 2
@@ -194,7 +198,7 @@ def test_ngram_join(spark, odd_docs, no_docs):
 def test_one_of_each(spark, odd_docs):
     kept = ngram_join.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 9, 11]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 9]
 
 
 def test_components_of_a_chain(spark):
