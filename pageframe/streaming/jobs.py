@@ -54,13 +54,14 @@ def _applied(state: dict, op: str, value: str | None) -> None:
     del undo[:-CAP], redo[:-CAP]
 
 
-def replayed(log: DataFrame, idle: str = "7 days") -> DataFrame:
+def replayed(log: DataFrame, idle: str | None = "7 days") -> DataFrame:
     """(doc_id, seq, value, n_undo, n_redo) of a stream of edits numbered from 0 in each document.
 
     State is a document's value, its two bounded stacks and the edits that came before their turn; those wait until the gap closes. A
-    document without edits for ``idle`` of processing time is forgotten.
+    document without edits for ``idle`` of processing time is forgotten; without ``idle`` none is, and a run over what is available can end.
     """
-    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         if group.hasTimedOut:
@@ -77,10 +78,11 @@ def replayed(log: DataFrame, idle: str = "7 days") -> DataFrame:
             out.append((key[0], state["next"], state["value"], len(state["undo"]), len(state["redo"])))
             state["next"] += 1
         group.update((json.dumps(state),))
-        group.setTimeoutDuration(wait)
+        if wait:
+            group.setTimeoutDuration(wait)
         yield pd.DataFrame(out, columns=["doc_id", "seq", "value", "n_undo", "n_redo"])
 
-    return log.groupBy("doc_id").applyInPandasWithState(step, "doc_id long, seq long, value string, n_undo int, n_redo int", "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return log.groupBy("doc_id").applyInPandasWithState(step, "doc_id long, seq long, value string, n_undo int, n_redo int", "state string", "append", timeout)
 
 
 def append_available(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -27,7 +27,7 @@ def test_edits_wait_for_their_turn(spark, tmp_path):
     stream = spark.readStream.schema(log.schema).parquet(f"file://{tmp_path}/log")
 
     def run():
-        query = jobs.append_available(jobs.replayed(stream), f"file://{tmp_path}/out", f"file://{tmp_path}/ck")
+        query = jobs.append_available(jobs.replayed(stream, idle=None), f"file://{tmp_path}/out", f"file://{tmp_path}/ck")
         assert query.awaitTermination(90)
 
     run()
