@@ -103,17 +103,18 @@ def sets_of(docs: DataFrame, classes_: DataFrame, join: Join = DEFAULT) -> DataF
 
 
 def candidates(docs: DataFrame, open_: DataFrame, join: Join = DEFAULT) -> DataFrame:
-    """(h, rep, n, at, k): the shared n-grams among the first ones of every undecided class, in the order of rarity among these classes.
+    """(h, prev, rep, n, at, k): the shared n-grams among the first ones of every undecided class, in the order of rarity among these classes.
 
-    ``at`` is an n-gram's place in its set, ``k`` its place among the set's shared ones.
+    ``at`` is an n-gram's place in its set, ``k`` its place among the set's shared ones, ``prev`` the shared one before it.
     """
     each = sets_of(docs, open_, join).select("doc_id", F.size("h").alias("n"), F.explode("h").alias("h"))
     shared = each.withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
     by_rep = shared.groupBy(F.col("doc_id").alias("rep"), "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("sorted"))  # at most a document's own n-grams
     by_rep = by_rep.withColumn("alone", F.col("n") - F.size("sorted"))
     by_rep = by_rep.withColumn("first", F.slice("sorted", F.lit(1), F.greatest(_needed(F.col("n"), join) - F.col("alone"), F.lit(0)).cast("int")))
-    listed = by_rep.select("rep", "n", "alone", F.posexplode("first").alias("i", "x"))
-    return common.stored(listed.select("x.h", "rep", "n", (F.col("alone") + F.col("i") + 1).alias("at"), (F.col("i") + 1).alias("k")), "join-lists")
+    linked_ = by_rep.select("rep", "n", "alone", F.transform("first", lambda x, i: F.struct(x["h"].alias("h"), F.get("first", i - 1)["h"].alias("prev"))).alias("first"))
+    listed = linked_.select("rep", "n", "alone", F.posexplode("first").alias("i", "x"))
+    return common.stored(listed.select("x.h", "x.prev", "rep", "n", (F.col("alone") + F.col("i") + 1).alias("at"), (F.col("i") + 1).alias("k")), "join-lists")
 
 
 def hub_pairs(lists: DataFrame, labels: DataFrame | None, join: Join = DEFAULT) -> DataFrame:
@@ -140,7 +141,7 @@ def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
         return lists.withColumn("label", F.col("rep"))
     held = lists.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     in_list = Window.partitionBy("h")
-    return held.withColumn("least", F.min("label").over(in_list)).withColumn("most", F.max("label").over(in_list)).where("least <> most").select("h", "rep", "n", "at", "k", "label")
+    return held.withColumn("least", F.min("label").over(in_list)).withColumn("most", F.max("label").over(in_list)).where("least <> most").select("h", "prev", "rep", "n", "at", "k", "label")
 
 
 def _fits(join: Join, n: tuple[Column, Column], at: tuple[Column, Column], k: tuple[Column, Column]) -> Column:
@@ -158,10 +159,12 @@ def later_pairs(lists: DataFrame, labels: DataFrame, join: Join = DEFAULT) -> Da
     meets = (F.col("x.label") < F.col("y.label")) & (100 * F.col("x.n_max") >= join.percent * F.col("y.n_min")) & (100 * F.col("y.n_max") >= join.percent * F.col("x.n_min"))
     meets = meets & ((100 + join.percent) * F.least("x.shared", "y.shared") >= join.percent * (F.col("x.n_min") + F.col("y.n_min")))
     both = x.join(y, (F.col("x.h") == F.col("y.h")) & meets).select(F.col("x.h").alias("h"), F.col("x.label").alias("label"), F.col("y.label").alias("other"))
-    side = lambda label, s: mixed.select("h", F.col("label").alias(label), F.col("rep").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "at", "k")])
+    side = lambda label, s: mixed.select("h", F.col("label").alias(label), F.col("rep").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "at", "k", "prev")])
     left, right = side("label", "a"), side("other", "b")
     fits = _fits(join, *[(F.col(f"{c}_a"), F.col(f"{c}_b")) for c in ("n", "at", "k")])
-    pairs = both.join(left, ["h", "label"]).join(right, ["h", "other"]).where(fits)
+    # Where the shared n-gram before is one of both too, the pair is met in that one's list.
+    first = F.coalesce(F.col("prev_a") != F.col("prev_b"), F.lit(True))
+    pairs = both.join(left, ["h", "label"]).join(right, ["h", "other"]).where(fits & first)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
