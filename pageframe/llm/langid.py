@@ -55,7 +55,7 @@ class Fit:
 DEFAULT = Fit()
 
 #: Score below which a filter takes a text for no learned language.
-MIN_SCORE = 0.5
+MIN_SCORE = 0.3
 
 
 @lru_cache(maxsize=1)
