@@ -7,13 +7,17 @@ collected too many optional parts, they become one repeated group of optionals,
 Every task folds the pages it reads into one wrapper a host, and wrappers are aligned with each other in the same way,
 so no page is moved or left out to infer them.
 
-A wrapper's slots are then judged once: the article (or the main region, or else the part that holds most of the
-varying text) without menus, headers, footers, sidebars, notices, adverts, forms and comments. Each page is laid
-along its host's wrapper and the texts in its content slots are its blocks.
+A wrapper's slots are then judged once: the article (or the main region, or else the places that hold most of the
+varying text) without menus, headers, footers, sidebars, notices, adverts, forms and comments. A place is an element or
+all optional siblings of one name between the same neighbours. Each page is laid along the places of its host's wrapper
+and the texts of every element there are its blocks. A text that stands in the same slot (path of keys) of half of a
+host's different pages, ``TEMPLATE_PAGES`` of them at least, is the host's template and no page's own; those are counted
+exactly over all pages.
 
 Defined cases: null html is an empty page with empty text; a url that is null or has no host belongs to the host "";
-of a page cut short what is there counts; a page without article is judged by its host's wrapper; repeated rows are
-extracted each.
+of a page cut short what is there counts; a page without article is judged by its host's wrapper; where no place fits a
+page, or less than half of its text is there, all its text that is not set aside counts; where everything would be
+template or set aside by words, it is kept; repeated rows are extracted each.
 """
 
 from __future__ import annotations
@@ -47,6 +51,9 @@ AWAY_WORDS = frozenset(
     "share sharing social related recommended recommendations comment comments commentlist disqus replies reply respond complementary contentinfo".split()
 )
 
+#: A text of so many different pages of a host, and of half of them, is template.
+TEMPLATE_PAGES = 5
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", re.S)
 MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Marks such as "has-sidebar" tell about a page, not about the element.
@@ -227,24 +234,45 @@ def pattern(node: list) -> str:
     return f"({inner}){ends}" if ends else inner
 
 
-def regions(wrapper: list) -> tuple[str, ...]:
-    """What holds the article in pages of this wrapper: ("article",), ("main",), or the keys down to the densest part."""
+def regions(wrapper: list) -> dict:
+    """What holds the article in pages of this wrapper: its ``name``, "article", "main" or "", and the ``path`` of places down to the densest one, each a list of keys."""
 
     def has(node: list, fits) -> bool:
         return node[0] != TEXT and not _away(node[0]) and (fits(node[0]) or any(has(k, fits) for k in node[3]))
 
-    for name in ("article", "main"):
-        if has(wrapper, lambda key, name=name: key.partition(".")[0] == name or name == "main" and "main" in key.split(".")[1:]):
-            return (name,)
-    path, at = [], wrapper
+    named = lambda key, name: key.partition(".")[0] == name or name == "main" and "main" in key.split(".")[1:]
+    name = next((n for n in ("article", "main") if has(wrapper, lambda key: named(key, n))), "")
+    path, at = [], wrapper[3]
     while True:
-        whole = sum(varying(k) for k in at[3])
-        inner = [k for group in at[3] for k in (group[3] if group[0] == GROUP else [group]) if k[0] != TEXT and not k[1] & REPEATED and not _away(k[0])]
-        most = max(inner, key=varying, default=None)
-        if most is None or most[0].partition(".")[0] in ENDS_P - {"div", "section", "main", "article", "center", "table"} or varying(most) < 0.6 * whole:
-            return tuple(path)
-        path.append(most[0])
-        at = most
+        whole = sum(map(varying, at))
+        most = max(places(at), key=lambda place: sum(map(varying, place)), default=None)
+        if not whole or most is None or sum(map(varying, most)) < 0.6 * whole:
+            return {"name": name, "path": path}
+        path.append(sorted({k[0] for k in most}))
+        at = [k for one in most for k in one[3]]
+
+
+def places(kids: list) -> list[list]:
+    """The elements of a list of kids that may hold an article, with optional siblings of one name between the same neighbours together."""
+    out: list[list] = []
+    open_: dict[str, list] = {}
+    for group in kids:
+        members = group[3] if group[0] == GROUP else [group]
+        for kid in members:
+            name = kid[0].partition(".")[0]
+            if kid[0] == TEXT or _away(kid[0]):
+                continue
+            if not kid[1] & OPTIONAL:
+                open_ = {}
+            if kid[1] & REPEATED or name in ENDS_P - {"div", "section", "main", "article", "center", "table"}:
+                continue
+            if name in open_ and kid[1] & OPTIONAL:
+                open_[name].append(kid)
+            else:
+                out.append([kid])
+                if kid[1] & OPTIONAL:
+                    open_[name] = out[-1]
+    return out
 
 
 def varying(node: list) -> int:
@@ -254,43 +282,57 @@ def varying(node: list) -> int:
     return 0 if _away(node[0]) else sum(varying(k) for k in node[3])
 
 
-def blocks(node: list, region: tuple[str, ...]) -> list[str]:
+def _slot(path: str, text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def texts_of(node: list, path: str, words: bool = True) -> Iterator[tuple[str, str]]:
+    """(path of keys, text) of all texts below a page's element that are not set aside; without ``words`` only element names set aside."""
+    for kid in node[1]:
+        if isinstance(kid, str):
+            yield path, kid
+        elif not (_away(kid[0]) if words else kid[0].partition(".")[0] in AWAY):
+            yield from texts_of(kid, f"{path}/{kid[0]}", words)
+
+
+def slots(page: list) -> list[int]:
+    """The slots of a page with what they hold, once each."""
+    return sorted({_slot(path, text) for path, text in texts_of(page, "")})
+
+
+def blocks(page: list, region: dict, template: frozenset = frozenset()) -> list[str]:
     """The texts of a page's tree in the content slots of its wrapper, in order."""
-    out: list[str] = []
 
-    def take(kids: list) -> None:
-        for kid in kids:
-            if isinstance(kid, str):
-                out.append(kid)
-            elif not _away(kid[0]):
-                take(kid[1])
+    def own(found: list[tuple[str, str]]) -> list[str]:
+        left = [text for path, text in found if not template or _slot(path, text) not in template]
+        return left or [text for _, text in found]
 
-    def seek(node: list) -> bool:
-        found = False
+    def named(node: list, path: str) -> Iterator[tuple[str, str]]:
         for kid in node[1]:
             if isinstance(kid, str) or _away(kid[0]):
                 continue
             name, *words = kid[0].split(".")
-            if name == region[0] or region[0] == "main" and "main" in words:
-                take(kid[1])
-                found = True
+            if name == region["name"] or region["name"] == "main" and "main" in words:
+                yield from texts_of(kid, f"{path}/{kid[0]}")
             else:
-                found |= seek(kid)
-        return found
-
-    if region in (("article",), ("main",)):
-        if seek(node):
-            return out
-        region = regions(form(node))  # the page lacks what its host has: its own wrapper decides
-        if region in (("article",), ("main",)):
-            seek(node)
-            return out
-    for key in region:
-        node = next((k for k in node[1] if not isinstance(k, str) and k[0] == key), None)
-        if node is None:
-            return out
-    take(node[1])
-    return out
+                yield from named(kid, f"{path}/{kid[0]}")
+
+    if region["name"]:
+        found = list(named(page, ""))
+        if found:
+            return own(found)
+    everything = list(texts_of(page, ""))
+    if not everything:
+        return [text for _, text in texts_of(page, "", words=False)]
+    everywhere = own(everything)
+    at = [(page, "")]
+    for keys in region["path"]:
+        at = [(k, f"{path}/{k[0]}") for node, path in at for k in node[1] if not isinstance(k, str) and k[0] in keys]
+    there = [x for node, path in at for x in texts_of(node, path)]
+    if not there:
+        return everywhere
+    within = own(there)
+    return within if 2 * sum(map(len, within)) >= sum(map(len, everywhere)) else everywhere
 
 
 def host(url: Column) -> Column:
@@ -299,60 +341,84 @@ def host(url: Column) -> Column:
 
 def wrappers(pages: DataFrame, fan_in: int = 64) -> DataFrame:
     """(host, wrapper, n_pages) inferred from all pages of (url, html); the wrapper is its JSON form."""
+    return _aligned(_parts(pages), fan_in)
+
+
+def _parts(pages: DataFrame) -> DataFrame:
+    """Stored rows of two kinds: a wrapper of the pages that a task read of a host, and the slots of one page, known by the hash of its html."""
 
     def infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, list] = {}
         for batch in batches:
+            seen = []
             for name, page in zip(batch["host"], batch["html"], strict=True):
-                one = form(tree(page if isinstance(page, str) else ""))
+                page = page if isinstance(page, str) else ""
+                made = tree(page)
+                one = form(made)
                 held = known.get(name)
                 known[name] = [merged(held[0], one), held[1] + 1] if held else [one, 1]
+                seen.append((name, None, None, _slot("", page), slots(made)))
+            yield pd.DataFrame(seen, columns=columns)
             if len(known) > 20_000:  # the same host may come again; its parts are aligned later
                 yield rows(known)
                 known = {}
         yield rows(known)
 
     def rows(known: dict[str, list]) -> pd.DataFrame:
-        return pd.DataFrame([(h, json.dumps(w), n) for h, (w, n) in known.items()], columns=["host", "wrapper", "n_pages"])
+        return pd.DataFrame([(h, json.dumps(w), n, None, None) for h, (w, n) in known.items()], columns=columns)
+
+    columns = ["host", "wrapper", "n_pages", "page", "slots"]
+    schema = "host string, wrapper string, n_pages long, page long, slots array<long>"
+    return common.stored(pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(infer, schema), "wrapper-parts")
+
 
+def _aligned(parts: DataFrame, fan_in: int) -> DataFrame:
     def join(parts: pd.DataFrame) -> pd.DataFrame:
         whole = None
         for part in sorted(parts["wrapper"]):
             one = json.loads(part)
             whole = merged(whole, one) if whole else one
-        return rows({parts["host"].iloc[0]: [whole, int(parts["n_pages"].sum())]})
+        return pd.DataFrame([(parts["host"].iloc[0], json.dumps(whole), int(parts["n_pages"].sum()))], columns=["host", "wrapper", "n_pages"])
 
     schema = "host string, wrapper string, n_pages long"
-    parts = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(infer, schema)
+    parts = parts.where("wrapper IS NOT NULL").select("host", "wrapper", "n_pages")
     # A host has at most one part a task; they are aligned `fan_in` groups at a time, then those results.
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(fan_in))).groupBy("host", "salt").applyInPandas(lambda p: join(p), schema)
     return salted.groupBy("host").applyInPandas(lambda p: join(p), schema)
 
 
+def _templates(parts: DataFrame) -> DataFrame:
+    """(host, template): the slots, with what they hold, of half of a host's different pages; at most twice as many as a page has."""
+    each = parts.where("page IS NOT NULL").select("host", "page", "slots").dropDuplicates(["host", "page"])
+    totals = each.where(F.size("slots") > 0).groupBy("host").agg(F.count("*").alias("pages"))
+    counts = each.select("host", F.explode("slots").alias("slot")).groupBy("host", "slot").agg(F.count("*").alias("n")).where(F.col("n") >= TEMPLATE_PAGES)
+    return counts.join(totals, "host").where("2 * n >= pages").groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("template"))
 
 
 def extracted(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """page_id, url, text and n_chars of every row of (page_id, url, html)."""
-    found = wrappers(pages)
+    parts = _parts(pages)
+    found = _aligned(parts, 64)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"host": batch["host"], "region": [json.dumps(regions(json.loads(w))) for w in batch["wrapper"]]})
 
-    judged = common.stored(found.mapInPandas(judge, "host string, region string"), "wrapper-regions")
+    judged = found.mapInPandas(judge, "host string, region string").join(_templates(parts), "host", "left")
+    judged = common.stored(judged.withColumn("template", F.coalesce("template", F.array().cast("array<long>"))), "wrapper-regions")
     # A region is a few keys; hosts are broadcast while they are few and joined by a shuffle beyond, whose skewed hosts Spark splits.
-    size = judged.agg(F.sum(F.length("host") + F.length("region") + 32)).first()[0] or 0
+    size = judged.agg(F.sum(F.length("host") + F.length("region") + 8 * F.size("template") + 32)).first()[0] or 0
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    rows = rows.join(F.broadcast(judged) if size <= broadcast_bytes else judged, "host", "left").select("page_id", "url", "html", "region")
+    rows = rows.join(F.broadcast(judged) if size <= broadcast_bytes else judged, "host", "left").select("page_id", "url", "html", "host", "region", "template")
 
     def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[str, ...]] = {}
         for batch in batches:
+            known: dict[str, tuple[dict, frozenset]] = {}
             texts = []
-            for page, region in zip(batch["html"], batch["region"], strict=True):
-                if region not in known:
-                    known[region] = tuple(json.loads(region))
-                texts.append("\n".join(blocks(tree(page if isinstance(page, str) else ""), known[region])))
+            for page, name, region, template in zip(batch["html"], batch["host"], batch["region"], batch["template"], strict=True):
+                if name not in known:
+                    known[name] = json.loads(region), frozenset(map(int, template))
+                texts.append("\n".join(blocks(tree(page if isinstance(page, str) else ""), *known[name])))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": list(map(len, texts))})
 
     return rows.mapInPandas(lay, "page_id long, url string, text string, n_chars long")

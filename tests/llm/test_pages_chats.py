@@ -55,6 +55,19 @@ def test_wrapper_without_article(spark):
     assert got[3] == "Story 3\nLong text number 3 that differs.\nMore 3."
 
 
+def test_wrapper_keeps_pages_of_all_classes(spark):
+    lay = "<body><div class='top'><p>Same line on all pages</p></div><div class='post {1}'><h2>Story {0}</h2><p>Long text number {0} that differs.</p></div><div class='low'><p>Imprint of the site</p></div></body>"
+    twice = lay.format(7, "news").replace("<div class='low'>", "<div class='post news'><p>A second part of story seven.</p></div><div class='low'>")
+    alone = "<body><div class='a'><p>The only text of the only page.</p></div><hr><div class='b'><p>Its second text, parted by a rule.</p></div></body>"
+    rows = [(i, "http://q.example/", lay.format(i, "sports" if i % 4 else "news"), None) for i in range(7)] + [(7, "http://q.example/", twice, None), (8, "http://one.example/", alone, None)]
+    rows += [(20 + i, "http://h.example/", f"<body><article><p>Article {i} is here.</p></article></body>", None) for i in range(3)] + [(23, "http://h.example/", "<body><div><p>No article.</p></div><hr><div><p>Still text.</p></div></body>", None)]
+    got = {r.page_id: r.text for r in wrapper.extracted(spark.createDataFrame(rows, PAGE)).collect()}
+    assert [got[i] for i in range(7)] == [f"Story {i}\nLong text number {i} that differs." for i in range(7)]
+    assert got[7] == "Story 7\nLong text number 7 that differs.\nA second part of story seven."
+    assert got[8] == "The only text of the only page.\nIts second text, parted by a rule."
+    assert got[20] == "Article 0 is here." and got[23] == "No article.\nStill text."
+
+
 def test_alignment_makes_optionals_and_repeats():
     one, two = (wrapper.form(wrapper.tree(h)) for h in ("<div><h1>a</h1><p>x</p></div>", "<div><h1>b</h1><p>y</p><p>z</p><hr></div>"))
     made = wrapper.merged(one, two)
