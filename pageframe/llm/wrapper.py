@@ -51,6 +51,8 @@ AWAY_WORDS = frozenset(
     "share sharing social related recommended recommendations comment comments commentlist disqus replies reply respond complementary contentinfo".split()
 )
 
+#: Words beside which a listed word of an id still names a part of the layout; beside others ("related-work") it is a heading's anchor.
+LAYOUT_WORDS = frozenset("area articles bar block bottom box container content div form inner items left link links list main outer page panel post posts right section site slot top unit wrap wrapper".split())
 #: A text of so many different pages of a host, and of half of them, is template.
 TEMPLATE_PAGES = 5
 
@@ -70,8 +72,12 @@ MANY = 48
 def _marks(attributes: str) -> str:
     if "=" not in attributes:
         return ""
-    marks = [m for _, a, b, c in MARKS.findall(attributes) for m in (a or b or c).split() if not HAS.match(m)]
-    words = {w.lower() for m in marks for w in WORDS.findall(m)}
+    words: set[str] = set()
+    for kind, a, b, c in MARKS.findall(attributes):
+        for mark in (a or b or c).split():
+            if not HAS.match(mark):
+                found = {w.lower() for w in WORDS.findall(mark)}
+                words |= found if kind.lower() != "id" or found <= AWAY_WORDS | LAYOUT_WORDS else found - AWAY_WORDS
     return ".".join(["", *sorted(words)]) if words else ""
 
 

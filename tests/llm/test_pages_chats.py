@@ -68,6 +68,13 @@ def test_wrapper_keeps_pages_of_all_classes(spark):
     assert got[20] == "Article 0 is here." and got[23] == "No article.\nStill text."
 
 
+def test_wrapper_slots_decide_in_articles(spark):
+    page = "<body><article><h1>Title {0}</h1><p>Text {0} of the page.</p><p>Subscribe to our letter today.</p><h2 id='related-work'>Earlier work on {0}</h2><section id='search-methods'><p>Method {0}.</p></section><div id='comments'><p>nice {0}</p></div></article></body>"
+    rows = [(i, "http://n.example/", page.format(i), None) for i in range(8)]
+    got = {r.page_id: r.text for r in wrapper.extracted(spark.createDataFrame(rows + rows[:1] * 9, PAGE)).collect()}
+    assert got == {i: f"Title {i}\nText {i} of the page.\nEarlier work on {i}\nMethod {i}." for i in range(8)}
+
+
 def test_alignment_makes_optionals_and_repeats():
     one, two = (wrapper.form(wrapper.tree(h)) for h in ("<div><h1>a</h1><p>x</p></div>", "<div><h1>b</h1><p>y</p><p>z</p><hr></div>"))
     made = wrapper.merged(one, two)
