@@ -17,7 +17,7 @@ different components shares a list, so the components are those of all links.
 
 Defined cases: null or empty text has no n-grams, links with nothing and is its own component; a text of fewer words
 than ``width`` has one n-gram, all its words; rows that repeat a doc_id are one document with the links of all its
-rows; a null doc_id is returned with a null component and links with nothing.
+rows, each of its texts a set of its own; a null doc_id is returned with a null component and links with nothing.
 """
 
 from __future__ import annotations
@@ -75,31 +75,43 @@ def classes(docs: DataFrame, join: Join = DEFAULT) -> DataFrame:
         enough = common.let(low, lambda some: F.when(F.size(some) >= F.size(h) - F.ceil(F.size(h) * join.percent / 100) + 1, some).otherwise(h))
         return F.struct(F.size(h).alias("n"), F.xxhash64(h).alias("s1"), F.xxhash64(F.lit(1), h).alias("s2"), enough.alias("first"))
 
-    return common.stored(common.computed(docs, ["doc_id"], common.let(grams(F.col("text"), join), parts)), "join-sets")
+    return common.stored(common.computed(docs.withColumn("t", F.xxhash64("text")), ["doc_id", "t"], common.let(grams(F.col("text"), join), parts)), "join-sets")
 
 
-def undecided(sets: DataFrame, join: Join = DEFAULT) -> DataFrame:
-    """(doc_id, s1, s2, n): classes, by their smallest doc_id, with an n-gram among their first ones that another class has too."""
+def has_mixed_ids(sets: DataFrame) -> bool:
+    """Whether a doc_id has two different sets, so that it cannot name a class."""
+    ends = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("s1", "s2") for f in (F.min, F.max)])
+    return not ends.where("min_s1 <> max_s1 OR min_s2 <> max_s2").isEmpty()
+
+
+def _key(doc_id: Column, s1: Column, s2: Column, mixed: bool) -> Column:
+    """What names a class, in the order of its smallest doc_id: that alone, or with the set's hashes where ids have several sets."""
+    return F.when(doc_id.isNotNull(), F.struct(doc_id.alias("id"), s1.alias("s1"), s2.alias("s2"))) if mixed else doc_id
+
+
+def undecided(sets: DataFrame, join: Join = DEFAULT, mixed: bool = False) -> DataFrame:
+    """(rep, doc_id, s1, s2, n): classes, by their key and smallest doc_id, with an n-gram among their first ones that another class has too."""
     reps = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "first"), "doc_id").alias("x"))
+    reps = reps.select(_key(F.col("rep"), F.col("s1"), F.col("s2"), mixed).alias("rep"), F.col("rep").alias("doc_id"), "s1", "s2", "x")
     n_low = F.size(F.filter("x.first", lambda h: h < join.low))
-    counted = common.computed(reps, ["rep", "s1", "s2"], F.struct(F.col("x.n").alias("n"), n_low.alias("n_low"), F.col("x.first").alias("first")))
+    counted = common.computed(reps, ["rep", "doc_id", "s1", "s2"], F.struct(F.col("x.n").alias("n"), n_low.alias("n_low"), F.col("x.first").alias("first")))
     each = counted.select("rep", "n", "n_low", F.explode("first").alias("h"))
     shared = each.withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
     is_low = F.col("h") < join.low
     # N-grams that no other class has come first in their zone; with a whole prefix of them a set links with none.
     sums = shared.groupBy("rep", "n", "n_low").agg(F.count_if(is_low).alias("low"), F.count_if(~is_low).alias("high"))
     open_ = sums.where((F.col("n_low") - F.col("low") < _needed(F.col("n"), join)) & ((F.col("low") > 0) | (F.col("n_low") < _needed(F.col("n"), join))))
-    return common.stored(counted.join(open_.select("rep"), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), "join-open")
+    return common.stored(counted.join(open_.select("rep"), "rep", "left_semi").select("rep", "doc_id", "s1", "s2", "n"), "join-open")
 
 
 def sets_of(docs: DataFrame, classes_: DataFrame, join: Join = DEFAULT) -> DataFrame:
-    """(doc_id, h) of the given classes (doc_id, s1, s2), read from the texts again: one row each, though a doc_id may repeat."""
+    """(rep, h) of the given classes (rep, doc_id, s1, s2), read from the texts again: one row each, though a doc_id may repeat."""
     small = classes_.count() <= join.broadcast_ids
-    known = classes_.select("doc_id", F.struct("s1", "s2").alias("is"))
+    known = classes_.select("doc_id", F.struct("s1", "s2", "rep").alias("is"))
     picked = docs.select("doc_id", "text").join(F.broadcast(known) if small else known, "doc_id")
     known_by = lambda h: F.struct(F.xxhash64(h).alias("t1"), F.xxhash64(F.lit(1), h).alias("t2"), h.alias("h"))
     found = common.computed(picked, ["doc_id", "is"], common.let(grams(F.col("text"), join), known_by))
-    return found.where("t1 = is.s1 AND t2 = is.s2").select("doc_id", "h").dropDuplicates(["doc_id"])
+    return found.where("t1 = is.s1 AND t2 = is.s2").select("is.rep", "h").dropDuplicates(["rep"])
 
 
 def candidates(docs: DataFrame, open_: DataFrame, join: Join = DEFAULT) -> DataFrame:
@@ -107,9 +119,9 @@ def candidates(docs: DataFrame, open_: DataFrame, join: Join = DEFAULT) -> DataF
 
     ``at`` is an n-gram's place in its set, ``k`` its place among the set's shared ones, ``prev`` the shared one before it.
     """
-    each = sets_of(docs, open_, join).select("doc_id", F.size("h").alias("n"), F.explode("h").alias("h"))
+    each = sets_of(docs, open_, join).select("rep", F.size("h").alias("n"), F.explode("h").alias("h"))
     shared = each.withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
-    by_rep = shared.groupBy(F.col("doc_id").alias("rep"), "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("sorted"))  # at most a document's own n-grams
+    by_rep = shared.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("sorted"))  # at most a document's own n-grams
     by_rep = by_rep.withColumn("alone", F.col("n") - F.size("sorted"))
     by_rep = by_rep.withColumn("first", F.slice("sorted", F.lit(1), F.greatest(_needed(F.col("n"), join) - F.col("alone"), F.lit(0)).cast("int")))
     linked_ = by_rep.select("rep", "n", "alone", F.transform("first", lambda x, i: F.struct(x["h"].alias("h"), F.get("first", i - 1)["h"].alias("prev"))).alias("first"))
@@ -171,14 +183,14 @@ def later_pairs(lists: DataFrame, labels: DataFrame, join: Join = DEFAULT) -> Da
 def overlaps(docs: DataFrame, open_: DataFrame, pairs: DataFrame, join: Join = DEFAULT) -> DataFrame:
     """(a, b, shared, n_a, n_b) of pairs of classes: partial overlaps by fragment of the order, summed per pair."""
     pairs = common.stored(pairs, "join-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    h = sets_of(docs, common.stored(open_.join(ids, "doc_id", "left_semi"), "join-ids"), join)
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    h = sets_of(docs, common.stored(open_.join(ids, "rep", "left_semi"), "join-ids"), join)
     width = (1 << 64) // join.fragments
     fragments = F.array(*[_between(F.col("h"), -(1 << 63) + i * width, -(1 << 63) + (i + 1) * width) for i in range(join.fragments)])
-    cut = h.select("doc_id", F.size("h").alias("n"), fragments.alias("fragments"))
-    parts = cut.select("doc_id", "n", F.posexplode("fragments").alias("part", "held"))
+    cut = h.select("rep", F.size("h").alias("n"), fragments.alias("fragments"))
+    parts = cut.select("rep", "n", F.posexplode("fragments").alias("part", "held"))
     spread = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(join.fragments - 1))).alias("part"))
-    of = lambda side: parts.select(F.col("doc_id").alias(side), "part", F.col("n").alias(f"n_{side}"), F.col("held").alias(f"held_{side}"))
+    of = lambda side: parts.select(F.col("rep").alias(side), "part", F.col("n").alias(f"n_{side}"), F.col("held").alias(f"held_{side}"))
     met = spread.join(of("a"), ["a", "part"]).join(of("b"), ["b", "part"])
     counted = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("held_a", "held_b")).alias("shared"))
     return counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
@@ -214,9 +226,15 @@ def components(links: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, join: Join = DEFAULT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
+    return grouped(docs, join).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, join: Join = DEFAULT) -> DataFrame:
+    """doc_id, t (the text's hash), n_shingles, component_id and text_group of every row: the component of the row's set by links between sets alone."""
     docs = docs.select("doc_id", "text")
     sets = classes(docs, join)
-    open_ = undecided(sets, join)
+    mixed = has_mixed_ids(sets)
+    open_ = undecided(sets, join, mixed)
     lists = candidates(docs, open_, join)
     links = lambda pairs: overlaps(docs, open_, pairs, join).where(f"100 * shared >= {join.percent} * (n_a + n_b - shared)").select("a", "b")
     found, labels = None, None
@@ -229,18 +247,24 @@ def linked(docs: DataFrame, join: Join = DEFAULT) -> DataFrame:
     last = common.stored(links(later_pairs(lists, labels, join)), "join-links")
     found = last if found is None else found.union(last)
     members = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    rows = sets.select("doc_id", "n", "s1", "s2").join(members, ["s1", "s2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
+    members = members.select("s1", "s2", _key(F.col("rep"), F.col("s1"), F.col("s2"), mixed).alias("rep"))
+    rows = sets.select("doc_id", "t", "n", "s1", "s2").join(members, ["s1", "s2"], "left").select("doc_id", "t", "n", "rep")
     rows = common.stored(rows, "join-rows")
-    repeated = rows.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
-    found = found.union(rows.join(repeated, "doc_id").where("rep IS NOT NULL").select("a", F.col("rep").alias("b")))
-    labels = components(found)
-    out = rows.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id")).alias("component_id"))
+    by_text = components(found)
+    rows = rows.join(by_text.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("text_group", F.coalesce("label", "rep"))
+    if mixed:
+        rows = common.stored(rows.drop("label"), "join-rows")
+        repeated = rows.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
+        same = rows.join(repeated, "doc_id").where("rep IS NOT NULL").select("a", F.col("rep").alias("b"))
+        rows = rows.join(components(found.union(same)).select(F.col("node").alias("rep"), "label"), "rep", "left")
+    group = F.coalesce("label", "rep")
+    group = F.coalesce(group["id"] if mixed else group, "doc_id")
+    return rows.select("doc_id", "t", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), group).alias("component_id"), "text_group")
 
 
 def one_of_each(docs: DataFrame, join: Join = NEAR) -> DataFrame:
-    """The rows of the smallest doc_id of every group of linked documents, one row an id; rows without id stay."""
-    kept = linked(docs, join).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
+    """The rows of the smallest doc_id of every group of linked documents, one row for each group of linked texts of that id; rows without id stay."""
+    kept = grouped(docs, join).where("doc_id = component_id").select("doc_id", F.col("t").alias("_t"), F.col("text_group").alias("_group")).distinct()
+    named = docs.withColumn("_t", F.xxhash64("text")).join(kept, ["doc_id", "_t"])
+    first = F.row_number().over(Window.partitionBy("doc_id", "_group").orderBy(F.xxhash64(*docs.columns)))
     return named.withColumn("_n", first).where("_n = 1").select(docs.columns).union(docs.where("doc_id IS NULL"))

@@ -201,6 +201,15 @@ def test_one_of_each(spark, odd_docs):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 9]
 
 
+def test_repeated_ids_keep_all_their_texts(spark):
+    some = lambda k, n=60: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(5, some("a")), (5, some("b")), (5, some("c")), (6, some("a") + " x"), (7, some("b") + " x"), (8, some("c") + " x"), (9, some("d")), (9, some("d") + " x"), (9, some("e")), (9, some("e"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in ngram_join.linked(df).collect()} == {(5, 5), (6, 5), (7, 5), (8, 5), (9, 9)}
+    kept = [(r.doc_id, r.text[0]) for r in ngram_join.one_of_each(df).collect()]
+    assert sorted(kept) == [(5, "a"), (5, "b"), (5, "c"), (9, "d"), (9, "e")]
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (200, 200)], "a long, b long")
     got = {r.node: r.label for r in ngram_join.components(links).collect()}
