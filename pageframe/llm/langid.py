@@ -11,13 +11,17 @@ languages, those of the smallest hash of the id); everything else covers all row
 Defined cases: a text that is null or has no letter is ``und`` with score 0; with no labelled row all texts are; with
 one language learned it is predicted for every text with a letter; rows with a null id or language are predicted but
 never learned from; repeated rows are predicted each.
+
+A filter also asks how well a text fits the language predicted for it: the mean log probability of its n-grams under the
+language's learned n-grams, against what the learned rows reach when each is left out. A language of fewer than
+``FIT_ROWS`` learned rows has no such limit.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import combinations
 
@@ -56,6 +60,9 @@ DEFAULT = Fit()
 
 #: Score below which a filter takes a text for no learned language.
 MIN_SCORE = 0.3
+#: Learned rows from which a language has a limit of fit; how far below their median it lies, in distances of their lowest
+#: twentieth and at least; and what a short text may miss, in standard deviations of its mean (a letter is in three n-grams).
+FIT_ROWS, FIT_SPREAD, FIT_LEAST, FIT_NOISE = 10, 6.0, 0.6, 3.0
 
 
 @lru_cache(maxsize=1)
@@ -113,6 +120,16 @@ class Model:
     languages: dict[str, list[str]]
     by_family: np.ndarray
     pairs: dict[str, list[tuple[int, int, np.ndarray]]]
+    #: By language: log probabilities of n-grams, the limit of their mean, and their standard deviation.
+    likely: dict[str, tuple[np.ndarray, float, float]] = field(default_factory=dict)
+
+    def fits(self, x: np.ndarray, language: str) -> bool:
+        """Whether a text is as likely in a language as its learned rows are; a rarest n-gram is taken to occur once."""
+        if language not in self.likely:
+            return True
+        logs, limit, deviation = self.likely[language]
+        shares = np.square(x, dtype=np.float64)
+        return float(shares @ logs) >= limit - FIT_NOISE * deviation * np.sqrt(3 * shares[shares > 0].min())
 
     def predict(self, x: np.ndarray) -> tuple[str, float]:
         x = np.append(x, 1.0)
@@ -148,7 +165,24 @@ def fitted(x: np.ndarray, labels: list[str], fit: Fit = DEFAULT) -> Model | None
         for (i, a), (j, b) in combinations(enumerate(languages[f]), 2):
             of = (labels_ == a) | (labels_ == b)
             pairs[f].append((i, j, _machine(x[of], np.where(labels_[of] == a, 1.0, -1.0), fit)))
-    return Model(fit.dims, families, languages, by_family, pairs)
+    likely = {c: _likely(x[labels_ == c]) for c in set(labels) if (labels_ == c).sum() >= FIT_ROWS}
+    return Model(fit.dims, families, languages, by_family, pairs, likely)
+
+
+def _likely(x: np.ndarray) -> tuple[np.ndarray, float, float]:
+    shares = np.square(x, dtype=np.float64)
+    total = shares.sum(axis=0)
+
+    def logs(q: np.ndarray) -> np.ndarray:
+        q = q + 1e-5
+        return np.log(q / q.sum(axis=-1, keepdims=True))
+
+    left_out = np.array([row @ logs((total - row) / (len(shares) - 1)) for row in shares])
+    median, low = np.quantile(left_out, (0.5, 0.05))
+    whole = logs(total / len(shares))
+    mean = total / len(shares)
+    deviation = np.sqrt(max(float(mean @ np.square(whole) - np.square(mean @ whole)), 0.0))
+    return whole, float(median - max(FIT_SPREAD * (median - low), FIT_LEAST)), deviation
 
 
 def learned(rows: DataFrame, fit: Fit = DEFAULT) -> Model | None:
@@ -202,8 +236,22 @@ def cross_checked(docs: DataFrame, fit: Fit = DEFAULT) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def accepted(text: Column, model: Model | None, min_score: float = MIN_SCORE) -> Column:
+    """Whether a text is in a learned language: predicted with ``min_score`` and fitting what was learned of it."""
+
+    @F.pandas_udf("boolean")
+    def accept(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            x = features(text, model.dims) if model else None
+            language, score = (UNDETERMINED, 0.0) if x is None else model.predict(x)
+            out.append(bool(x is not None and score >= min_score and model.fits(x, language)))
+        return pd.Series(out, dtype=bool)
+
+    return accept(text)
+
+
 def kept(docs: DataFrame, fit: Fit = DEFAULT, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows whose text is in a learned language, with all their columns; null, letterless and unclear texts go."""
+    """The rows whose text is in a learned language, with all their columns; null, letterless, unclear and unlearned texts go."""
     model = learned(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), fit)
-    found = docs.withColumn("_is", predicted(F.col("text"), model))
-    return found.where((F.col("_is.lang_pred") != UNDETERMINED) & (F.col("_is.score") >= min_score)).drop("_is")
+    return docs.where(accepted(F.col("text"), model, min_score))

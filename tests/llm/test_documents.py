@@ -50,6 +50,19 @@ def test_quality_drops_symbols_and_keeps_prose(spark):
     assert all(kept[i] for i in range(30)) and not any(kept[100 + i] for i in range(3))
 
 
+def test_language_filter_rejects_unlearned_languages(spark):
+    import random
+
+    rng = random.Random(6)
+    syllables = {"en": "the ing th ou ght wh", "de": "sch ein ung cht ber keit", "ja": "ka mi no ri to shi"}
+    some = lambda s: " ".join("".join(rng.choices(s.split(), k=3)) for _ in range(40))
+    other = ["pła rze wią dzy czę szcz", "при вет мир дом лес гор", "xq zvk wqj pfx kzz jq", "ğı şü öz yı lar üm"]
+    for learned in (["en"], ["en", "de"], ["en", "de", "ja"]):
+        rows = [(i, some(syllables[c]), c) for i, c in enumerate(learned * 60)] + [(10_000 + i, some(x), None) for i, x in enumerate(other * 5)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        assert {r.doc_id for r in langid.kept(df).collect()} == set(range(60 * len(learned)))
+
+
 def test_language_id(spark, odd_docs, no_docs):
     found = langid.cross_checked(odd_docs).collect()
     assert len(found) == 13 and langid.cross_checked(no_docs).count() == 0
