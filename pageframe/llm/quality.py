@@ -6,7 +6,8 @@ language; nothing is sampled. A test on a histogram of too few symbols abstains
 widens by the sampling noise that a histogram of that length has. Only DataFrame functions are used.
 
 Defined cases: null or empty text has no words and fails the base rules; rows without language are judged but
-add nothing to a reference; without any reference the method keeps what the base rules keep; repeated rows are
+add nothing to a reference; where a row's language has no reference (too few words), or none has, the method keeps
+what the base rules keep; repeated rows are
 judged each on its own; other columns of the input are ignored.
 """
 
@@ -37,8 +38,8 @@ class Rules:
     max_repeat_percent: int = 50
     #: A word is common in a language from this share of its words on, so there are at most 1 / share of them.
     common_share: float = 0.004
-    #: A language has a reference from this share of all words on.
-    language_share: float = 0.001
+    #: A language has a reference from so many words on: a word at ``common_share`` then occurs eight times.
+    reference_words: int = 2000
     #: Limits of the two distances, and what is added to their squares per symbol of a short histogram.
     max_chars: float = 0.30
     max_words: float = 0.33
@@ -104,11 +105,9 @@ def common_words(docs: DataFrame, rules: Rules = DEFAULT, buckets: int = 1 << 16
     """
     each = docs.where(F.col("lang").isNotNull()).select("lang", F.explode(F.transform(common.words(F.col("text")), lambda w: F.lower(w))).alias("word"))
     hashed = common.stored(each.groupBy("lang", _bucket(F.col("word"), buckets).alias("bucket")).agg(F.count("*").alias("n")), "quality-buckets")
-    totals = hashed.groupBy("lang").agg(F.sum("n").alias("total"))
-    whole = totals.agg(F.sum("total").alias("whole"))
-    totals = totals.crossJoin(F.broadcast(whole)).where(F.col("total") >= rules.language_share * F.col("whole")).drop("whole")  # one row
-    heavy = hashed.join(F.broadcast(totals), "lang").where(F.col("n") >= rules.common_share * F.col("total"))  # at most 1 / language_share rows
-    heavy = F.broadcast(heavy.select("lang", "bucket", "total"))  # at most 1 / (language_share * common_share) rows
+    totals = hashed.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= rules.reference_words)
+    heavy = hashed.join(F.broadcast(totals), "lang").where(F.col("n") >= rules.common_share * F.col("total"))  # a row a language
+    heavy = F.broadcast(heavy.select("lang", "bucket", "total"))  # at most 1 / common_share rows a language
     counts = each.withColumn("bucket", _bucket(F.col("word"), buckets)).join(heavy, ["lang", "bucket"]).groupBy("lang", "word").agg(F.count("*").alias("n"), F.first("total").alias("total"))
     return counts.where(F.col("n") >= rules.common_share * F.col("total")).select("lang", "word", (F.col("n") / F.col("total")).alias("share"))
 
@@ -160,7 +159,7 @@ def _slots(spark: SparkSession, vocabulary: list[str]) -> tuple[int, list[str]]:
 def judge(docs: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """The base counts, both distances to the nearest language, ``base_failed`` and ``kept`` of every row."""
     spark = docs.sparkSession
-    common_rows = common_words(docs, rules).collect()  # bounded: at most 1 / (language_share * common_share) rows
+    common_rows = common_words(docs, rules).collect()  # at most 1 / common_share rows a language
     vocabulary = sorted({r.word for r in common_rows})
     languages = sorted({r.lang for r in common_rows})
     size, table = _slots(spark, vocabulary)
@@ -207,6 +206,7 @@ def judge(docs: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
         ((n_chars < rules.min_chars_judged) | (F.pow(F.col("near.chars"), 2) <= rules.max_chars**2 + slack_c))
         & ((F.col("n_words") < rules.min_words_judged) | (F.pow(F.col("near.words"), 2) <= rules.max_words**2 + slack_w))
     )
+    fits = fits | (F.col("lang").isNotNull() & ~F.col("lang").isin(languages))
     return out.withColumn("near", near).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & F.coalesce(fits, F.lit(True))).alias("kept"),
         F.col("near.chars").alias("js_chars"), F.col("near.words").alias("js_words"), F.col("near.lang").alias("nearest_lang"),

@@ -50,6 +50,19 @@ def test_quality_drops_symbols_and_keeps_prose(spark):
     assert all(kept[i] for i in range(30)) and not any(kept[100 + i] for i in range(3))
 
 
+def test_quality_keeps_rare_languages(spark):
+    import random
+
+    rng = random.Random(4)
+    prose = lambda words, n: " ".join(rng.choice(words.split()) + rng.choice("abcdefgh") * (rng.random() < 0.3) for _ in range(n))
+    hot, rare = "the of and to in is it was for on with as by river stone green walk seven house early", "ja ei se on hän oli mutta kun niin talo joki kivi metsä vihreä seitsemän aikainen kulkea"
+    rows = [(i, prose(hot, 20000), "en") for i in range(200)] + [(1000 + i, prose(rare, 300), "fi") for i in range(12)] + [(2000, prose(rare, 300), "et")]
+    kept = {r.doc_id: r.kept for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(kept[1000 + i] for i in range(12)) and kept[2000]
+    few = {r.doc_id: r.kept for r in quality.verdicts(spark.createDataFrame(rows[:20] + rows[-1:], "doc_id long, text string, lang string")).collect()}
+    assert few[2000]
+
+
 def test_language_filter_rejects_unlearned_languages(spark):
     import random
 
