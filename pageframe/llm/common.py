@@ -65,15 +65,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """``n`` names that are no columns of ``df``, whatever those are called."""
+    taken = {c.lower() for c in df.columns}
+    return [name for name in (f"_x{i}" for i in range(n + len(taken))) if name not in taken][:n]
+
+
+def two_hashes(*columns: str) -> Column:
+    """A key of what the columns hold: two 64-bit hashes, so that different rows do not meet by chance even among many billions."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
+
+
 def keep(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], verdict: Column) -> DataFrame:
     """The rows of ``docs`` whose verdict is true, with all their columns and repeats.
 
     ``judge`` gives one row for each ``doc_id`` and text; rows are joined by both, so that one id with two texts has two verdicts.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    judged = judge(keyed.select(F.col("_key").alias("doc_id"), "text", "lang"))
-    passed = judged.where(verdict).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(passed, "_key", "left_semi").drop("_key")
+    (key,) = free_names(docs, 1)
+    keyed = docs.withColumn(key, two_hashes("doc_id", "text"))
+    judged = judge(keyed.select(F.col(key).alias("doc_id"), "text", "lang"))
+    passed = judged.where(verdict).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(passed, key, "left_semi").drop(key)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -1,23 +1,29 @@
 """N-gram Jaccard join by vertical partitioning.
 
 A document is the set of its distinct word n-grams (64-bit hashes). All sets are cut at the same places of one global
-n-gram order into fragments; the overlaps of a pair are counted fragment by fragment, in separate tasks, and summed per
-pair. Two documents link when their Jaccard similarity reaches ``percent``.
+n-gram order, rare ones first, into fragments; the overlaps of a pair are counted fragment by fragment, in separate
+tasks, and summed per pair. Two documents link when their Jaccard similarity reaches ``percent``.
 
 Which pairs are counted: documents of equal sets are one class from the start. Two sets that link share one of their
-first ``n - ceil(t n) + 1`` n-grams in any global order, and n-grams that no other document has cannot be it. The first
-order begins with a low quarter of the hash space, rare n-grams first, so only that quarter is shuffled to see which
-classes have such an n-gram at all. Theirs alone are then ordered by rarity over the whole space, and the shared ones
-among the first of each make candidate lists by n-gram.
-
-No list is expanded into all its pairs. In a few rounds each document of a list is paired with the list's hub, the one
-nearest to what the list's near copies have in common; the links found join documents to components. Then lists are
-reduced to components, and only pairs between different components of one list are counted. Every link between
-different components shares a list, so the components are those of all links.
+first ``n - ceil(t n) + 1`` n-grams in any global order, and n-grams that no other document has cannot be it. A first
+order begins with a low quarter of the hash space, so only that quarter is shuffled to see which classes have such an
+n-gram at all. Theirs alone are then ordered by rarity over the whole space, and the shared ones among the first of
+each make candidate lists by n-gram.
+
+Only lists of at most ``few`` members are expanded into pairs. Of a longer list every member is counted with one hub,
+the smallest set of it. Two members that link, at least one of them without a link to the hub, must share an n-gram that
+the hub lacks: if all they share were in the hub, which is no larger than either, both would link to it. How many they
+must share beyond the hub follows from their sizes and overlaps with it, so the first of each member's n-grams beyond
+the hub make new, shorter lists, and so on; hubs only grow from list to list, so this ends. Lists that are within one
+component are left out. After ``peels`` turns what is left is joined by n-gram, with all bounds in the join, which is
+the exact way for data in which members keep sharing what their hubs lack. A turn before the first counts the members
+of long lists with the set nearest to what the list's near copies have in common, to join near copies early.
 
 Defined cases: null or empty text has no n-grams, links with nothing and is its own component; a text of fewer words
 than ``width`` has one n-gram, all its words; rows that repeat a doc_id are one document with the links of all its
-rows, each of its texts a set of its own; a null doc_id is returned with a null component and links with nothing.
+rows, each of its texts a set of its own; a null doc_id is returned with a null component and links with nothing; an
+empty table gives an empty result; a text of any length is one set; ties are decided by the smallest doc_id; other
+columns of the input are ignored by ``linked`` and kept, whatever their names, by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -39,12 +45,16 @@ class Join:
     fragments: int = 8
     #: Hashes below this come first in the global order: a quarter of them.
     low: int = -(1 << 62)
-    #: So many ids are broadcast to pick texts; beyond, they are joined by a shuffle.
-    broadcast_ids: int = 1_000_000
-    #: Rounds in which lists' members are paired with hubs, before all pairs of different components that are left.
-    hub_rounds: int = 3
+    #: Classes to read again are broadcast while they take at most so many bytes; beyond, they are joined by a shuffle.
+    broadcast_bytes: int = 64 << 20
+    #: Members of the lists that are expanded into pairs.
+    few: int = 8
+    #: Turns in which longer lists are taken apart by their hubs.
+    peels: int = 12
 
 
+#: Bytes of a class in a broadcast: its key, id and two hashes, with what Spark adds to a row.
+ROW_BYTES = 96
 DEFAULT = Join()
 NEAR = Join(width=5, percent=80)
 
@@ -75,7 +85,7 @@ def classes(docs: DataFrame, join: Join = DEFAULT) -> DataFrame:
         enough = common.let(low, lambda some: F.when(F.size(some) >= F.size(h) - F.ceil(F.size(h) * join.percent / 100) + 1, some).otherwise(h))
         return F.struct(F.size(h).alias("n"), F.xxhash64(h).alias("s1"), F.xxhash64(F.lit(1), h).alias("s2"), enough.alias("first"))
 
-    return common.stored(common.computed(docs.withColumn("t", F.xxhash64("text")), ["doc_id", "t"], common.let(grams(F.col("text"), join), parts)), "join-sets")
+    return common.stored(common.computed(docs.withColumn("t", common.two_hashes("text")), ["doc_id", "t"], common.let(grams(F.col("text"), join), parts)), "join-sets")
 
 
 def has_mixed_ids(sets: DataFrame) -> bool:
@@ -94,9 +104,8 @@ def undecided(sets: DataFrame, join: Join = DEFAULT, mixed: bool = False) -> Dat
     reps = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "first"), "doc_id").alias("x"))
     reps = reps.select(_key(F.col("rep"), F.col("s1"), F.col("s2"), mixed).alias("rep"), F.col("rep").alias("doc_id"), "s1", "s2", "x")
     n_low = F.size(F.filter("x.first", lambda h: h < join.low))
-    counted = common.computed(reps, ["rep", "doc_id", "s1", "s2"], F.struct(F.col("x.n").alias("n"), n_low.alias("n_low"), F.col("x.first").alias("first")))
-    each = counted.select("rep", "n", "n_low", F.explode("first").alias("h"))
-    shared = each.withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
+    counted = common.stored(common.computed(reps, ["rep", "doc_id", "s1", "s2"], F.struct(F.col("x.n").alias("n"), n_low.alias("n_low"), F.col("x.first").alias("first"))), "join-classes")
+    shared = _shared(counted.select("rep", "n", "n_low", F.explode("first").alias("h")))
     is_low = F.col("h") < join.low
     # N-grams that no other class has come first in their zone; with a whole prefix of them a set links with none.
     sums = shared.groupBy("rep", "n", "n_low").agg(F.count_if(is_low).alias("low"), F.count_if(~is_low).alias("high"))
@@ -104,102 +113,121 @@ def undecided(sets: DataFrame, join: Join = DEFAULT, mixed: bool = False) -> Dat
     return common.stored(counted.join(open_.select("rep"), "rep", "left_semi").select("rep", "doc_id", "s1", "s2", "n"), "join-open")
 
 
+def _shared(each: DataFrame) -> DataFrame:
+    """Rows whose n-gram ``h`` occurs again, with its count ``df``: counts are summed before they meet the rows, so that a
+    very common n-gram is no task's burden; Spark splits its rows in the join."""
+    return each.join(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "h")
+
+
 def sets_of(docs: DataFrame, classes_: DataFrame, join: Join = DEFAULT) -> DataFrame:
     """(rep, h) of the given classes (rep, doc_id, s1, s2), read from the texts again: one row each, though a doc_id may repeat."""
-    small = classes_.count() <= join.broadcast_ids
     known = classes_.select("doc_id", F.struct("s1", "s2", "rep").alias("is"))
+    small = classes_.count() * ROW_BYTES <= join.broadcast_bytes
     picked = docs.select("doc_id", "text").join(F.broadcast(known) if small else known, "doc_id")
     known_by = lambda h: F.struct(F.xxhash64(h).alias("t1"), F.xxhash64(F.lit(1), h).alias("t2"), h.alias("h"))
     found = common.computed(picked, ["doc_id", "is"], common.let(grams(F.col("text"), join), known_by))
-    return found.where("t1 = is.s1 AND t2 = is.s2").select("is.rep", "h").dropDuplicates(["rep"])
+    return common.stored(found.where("t1 = is.s1 AND t2 = is.s2").select("is.rep", "h").dropDuplicates(["rep"]), "join-whole")
 
 
-def candidates(docs: DataFrame, open_: DataFrame, join: Join = DEFAULT) -> DataFrame:
-    """(h, prev, rep, n, at, k): the shared n-grams among the first ones of every undecided class, in the order of rarity among these classes.
+def ordered(docs: DataFrame, open_: DataFrame, join: Join = DEFAULT) -> DataFrame:
+    """(rep, n, alone, held): of every undecided class the number of n-grams that no other has, and the others in the global
+    order, by rarity among these classes and then by hash, as an array of fragments cut at the same places for all."""
+    each = sets_of(docs, open_, join).select("rep", F.size("h").alias("n"), F.explode("h").alias("h"))
+    shared = common.stored(_shared(each).withColumn("at", F.col("df") + (F.col("h") / 2.0**64 + 0.5)), "join-shared")  # grows with (df, h)
+    cuts = shared.agg(F.percentile_approx("at", [i / join.fragments for i in range(1, join.fragments)])).first()[0] or []  # a number a cut
+    ends = [float("-inf"), *cuts, float("inf")]
+    by_rep = shared.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h", "at"))).alias("all"))  # at most a document's own n-grams
+    part = lambda low, end: F.transform(F.filter("all", lambda x: (x["at"] > low) & (x["at"] <= end)), lambda x: x["h"])
+    held = F.array(*[part(low, end) for low, end in zip(ends, ends[1:], strict=False)])
+    return common.stored(by_rep.select("rep", "n", (F.col("n") - F.size("all")).alias("alone"), held.alias("held")), "join-held")
 
-    ``at`` is an n-gram's place in its set, ``k`` its place among the set's shared ones, ``prev`` the shared one before it.
+
+def candidates(held: DataFrame, join: Join = DEFAULT) -> DataFrame:
+    """(key, rep, n, base, rem): the shared n-grams among the first ones of every class, in the global order.
+
+    Two members that meet at their first common n-gram share ``base`` and ``rem`` n-grams at most, the smaller ones of both:
+    what they may have shared elsewhere, and what is left of their sets from there on.
     """
-    each = sets_of(docs, open_, join).select("rep", F.size("h").alias("n"), F.explode("h").alias("h"))
-    shared = each.withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
-    by_rep = shared.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("sorted"))  # at most a document's own n-grams
-    by_rep = by_rep.withColumn("alone", F.col("n") - F.size("sorted"))
-    by_rep = by_rep.withColumn("first", F.slice("sorted", F.lit(1), F.greatest(_needed(F.col("n"), join) - F.col("alone"), F.lit(0)).cast("int")))
-    linked_ = by_rep.select("rep", "n", "alone", F.transform("first", lambda x, i: F.struct(x["h"].alias("h"), F.get("first", i - 1)["h"].alias("prev"))).alias("first"))
-    listed = linked_.select("rep", "n", "alone", F.posexplode("first").alias("i", "x"))
-    return common.stored(listed.select("x.h", "x.prev", "rep", "n", (F.col("alone") + F.col("i") + 1).alias("at"), (F.col("i") + 1).alias("k")), "join-lists")
+    all_ = F.flatten("held")
+    first = F.slice(all_, F.lit(1), F.greatest(_needed(F.col("n"), join) - F.col("alone"), F.lit(0)).cast("int"))
+    each = held.select("rep", "n", F.size(all_).alias("m"), F.posexplode(first).alias("i", "key"))
+    return common.stored(each.select("key", "rep", "n", F.lit(0).alias("base"), (F.col("m") - F.col("i")).alias("rem")), "join-lists")
 
 
-def hub_pairs(lists: DataFrame, labels: DataFrame | None, join: Join = DEFAULT) -> DataFrame:
-    """(a, b) with a < b: the two most frequent partners of each class among its lists' hubs, where their labels differ.
+def live(lists: DataFrame, labels: DataFrame | None, join: Join = DEFAULT) -> DataFrame:
+    """The lists of more than one component, each row with its component, its list's number of members and smallest set."""
+    named = lists.withColumn("label", F.col("rep"))
+    if labels is not None:
+        named = lists.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    per = named.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("least"), F.max("label").alias("most"), F.min(F.struct("n", "rep")).alias("hub"))
+    return named.join(per.where("least <> most").select("key", "members", "hub"), "key")
 
-    A list's hub in a size class is the class with the smallest share of n-grams of its own: of near copies, the one nearest to what
-    they are copies of.
+
+def central_pairs(rows: DataFrame, join: Join = DEFAULT) -> DataFrame:
+    """(a, b) with a < b: the two most frequent partners of each class among the central sets of its long lists.
+
+    A list's central set in a size class is the one with the largest share of shared n-grams: of near copies, the one nearest to what they are copies of.
     """
-    held = _labelled(lists, labels)
     size_class = F.floor(F.log(F.col("n")) / -F.log(F.lit(join.percent / 100)))
     # A size class and the next one: sizes that fit may lie on both sides of a border.
-    spread = held.select("*", F.explode(F.array(size_class, size_class + 1)).alias("sizes"))
-    own = (F.col("at") - F.col("k")) / F.col("n")
-    hub = F.min(F.struct(own.alias("own"), "rep", "n", "at", "k", "label")).over(Window.partitionBy("h", "sizes"))
-    offered = spread.withColumn("to", hub).where((F.col("to.label") != F.col("label")) & _fits(join, *[(F.col(c), F.col(f"to.{c}")) for c in ("n", "at", "k")]))
+    spread = rows.where(F.col("members") > join.few).select("*", F.explode(F.array(size_class, size_class + 1)).alias("sizes"))
+    central = spread.groupBy("key", "sizes").agg(F.min(F.struct((1 - F.col("rem") / F.col("n")).alias("own"), "rep", "n", "rem", "label")).alias("to"))
+    offered = spread.join(central, ["key", "sizes"]).where((F.col("to.label") != F.col("label")) & _fits(join, F.col("n"), F.col("to.n"), F.least("rem", "to.rem")))
     votes = offered.groupBy("rep", F.col("to.rep").alias("to")).agg(F.count("*").alias("votes"))
-    best = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("votes"), "to"))
+    best = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("votes"), "to"))  # at most a document's own lists
     return votes.withColumn("best", best).where("best <= 2").select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
 
 
-def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Lists with each class's component; those of one component go."""
-    if labels is None:
-        return lists.withColumn("label", F.col("rep"))
-    held = lists.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    in_list = Window.partitionBy("h")
-    return held.withColumn("least", F.min("label").over(in_list)).withColumn("most", F.max("label").over(in_list)).where("least <> most").select("h", "prev", "rep", "n", "at", "k", "label")
-
-
-def _fits(join: Join, n: tuple[Column, Column], at: tuple[Column, Column], k: tuple[Column, Column]) -> Column:
-    """Whether two sets with a common n-gram can link, by their sizes and its places: what they share up to it and after it is bounded by both."""
-    most = F.least(*k) + F.least(n[0] - at[0], n[1] - at[1])
-    return _sizes_fit(*n, join) & ((100 + join.percent) * most >= join.percent * (n[0] + n[1]))
-
-
-def later_pairs(lists: DataFrame, labels: DataFrame, join: Join = DEFAULT) -> DataFrame:
-    """(a, b) of all classes that share a list but no component, and whose sizes and places let them link."""
-    mixed = common.stored(_labelled(lists, labels), "join-mixed")
-    # What a class of the component can share with any other is at most its shared n-grams.
-    per_label = mixed.groupBy("h", "label").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max(F.col("n") - F.col("at") + F.col("k")).alias("shared"))
-    x, y = per_label.alias("x"), per_label.alias("y")
-    meets = (F.col("x.label") < F.col("y.label")) & (100 * F.col("x.n_max") >= join.percent * F.col("y.n_min")) & (100 * F.col("y.n_max") >= join.percent * F.col("x.n_min"))
-    meets = meets & ((100 + join.percent) * F.least("x.shared", "y.shared") >= join.percent * (F.col("x.n_min") + F.col("y.n_min")))
-    both = x.join(y, (F.col("x.h") == F.col("y.h")) & meets).select(F.col("x.h").alias("h"), F.col("x.label").alias("label"), F.col("y.label").alias("other"))
-    side = lambda label, s: mixed.select("h", F.col("label").alias(label), F.col("rep").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "at", "k", "prev")])
-    left, right = side("label", "a"), side("other", "b")
-    fits = _fits(join, *[(F.col(f"{c}_a"), F.col(f"{c}_b")) for c in ("n", "at", "k")])
-    # Where the shared n-gram before is one of both too, the pair is met in that one's list.
-    first = F.coalesce(F.col("prev_a") != F.col("prev_b"), F.lit(True))
-    pairs = both.join(left, ["h", "label"]).join(right, ["h", "other"]).where(fits & first)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def overlaps(docs: DataFrame, open_: DataFrame, pairs: DataFrame, join: Join = DEFAULT) -> DataFrame:
-    """(a, b, shared, n_a, n_b) of pairs of classes: partial overlaps by fragment of the order, summed per pair."""
-    pairs = common.stored(pairs, "join-pairs")
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    h = sets_of(docs, common.stored(open_.join(ids, "rep", "left_semi"), "join-ids"), join)
-    width = (1 << 64) // join.fragments
-    fragments = F.array(*[_between(F.col("h"), -(1 << 63) + i * width, -(1 << 63) + (i + 1) * width) for i in range(join.fragments)])
-    cut = h.select("rep", F.size("h").alias("n"), fragments.alias("fragments"))
-    parts = cut.select("rep", "n", F.posexplode("fragments").alias("part", "held"))
-    spread = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(join.fragments - 1))).alias("part"))
-    of = lambda side: parts.select(F.col("rep").alias(side), "part", F.col("n").alias(f"n_{side}"), F.col("held").alias(f"held_{side}"))
-    met = spread.join(of("a"), ["a", "part"]).join(of("b"), ["b", "part"])
-    counted = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("held_a", "held_b")).alias("shared"))
-    return counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
-
-
-def _between(h: Column, low: int, end: int) -> Column:
-    if end >= 1 << 63:
-        return F.filter(h, lambda x: x >= low)
-    return F.filter(h, lambda x: (x >= low) & (x < end))
+def _fits(join: Join, n: Column, m: Column, most: Column) -> Column:
+    """Whether sets of ``n`` and ``m`` n-grams that share ``most`` at most can link."""
+    return _sizes_fit(n, m, join) & ((100 + join.percent) * most >= join.percent * (n + m))
+
+
+def few_pairs(rows: DataFrame, join: Join = DEFAULT) -> DataFrame:
+    """(a, b) with a < b of different components in the lists of ``few`` members at most, whose sizes and places let them link."""
+    lists = rows.where(F.col("members") <= join.few).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "n", "base", "rem", "label"))).alias("all"))
+
+    def can(x: Column, y: Column) -> Column:
+        return (x["label"] != y["label"]) & _fits(join, x["n"], y["n"], F.least(x["base"], y["base"]) + F.least(x["rem"], y["rem"]))
+
+    after = lambda x, i: F.transform(F.filter(F.slice("all", i + 2, join.few), lambda y: can(x, y)), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b")))
+    return lists.select(F.inline(F.flatten(F.transform("all", after)))).distinct()
+
+
+def joined_pairs(rows: DataFrame, join: Join = DEFAULT) -> DataFrame:
+    """(a, b) with a < b of different components in the lists of more than ``few`` members, whose sizes and places let them link."""
+    side = lambda s: rows.where(F.col("members") > join.few).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "base", "rem", "label")])
+    most = F.least("base_a", "base_b") + F.least("rem_a", "rem_b")
+    can = (F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")) & _fits(join, F.col("n_a"), F.col("n_b"), most)
+    x, y = side("a"), side("b").withColumnRenamed("key", "other")
+    return x.join(y, (F.col("key") == F.col("other")) & can).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
+def hub_pairs(rows: DataFrame, join: Join = DEFAULT) -> DataFrame:
+    """(a, b) of every other member and the smallest set of its list, for the lists of more than ``few`` members."""
+    return rows.where((F.col("members") > join.few) & (F.col("rep") != F.col("hub.rep"))).select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).distinct()
+
+
+def overlaps(held: DataFrame, pairs: DataFrame, beyond: bool = False) -> DataFrame:
+    """(a, b, n_a, n_b, alone, shared) of pairs of classes: partial overlaps by fragment of the order, summed per pair; and,
+    if asked, a's shared n-grams ``beyond`` b, in order."""
+    parts = held.select("rep", "n", "alone", F.posexplode("held").alias("part", "some"))
+    a = parts.where(F.size("some") > 0).select(F.col("rep").alias("a"), "part", F.col("n").alias("n_a"), "alone", F.col("some").alias("some_a"))
+    b = parts.select(F.col("rep").alias("b"), "part", F.col("n").alias("n_b"), F.col("some").alias("some_b"))
+    met = pairs.join(a, "a").join(b, ["b", "part"])
+    kept = [F.struct("part", F.array_except("some_a", "some_b").alias("own")).alias("own")] if beyond else []
+    met = met.select("a", "b", "n_a", "n_b", "alone", F.size(F.array_intersect("some_a", "some_b")).alias("shared"), *kept)
+    own = [F.flatten(F.transform(F.sort_array(F.collect_list("own")), lambda x: x["own"])).alias("beyond")] if beyond else []
+    return met.groupBy("a", "b", "n_a", "n_b", "alone").agg(F.sum("shared").alias("shared"), *own)
+
+
+def rekeyed(met: DataFrame, join: Join = DEFAULT) -> DataFrame:
+    """New lists from members (a) and their hubs (b): the first of a's n-grams beyond the hub of which a partner must share one."""
+    met = met.withColumn("mate", F.greatest(F.col("n_b"), F.expr(f"({join.percent} * n_a + 99) DIV 100")))  # a partner's least size
+    owed = F.expr(f"({join.percent} * (n_a + mate) + {99 + join.percent}) DIV {100 + join.percent}") - F.col("shared")
+    first = F.col("n_a") - F.col("shared") - F.greatest(owed, F.lit(1)) + 1 - F.col("alone")
+    each = met.select("a", "b", "n_a", "shared", F.size("beyond").alias("m"), F.posexplode(F.slice("beyond", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("i", "h"))
+    return each.select(F.xxhash64("b", "h").alias("key"), F.col("a").alias("rep"), F.col("n_a").alias("n"), F.col("shared").alias("base"), (F.col("m") - F.col("i")).alias("rem"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -208,7 +236,8 @@ def components(links: DataFrame) -> DataFrame:
     Each turn moves edges onto smaller nodes until every component is a star around its smallest; only the links'
     own rows are shuffled, hubs are aggregated before they meet, and each turn is written to the shared folder.
     """
-    edges = common.stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
+    links = links.toDF("a", "b").where("a <> b")
+    edges = common.stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
     state = None
     while True:
         both = edges.union(edges.select("v", "u"))
@@ -224,47 +253,74 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def joined(held: DataFrame, join: Join = DEFAULT) -> DataFrame | None:
+    """(node, label): the components of all links, None if there is none."""
+    linking = f"100 * shared >= {join.percent} * (n_a + n_b - shared)"
+    labels = None
+
+    def with_links(*met: DataFrame) -> DataFrame | None:
+        more = [m.where(linking).select("a", "b") for m in met]
+        more = [m for m in more if not m.isEmpty()]
+        if not more:
+            return labels
+        for other in more[1:]:
+            more[0] = more[0].union(other)
+        return components(more[0] if labels is None else more[0].union(labels.select("node", "label")))
+
+    lists = candidates(held, join)
+    most = lists.count()
+    labels = with_links(common.stored(overlaps(held, central_pairs(live(lists, None, join), join)), "join-links"))
+    for turn in range(join.peels + 1):
+        rows = common.stored(live(lists, labels, join), "join-live")
+        pairs = few_pairs(rows, join)
+        expanded = rows.where(F.col("members") > join.few).agg(F.sum("members")).first()[0] or 0
+        if not expanded:
+            return with_links(common.stored(overlaps(held, pairs), "join-links"))
+        if expanded <= most or turn == join.peels:
+            return with_links(common.stored(overlaps(held, pairs.union(joined_pairs(rows, join)).distinct()), "join-links"))
+        met = common.stored(overlaps(held, hub_pairs(rows, join), beyond=True), "join-hubs")
+        labels = with_links(common.stored(overlaps(held, pairs), "join-links"), met)
+        lists = common.stored(rekeyed(met, join), "join-lists")
+
+
 def linked(docs: DataFrame, join: Join = DEFAULT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     return grouped(docs, join).select("doc_id", "n_shingles", "component_id")
 
 
 def grouped(docs: DataFrame, join: Join = DEFAULT) -> DataFrame:
-    """doc_id, t (the text's hash), n_shingles, component_id and text_group of every row: the component of the row's set by links between sets alone."""
+    """doc_id, t (the text's hashes), n_shingles, component_id and text_group of every row: the component of the row's set by links between sets alone."""
     docs = docs.select("doc_id", "text")
     sets = classes(docs, join)
     mixed = has_mixed_ids(sets)
     open_ = undecided(sets, join, mixed)
-    lists = candidates(docs, open_, join)
-    links = lambda pairs: overlaps(docs, open_, pairs, join).where(f"100 * shared >= {join.percent} * (n_a + n_b - shared)").select("a", "b")
-    found, labels = None, None
-    for _ in range(join.hub_rounds):
-        more = common.stored(links(hub_pairs(lists, labels, join)), "join-links")
-        if more.isEmpty():
-            break
-        found = more if found is None else found.union(more)
-        labels = components(found)
-    last = common.stored(links(later_pairs(lists, labels, join)), "join-links")
-    found = last if found is None else found.union(last)
+    labels = joined(ordered(docs, open_, join), join)
     members = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     members = members.select("s1", "s2", _key(F.col("rep"), F.col("s1"), F.col("s2"), mixed).alias("rep"))
     rows = sets.select("doc_id", "t", "n", "s1", "s2").join(members, ["s1", "s2"], "left").select("doc_id", "t", "n", "rep")
     rows = common.stored(rows, "join-rows")
-    by_text = components(found)
-    rows = rows.join(by_text.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("text_group", F.coalesce("label", "rep"))
+    if labels is None:
+        labels = rows.where(F.lit(False)).select(F.col("rep").alias("node"), F.col("rep").alias("label"))
+    rows = rows.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("text_group", F.coalesce("label", "rep"))
     if mixed:
         rows = common.stored(rows.drop("label"), "join-rows")
         repeated = rows.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
         same = rows.join(repeated, "doc_id").where("rep IS NOT NULL").select("a", F.col("rep").alias("b"))
-        rows = rows.join(components(found.union(same)).select(F.col("node").alias("rep"), "label"), "rep", "left")
+        rows = rows.join(components(labels.select("node", "label").union(same)).select(F.col("node").alias("rep"), "label"), "rep", "left")
     group = F.coalesce("label", "rep")
     group = F.coalesce(group["id"] if mixed else group, "doc_id")
     return rows.select("doc_id", "t", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), group).alias("component_id"), "text_group")
 
 
 def one_of_each(docs: DataFrame, join: Join = NEAR) -> DataFrame:
-    """The rows of the smallest doc_id of every group of linked documents, one row for each group of linked texts of that id; rows without id stay."""
-    kept = grouped(docs, join).where("doc_id = component_id").select("doc_id", F.col("t").alias("_t"), F.col("text_group").alias("_group")).distinct()
-    named = docs.withColumn("_t", F.xxhash64("text")).join(kept, ["doc_id", "_t"])
-    first = F.row_number().over(Window.partitionBy("doc_id", "_group").orderBy(F.xxhash64(*docs.columns)))
-    return named.withColumn("_n", first).where("_n = 1").select(docs.columns).union(docs.where("doc_id IS NULL"))
+    """Of every group of linked texts the row of the smallest doc_id, one where that id and text repeat (then the row of the
+    smallest hash); rows without id or without words stay. Texts are judged, not ids: a text unlike the others of its id stays."""
+    t, n = common.free_names(docs, 2)
+    seen = grouped(docs, join)
+    # Of one id with several texts of a group, the text of the smaller hashes stays.
+    kept = seen.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("text_group").agg(F.min(F.struct("doc_id", "t")).alias(t)).select(t)
+    bare = seen.where("doc_id IS NOT NULL AND n_shingles = 0").select(F.struct("doc_id", "t").alias(t)).distinct()
+    named = docs.where("doc_id IS NOT NULL").withColumn(t, F.struct("doc_id", common.two_hashes("text").alias("t")))
+    first = named.join(kept, t, "left_semi").groupBy(t).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias(n))
+    rest = named.join(bare, t, "left_semi").drop(t)
+    return first.select(f"{n}.*").union(rest).union(docs.where("doc_id IS NULL"))

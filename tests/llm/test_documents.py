@@ -224,7 +224,33 @@ def test_ngram_join(spark, odd_docs, no_docs):
 def test_one_of_each(spark, odd_docs):
     kept = ngram_join.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 9]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 8, 9]  # 8 has prose too, but also a text of its own
+
+
+@pytest.mark.parametrize(("few", "peels"), [(2, 0), (2, 1), (4, 12)])
+def test_long_lists_lose_no_link(spark, few, peels):
+    """Near copies of few texts, most of them with no link to the smallest of their lists, however the lists are taken apart."""
+    import random
+
+    rng, join = random.Random(few + peels), ngram_join.Join(width=2, percent=70, few=few, peels=peels)
+    vocabulary = [f"v{i}" for i in range(60)]
+    base = [rng.choices(vocabulary, k=24) for _ in range(3)]
+    rows = []
+    for i in range(160):
+        w = list(base[i % 3])
+        for _ in range(rng.choice((1, 2, 2, 3, 3, 4))):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choices(vocabulary[:8], k=rng.choice((0, 1, 1, 2)))
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.linked(df, join).collect()), key=str) == brute(df.collect(), 2, 70)
+
+
+def test_one_of_each_judges_texts(spark):
+    rows = [(1, "a b c d e f g", 0, "x"), (8, "this text nobody else has at all", 1, "y"), (8, "a b c d e f g", 2, "z"), (8, "a b c d e f g", 2, "z"), (9, None, 3, None), (9, None, 3, None), (None, "a b c d e f g", 4, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _n int, _x0 string")
+    kept = ngram_join.one_of_each(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[1], rows[4], rows[5], rows[6]], key=str)
 
 
 def test_repeated_ids_keep_all_their_texts(spark):
