@@ -42,7 +42,8 @@ from pageframe.llm.fingerprint import shingle_hashes
 class Join:
     width: int = 4
     percent: int = 85
-    fragments: int = 8
+    #: Where the order by rarity (and, as a fraction, hash) is cut into fragments: most n-grams that are shared at all are of two or three sets.
+    cuts: tuple[float, ...] = (2.25, 2.5, 2.75, 3.0, 3.5, 4.0, 8.0)
     #: Hashes below this come first in the global order: a quarter of them.
     low: int = -(1 << 62)
     #: Classes to read again are broadcast while they take at most so many bytes; beyond, they are joined by a shuffle.
@@ -88,10 +89,11 @@ def classes(docs: DataFrame, join: Join = DEFAULT) -> DataFrame:
     return common.stored(common.computed(docs.withColumn("t", common.two_hashes("text")), ["doc_id", "t"], common.let(grams(F.col("text"), join), parts)), "join-sets")
 
 
-def has_mixed_ids(sets: DataFrame) -> bool:
-    """Whether a doc_id has two different sets, so that it cannot name a class."""
-    ends = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("s1", "s2") for f in (F.min, F.max)])
-    return not ends.where("min_s1 <> max_s1 OR min_s2 <> max_s2").isEmpty()
+def repeats(sets: DataFrame) -> tuple[bool, bool]:
+    """Whether a doc_id comes in several rows, and whether with different sets, so that it cannot name a class."""
+    ends = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("s1", "s2") for f in (F.min, F.max)])
+    found = ends.where("rows > 1").agg(F.count("*").alias("n"), F.count_if(F.expr("min_s1 <> max_s1 OR min_s2 <> max_s2")).alias("mixed")).first()
+    return found.n > 0, found.mixed > 0
 
 
 def _key(doc_id: Column, s1: Column, s2: Column, mixed: bool) -> Column:
@@ -99,18 +101,21 @@ def _key(doc_id: Column, s1: Column, s2: Column, mixed: bool) -> Column:
     return F.when(doc_id.isNotNull(), F.struct(doc_id.alias("id"), s1.alias("s1"), s2.alias("s2"))) if mixed else doc_id
 
 
-def undecided(sets: DataFrame, join: Join = DEFAULT, mixed: bool = False) -> DataFrame:
-    """(rep, doc_id, s1, s2, n): classes, by their key and smallest doc_id, with an n-gram among their first ones that another class has too."""
-    reps = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "first"), "doc_id").alias("x"))
-    reps = reps.select(_key(F.col("rep"), F.col("s1"), F.col("s2"), mixed).alias("rep"), F.col("rep").alias("doc_id"), "s1", "s2", "x")
-    n_low = F.size(F.filter("x.first", lambda h: h < join.low))
-    counted = common.stored(common.computed(reps, ["rep", "doc_id", "s1", "s2"], F.struct(F.col("x.n").alias("n"), n_low.alias("n_low"), F.col("x.first").alias("first"))), "join-classes")
-    shared = _shared(counted.select("rep", "n", "n_low", F.explode("first").alias("h")))
+def undecided(sets: DataFrame, join: Join = DEFAULT, again: bool = True, mixed: bool = True) -> DataFrame:
+    """(rep, doc_id, s1, s2, n): classes, by their key and smallest doc_id, with an n-gram among their first ones that another row has too.
+
+    Rows of equal sets count as others here: it only makes their class a candidate.
+    """
+    known = sets.where("n > 0 AND doc_id IS NOT NULL")
+    once = known.dropDuplicates(["doc_id", "s1", "s2"]) if again else known
+    shared = _shared(once.select(_key(F.col("doc_id"), F.col("s1"), F.col("s2"), mixed).alias("rep"), F.explode("first").alias("h")))
     is_low = F.col("h") < join.low
-    # N-grams that no other class has come first in their zone; with a whole prefix of them a set links with none.
-    sums = shared.groupBy("rep", "n", "n_low").agg(F.count_if(is_low).alias("low"), F.count_if(~is_low).alias("high"))
-    open_ = sums.where((F.col("n_low") - F.col("low") < _needed(F.col("n"), join)) & ((F.col("low") > 0) | (F.col("n_low") < _needed(F.col("n"), join))))
-    return common.stored(counted.join(open_.select("rep"), "rep", "left_semi").select("rep", "doc_id", "s1", "s2", "n"), "join-open")
+    sums = shared.groupBy("rep").agg(F.count_if(is_low).alias("low"), F.count_if(~is_low).alias("high"))
+    reps = known.select("doc_id", "s1", "s2", "n", F.size(F.filter("first", lambda h: h < join.low)).alias("n_low")).groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("n_low").alias("n_low"))
+    reps = reps.select(_key(F.col("doc_id"), F.col("s1"), F.col("s2"), mixed).alias("rep"), "doc_id", "s1", "s2", "n", "n_low").join(sums, "rep")
+    # N-grams that no other row has come first in their zone; with a whole prefix of them a set links with none.
+    open_ = reps.where((F.col("n_low") - F.col("low") < _needed(F.col("n"), join)) & ((F.col("low") > 0) | (F.col("n_low") < _needed(F.col("n"), join))))
+    return common.stored(open_.select("rep", "doc_id", "s1", "s2", "n"), "join-open")
 
 
 def _shared(each: DataFrame) -> DataFrame:
@@ -119,27 +124,29 @@ def _shared(each: DataFrame) -> DataFrame:
     return each.join(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "h")
 
 
-def sets_of(docs: DataFrame, classes_: DataFrame, join: Join = DEFAULT) -> DataFrame:
-    """(rep, h) of the given classes (rep, doc_id, s1, s2), read from the texts again: one row each, though a doc_id may repeat."""
+def sets_of(docs: DataFrame, classes_: DataFrame, join: Join = DEFAULT, again: bool = True) -> DataFrame:
+    """(rep, h) of the given classes (rep, doc_id, s1, s2), read from the texts again: one row each, though rows may repeat."""
     known = classes_.select("doc_id", F.struct("s1", "s2", "rep").alias("is"))
     small = classes_.count() * ROW_BYTES <= join.broadcast_bytes
     picked = docs.select("doc_id", "text").join(F.broadcast(known) if small else known, "doc_id")
     known_by = lambda h: F.struct(F.xxhash64(h).alias("t1"), F.xxhash64(F.lit(1), h).alias("t2"), h.alias("h"))
-    found = common.computed(picked, ["doc_id", "is"], common.let(grams(F.col("text"), join), known_by))
-    return common.stored(found.where("t1 = is.s1 AND t2 = is.s2").select("is.rep", "h").dropDuplicates(["rep"]), "join-whole")
+    found = common.computed(picked, ["doc_id", "is"], common.let(grams(F.col("text"), join), known_by)).where("t1 = is.s1 AND t2 = is.s2").select("is.rep", "h")
+    return common.stored(found.dropDuplicates(["rep"]) if again else found, "join-whole")
 
 
-def ordered(docs: DataFrame, open_: DataFrame, join: Join = DEFAULT) -> DataFrame:
+def ordered(docs: DataFrame, open_: DataFrame, join: Join = DEFAULT, again: bool = True) -> DataFrame:
     """(rep, n, alone, held): of every undecided class the number of n-grams that no other has, and the others in the global
     order, by rarity among these classes and then by hash, as an array of fragments cut at the same places for all."""
-    each = sets_of(docs, open_, join).select("rep", F.size("h").alias("n"), F.explode("h").alias("h"))
-    shared = common.stored(_shared(each).withColumn("at", F.col("df") + (F.col("h") / 2.0**64 + 0.5)), "join-shared")  # grows with (df, h)
-    cuts = shared.agg(F.percentile_approx("at", [i / join.fragments for i in range(1, join.fragments)])).first()[0] or []  # a number a cut
-    ends = [float("-inf"), *cuts, float("inf")]
-    by_rep = shared.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h", "at"))).alias("all"))  # at most a document's own n-grams
-    part = lambda low, end: F.transform(F.filter("all", lambda x: (x["at"] > low) & (x["at"] <= end)), lambda x: x["h"])
-    held = F.array(*[part(low, end) for low, end in zip(ends, ends[1:], strict=False)])
-    return common.stored(by_rep.select("rep", "n", (F.col("n") - F.size("all")).alias("alone"), held.alias("held")), "join-held")
+    whole = sets_of(docs, open_, join, again)
+    shared = _shared(whole.select("rep", F.explode("h").alias("h")))
+    by_rep = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "h"))).alias("all"))  # at most a document's own n-grams
+    at = lambda x: x["df"] + (x["h"] / 2.0**64 + 0.5)  # noqa: E731  grows along the order
+    ends = [float("-inf"), *join.cuts, float("inf")]
+    part = lambda low, end: F.transform(F.filter("all", lambda x: (at(x) > low) & (at(x) <= end)), lambda x: x["h"])
+    held = by_rep.select("rep", F.size("all").alias("m"), F.array(*[part(low, end) for low, end in zip(ends, ends[1:], strict=False)]).alias("held"))
+    out = common.stored(held.join(open_.select("rep", "n"), "rep").select("rep", "n", (F.col("n") - F.col("m")).alias("alone"), "held"), "join-held")
+    common.forget(whole)
+    return out
 
 
 def candidates(held: DataFrame, join: Join = DEFAULT) -> DataFrame:
@@ -208,9 +215,12 @@ def hub_pairs(rows: DataFrame, join: Join = DEFAULT) -> DataFrame:
     return rows.where((F.col("members") > join.few) & (F.col("rep") != F.col("hub.rep"))).select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).distinct()
 
 
-def overlaps(held: DataFrame, pairs: DataFrame, beyond: bool = False) -> DataFrame:
-    """(a, b, n_a, n_b, alone, shared) of pairs of classes: partial overlaps by fragment of the order, summed per pair; and,
-    if asked, a's shared n-grams ``beyond`` b, in order."""
+def overlaps(held: DataFrame, pairs: DataFrame, join: Join = DEFAULT, beyond: bool = False) -> DataFrame:
+    """Stored (a, b, n_a, n_b, alone, shared) of pairs of classes: partial overlaps by fragment of the order, summed per pair;
+    and, if asked, a's shared n-grams ``beyond`` b, in order."""
+    pairs = common.stored(pairs, "join-pairs")
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    held = held.join(F.broadcast(ids) if pairs.count() * 2 * ROW_BYTES <= join.broadcast_bytes else ids, "rep", "left_semi")
     parts = held.select("rep", "n", "alone", F.posexplode("held").alias("part", "some"))
     a = parts.where(F.size("some") > 0).select(F.col("rep").alias("a"), "part", F.col("n").alias("n_a"), "alone", F.col("some").alias("some_a"))
     b = parts.select(F.col("rep").alias("b"), "part", F.col("n").alias("n_b"), F.col("some").alias("some_b"))
@@ -218,7 +228,9 @@ def overlaps(held: DataFrame, pairs: DataFrame, beyond: bool = False) -> DataFra
     kept = [F.struct("part", F.array_except("some_a", "some_b").alias("own")).alias("own")] if beyond else []
     met = met.select("a", "b", "n_a", "n_b", "alone", F.size(F.array_intersect("some_a", "some_b")).alias("shared"), *kept)
     own = [F.flatten(F.transform(F.sort_array(F.collect_list("own")), lambda x: x["own"])).alias("beyond")] if beyond else []
-    return met.groupBy("a", "b", "n_a", "n_b", "alone").agg(F.sum("shared").alias("shared"), *own)
+    out = common.stored(met.groupBy("a", "b", "n_a", "n_b", "alone").agg(F.sum("shared").alias("shared"), *own), "join-met")
+    common.forget(pairs)
+    return out
 
 
 def rekeyed(met: DataFrame, join: Join = DEFAULT) -> DataFrame:
@@ -244,9 +256,11 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = common.stored(large, "components")
+        old = edges
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         edges = common.stored(small, "components")
+        common.forget(large, old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
@@ -269,18 +283,20 @@ def joined(held: DataFrame, join: Join = DEFAULT) -> DataFrame | None:
 
     lists = candidates(held, join)
     most = lists.count()
-    labels = with_links(common.stored(overlaps(held, central_pairs(live(lists, None, join), join)), "join-links"))
+    labels = with_links(overlaps(held, central_pairs(live(lists, None, join), join), join))
     for turn in range(join.peels + 1):
         rows = common.stored(live(lists, labels, join), "join-live")
+        common.forget(lists)
         pairs = few_pairs(rows, join)
         expanded = rows.where(F.col("members") > join.few).agg(F.sum("members")).first()[0] or 0
         if not expanded:
-            return with_links(common.stored(overlaps(held, pairs), "join-links"))
+            return with_links(overlaps(held, pairs, join))
         if expanded <= most or turn == join.peels:
-            return with_links(common.stored(overlaps(held, pairs.union(joined_pairs(rows, join)).distinct()), "join-links"))
-        met = common.stored(overlaps(held, hub_pairs(rows, join), beyond=True), "join-hubs")
-        labels = with_links(common.stored(overlaps(held, pairs), "join-links"), met)
+            return with_links(overlaps(held, pairs.union(joined_pairs(rows, join)).distinct(), join))
+        met = overlaps(held, hub_pairs(rows, join), join, beyond=True)
+        labels = with_links(overlaps(held, pairs, join), met)
         lists = common.stored(rekeyed(met, join), "join-lists")
+        common.forget(rows, met)
 
 
 def linked(docs: DataFrame, join: Join = DEFAULT) -> DataFrame:
@@ -292,9 +308,9 @@ def grouped(docs: DataFrame, join: Join = DEFAULT) -> DataFrame:
     """doc_id, t (the text's hashes), n_shingles, component_id and text_group of every row: the component of the row's set by links between sets alone."""
     docs = docs.select("doc_id", "text")
     sets = classes(docs, join)
-    mixed = has_mixed_ids(sets)
-    open_ = undecided(sets, join, mixed)
-    labels = joined(ordered(docs, open_, join), join)
+    again, mixed = repeats(sets)
+    open_ = undecided(sets, join, again, mixed)
+    labels = joined(ordered(docs, open_, join, again), join)
     members = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     members = members.select("s1", "s2", _key(F.col("rep"), F.col("s1"), F.col("s2"), mixed).alias("rep"))
     rows = sets.select("doc_id", "t", "n", "s1", "s2").join(members, ["s1", "s2"], "left").select("doc_id", "t", "n", "rep")

@@ -2,22 +2,28 @@
 
 The pages of a host are token streams (block tags and text), nested by their tags. Aligning them one after the other
 gives the host's wrapper: what all have stays; a mismatch becomes an optional group, a stretch that repeats becomes a
-repeated group, and texts that differ become text slots. There are no alternatives (union-free); where an element has
-collected too many optional parts, they become one repeated group of optionals, which accepts any order of them.
-Every task folds the pages it reads into one wrapper a host, and wrappers are aligned with each other in the same way,
-so no page is moved or left out to infer them.
-
-A wrapper's slots are then judged once: the article (or the main region, or else the places that hold most of the
-varying text) without menus, headers, footers, sidebars, notices, adverts, forms and comments. A place is an element or
-all optional siblings of one name between the same neighbours. Each page is laid along the places of its host's wrapper
-and the texts of every element there are its blocks. A text that stands in the same slot (path of keys) of half of a
-host's different pages, ``TEMPLATE_PAGES`` of them at least, is the host's template and no page's own; those are counted
-exactly over all pages.
+repeated group, and texts that differ become text slots. There are no alternatives (union-free); where an element is
+optional in three places or more, or has as many in one page, its order is free, and it and what stands between become one repeated group of
+optionals. Every task folds the pages it reads into one wrapper a host, and wrappers are aligned with each other in the
+same way, so no page is moved or left out to infer them.
+
+A wrapper is then judged once, slot by slot, to a plan (``judged``): the article, or the main region, or else the places
+that hold most of the varying text, without menus, headers, footers, sidebars, notices, adverts, forms and comments. A
+place is an element or all optional siblings of one name between the same neighbours. Elements that HTML or a clear word
+of their class or id names as such go; a word that may also name content ("alert", "search") lets no element of an article go, and
+others only where the wrapper finds no text below it that varies between the host's pages.
+Each page is laid along the plan, element by element, and the texts in content slots are its blocks. A text that stands
+in the same slot (path of keys) of half of a host's different pages, ``TEMPLATE_PAGES`` of them at least, is a constant of
+the wrapper and no page's own; those are counted exactly over all pages.
 
 Defined cases: null html is an empty page with empty text; a url that is null or has no host belongs to the host "";
 of a page cut short what is there counts; a page without article is judged by its host's wrapper; where no place fits a
 page, or less than half of its text is there, all its text that is not set aside counts; where everything would be
-template or set aside by words, it is kept; repeated rows are extracted each.
+template or set aside by words, it is kept; repeated rows are extracted each and count once; an empty table gives an
+empty result; a page of any length is read whole, in time proportional to it, and elements nested deeper than
+``DEPTH`` lie beside each other; other columns of the input are ignored. Text that a browser does not show (scripts,
+styles, templates, frames, what stands in for media) and form fields are no text; formulas, drawings and buttons are
+text of the block around them.
 """
 
 from __future__ import annotations
@@ -36,20 +42,24 @@ from pyspark.sql import functions as F
 from pageframe.llm import common
 
 # Element names by how they behave in a page.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr button output".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea title select button canvas audio video".split())
+RAW = frozenset("script style noscript template iframe object textarea title select canvas audio video".split())
+#: Their elements are no blocks of the page.
+FLAT = frozenset("svg math".split())
 ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table select body html article section div".split())
-#: Elements, and words in classes, ids and roles, that are not the article.
-AWAY = frozenset("head nav footer aside form dialog menu fieldset input".split())
+#: Elements, and words in classes, ids and roles, that are not the article. A header is one of the page unless it stands in an article.
+AWAY = frozenset("head nav footer aside form dialog menu fieldset input header".split())
 AWAY_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promos promotion banner banners "
     "sidebar sidebars aside widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager masthead footer "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search "
-    "share sharing social related recommended recommendations comment comments commentlist disqus replies reply respond complementary contentinfo".split()
+    "cookie cookies consent gdpr notice notices newsletter share sharing social related recommended recommendations comment comments commentlist "
+    "disqus complementary contentinfo".split()
 )
+#: Words that may also name content.
+UNSURE_WORDS = frozenset("alert popup modal overlay subscribe subscription signup login search replies reply respond".split())
 
 #: Words beside which a listed word of an id still names a part of the layout; beside others ("related-work") it is a heading's anchor.
 LAYOUT_WORDS = frozenset("area articles bar block bottom box container content div form inner items left link links list main outer page panel post posts right section site slot top unit wrap wrapper".split())
@@ -62,11 +72,15 @@ MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 HAS = re.compile(r"(?:has|with|without|no|is)[-_]", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-#: A wrapper's element: [key, flags, characters of text, kids or, if all pages have one text there, that text or its hash]. Groups have the key "(".
+#: A wrapper's element: [key, flags, characters of text, kids or, if all pages have the same few texts there, those or their hashes]. Groups have the key "(".
 OPTIONAL, REPEATED = 1, 2
 TEXT, GROUP = "#", "("
-#: Kids beyond which an element's parts become one repeated group of optionals.
-MANY = 48
+#: Optional places of one key in a list from which its order is free.
+FREE = 3
+#: Texts that a repeated slot may hold on every page alike.
+SAME = 16
+#: Elements below each other; deeper ones lie beside each other.
+DEPTH = 200
 
 
 def _marks(attributes: str) -> str:
@@ -77,14 +91,14 @@ def _marks(attributes: str) -> str:
         for mark in (a or b or c).split():
             if not HAS.match(mark):
                 found = {w.lower() for w in WORDS.findall(mark)}
-                words |= found if kind.lower() != "id" or found <= AWAY_WORDS | LAYOUT_WORDS else found - AWAY_WORDS
+                words |= found if kind.lower() != "id" or found <= AWAY_WORDS | UNSURE_WORDS | LAYOUT_WORDS else found - AWAY_WORDS - UNSURE_WORDS
     return ".".join(["", *sorted(words)]) if words else ""
 
 
 def tree(page: str) -> list:
     """A page as nested [key, kids]: kids are elements or texts, in order; texts are decoded, with single spaces."""
     root: list = ["", []]
-    stack, texts, at, end = [root], [], 0, len(page)
+    stack, texts, at, end, flat = [root], [], 0, len(page), ""
 
     def close_text() -> None:
         if texts:
@@ -93,6 +107,11 @@ def tree(page: str) -> list:
             if block:
                 stack[-1][1].append(block)
 
+    def open_(key: str) -> None:
+        stack[-1][1].append([key, []])
+        if len(stack) <= DEPTH:
+            stack.append(stack[-1][1][-1])
+
     def close_to(names: tuple[str, ...], within: frozenset = frozenset()) -> None:
         for i in range(len(stack) - 1, 0, -1):
             name = stack[i][0].partition(".")[0]
@@ -114,6 +133,13 @@ def tree(page: str) -> list:
         if found[2] is None:
             continue
         name = found[2].lower()
+        if name in RAW and not found[1]:  # a script inside a paragraph does not cut it
+            stop = _ENDS[name].search(page, at)
+            at = stop.end() if stop else end
+            continue
+        if flat or name in FLAT:  # what is inside runs on in the block around it
+            flat = "" if found[1] and name == flat else flat or ("" if found[1] or found[3].rstrip().endswith("/") else name)
+            continue
         if found[1]:
             if name not in INLINE:
                 close_to((name,))
@@ -124,40 +150,50 @@ def tree(page: str) -> list:
         if name in INLINE:
             if name == "br":
                 texts.append(" ")
-            elif not _away(key) or name in VOID:
-                continue
-            else:
+            elif name not in VOID and _away(key):
                 close_text()
-                stack[-1][1].append([key, []])
-                stack.append(stack[-1][1][-1])
+                open_(key)
             continue
         close_text()
-        if name in RAW:
-            stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else end
-            continue
         if name in ENDS_P:
             close_to(("p",), SCOPES)
         if name in ENDS_SAME:
             close_to(ENDS_SAME[name], SCOPES)
-        stack[-1][1].append([key, []])
-        if name not in VOID and not found[3].rstrip().endswith("/"):
-            stack.append(stack[-1][1][-1])
+        if name in VOID or found[3].rstrip().endswith("/"):
+            stack[-1][1].append([key, []])
+        else:
+            open_(key)
     close_text()
     return root
 
 
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+
+
 @lru_cache(maxsize=4096)
-def _away(key: str) -> bool:
+def _away(key: str, inside: bool = False) -> bool:
+    """Whether an element is named as no part of an article; ``inside`` one, a header is part of it."""
     name, *words = key.split(".")
-    return name in AWAY or name not in ("", "html", "body") and not AWAY_WORDS.isdisjoint(words)
+    return name in AWAY and not (inside and name == "header") or name not in ("", "html", "body") and not AWAY_WORDS.isdisjoint(words)
+
+
+@lru_cache(maxsize=4096)
+def _unsure(key: str) -> bool:
+    return not UNSURE_WORDS.isdisjoint(key.split(".")[1:])
+
+
+@lru_cache(maxsize=4096)
+def _named(key: str, name: str) -> bool:
+    """Whether an element is the article, or the main region."""
+    first, *words = key.split(".")
+    return first == name or name == "main" and "main" in words
 
 
 def form(node: list) -> list:
     """The wrapper of one page: its tree with repeated stretches folded."""
     known = lambda k: k if len(k) <= 40 else hashlib.blake2b(k.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
-    kids = [[TEXT, 0, len(k), known(k)] if isinstance(k, str) else form(k) for k in node[1]]
-    return [node[0], 0, sum(k[2] for k in kids), folded(kids)]
+    kids = [[TEXT, 0, len(k), [known(k)]] if isinstance(k, str) else form(k) for k in node[1]]
+    return [node[0], 0, sum(k[2] for k in kids), free_order(folded(kids), 0)]
 
 
 def _keys(kids: list) -> list[str]:
@@ -174,32 +210,34 @@ def folded(kids: list) -> list:
             again = False
             for n in range(1, 5):
                 if len(out) >= 2 * n and out[-1][0] != TEXT and _keys(out[-n:]) == _keys(out[-2 * n : -n]):
-                    one = [merged(a, b) for a, b in zip(out[-2 * n : -n], out[-n:], strict=True)]
+                    one = [merged(a, b, True) for a, b in zip(out[-2 * n : -n], out[-n:], strict=True)]
                     out[-2 * n :] = [one[0][:1] + [one[0][1] | REPEATED] + one[0][2:]] if n == 1 else [[GROUP, REPEATED, sum(k[2] for k in one), one]]
                     again = n > 1
                     break
                 if n > 1 and len(out) > n and out[-n - 1][0] == GROUP and len(out[-n - 1][3]) == n and _keys(out[-n:]) == _keys(out[-n - 1][3]):
                     group = out[-n - 1]
-                    body = [merged(a, b) for a, b in zip(group[3], out[-n:], strict=True)]
+                    body = [merged(a, b, True) for a, b in zip(group[3], out[-n:], strict=True)]
                     out[-n - 1 :] = [[GROUP, group[1] | REPEATED, sum(k[2] for k in body), body]]
                     break
     return out
 
 
-def merged(a: list, b: list) -> list:
-    """The wrapper that accepts what either of two elements of one key accepts."""
+def merged(a: list, b: list, within: bool = False) -> list:
+    """The wrapper that accepts what either of two elements of one key accepts. ``within`` a page, both texts are its own; those of
+    two pages stay known only where they are the same."""
     if a[0] == TEXT:
-        return [TEXT, a[1] | b[1], a[2] + b[2], a[3] if a[3] == b[3] else None]
-    return [a[0], a[1] | b[1], a[2] + b[2], aligned(a[3], b[3])]
+        texts = a[3] if a[3] == b[3] else sorted({*a[3], *b[3]}) if within and a[3] and b[3] else None
+        return [TEXT, a[1] | b[1], a[2] + b[2], texts if texts and len(texts) <= SAME else None]
+    return [a[0], a[1] | b[1], a[2] + b[2], aligned(a[3], b[3], within)]
 
 
-def aligned(a: list, b: list) -> list:
+def aligned(a: list, b: list, within: bool = False) -> list:
     """Two element lists as one: common elements in a longest common order, the others optional in their places."""
     if not a or not b:
         return [[k[0], k[1] | OPTIONAL, *k[2:]] for k in a or b]
     x, y = _keys(a), _keys(b)
     if x == y:
-        return [merged(p, q) for p, q in zip(a, b, strict=True)]
+        return [merged(p, q, within) for p, q in zip(a, b, strict=True)]
     n, m = len(x), len(y)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -209,51 +247,82 @@ def aligned(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and x[i] == y[j]:
-            out.append(merged(a[i], b[j]))
+            out.append(merged(a[i], b[j], within))
             i, j = i + 1, j + 1
         else:
             from_a = j == m or i < n and best[i + 1][j] >= best[i][j + 1]
             one = a[i] if from_a else b[j]
             out.append([one[0], one[1] | OPTIONAL, *one[2:]])
             i, j = i + from_a, j + (not from_a)
-    return folded(out) if len(out) <= MANY else [any_order(out)]
+    return free_order(folded(out))
+
+
+def free_order(kids: list, flag: int = OPTIONAL) -> list:
+    """Where a key is optional in ``FREE`` places or more, all from its first to its last place as one repeated group with each key
+    once, optional. In one page any such key will do."""
+    at: dict[str, list[int]] = {}
+    for i, k in enumerate(_keys(kids)):
+        if kids[i][1] & flag == flag or kids[i][0] == GROUP:
+            at.setdefault(k.removeprefix(GROUP), []).append(i)
+    free = [p for p in at.values() if len(p) >= FREE]
+    if not free:
+        return kids
+    first, last = min(p[0] for p in free), max(p[-1] for p in free)
+    by_key: dict[str, list] = {}
+    for one in (m for kid in kids[first : last + 1] for m in members(kid)):
+        by_key[one[0]] = merged(by_key[one[0]], one, True) if one[0] in by_key else one
+    body = [[k[0], k[1] | OPTIONAL, *k[2:]] for _, k in sorted(by_key.items())]
+    return [*kids[:first], [GROUP, REPEATED, sum(k[2] for k in body), body], *kids[last + 1 :]]
 
 
-def any_order(kids: list) -> list:
-    """A repeated group with each key once, optional."""
-    by_key: dict[str, list] = {}
-    for kid in kids:
-        for one in kid[3] if kid[0] == GROUP else [kid]:
-            by_key[one[0]] = merged(by_key[one[0]], one) if one[0] in by_key else one
-    body = [[k[0], k[1] | OPTIONAL, *k[2:]] for _, k in sorted(by_key.items()) if k[0] != GROUP]
-    return [GROUP, REPEATED, sum(k[2] for k in body), body]
+def members(kid: list) -> Iterator[list]:
+    """The elements and texts of a group, and of groups within it."""
+    if kid[0] == GROUP:
+        for one in kid[3]:
+            yield from members(one)
+    else:
+        yield kid
 
 
 def pattern(node: list) -> str:
     """A wrapper as a regular expression over tags and text slots, for reading."""
     ends = {0: "", OPTIONAL: "?", REPEATED: "+", OPTIONAL | REPEATED: "*"}[node[1]]
     if node[0] == TEXT:
-        inner = "#text" if node[3] is None else json.dumps(node[3])
+        inner = "#text" if node[3] is None or len(node[3]) > 1 else json.dumps(node[3][0])
     else:
         inner = "".join(map(pattern, node[3]))
         inner = inner if node[0] in ("", GROUP) else f"<{node[0]}>{inner}</{node[0].partition('.')[0]}>"
     return f"({inner}){ends}" if ends else inner
 
 
-def regions(wrapper: list) -> dict:
-    """What holds the article in pages of this wrapper: its ``name``, "article", "main" or "", and the ``path`` of places down to the densest one, each a list of keys."""
+def judged(wrapper: list) -> dict:
+    """The plan of a wrapper: what holds the article in its pages (``name``: "article", "main" or ""), the ``path`` of places down
+    to the densest one, each a list of keys, and, where no element is named, ``keep``: the paths of elements of an unsure name that
+    hold text which varies."""
+
+    def has(node: list, name: str) -> bool:
+        return node[0] not in (TEXT, GROUP) and _named(node[0], name) or node[0] != TEXT and any(has(k, name) for k in node[3])
 
-    def has(node: list, fits) -> bool:
-        return node[0] != TEXT and not _away(node[0]) and (fits(node[0]) or any(has(k, fits) for k in node[3]))
+    name = next((n for n in ("article", "main") if has(wrapper, n)), "")
+    keep: set[str] = set()
 
-    named = lambda key, name: key.partition(".")[0] == name or name == "main" and "main" in key.split(".")[1:]
-    name = next((n for n in ("article", "main") if has(wrapper, lambda key: named(key, n))), "")
+    def walk(node: list, path: str, inside: bool) -> None:
+        for kid in (m for k in node[3] for m in members(k)):
+            if kid[0] == TEXT or _away(kid[0], inside):
+                continue
+            here, within = f"{path}/{kid[0]}", inside or kid[0].partition(".")[0] == "article"
+            if _unsure(kid[0]) and varying(kid):
+                keep.add(here)
+            walk(kid, here, within)
+
+    if not name:
+        walk(wrapper, "", False)
     path, at = [], wrapper[3]
     while True:
         whole = sum(map(varying, at))
         most = max(places(at), key=lambda place: sum(map(varying, place)), default=None)
         if not whole or most is None or sum(map(varying, most)) < 0.6 * whole:
-            return {"name": name, "path": path}
+            return {"name": name, "path": path, "keep": sorted(keep)}
         path.append(sorted({k[0] for k in most}))
         at = [k for one in most for k in one[3]]
 
@@ -263,10 +332,9 @@ def places(kids: list) -> list[list]:
     out: list[list] = []
     open_: dict[str, list] = {}
     for group in kids:
-        members = group[3] if group[0] == GROUP else [group]
-        for kid in members:
+        for kid in members(group):
             name = kid[0].partition(".")[0]
-            if kid[0] == TEXT or _away(kid[0]):
+            if kid[0] == TEXT or _away(kid[0]) or _unsure(kid[0]):
                 continue
             if not kid[1] & OPTIONAL:
                 open_ = {}
@@ -281,64 +349,74 @@ def places(kids: list) -> list[list]:
     return out
 
 
-def varying(node: list) -> int:
+def varying(node: list, inside: bool = False) -> int:
     """Characters of the text below an element that is not the same on all pages and not set aside."""
     if node[0] == TEXT:
         return node[2] if node[3] is None else 0
-    return 0 if _away(node[0]) else sum(varying(k) for k in node[3])
+    return 0 if node[0] != GROUP and _away(node[0], inside) else sum(varying(k, inside) for k in node[3])
 
 
 def _slot(path: str, text: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def texts_of(node: list, path: str, words: bool = True) -> Iterator[tuple[str, str]]:
-    """(path of keys, text) of all texts below a page's element that are not set aside; without ``words`` only element names set aside."""
+def texts_of(node: list, path: str, keep: frozenset, inside: bool = False, words: bool = True) -> Iterator[tuple[str, str]]:
+    """(path of keys, text) of all texts below a page's element that are not set aside; without ``words`` only element names set aside.
+
+    Elements of an unsure name count in articles and where the plan keeps their path.
+    """
     for kid in node[1]:
         if isinstance(kid, str):
             yield path, kid
-        elif not (_away(kid[0]) if words else kid[0].partition(".")[0] in AWAY):
-            yield from texts_of(kid, f"{path}/{kid[0]}", words)
+            continue
+        here, name = f"{path}/{kid[0]}", kid[0].partition(".")[0]
+        if words and (_away(kid[0], inside) or not inside and _unsure(kid[0]) and here not in keep) or name in AWAY and not (inside and name == "header"):
+            continue
+        yield from texts_of(kid, here, keep, inside or name == "article", words)
 
 
-def slots(page: list) -> list[int]:
-    """The slots of a page with what they hold, once each."""
-    return sorted({_slot(path, text) for path, text in texts_of(page, "")})
+def articles(node: list, path: str, name: str, words: bool = True) -> Iterator[tuple[list, str]]:
+    """The outermost elements of a page that its plan names, with their paths, outside of what is set aside."""
+    for kid in node[1]:
+        if isinstance(kid, str) or kid[0].partition(".")[0] in AWAY or words and _away(kid[0]) and not _named(kid[0], name):
+            continue
+        here = f"{path}/{kid[0]}"
+        if _named(kid[0], name):
+            yield kid, here
+        else:
+            yield from articles(kid, here, name, words)
+
+
+def laid(page: list, plan: dict) -> list[tuple[str, str]]:
+    """(path, text) of the texts of a page's tree in the content slots of its host's plan, in order."""
+    keep = plan["keep"]
+    if plan["name"]:
+        # A page whose only article lies in an element with a set-aside word ("sidebar-layout") has it there.
+        ones = list(articles(page, "", plan["name"])) or list(articles(page, "", plan["name"], False))
+        if found := [x for one, path in ones for x in texts_of(one, path, keep, True)]:
+            return found
+    everything = list(texts_of(page, "", keep)) or list(texts_of(page, "", keep, words=False))
+    at = [(page, "")]
+    for keys in plan["path"]:
+        at = [(k, f"{path}/{k[0]}") for node, path in at for k in node[1] if not isinstance(k, str) and k[0] in keys]
+    there = [x for node, path in at for x in texts_of(node, path, keep)]
+    return there if 2 * _size(there) >= _size(everything) else everything
 
 
-def blocks(page: list, region: dict, template: frozenset = frozenset()) -> list[str]:
-    """The texts of a page's tree in the content slots of its wrapper, in order."""
+def _size(found: list[tuple[str, str]]) -> int:
+    return sum(len(text) for _, text in found)
 
-    def own(found: list[tuple[str, str]]) -> list[str]:
-        left = [text for path, text in found if not template or _slot(path, text) not in template]
-        return left or [text for _, text in found]
 
-    def named(node: list, path: str) -> Iterator[tuple[str, str]]:
-        for kid in node[1]:
-            if isinstance(kid, str) or _away(kid[0]):
-                continue
-            name, *words = kid[0].split(".")
-            if name == region["name"] or region["name"] == "main" and "main" in words:
-                yield from texts_of(kid, f"{path}/{kid[0]}")
-            else:
-                yield from named(kid, f"{path}/{kid[0]}")
-
-    if region["name"]:
-        found = list(named(page, ""))
-        if found:
-            return own(found)
-    everything = list(texts_of(page, ""))
-    if not everything:
-        return [text for _, text in texts_of(page, "", words=False)]
-    everywhere = own(everything)
-    at = [(page, "")]
-    for keys in region["path"]:
-        at = [(k, f"{path}/{k[0]}") for node, path in at for k in node[1] if not isinstance(k, str) and k[0] in keys]
-    there = [x for node, path in at for x in texts_of(node, path)]
-    if not there:
-        return everywhere
-    within = own(there)
-    return within if 2 * sum(map(len, within)) >= sum(map(len, everywhere)) else everywhere
+def slots(page: list) -> list[int]:
+    """The slots of a page with what they hold, once each."""
+    return sorted({_slot(path, text) for path, text in texts_of(page, "", frozenset(), True, False)})
+
+
+def blocks(page: list, plan: dict, template: frozenset = frozenset()) -> list[str]:
+    """The texts of a page's tree in the content slots of its host's plan, without the wrapper's constants, in order."""
+    found = laid(page, plan)
+    own = [text for path, text in found if not template or _slot(path, text) not in template]
+    return own or [text for _, text in found]
 
 
 def host(url: Column) -> Column:
@@ -408,22 +486,23 @@ def extracted(pages: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"host": batch["host"], "region": [json.dumps(regions(json.loads(w))) for w in batch["wrapper"]]})
+            yield pd.DataFrame({"host": batch["host"], "plan": [json.dumps(judged(json.loads(w))) for w in batch["wrapper"]]})
 
-    judged = found.mapInPandas(judge, "host string, region string").join(_templates(parts), "host", "left")
-    judged = common.stored(judged.withColumn("template", F.coalesce("template", F.array().cast("array<long>"))), "wrapper-regions")
-    # A region is a few keys; hosts are broadcast while they are few and joined by a shuffle beyond, whose skewed hosts Spark splits.
-    size = judged.agg(F.sum(F.length("host") + F.length("region") + 8 * F.size("template") + 32)).first()[0] or 0
+    plans = found.mapInPandas(judge, "host string, plan string").join(_templates(parts), "host", "left")
+    plans = common.stored(plans.withColumn("template", F.coalesce("template", F.array().cast("array<long>"))), "wrapper-plans")
+    # A plan is a few keys; hosts are broadcast while they are few and joined by a shuffle beyond, whose skewed hosts Spark splits.
+    size = plans.agg(F.sum(F.length("host") + F.length("plan") + 8 * F.size("template") + 32)).first()[0] or 0
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    rows = rows.join(F.broadcast(judged) if size <= broadcast_bytes else judged, "host", "left").select("page_id", "url", "html", "host", "region", "template")
+    rows = rows.join(F.broadcast(plans) if size <= broadcast_bytes else plans, "host", "left").select("page_id", "url", "html", "host", "plan", "template")
 
     def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             known: dict[str, tuple[dict, frozenset]] = {}
             texts = []
-            for page, name, region, template in zip(batch["html"], batch["host"], batch["region"], batch["template"], strict=True):
+            for page, name, plan, template in zip(batch["html"], batch["host"], batch["plan"], batch["template"], strict=True):
                 if name not in known:
-                    known[name] = json.loads(region), frozenset(map(int, template))
+                    made = json.loads(plan)
+                    known[name] = {**made, "keep": frozenset(made["keep"])}, frozenset(map(int, template))
                 texts.append("\n".join(blocks(tree(page if isinstance(page, str) else ""), *known[name])))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": list(map(len, texts))})
 

@@ -75,6 +75,64 @@ def test_wrapper_slots_decide_in_articles(spark):
     assert got == {i: f"Title {i}\nText {i} of the page.\nEarlier work on {i}\nMethod {i}." for i in range(8)}
 
 
+def test_wrapper_contract(spark):
+    html = (
+        "<body><header><p>The site</p></header><article><header><h1>Head</h1></header><div class='alert'>Mind this</div><p class='search'>Search is <script>x()</script>hard"
+        "<svg><style>a{}</style><text>draw</text></svg> and <math><mi>x</mi><mo>=</mo><mi>y</mi></math> <button>press</button> on.</p><div class='comments'><p>nice</p></div></article></body>"
+    )
+    bare = "<body><header><p>The site</p></header><div><p>Only text.</p></div></body>"
+    side = "<body><div class='sidebar-layout'><article><p>Inside.</p></article></div><div class='related'><p>more</p></div></body>"
+    cards = "<body><article><p>Own.</p></article><div class='related'><article><p>Other.</p></article></div></body>"
+    deep = "<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after</p></article>"
+    rows = [(i, f"http://h{i}.example/", h, None) for i, h in enumerate((html, bare, side, cards, deep, "<article>" + "<p>word</p>" * 60_000 + "</article>"))]
+    got = {r.page_id: r.text for r in wrapper.extracted(spark.createDataFrame(rows, PAGE)).collect()}
+    assert got[0] == "Head\nMind this\nSearch is harddraw and x=y press on."
+    assert got[1] == "Only text." and got[2] == "Inside." and got[3] == "Own." and got[4] == "deep\nafter"
+    assert got[5].count("\n") == 59_999
+
+
+def test_wrapper_inference_decides(spark):
+    """The same page on hosts whose other pages differ: what the wrapper holds constant, and where text varies, decides its rows."""
+    page = "<body><div class='a'><p>Line {0} of a.</p><p>Fixed.</p></div><div class='search'><p>Found {1}.</p></div><div class='b'><p>Line {2} of b.</p></div></body>"
+    one = lambda host, i, *vary: (100 * host + i, f"http://h{host}.example/", page.format(*[str(i) if v else "x" for v in vary]), None)
+    rows = [one(1, i, True, False, False) for i in range(8)] + [one(2, i, False, False, True) for i in range(8)] + [one(3, i, False, True, False) for i in range(8)]
+    rows += [(400, "http://h4.example/", page.format("0", "1", "2"), None)]
+    got = {r.page_id: r.text for r in wrapper.extracted(spark.createDataFrame(rows, PAGE)).collect()}
+    assert got[103] == "Line 3 of a." and got[203] == "Line 3 of b." and got[303] == "Found 3."
+    assert got[400] == "Line 0 of a.\nFixed.\nLine 2 of b."
+
+
+def test_wrapper_extracts_generated_pages(spark):
+    """Against the text that a generator put into pages of many layouts."""
+    import random
+
+    rng, rows, wanted = random.Random(8), [], {}
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 7)))
+    said = lambda n: " ".join(word() for _ in range(n))
+    for i in range(120):
+        site, out, body = i % 6, [], ""
+        for _ in range(rng.randint(1, 6)):
+            kind, text = rng.choice(("p", "h2", "li", "pre", "td", "blockquote")), said(rng.randint(3, 25))
+            out.append(text)
+            body += {"li": f"<ul><li>{text}</ul>", "td": f"<table><tr><td>{text}</table>"}.get(kind, f"<{kind}>{text.replace(' ', ' <b>', 1)}</b>&#32;<i></i></{kind}>" if " " in text else f"<{kind}>{text}</{kind}>")
+        tag = ("article", "main", "div id='main'", "article class='post'", "section role=main", "article")[site]
+        extra = rng.choice(("", f"<aside>{said(4)}</aside>", f"<div class='share-box'>{said(3)}</div>", f"<form>{said(2)}</form>", f"<section id='comments'><p>{said(9)}</p></section>"))
+        page = f"<html><head><title>{said(3)}</title></head><body><header>{said(3)}</header><nav><a href='/'>{said(2)}</a></nav><div class='ad'>{said(5)}</div><{tag}><h1>{said(4)}</h1>"
+        out.insert(0, page.rpartition("<h1>")[2].removesuffix("</h1>"))
+        rows.append((i, f"http://site{site}.example/{i}", page + body + extra + f"</{tag.split()[0]}><footer>{said(6)}</footer></body></html>", None))
+        wanted[i] = "\n".join(out)
+    got = {r.page_id: r.text for r in wrapper.extracted(spark.createDataFrame(rows, PAGE).repartition(7)).collect()}
+    assert got == wanted
+
+
+def test_free_order_loses_no_group():
+    group = lambda *kids: ["(", wrapper.REPEATED, 1, list(kids)]
+    leaf = lambda name, flag=wrapper.OPTIONAL: [name, flag, 1, []]
+    kids = [leaf("p"), group(group(leaf("ul")), leaf("h2")), leaf("p"), leaf("hr", 0), leaf("p")]
+    made = wrapper.free_order(kids)
+    assert len(made) == 1 and sorted(k[0] for k in wrapper.members(made[0])) == ["h2", "hr", "p", "ul"]
+
+
 def test_alignment_makes_optionals_and_repeats():
     one, two = (wrapper.form(wrapper.tree(h)) for h in ("<div><h1>a</h1><p>x</p></div>", "<div><h1>b</h1><p>y</p><p>z</p><hr></div>"))
     made = wrapper.merged(one, two)
