@@ -7,8 +7,10 @@ quotes, the longest match deciding. Following those links upwards gives every me
 of their paths are the conversation in reply order, without its quotes.
 
 Defined cases: null text is an empty message; a message without a quote, or whose quotes match no earlier message,
-begins a thread; a null conversation or turn is never linked; repeated rows keep one link each, the same; lines of
-white space separate paragraphs and match nothing; extra columns are ignored.
+begins a thread; a null conversation or turn is never linked; repeated rows keep one link each, the same; of messages of
+one turn that say the same the one with the larger hash is quoted; lines of white space separate paragraphs and match
+nothing; a message of any length is parsed whole; an empty table gives an empty result; extra columns are ignored. A
+path has 21 characters for each message above, so a chain of d replies takes d * d of them.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ QUOTE = r"^(?:[ \t]*>)+"
 #: A line that announces a quote, left out of what a message says itself.
 ANNOUNCES = r"(?i)^\s*(on\b.*\bwrote|.*\bschrieb|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$"
 WHOLE, PARAGRAPH, LINE = 3, 2, 1
+BY = "struct<key:struct<a:bigint,b:bigint>,turn:bigint>"
+RANGES = 256
 
 
 def normalised(text: Column) -> Column:
@@ -65,8 +69,8 @@ def unquoted(parts: Column) -> Column:
 
 def parsed(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, the key of the message's content, its passages and its own text."""
-    key = F.xxhash64("conv_id", "turn", "role", "text")
-    return messages.select("conv_id", "turn", "role", key.alias("key"), passages(F.col("text")).alias("parts")).select("*", unquoted(F.col("parts")).alias("own"))
+    key = common.two_hashes("conv_id", "turn", "role", "text")
+    return messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", key.alias("key"), passages(F.col("text")).alias("parts")).select("*", unquoted(F.col("parts")).alias("own"))
 
 
 def quote_links(messages: DataFrame) -> DataFrame:
@@ -80,27 +84,34 @@ def quote_links(messages: DataFrame) -> DataFrame:
     wanted = quoted.select("conv_id", "hash").distinct()
     said = said.join(wanted, ["conv_id", "hash"], "left_semi").select("conv_id", "turn", "hash", F.struct("key", "turn").alias("by"))
     # One pass over who said what when: each quote takes the last speaker before it, so no pairs are made.
-    both = quoted.withColumn("by", F.lit(None).cast("struct<key:bigint,turn:bigint>")).unionByName(said.withColumn("by", F.col("by").cast("struct<key:bigint,turn:bigint>")), allowMissingColumns=True)
-    so_far = Window.partitionBy("conv_id", "hash").orderBy("turn", F.col("quote").isNull(), "by.key").rowsBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("source", F.last("by", ignorenulls=True).over(so_far)).where("quote IS NOT NULL AND source IS NOT NULL")
+    both = common.stored(quoted.withColumn("by", F.lit(None).cast(BY)).unionByName(said.withColumn("by", F.col("by").cast(BY)), allowMissingColumns=True), "chat-said")
+    # A line that one conversation keeps repeating is walked in ranges of turns, each of which knows who spoke last before it.
+    edges = both.agg(F.percentile_approx("turn", [i / RANGES for i in range(1, RANGES)], 20 * RANGES)).first()[0] or []  # fewer than RANGES numbers
+    both = both.withColumn("range", F.size(F.filter(F.array(*[F.lit(int(e)).cast("long") for e in sorted(set(edges))]).cast("array<bigint>"), lambda e: F.col("turn") > e)))
+    ends = both.groupBy("conv_id", "hash", "range").agg(F.max_by("by", F.when(F.col("by").isNotNull(), F.struct("turn", "by.key"))).alias("end"))
+    earlier = Window.partitionBy("conv_id", "hash").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+    ends = ends.select("conv_id", "hash", "range", F.last("end", ignorenulls=True).over(earlier).alias("before"))
+    so_far = Window.partitionBy("conv_id", "hash", "range").orderBy("turn", F.col("quote").isNull(), "by.key").rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("within", F.last("by", ignorenulls=True).over(so_far)).where("quote IS NOT NULL").join(ends, ["conv_id", "hash", "range"])
+    found = found.withColumn("source", F.coalesce("within", "before")).where("source IS NOT NULL")
     return found.select("quote.*", F.col("source.key").alias("source"), F.col("source.turn").alias("source_turn")).where("source <> key").distinct()
 
 
 def reply_ordered(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text without quotes, parent_turn, depth, path and n_quotes of every message.
 
-    ``path`` has the turns from the thread's first message, each padded to 12 digits, so messages sorted by conv_id and path are in reply order.
+    ``path`` has the turns from the thread's first message, each as 20 digits counted from the smallest turn there can be, so messages sorted by conv_id and path are in reply order.
     """
     rows = common.stored(parsed(messages), "chat-messages")
     links = common.stored(quote_links(rows), "chat-links")
     first = F.struct(F.col("level"), -F.col("weight"), -F.col("size"), -F.col("source_turn"), F.col("source"))
     parents = links.groupBy("key").agg(F.min_by(F.struct("source", "source_turn"), first).alias("parent"), F.countDistinct("part").alias("n_quotes"))
-    step = F.lpad(F.coalesce(F.col("turn"), F.lit(0)).cast("string"), 12, "0")
+    step = F.lpad((F.coalesce(F.col("turn"), F.lit(0)).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), 20, "0")
     linked = rows.join(parents, "key", "left").select("key", "conv_id", "turn", "role", F.col("own").alias("text"), F.col("parent.source").alias("above"), F.col("parent.source_turn").alias("parent_turn"), F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), step.alias("path"))
     linked = common.stored(linked, "chat-linked")
     # Only messages in threads are followed upwards; each turn doubles the way that a path covers.
     paths = linked.where("above IS NOT NULL").select("key", "above", "path").distinct()
-    roots = linked.where("above IS NULL").join(paths.select(F.col("above").alias("key")).distinct(), "key", "left_semi").select("key", F.lit(None).cast("long").alias("above"), "path").distinct()
+    roots = linked.where("above IS NULL").join(paths.select(F.col("above").alias("key")).distinct(), "key", "left_semi").select("key", F.lit(None).cast("struct<a:bigint,b:bigint>").alias("above"), "path").distinct()
     paths = common.stored(paths.union(roots), "chat-paths")
     while not paths.where("above IS NOT NULL").isEmpty():
         up = paths.select(F.col("key").alias("above"), F.col("above").alias("next"), F.col("path").alias("before"))

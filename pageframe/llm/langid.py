@@ -5,12 +5,14 @@ scaled by their square root to unit length. A one-versus-rest linear machine for
 it every pair of languages has a machine of its own, and the language with the most votes wins, the sum of margins
 deciding ties.
 
-The machines are fitted on a bounded sample (``Fit.per_language`` rows of each of at most ``Fit.max_languages``
-languages, those of the smallest hash of the id); everything else covers all rows and whole texts.
+The machines are fitted on a bounded sample: ``Fit.per_language`` rows of each of at most ``Fit.max_languages`` languages,
+the most frequent ones, and ``Fit.rows`` in all; a language's rows are those of the smallest hash of the id, and of an id
+with several texts the first in order counts. Everything else covers all rows and whole texts.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; with no labelled row all texts are; with
 one language learned it is predicted for every text with a letter; rows with a null id or language are predicted but
-never learned from; repeated rows are predicted each.
+never learned from; repeated rows are predicted each and learned once; of equal votes and margins the first language in
+order of its code wins; an empty table gives an empty result; other columns are ignored, or kept by ``kept``.
 
 A filter also asks how well a text fits the language predicted for it: the mean log probability of its n-grams under the
 language's learned n-grams, against what the learned rows reach when each is left out. A language of fewer than
@@ -50,6 +52,7 @@ UNDETERMINED = "und"
 class Fit:
     per_language: int = 400
     max_languages: int = 200
+    rows: int = 20_000
     dims: int = 2048
     epochs: int = 30
     penalty: float = 1e-4
@@ -188,18 +191,24 @@ def _likely(x: np.ndarray) -> tuple[np.ndarray, float, float]:
 def learned(rows: DataFrame, fit: Fit = DEFAULT) -> Model | None:
     """A model of (doc_id, text, lang), fitted on the bounded sample; features are made where the texts are, and only they reach the driver."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(fit.max_languages).collect()
+    each = min(fit.per_language, fit.rows // max(len(counts), 1))
+    if not counts:
+        return None
+    # Hashes are even, so below this share of them lie twice as many rows as are wanted, and a language's rank is made among few.
+    shares = rows.sparkSession.createDataFrame([(r.lang, min(1.0, (2 * each + 100) / r.n)) for r in counts], "lang string, share double")
     drawn = F.xxhash64("doc_id", F.lit(fit.seed))
+    near = rows.select("doc_id", "lang", drawn.alias("h")).join(F.broadcast(shares), "lang").where(F.col("h") / 2.0**64 + 0.5 <= F.col("share"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = rows.select("doc_id", "lang", drawn.alias("h")).withColumn("n", first).where(F.col("n") <= fit.per_language)  # Spark keeps as many a task before it shuffles
-    chosen = chosen.orderBy("n", "lang").limit(fit.per_language * fit.max_languages).select("doc_id", "lang").distinct()
-    texts = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # at most per_language * max_languages ids
+    chosen = near.select("doc_id", "lang", "h").distinct().withColumn("n", first).where(F.col("n") <= each).select("doc_id", "lang")
+    texts = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # at most Fit.rows ids
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [(r.doc_id, r.lang, features(r.text, fit.dims)) for r in batch.itertuples(index=False)]
             yield pd.DataFrame([(i, c, x.astype("<f4").tobytes()) for i, c, x in made if x is not None], columns=["doc_id", "lang", "x"])
 
-    found = texts.mapInPandas(vectors, "doc_id long, lang string, x binary").limit(fit.per_language * fit.max_languages).toPandas()
+    found = texts.mapInPandas(vectors, "doc_id long, lang string, x binary").toPandas()
     found = found.sort_values(["doc_id", "lang", "x"])
     x = np.frombuffer(b"".join(found["x"]), dtype="<f4").reshape(len(found), fit.dims)
     return fitted(x, list(found["lang"]), fit)

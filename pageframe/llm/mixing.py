@@ -9,8 +9,11 @@ hash against its fraction until the source's words reach the target, so a source
 
 Only DataFrame functions are used. Sums are exact decimals, so reruns agree to the last copy.
 
-Defined cases: null text has size 0 and takes nothing; null is a source of its own, ordered last; a source without
-words has target 0; repeated rows are documents of their own; an empty table gives an empty mix.
+Defined cases: null text has size 0 and takes nothing, as has empty text; null is a source of its own, ordered last; a
+source without words has target 0; repeated rows are documents of their own; documents of one place in the rounding order
+are taken by id and then size, nulls first; a text of any length counts whole; an empty table gives an empty mix; other
+columns of the input are ignored by ``mixed`` and kept, whatever their names, by ``repeated``. A source whose dual does
+not converge in ``max_steps`` raises an error.
 """
 
 from __future__ import annotations
@@ -86,18 +89,20 @@ def duals(sized: DataFrame, sources: DataFrame, mix: Mix = DEFAULT) -> DataFrame
         dual = F.when(F.col("near"), F.col("dual")).otherwise(F.when(inside, F.col("newton")).otherwise(halfway))
         state = common.stored(moved.select("key", "source_size", "target", "scale", dual.alias("dual"), F.col("new_low").alias("low"), F.col("new_high").alias("high"), "near"), "mix-duals")
         if state.where("NOT near").isEmpty():
-            break
+            return state.select("key", "source_size", "target", "scale", "dual")
         state = state.drop("near")
+    if mix.max_steps > 0:
+        raise ArithmeticError(f"a source's dual did not converge in {mix.max_steps} steps")
     return state.select("key", "source_size", "target", "scale", "dual")
 
 
 def mixed(docs: DataFrame, mix: Mix = DEFAULT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source): its size, its source's size and target, the copies and words the mix takes."""
     key = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source"))
-    sized = common.stored(docs.select("doc_id", key.alias("key"), common.n_words(F.col("text")).alias("size")), "mix-sizes")
+    sized = common.stored(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("drawn"), key.alias("key"), common.n_words(F.col("text")).alias("size")), "mix-sizes")
     state = common.stored(duals(sized, targets(sized, mix), mix), "mix-state")
 
-    chance = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    chance = F.shiftrightunsigned("drawn", 11) / float(1 << 53)
     rate = F.least(F.lit(mix.most), _rate(F.col("dual"), F.col("size"), F.col("scale"), mix.most))
     rated = sized.join(state, "key").withColumn("rate", rate).withColumn("whole", F.floor("rate"))
     rated = rated.withColumn("order", chance - (F.col("rate") - F.col("whole"))).withColumn("bin", F.floor((F.col("order") + 1) / 2 * mix.bins))
@@ -116,8 +121,8 @@ def mixed(docs: DataFrame, mix: Mix = DEFAULT) -> DataFrame:
 
 def repeated(docs: DataFrame, mix: Mix = DEFAULT) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns. Rows equal in id and text are repeated alike."""
-    key = F.xxhash64("doc_id", "text", "source")
-    keyed = docs.withColumn("_key", key)
-    copies = mixed(keyed.select(F.col("_key").alias("doc_id"), "text", "source"), mix).groupBy(F.col("doc_id").alias("_key")).agg(F.max("copies").alias("_copies"))
-    taken = keyed.join(copies.where("_copies > 0"), "_key")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    key, n, copy = common.free_names(docs, 3)
+    keyed = docs.withColumn(key, common.two_hashes("doc_id", "text", "source"))
+    copies = mixed(keyed.select(F.col(key).alias("doc_id"), "text", "source"), mix).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(n))
+    taken = keyed.join(copies.where(F.col(n) > 0), key)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).drop(key, n, copy)

@@ -11,7 +11,7 @@ covered AS (SELECT r, count(DISTINCT i + d) AS n_repeat_words FROM (SELECT r, i
 lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
 dups AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
 per_lang AS (SELECT lang, count(*) AS total FROM each WHERE lang IS NOT NULL GROUP BY lang),
-ref_lang AS (SELECT lang, total FROM per_lang WHERE total >= 0.001 * (SELECT sum(total) FROM per_lang)),
+ref_lang AS (SELECT lang, total FROM per_lang WHERE total >= 2000),
 counts AS (SELECT lang, lower(word) AS word, count(*) AS n FROM each JOIN ref_lang USING (lang) GROUP BY 1, 2),
 ref AS (SELECT lang, word, n / total AS q FROM counts JOIN ref_lang USING (lang) WHERE n >= 0.004 * total),
 langs AS (SELECT lang, sum(q) AS s FROM ref GROUP BY lang),
@@ -32,10 +32,33 @@ rest AS (SELECT r, langs.lang, js, s, greatest(1 - coalesce(ps, 0), 0) AS po, gr
 js_w AS (SELECT r, lang, sqrt(greatest(coalesce(js, 0) + s / 2 + CASE WHEN po > 0 THEN po * log2(2 * po / (po + qo)) / 2 ELSE 0 END + CASE WHEN qo > 0 THEN qo * log2(2 * qo / (po + qo)) / 2 ELSE 0 END, 0)) AS js_words FROM rest),
 near AS (SELECT r, min(row(greatest(js_chars - 0.30, js_words - 0.33), js_chars, js_words, lang)) AS x FROM js_c JOIN js_w USING (r, lang) GROUP BY r),
 judged AS (
-  SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, x[2] AS js_chars, x[3] AS js_words, x[4] AS nearest_lang, total,
+  SELECT doc_id, lang, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, x[2] AS js_chars, x[3] AS js_words, x[4] AS nearest_lang, total,
     n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed
   FROM stats LEFT JOIN dups USING (r) LEFT JOIN covered USING (r) LEFT JOIN near USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce((total < 200 OR js_chars * js_chars <= 0.09 + 6.0 / total) AND (n_words < 50 OR js_words * js_words <= 0.1089 + 6.0 / n_words), true) AS kept
+  NOT base_failed AND (lang IS NOT NULL AND lang NOT IN (SELECT lang FROM langs) OR coalesce((total < 200 OR js_chars * js_chars <= 0.09 + 6.0 / total) AND (n_words < 50 OR js_words * js_words <= 0.1089 + 6.0 / n_words), true)) AS kept
 FROM judged
 """
+
+#: op5: digests by arithmetic on hexadecimal digits, five of which are four digits of base 32.
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, html, octet_length(encode(html)) AS payload_bytes, min(page_id) OVER (PARTITION BY html) AS first,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (i // 4 * 5 + 1)::INTEGER, 5))::BIGINT >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1)::INTEGER, 1)), 'string_agg', '') AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+"""
+
+#: op3: each mail quotes the turns before it, so its parent is the last turn that says what it quotes; threads by recursion.
+QUOTES = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, replace(coalesce(text, ''), '>', ')') AS text FROM conversations),
+q AS (SELECT *, CASE WHEN turn % 3 > 0 THEN lag(text) OVER w END AS q1, CASE WHEN turn % 3 = 2 THEN lag(text, 2) OVER w END AS q2 FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+x AS (SELECT conv_id, turn, unnest([text] || string_split_regex(text, '\n\s*\n') || string_split(text, chr(10))) AS x FROM m),
+u AS (SELECT conv_id, turn, trim(regexp_replace(lower(x), '[\s\x{00a0}]+', ' ', 'g')) AS unit FROM x),
+n AS (SELECT *, trim(regexp_replace(lower(q1), '[\s\x{00a0}]+', ' ', 'g')) AS n1, trim(regexp_replace(lower(q2), '[\s\x{00a0}]+', ' ', 'g')) AS n2 FROM q),
+p1 AS (SELECT n.conv_id, n.turn, max(u.turn) AS p1 FROM n JOIN u ON u.conv_id = n.conv_id AND u.turn < n.turn AND u.unit = n1 AND n1 <> '' GROUP BY ALL),
+p2 AS (SELECT n.conv_id, n.turn, max(u.turn) AS p2 FROM n JOIN u ON u.conv_id = n.conv_id AND u.turn < n.turn AND u.unit = n2 AND n2 <> '' GROUP BY ALL),
+k AS (SELECT n.conv_id, n.turn, role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, coalesce(p1, p2) AS parent_turn, (p1 IS NOT NULL)::BIGINT + (p2 IS NOT NULL)::BIGINT AS n_quotes, lpad((n.turn::HUGEINT + 9223372036854775808)::VARCHAR, 20, '0') AS step
+  FROM n LEFT JOIN p1 ON p1.conv_id = n.conv_id AND p1.turn = n.turn LEFT JOIN p2 ON p2.conv_id = n.conv_id AND p2.turn = n.turn),
+t AS (SELECT conv_id, turn, 1::BIGINT AS depth, step AS path FROM k WHERE parent_turn IS NULL UNION ALL SELECT k.conv_id, k.turn, depth + 1, path || '/' || step FROM t JOIN k ON k.conv_id = t.conv_id AND k.parent_turn = t.turn)
+SELECT conv_id, turn, role, text, parent_turn, depth, path, n_quotes FROM k JOIN t USING (conv_id, turn)
+"""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from pageframe.llm import bpe, chat, fingerprint, langid, mixing, ngram_join, oracles, quality, sharding, warc, wrapper
 from pageframe.llm.common import table
@@ -19,8 +20,21 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def quoting(turns: DataFrame) -> DataFrame:
+    """Turns of conversations as mails: of three in a row the second quotes the first with other white space, the third both, nested."""
+    plain = turns.withColumn("text", F.replace(F.coalesce("text", F.lit("")), F.lit(">"), F.lit(")")))
+    before = Window.partitionBy("conv_id").orderBy("turn")
+    quoted = lambda text, mark: F.concat(F.lit(mark), F.replace(text, F.lit("\n"), F.lit("\n" + mark)), F.lit("\n"))
+    both = plain.withColumn("one", F.lag("text").over(before)).withColumn("two", F.lag("text", 2).over(before))
+    once = F.concat(F.lit("On Monday X wrote:\n"), quoted(F.replace("one", F.lit(" "), F.lit("  ")), "> "), F.lit("\n"), "text")
+    twice = F.concat(quoted(F.coalesce("two", F.lit("")), "> > "), quoted(F.col("one"), "> "), "text")
+    text = F.when(F.col("one").isNull(), F.col("text")).when(F.col("turn") % 3 == 1, once).when(F.col("turn") % 3 == 2, twice).otherwise(F.col("text"))
+    return both.select("conv_id", "turn", "role", text.alias("text"))
+
+
 def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.reply_ordered(table(spark, sf_dir, "conversations"))
+    """The table's turns hardly quote each other, so mails that do are derived from all of them."""
+    return chat.reply_ordered(quoting(table(spark, sf_dir, "conversations")))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": oracles.QUALITY}
+    return {"op3_quotation_linking": oracles.QUOTES, "op5_warc": oracles.WARC, "op6_quality_rules": oracles.QUALITY}

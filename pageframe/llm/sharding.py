@@ -6,8 +6,9 @@ the table is full; so each has a like number of slots, and adding or removing a
 is its hash modulo the size. The table has a fixed size that depends on no data; it is broadcast, and placing a row
 takes one lookup. Only DataFrame functions touch rows.
 
-Defined cases: a null key is placed in a slot like any other (that of its hash); equal keys share a shard; an empty
-table gives an empty result; shard names must differ and there must be at least one.
+Defined cases: a null key is placed in a slot like any other (that of its hash); equal keys and repeated rows share a
+shard; an empty table gives an empty result; shard names must differ and there must be at least one; other columns are
+kept, but columns named ``slot`` and ``shard`` are replaced, unless other names are given for the new ones.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageframe.llm import common
+
 #: Slots: a prime well over a hundred times the shards, so that shares differ by about one in a hundred.
 SIZE = 65537
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -55,11 +58,12 @@ def slot_of(key: Column, size: int = SIZE) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(size)).cast("int")
 
 
-def placed(df: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, size: int = SIZE) -> DataFrame:
-    """``df`` with the ``slot`` and ``shard`` of its key."""
-    rows = table_rows(df.sparkSession, lookup_table(shards, size))
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")]
-    return df.select(*kept, slot_of(F.col(key), size).alias("slot")).join(F.broadcast(rows), "slot").select(*kept, "slot", "shard")  # `size` rows
+def placed(df: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, size: int = SIZE, slot: str = "slot", shard: str = "shard") -> DataFrame:
+    """``df`` with the slot and shard of its key, in columns of those names; a key that has one of them is read before it is replaced."""
+    at, to = common.free_names(df, 2)
+    rows = table_rows(df.sparkSession, lookup_table(shards, size)).toDF(at, to)
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in (slot, shard)]
+    return df.withColumn(at, slot_of(F.col(f"`{key}`"), size)).join(F.broadcast(rows), at).select(*kept, F.col(at).alias(slot), F.col(to).alias(shard))  # `size` rows
 
 
 def placements(docs: DataFrame) -> DataFrame:

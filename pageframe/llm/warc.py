@@ -9,21 +9,25 @@ Archives are rows of a table (archive, first id, records, bytes), so that Spark'
 storage the cluster has; ``save_files`` writes them as .warc.zst files where executors share a folder.
 
 Defined cases: a null payload is empty; ``min_bytes`` is the size from which equal payloads are linked; of repeated
-ids with equal payloads one row is the response and the others revisit it; a null id is written without a record id
-to refer to and is never a revisit's target; an archive of too little to build a dictionary takes its first records
-as a raw dictionary; an empty table gives no archive.
+ids with equal payloads one row is the response and the others revisit it; a null id is never a revisit's target; a
+null url is written as ``about:blank``, which reads as null; an archive of too little to build a dictionary takes its
+first records as a raw dictionary; a payload of any length is one record, which may exceed an archive's size; an empty
+table gives no archive; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +46,8 @@ class Archive:
     dictionary_bytes: int = 32 << 10
     level: int = 3
     min_bytes: int = 0
+    #: When the records were made, so that reruns write the same.
+    date: str = "2000-01-01T00:00:00Z"
     #: Parts that the copies of one payload are dealt to.
     salt: int = 32
 
@@ -53,23 +59,28 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _uuid(page_id: int) -> str:
-    return f"<urn:page:{page_id}>"
+def _response_id(page_id: int, sha: str) -> str:
+    """Record id of the response for a page's payload, which its revisits can name."""
+    return f"<urn:page:{page_id}:{sha}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, sha: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record: its headers, and an HTTP response whose body a revisit leaves out."""
+def record(page_id: int | None, url: str | None, payload: bytes, sha: str, refers_to: int | None, place: str = "", date: str = DEFAULT.date) -> bytes:
+    """One WARC/1.1 record: its headers, and an HTTP response whose body a revisit leaves out. ``place`` tells records of one
+    id and payload apart; the page's own id is a header of its own."""
     body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}"]
+    if page_id is not None and refers_to is None:
+        own = _response_id(page_id, sha)
+    else:
+        own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {sha} {place}')}>"
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {own}", f"WARC-Date: {date}"]
+    head.append("WARC-Target-URI: " + ("about:blank" if url is None else url.replace("\r", "%0D").replace("\n", "%0A")))
     if page_id is not None:
-        head.append(f"WARC-Record-ID: {_uuid(page_id)}")
-    if url is not None:
-        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        head.append(f"X-Page-ID: {page_id}")
     head += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{sha}"]
     if refers_to is None:
         body += payload
     else:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_uuid(refers_to)}"]
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_response_id(refers_to, sha)}"]
     head += [f"Content-Length: {len(body)}", "", ""]
     return "\r\n".join(head).encode() + body + b"\r\n\r\n"
 
@@ -128,8 +139,9 @@ def parsed(data: bytes) -> dict:
     sha, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
     if kind == "response" and (len(payload) != size or digest(payload) != sha):
         raise ValueError("a payload does not match its digest")
-    number = lambda name: int(fields[name][10:-1]) if name in fields else None
-    return {"page_id": number("WARC-Record-ID"), "url": fields.get("WARC-Target-URI"), "record_type": kind, "payload_bytes": size, "payload_digest": sha, "refers_to": number("WARC-Refers-To"), "payload": payload if kind == "response" else None}
+    refers_to = int(fields["WARC-Refers-To"].split(":")[2]) if "WARC-Refers-To" in fields else None
+    url, page_id = fields["WARC-Target-URI"], fields.get("X-Page-ID")
+    return {"page_id": None if page_id is None else int(page_id), "url": None if url == "about:blank" else url, "record_type": kind, "payload_bytes": size, "payload_digest": sha, "refers_to": refers_to, "payload": payload if kind == "response" else None}
 
 
 def planned(pages: DataFrame, archive: Archive = DEFAULT) -> DataFrame:
@@ -161,14 +173,15 @@ def archives(plan: DataFrame, archive: Archive = DEFAULT) -> DataFrame:
             data = packed(records, archive)
             return pd.DataFrame({"archive": [hashlib.sha256(data).hexdigest()[:32]], "first_id": pd.array([first], dtype="Int64"), "n_records": [len(records)], "data": [data]})
 
-        held, size, first = [], 0, None
+        held, size, first, n, task = [], 0, None, 0, TaskContext.get().partitionId()
         for batch in batches:
             for page_id, url, html, refers_to in batch.itertuples(index=False, name=None):
                 payload = html.encode("utf-8")
                 page_id, refers_to = (None if pd.isna(x) else int(x) for x in (page_id, refers_to))
                 if not held:
                     first = page_id
-                held.append(record(page_id, url, payload, digest(payload), refers_to))
+                held.append(record(page_id, url, payload, digest(payload), refers_to, f"{task}.{n}", archive.date))
+                n += 1
                 size += len(held[-1])
                 if size >= archive.target_bytes:
                     yield close(held, first)
@@ -209,8 +222,10 @@ def save_files(table: DataFrame, folder: str) -> None:
 
     def save(rows) -> None:
         for row in rows:
-            with open(f"{folder}/{row.archive}.warc.zst", "wb") as out:
+            at = f"{folder}/{row.archive}.warc.zst"
+            with open(f"{at}.{uuid.uuid4().hex}.part", "wb") as out:  # a task that is lost or runs twice leaves no half archive
                 out.write(row.data)
+            os.replace(out.name, at)
 
     table.select("archive", "data").foreachPartition(save)
 
