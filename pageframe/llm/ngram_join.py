@@ -10,11 +10,12 @@ order begins with a low quarter of the hash space, so only that quarter is shuff
 n-gram at all. Theirs alone are then ordered by rarity over the whole space, and the shared ones among the first of
 each make candidate lists by n-gram.
 
-Only lists of at most ``few`` members are expanded into pairs. Of a longer list every member is counted with one hub,
-the smallest set of it. Two members that link, at least one of them without a link to the hub, must share an n-gram that
-the hub lacks: if all they share were in the hub, which is no larger than either, both would link to it. How many they
-must share beyond the hub follows from their sizes and overlaps with it, so the first of each member's n-grams beyond
-the hub make new, shorter lists, and so on; hubs only grow from list to list, so this ends. Lists that are within one
+Only lists of at most ``few`` members are expanded into pairs. Of a longer list the smallest sets, ``hubs`` of them, are
+counted with the members that may link to them, and the last of them, the hub, with all members after it. Two of these
+that link, at least one of them without a link to the hub, must share an n-gram that the hub lacks: if all they share were
+in the hub, which is no larger than either, both would link to it. How many they must share beyond the hub follows from
+their sizes and overlaps with it, so the first of each member's n-grams beyond the hub make new, shorter lists, and so
+on; hubs only grow from list to list, so this ends. Lists that are within one
 component are left out. After ``peels`` turns what is left is joined by n-gram, with all bounds in the join, which is
 the exact way for data in which members keep sharing what their hubs lack. A turn before the first counts the members
 of long lists with the set nearest to what the list's near copies have in common, to join near copies early.
@@ -50,6 +51,8 @@ class Join:
     broadcast_bytes: int = 64 << 20
     #: Members of the lists that are expanded into pairs.
     few: int = 8
+    #: Sets of a longer list that are its hubs: the smallest ones, the last of which takes the list apart.
+    hubs: int = 6
     #: Turns in which longer lists are taken apart by their hubs.
     peels: int = 12
 
@@ -162,12 +165,14 @@ def candidates(held: DataFrame, join: Join = DEFAULT) -> DataFrame:
 
 
 def live(lists: DataFrame, labels: DataFrame | None, join: Join = DEFAULT) -> DataFrame:
-    """The lists of more than one component, each row with its component, its list's number of members and smallest set."""
+    """The lists of more than one component, each row with its component, its list's number of members and its ``hubs`` smallest sets."""
     named = lists.withColumn("label", F.col("rep"))
     if labels is not None:
         named = lists.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    per = named.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("least"), F.max("label").alias("most"), F.min(F.struct("n", "rep")).alias("hub"))
-    return named.join(per.where("least <> most").select("key", "members", "hub"), "key")
+    per = named.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("least"), F.max("label").alias("most"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "rep"))  # Spark keeps as many of a list a task before it shuffles
+    hubs = named.withColumn("rank", rank).where(F.col("rank") <= join.hubs).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "rep", "base", "rem", "label"))).alias("hubs"))
+    return named.join(per.where("least <> most").select("key", "members").join(hubs, "key"), "key")
 
 
 def central_pairs(rows: DataFrame, join: Join = DEFAULT) -> DataFrame:
@@ -211,24 +216,29 @@ def joined_pairs(rows: DataFrame, join: Join = DEFAULT) -> DataFrame:
 
 
 def hub_pairs(rows: DataFrame, join: Join = DEFAULT) -> DataFrame:
-    """(a, b) of every other member and the smallest set of its list, for the lists of more than ``few`` members."""
-    return rows.where((F.col("members") > join.few) & (F.col("rep") != F.col("hub.rep"))).select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).distinct()
-
-
-def overlaps(held: DataFrame, pairs: DataFrame, join: Join = DEFAULT, beyond: bool = False) -> DataFrame:
-    """Stored (a, b, n_a, n_b, alone, shared) of pairs of classes: partial overlaps by fragment of the order, summed per pair;
-    and, if asked, a's shared n-grams ``beyond`` b, in order."""
-    pairs = common.stored(pairs, "join-pairs")
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    held = held.join(F.broadcast(ids) if pairs.count() * 2 * ROW_BYTES <= join.broadcast_bytes else ids, "rep", "left_semi")
-    parts = held.select("rep", "n", "alone", F.posexplode("held").alias("part", "some"))
-    a = parts.where(F.size("some") > 0).select(F.col("rep").alias("a"), "part", F.col("n").alias("n_a"), "alone", F.col("some").alias("some_a"))
-    b = parts.select(F.col("rep").alias("b"), "part", F.col("n").alias("n_b"), F.col("some").alias("some_b"))
-    met = pairs.join(a, "a").join(b, ["b", "part"])
-    kept = [F.struct("part", F.array_except("some_a", "some_b").alias("own")).alias("own")] if beyond else []
-    met = met.select("a", "b", "n_a", "n_b", "alone", F.size(F.array_intersect("some_a", "some_b")).alias("shared"), *kept)
-    own = [F.flatten(F.transform(F.sort_array(F.collect_list("own")), lambda x: x["own"])).alias("beyond")] if beyond else []
-    out = common.stored(met.groupBy("a", "b", "n_a", "n_b", "alone").agg(F.sum("shared").alias("shared"), *own), "join-met")
+    """(a, b, far) of the members of the lists of more than ``few``: far ones with the last of their list's hubs, others with
+    the hubs before it that are of other components and may link."""
+    long = rows.where(F.col("members") > join.few).withColumn("hub", F.element_at("hubs", -1))
+    after = lambda hub: F.struct("n", "rep") > F.struct(hub["n"], hub["rep"])
+    far = long.where(after(F.col("hub"))).select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), F.lit(True).alias("far"))
+    can = lambda hub: after(hub) & (hub["label"] != F.col("label")) & _fits(join, F.col("n"), hub["n"], F.least(F.col("base"), hub["base"]) + F.least(F.col("rem"), hub["rem"]))
+    near = long.select(F.col("rep").alias("a"), F.explode(F.filter("hubs", can)).alias("b"))
+    return far.union(near.select("a", "b.rep", F.lit(False)))
+
+
+def overlaps(held: DataFrame, pairs: DataFrame, join: Join = DEFAULT) -> DataFrame:
+    """Stored (a, b, far, n_a, n_b, alone, shared, beyond) of pairs (a, b, far) of classes: partial overlaps by fragment of the
+    order, summed per pair; and, of ``far`` pairs, a's shared n-grams ``beyond`` b, in order."""
+    pairs = common.stored(pairs.groupBy("a", "b").agg(F.max("far").alias("far")), "join-pairs")
+    small = pairs.count() * 2 * ROW_BYTES <= join.broadcast_bytes
+    held_by = lambda side: held.join(F.broadcast(pairs.select(F.col(side).alias("rep"))) if small else pairs.select(F.col(side).alias("rep")), "rep", "left_semi")
+    parts = lambda side: held_by(side).select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), "alone", F.posexplode("held").alias("part", f"some_{side}"))
+    a, b = parts("a").where(F.size("some_a") > 0), parts("b").drop("alone")
+    met = a.join(F.broadcast(pairs) if small else pairs, "a").join(b, ["b", "part"])
+    own = F.when(F.col("far"), F.struct("part", F.array_except("some_a", "some_b").alias("own")))
+    met = met.select("a", "b", "far", "n_a", "n_b", "alone", F.size(F.array_intersect("some_a", "some_b")).alias("shared"), own.alias("own"))
+    beyond = F.flatten(F.transform(F.sort_array(F.collect_list("own")), lambda x: x["own"]))  # at most a's own n-grams
+    out = common.stored(met.groupBy("a", "b", "far", "n_a", "n_b", "alone").agg(F.sum("shared").alias("shared"), beyond.alias("beyond")), "join-met")
     common.forget(pairs)
     return out
 
@@ -238,7 +248,7 @@ def rekeyed(met: DataFrame, join: Join = DEFAULT) -> DataFrame:
     met = met.withColumn("mate", F.greatest(F.col("n_b"), F.expr(f"({join.percent} * n_a + 99) DIV 100")))  # a partner's least size
     owed = F.expr(f"({join.percent} * (n_a + mate) + {99 + join.percent}) DIV {100 + join.percent}") - F.col("shared")
     first = F.col("n_a") - F.col("shared") - F.greatest(owed, F.lit(1)) + 1 - F.col("alone")
-    each = met.select("a", "b", "n_a", "shared", F.size("beyond").alias("m"), F.posexplode(F.slice("beyond", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("i", "h"))
+    each = met.where("far").select("a", "b", "n_a", "shared", F.size("beyond").alias("m"), F.posexplode(F.slice("beyond", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("i", "h"))
     return each.select(F.xxhash64("b", "h").alias("key"), F.col("a").alias("rep"), F.col("n_a").alias("n"), F.col("shared").alias("base"), (F.col("m") - F.col("i")).alias("rem"))
 
 
@@ -250,53 +260,60 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.toDF("a", "b").where("a <> b")
     edges = common.stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
-    state = None
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = common.stored(large, "components")
-        old = edges
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = common.stored(small, "components")
+        old, edges = edges, common.stored(small, "components")
         common.forget(large, old)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        # Stars: a node points to one other, or is pointed to.
+        ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        state = now
 
 
 def joined(held: DataFrame, join: Join = DEFAULT) -> DataFrame | None:
     """(node, label): the components of all links, None if there is none."""
     linking = f"100 * shared >= {join.percent} * (n_a + n_b - shared)"
-    labels = None
-
-    def with_links(*met: DataFrame) -> DataFrame | None:
-        more = [m.where(linking).select("a", "b") for m in met]
-        more = [m for m in more if not m.isEmpty()]
-        if not more:
-            return labels
-        for other in more[1:]:
-            more[0] = more[0].union(other)
-        return components(more[0] if labels is None else more[0].union(labels.select("node", "label")))
-
+    links, labels = [], None
+
+    def found(pairs: DataFrame) -> DataFrame:
+        met = overlaps(held, pairs, join)
+        links.append(common.stored(met.where(linking).select("a", "b"), "join-links"))
+        return met
+
+    def merged() -> DataFrame | None:
+        every = labels
+        for more in [x for x in links if not x.isEmpty()]:
+            every = more if every is None else every.union(more)
+        out = None if every is None else labels if every is labels else components(every)
+        common.forget(*links)
+        links.clear()
+        return out
+
+    plain = lambda pairs: pairs.withColumn("far", F.lit(False))
     lists = candidates(held, join)
     most = lists.count()
-    labels = with_links(overlaps(held, central_pairs(live(lists, None, join), join), join))
+    rows = common.stored(live(lists, None, join), "join-live")
+    found(plain(central_pairs(rows, join)))
+    labels = merged()
     for turn in range(join.peels + 1):
         rows = common.stored(live(lists, labels, join), "join-live")
         common.forget(lists)
-        pairs = few_pairs(rows, join)
+        pairs = plain(few_pairs(rows, join))
         expanded = rows.where(F.col("members") > join.few).agg(F.sum("members")).first()[0] or 0
-        if not expanded:
-            return with_links(overlaps(held, pairs, join))
-        if expanded <= most or turn == join.peels:
-            return with_links(overlaps(held, pairs.union(joined_pairs(rows, join)).distinct(), join))
-        met = overlaps(held, hub_pairs(rows, join), join, beyond=True)
-        labels = with_links(overlaps(held, pairs, join), met)
-        lists = common.stored(rekeyed(met, join), "join-lists")
-        common.forget(rows, met)
+        if expanded and expanded > most and turn < join.peels:
+            met = found(pairs.union(hub_pairs(rows, join)))
+            lists = common.stored(rekeyed(met, join), "join-lists")
+            common.forget(rows, met)
+            if turn == 0:  # most links are found by now; older labels only leave more to look at
+                labels = merged()
+            continue
+        found(pairs.union(plain(joined_pairs(rows, join))) if expanded else pairs)
+        return merged()
 
 
 def linked(docs: DataFrame, join: Join = DEFAULT) -> DataFrame:
