@@ -2,36 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageframe.operators.ordering import folded
+
 #: States each stack keeps; older ones fall out.
 CAP = 50
 
 
+def applied(state: dict, op: str, value: str | None) -> None:
+    """One edit on a state {value, undo, redo}: a commit puts the value before it on the undo stack and clears redo; undo and
+    redo swap values between the stacks and do nothing on an empty one; load clears both."""
+    undo, redo = state["undo"], state["redo"]
+    if op in ("load", "commit"):
+        if op == "commit":
+            undo.append(state["value"])
+        else:
+            undo.clear()
+        redo.clear()
+        state["value"] = value
+    elif op in ("undo", "redo"):
+        source, target = (undo, redo) if op == "undo" else (redo, undo)
+        if source:
+            target.append(state["value"])
+            state["value"] = source.pop()
+    del undo[:-CAP], redo[:-CAP]
+
+
 def replay_edits(log: DataFrame) -> DataFrame:
-    """(doc_id, seq, value, n_undo, n_redo) after every edit of (doc_id, seq, op, value).
-
-    A commit puts the state before it on the undo stack and clears redo; undo and redo swap states between the stacks and
-    do nothing on an empty one; load clears both. The fold walks a document's own edits in order.
-    """
-    edits = log.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "op", "value"))).alias("edits"))
-    empty = F.array().cast("array<string>")
-    start = F.struct(F.lit(None).cast("string").alias("value"), empty.alias("undo"), empty.alias("redo"), F.array().cast("array<struct<seq:bigint,value:string,n_undo:int,n_redo:int>>").alias("out"))
-    push = lambda stack, value: F.slice(F.concat(stack, F.array(value)), F.greatest(F.size(stack) + 2 - CAP, F.lit(1)), F.lit(CAP))
-    popped = lambda stack: F.slice(stack, 1, F.size(stack) - 1)
-
-    def step(s: Column, e: Column) -> Column:
-        op, undo, redo = e["op"], s["undo"], s["redo"]
-        can_undo, can_redo = (op == "undo") & (F.size(undo) > 0), (op == "redo") & (F.size(redo) > 0)
-        commit, load = op == "commit", op == "load"
-        value = F.when(commit | load, e["value"]).when(can_undo, F.element_at(undo, -1)).when(can_redo, F.element_at(redo, -1)).otherwise(s["value"])
-        new_undo = F.when(load, empty).when(commit | can_redo, push(undo, s["value"])).when(can_undo, popped(undo)).otherwise(undo)
-        new_redo = F.when(load | commit, empty).when(can_undo, push(redo, s["value"])).when(can_redo, popped(redo)).otherwise(redo)
-        row = F.struct(e["seq"].alias("seq"), value.alias("value"), F.size(new_undo).alias("n_undo"), F.size(new_redo).alias("n_redo"))
-        return F.struct(value.alias("value"), new_undo.alias("undo"), new_redo.alias("redo"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    return edits.select("doc_id", F.inline(F.aggregate("edits", start, step, lambda s: s["out"])))
+    """(doc_id, seq, value, n_undo, n_redo) after every edit of (doc_id, seq, op, value), walked in order with two bounded stacks a document."""
+
+    def step(state: dict, op: str, value: str | None) -> tuple[dict, tuple]:
+        applied(state, op, value)
+        return state, (state["value"], len(state["undo"]), len(state["redo"]))
+
+    edits = log.select("doc_id", "seq", "op", F.col("value").alias("_new"))
+    out = folded(edits, "doc_id", ["seq"], ["op", "_new"], "value string, n_undo int, n_redo int", lambda: {"value": None, "undo": [], "redo": []}, step)
+    return out.select("doc_id", "seq", "value", "n_undo", "n_redo")
 
 
 def current_objects(log: DataFrame) -> DataFrame:

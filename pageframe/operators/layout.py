@@ -20,19 +20,29 @@ def _blank(text: Column) -> Column:
 
 
 def group_lines(items: DataFrame) -> DataFrame:
-    """``line_no`` (from the top) and ``line_y`` of every item: it joins the first line begun within three points of it, in order of arrival."""
-    page = items.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("item_no", "y"))).alias("its"))
-    start = F.struct(F.array().cast("array<double>").alias("ys"), F.array().cast("array<int>").alias("of"))
+    """``line_no`` (from the top) and ``line_y`` of every item: it joins the first line begun within three points of it, in order of arrival.
 
-    def add(s: Column, it: Column) -> Column:
-        at = F.array_position(F.transform(s["ys"], lambda y: F.abs(y - it["y"]) <= LINE_TOLERANCE), True).cast("int")
-        return F.struct(F.when(at == 0, F.concat(s["ys"], F.array(it["y"]))).otherwise(s["ys"]).alias("ys"), F.concat(s["of"], F.array(F.when(at == 0, F.size(s["ys"])).otherwise(at - 1))).alias("of"))
+    Items of one height always join one line, so only a page's different heights are walked, in the order in which they
+    first come; items travel once, by page, and stay there.
+    """
+    columns = [c for c in items.columns if c not in PAGE]
+    heights = items.repartition(*PAGE).groupBy(*PAGE, F.col("y").alias("_y")).agg(F.min("item_no").alias("first"), F.collect_list(F.struct(*columns)).alias("its"))
+    page = heights.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("first", F.col("_y").alias("y"), "its"))).alias("rows"))
+
+    def add(lines: Column, row: Column) -> Column:
+        known = F.coalesce(F.exists(lines, lambda y: F.abs(y - row["y"]) <= LINE_TOLERANCE), F.lit(False))
+        return F.when(known, lines).otherwise(F.concat(lines, F.array(row["y"])))
+
+    begun = F.aggregate("rows", F.array().cast("array<double>"), add)
+    down = F.array_sort(F.transform(begun, lambda y, i: F.struct((-y).alias("down"), i.alias("i"))))
+    placed = page.withColumn("lines", down)
+
+    def line(row: Column) -> Column:
+        near = F.transform("lines", lambda s, k: F.when(F.coalesce(F.abs(-s["down"] - row["y"]) <= LINE_TOLERANCE, F.lit(False)) | (s["down"].isNull() & row["y"].isNull()), F.struct(s["i"].alias("i"), k.cast("int").alias("line_no"), (-s["down"]).alias("line_y"))))
+        return F.array_min(F.filter(near, lambda x: x.isNotNull()))
 
-    folded = page.withColumn("f", F.aggregate("its", start, add))
-    order = F.transform(F.array_sort(F.transform("f.ys", lambda y, i: F.struct((-y).alias("y"), i.alias("i")))), lambda x: x["i"])
-    folded = folded.withColumn("order", order)
-    placed = F.transform("its", lambda it, k: F.struct(it["item_no"].alias("item_no"), (F.array_position("order", F.get("f.of", k)) - 1).cast("int").alias("line_no"), F.get("f.ys", F.get("f.of", k)).alias("line_y")))
-    return items.join(folded.select(*PAGE, F.inline(placed)), [*PAGE, "item_no"])
+    each = placed.select(*PAGE, F.inline(F.transform("rows", lambda r: F.struct(line(r).alias("at"), r["its"].alias("its")))))
+    return each.select(*PAGE, "at.line_no", "at.line_y", F.inline("its")).select(*items.columns, "line_no", "line_y")
 
 
 def small_gap(size: Column) -> Column:
@@ -129,36 +139,36 @@ def pad_left(align: Column, gap: Column) -> Column:
     return F.when(align == "left", F.greatest(F.lit(2.0), F.least(F.lit(14.0), gap))).otherwise(4.0)
 
 
-def paragraph_lines(lines: DataFrame) -> DataFrame:
+def paragraph_lines(lines: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     """Visible lines with ``para_no``, the gap before them and whether a hard break goes before them.
 
     A paragraph begins after a blank line or a gap of over 1.6 sizes of the line before; a break goes where that line ends before
-    65 percent of the paragraph's widest line so far.
+    65 percent of the paragraph's widest line so far. ``keys`` part the lines, pages or parts of them.
     """
-    w = Window.partitionBy(*PAGE).orderBy("line_no")
+    w = Window.partitionBy(*keys).orderBy("line_no")
     blanks = F.sum(F.col("is_blank").cast("int")).over(w)
     seen = lines.withColumn("_blanks", blanks).where("NOT is_blank")
     gap = F.lag("y").over(w) - F.col("y")
     begins = F.lag("y").over(w).isNull() | (F.lag("_blanks").over(w) < F.col("_blanks")) | (gap > F.lag("size").over(w) * 1.6)
     rows = seen.withColumn("gap", gap).withColumn("begins", begins).withColumn("para_no", F.sum(F.col("begins").cast("int")).over(w) - 1)
-    in_para = Window.partitionBy(*PAGE, "para_no").orderBy("line_no")
+    in_para = Window.partitionBy(*keys, "para_no").orderBy("line_no")
     widest = F.max("max_x").over(in_para.rowsBetween(Window.unboundedPreceding, -1))
     breaks = ~F.col("begins") & (widest > 0) & (F.lag("max_x").over(in_para) < widest * 0.65)
     return rows.withColumn("breaks", F.coalesce(breaks, F.lit(False))).drop("_blanks")
 
 
-def to_paragraphs(lines: DataFrame, page_width: Column | None = None) -> DataFrame:
+def to_paragraphs(lines: DataFrame, page_width: Column | None = None, keys: list[str] = PAGE) -> DataFrame:
     """A row a paragraph: text, spacing before (at most 200) and between its lines (6 to 60), breaks, list flag and alignment of its first line."""
-    rows = paragraph_lines(lines)
+    rows = paragraph_lines(lines, keys)
     first = lambda c: F.min_by(c, "line_no")
     spacing = F.avg(F.when(~F.col("begins"), F.col("gap")))
-    out = rows.groupBy(*PAGE, "para_no").agg(
+    out = rows.groupBy(*keys, "para_no").agg(
         first("y").alias("y"), F.count("*").alias("n_lines"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text", "breaks"))), lambda x: F.concat(F.when(x["breaks"], "\n").otherwise(""), x["text"])), " ").alias("text"),
         first("gap").alias("_gap"), F.greatest(F.lit(6.0), F.least(F.lit(60.0), spacing)).alias("_spacing"), spacing.alias("_mean"), F.count_if("breaks").alias("n_breaks"), first("text").alias("_first"), first("min_x").alias("_left"), first("max_x").alias("_right"),
     )
     align = F.lit("left") if page_width is None else margin_align(F.col("_left"), page_width - F.col("_right"), page_width)
     return out.select(
-        *PAGE, "para_no", "y", "n_lines", "text", F.when(F.col("_gap") > 0, F.least("_gap", F.lit(200.0))).alias("spacing_before"), F.when(F.col("_mean").isNotNull(), F.col("_spacing")).alias("line_spacing"),
+        *keys, "para_no", "y", "n_lines", "text", F.when(F.col("_gap") > 0, F.least("_gap", F.lit(200.0))).alias("spacing_before"), F.when(F.col("_mean").isNotNull(), F.col("_spacing")).alias("line_spacing"),
         "n_breaks", is_list_item(F.col("_first")).alias("list_item"), align.alias("align"),
     )
 
@@ -182,19 +192,31 @@ def fallback_table(lines: DataFrame) -> DataFrame:
     return rows.withColumn("row", F.when((F.size("cells") == 1) & (F.col("_w") > 1), lone).otherwise(F.concat(texts, fill))).drop("_w", "cells")
 
 
+def _bands(low: Column, high: Column, height: float) -> Column:
+    """Every band of the page, ``height`` points high, that a stretch of it touches."""
+    at = lambda y: F.floor(y / height)
+    return F.when(low <= high, F.sequence(at(low), at(high))).otherwise(F.array().cast("array<bigint>"))
+
+
 def match_underlines(lines: DataFrame, shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, page_no, shape_no, line_no) of thin strokes under lines, each with the topmost line it fits, and the separators left over."""
+    """(doc_id, page_no, shape_no, line_no) of thin strokes under lines, each with the topmost line it fits, and the separators left over.
+
+    Strokes meet the lines of their own bands of a page only.
+    """
     thin = shapes.where("stroke IS NOT NULL AND h < 2.5 AND w > 3")
     overlap = F.least(F.col("max_x"), F.col("x") + F.col("w")) - F.greatest("min_x", "x")
-    met = thin.withColumnRenamed("y", "stroke_y").join(lines.where("min_x IS NOT NULL").select(*PAGE, "line_no", "y", "min_x", "max_x"), PAGE).where((F.abs(F.col("stroke_y") - F.col("y")) <= 4) & (overlap > 0.4 * F.least(F.col("w"), F.col("max_x") - F.col("min_x"))))
+    near = thin.withColumnRenamed("y", "stroke_y").withColumn("band", F.explode(_bands(F.col("stroke_y") - 4, F.col("stroke_y") + 4, 16)))
+    texts = lines.where("min_x IS NOT NULL").select(*PAGE, "line_no", "y", "min_x", "max_x", F.floor(F.col("y") / 16).alias("band"))
+    met = near.join(texts, [*PAGE, "band"]).where((F.abs(F.col("stroke_y") - F.col("y")) <= 4) & (overlap > 0.4 * F.least(F.col("w"), F.col("max_x") - F.col("min_x"))))
     used = met.groupBy(*PAGE, "shape_no").agg(F.min("line_no").alias("line_no"))
     return used, thin.where("w > 30").join(used, [*PAGE, "shape_no"], "left_anti")
 
 
 def enclosing_box(runs: DataFrame, shapes: DataFrame) -> DataFrame:
     """Per run (run_no, y_top, y_bottom): the smallest box that meets it, the first of equal ones, its shade if text stays legible on it, and its border."""
-    boxes = shapes.where("w > 15 AND h > 15 AND (fill IS NOT NULL OR stroke IS NOT NULL)")
-    met = runs.join(boxes, PAGE).where("y <= y_bottom + 3 AND y + h >= y_top - 3")
+    boxes = shapes.where("w > 15 AND h > 15 AND (fill IS NOT NULL OR stroke IS NOT NULL)").withColumn("band", F.explode(_bands(F.col("y"), F.col("y") + F.col("h"), 64)))
+    spread = runs.withColumn("band", F.explode(_bands(F.col("y_bottom") - 3, F.col("y_top") + 3, 64)))
+    met = spread.join(boxes, [*PAGE, "band"]).where("y <= y_bottom + 3 AND y + h >= y_top - 3")  # a pair may meet in several bands
     best = met.groupBy(*PAGE, "run_no").agg(F.min_by(F.struct("shape_no", "fill", "stroke"), F.struct(F.col("w") * F.col("h"), "shape_no")).alias("b"))
     red, green, blue = (F.col("b.fill")[i] for i in range(3))
     legible = ~((red >= 245) & (green >= 245) & (blue >= 245)) & (0.299 * red + 0.587 * green + 0.114 * blue >= 140)
@@ -219,7 +241,8 @@ def images_in_cells(images: DataFrame, cells: DataFrame) -> DataFrame:
     Cells carry their box: left, right, top, bottom.
     """
     cx, cy = F.col("x_pt") + F.col("width_pt") / 2, F.col("y_pt") + F.col("height_pt") / 2
-    met = images.join(cells, PAGE).where(cx.between(F.col("left"), F.col("right")) & cy.between(F.col("bottom"), F.col("top")))
+    spread = cells.withColumn("band", F.explode(_bands(F.col("bottom"), F.col("top"), 64)))
+    met = images.withColumn("band", F.floor(cy / 64)).join(spread, [*PAGE, "band"]).where(cx.between(F.col("left"), F.col("right")) & cy.between(F.col("bottom"), F.col("top")))
     met = met.where((F.col("width_pt") <= 1.3 * (F.col("right") - F.col("left"))) & (F.col("height_pt") <= 1.3 * (F.col("top") - F.col("bottom"))))
     first = met.groupBy(*PAGE, "image_no").agg(F.min(F.struct("table_no", "r0", "c0")).alias("cell"))
     return images.join(first, [*PAGE, "image_no"], "left").select(*images.columns, "cell.*")

@@ -29,56 +29,59 @@ def centres(values: list[float], tolerance: float) -> list[float]:
     return out
 
 
-def _lands(bands: list[float], xs: list[float]) -> bool:
+def _goes_on(bands: list[float], starts: list[float]) -> bool:
     """Whether a line goes on with a table: three cells, or at least two that each have a band of their own."""
-    if len(xs) >= 3:
-        return True
-    free = list(bands)
-    for x in xs:
-        hit = next((b for b in free if abs(b - x) <= COLUMN_TOLERANCE), None)
-        if hit is None:
-            return False
-        free.remove(hit)
-    return len(xs) >= 2
-
-
-def roles(cells: list[list[float]], split: list[bool]) -> list[str | None]:
-    """table, column or None for lines from the top, given where their cells begin and whether a big gap parts them in two.
-
-    A table begins at three cells and has two lines; it goes on over lines that land in its bands, over split lines, and once over a
-    stray line if the one after it lands.
-    """
-    found: list[str | None] = [None] * len(cells)
+    if len(starts) == 2:
+        near = [{i for i, band in enumerate(bands) if abs(band - x) <= COLUMN_TOLERANCE} for x in starts]
+        # The first cell takes its first band; the second needs another one.
+        return bool(near[0]) and bool(near[1] - {min(near[0])})
+    return len(starts) > 2
+
+
+def table_stretch(starts: list[list[float]], split: list[bool], begin: int) -> int:
+    """Where the table that begins at a line ends: at the second stray line, at a stray line that no line of the table follows,
+    or at the end. Lines with their cells' starts; those that go on with it move its bands."""
+    bands, strays = centres(starts[begin], COLUMN_TOLERANCE), 0
+    for at in range(begin + 1, len(starts)):
+        if _goes_on(bands, starts[at]):
+            bands = centres(bands + starts[at], COLUMN_TOLERANCE)
+        elif not split[at]:
+            strays += 1
+            if strays > 1 or at + 1 == len(starts) or not _goes_on(bands, starts[at + 1]):
+                return at
+    return len(starts)
+
+
+def roles(starts: list[list[float]], split: list[bool]) -> list[str | None]:
+    """table, column or None for all lines from the top, given where their cells begin (nowhere for blank ones) and whether a big
+    gap parts them in two. A table begins at three cells and has two lines at least."""
+    found: list[str | None] = ["column" if s else None for s in split]
     at = 0
-    while at < len(cells):
-        end = at + 1
-        if len(cells[at]) >= 3:
-            bands, spare = centres(cells[at], COLUMN_TOLERANCE), True
-            while end < len(cells):
-                if _lands(bands, cells[end]):
-                    bands = centres(bands + cells[end], COLUMN_TOLERANCE)
-                elif not split[end]:
-                    if not (spare and end + 1 < len(cells) and _lands(bands, cells[end + 1])):
-                        break
-                    spare = False
-                end += 1
-            if end - at >= 2:
-                found[at:end] = ["table"] * (end - at)
-        at = end if found[at] else at + 1
-    return [r or ("column" if s else None) for r, s in zip(found, split, strict=True)]
-
-
-def line_roles(small_cells: DataFrame, big_cells: DataFrame) -> DataFrame:
-    """(doc_id, page_no, line_no, role) of lines with cells; ``big_cells`` are the same lines cut at big gaps."""
+    while at < len(starts):
+        end = table_stretch(starts, split, at) if len(starts[at]) >= 3 else at
+        if end - at >= 2:
+            found[at:end] = ["table"] * (end - at)
+        at = max(end if end - at >= 2 else 0, at + 1)
+    return found
+
+
+def line_roles(lines: DataFrame, small_cells: DataFrame, big_cells: DataFrame) -> DataFrame:
+    """(doc_id, page_no, line_no, role, run_no) of all lines; ``small_cells`` and ``big_cells`` are theirs, cut at small and big
+    gaps. A run is a stretch of one role."""
     starts = small_cells.groupBy(*PAGE, "line_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("cell_no", "x"))), lambda c: c["x"]).alias("xs"))
     halves = big_cells.groupBy(*PAGE, "line_no").agg(((F.count("*") == 2) & F.bool_and(F.col("text") != "")).alias("split"))
 
-    def page(lines: pd.DataFrame) -> pd.DataFrame:
-        lines = lines.sort_values("line_no")
-        return lines.assign(role=roles([list(x) for x in lines["xs"]], list(lines["split"])))[[*PAGE, "line_no", "role"]]
+    def page(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("line_no")
+        found = roles([[] if x is None else list(x) for x in p["xs"]], list(p["split"]))
+        runs = [0]
+        for before, role in zip(found, found[1:], strict=False):
+            runs.append(runs[-1] + (before != role))
+        return p.assign(role=found, run_no=runs)[[*PAGE, "line_no", "role", "run_no"]]
 
-    both = starts.join(halves, [*PAGE, "line_no"], "left").withColumn("split", F.coalesce("split", F.lit(False)))
-    return both.groupBy(*PAGE).applyInPandas(page, "doc_id long, page_no int, line_no int, role string")
+    keys = [*PAGE, "line_no"]
+    every = lines.select(*keys).join(starts, keys, "left").join(halves, keys, "left").withColumn("split", F.coalesce("split", F.lit(False)))
+    return every.groupBy(*PAGE).applyInPandas(page, "doc_id long, page_no int, line_no int, role string, run_no int")
 
 
 def _beside(left: float, right: float, width: float) -> str:
@@ -91,34 +94,41 @@ def _pad(align: str, gap: float) -> float:
     return max(2.0, min(14.0, gap)) if align == "left" else 4.0
 
 
+def _covered(strokes: list[tuple[float, float, float]], lines: list[float], cuts: list[float]) -> list[list[bool]]:
+    """For each line and each interval between cuts: whether a stroke (place, from, to) on the line covers the interval, all within two points."""
+    out = [[False] * (len(cuts) - 1) for _ in lines]
+    for place, begin, end in strokes:
+        for line, row in zip(lines, out, strict=True):
+            if abs(place - line) <= 2:
+                for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    row[i] = row[i] or begin <= min(a, b) + 2 and end >= max(a, b) - 2
+    return out
+
+
 def ruled_grid(strokes: list[tuple[float, float, float, float]]) -> tuple[list[float], list[float], list[tuple[int, int, int, int]]] | None:
     """Row and column bounds and the cells (row, column, rows, columns) of thin strokes (x, y, w, h), or None if they are no grid.
 
     Where a divider is missing between columns the cell spans them; a cell spans down over a row of the same extent without a divider.
     """
-    across = [s for s in strokes if s[3] < 2.5 and s[2] > 15]
-    down = [s for s in strokes if s[2] < 2.5 and s[3] > 15]
-    ys, xs = centres([s[1] for s in across], 2)[::-1], centres([s[0] for s in down], 2)
+    across = [(y, x, x + w) for x, y, w, h in strokes if h < 2.5 and w > 15]
+    down = [(x, y, y + h) for x, y, w, h in strokes if w < 2.5 and h > 15]
+    ys, xs = centres([s[0] for s in across], 2)[::-1], centres([s[0] for s in down], 2)
     if len(across) < 2 or len(down) < 2 or len(ys) < 2 or len(xs) < 3:
         return None
-    wall = lambda x, top, low: any(abs(s[0] - x) <= 2 and s[1] <= low + 2 and s[1] + s[3] >= top - 2 for s in down)
-    floor = lambda y, left, right: any(abs(s[1] - y) <= 2 and s[0] <= left + 2 and s[0] + s[2] >= right - 2 for s in across)
-    columns = len(xs) - 1
-    rows = []
-    for top, low in zip(ys, ys[1:], strict=False):
-        edges = [0, *(c for c in range(1, columns) if wall(xs[c], top, low)), columns]
-        rows.append(list(zip(edges, edges[1:], strict=False)))
-    cells, taken = [], set()
-    for r, parts in enumerate(rows):
-        for first, end in parts:
-            if (r, first) in taken:
-                continue
-            last = r
-            while last + 1 < len(rows) and (first, end) in rows[last + 1] and not floor(ys[last + 1], xs[first], xs[end]):
-                last += 1
-                taken.add((last, first))
-            cells.append((r, first, last - r + 1, end - first))
-    return ys, xs, cells
+    walls, n = _covered(down, xs, ys), len(xs) - 1
+    spans: dict[tuple[int, int, int], int] = {}  # of each row's cells (row, first, end) the number of rows
+    above: dict[tuple[int, int], int] = {}  # the row in which a cell of that extent began, for the row above
+    for r in range(len(ys) - 1):
+        edges = [0, *(c for c in range(1, n) if walls[c][r]), n]
+        here = {}
+        for first, end in zip(edges, edges[1:], strict=False):
+            # A floor must reach over the whole cell in one stroke.
+            floor = r > 0 and _covered(across, [ys[r]], [xs[first], xs[end]])[0][0]
+            begun = above[first, end] if (first, end) in above and not floor else r
+            here[first, end] = begun
+            spans[begun, first, end] = r - begun + 1
+        above = here
+    return ys, xs, [(r, first, down_, end - first) for (r, first, end), down_ in sorted(spans.items())]
 
 
 def cell_text(lines: list[tuple[float, float, str]]) -> str:
@@ -239,31 +249,20 @@ def borderless(run: list[tuple[float, float, list[tuple[str, float, float]]]]) -
     return {"cells": out, "confidence": confidence, "columns": [*bands, edges[-1]], "rows": [ys[0] + (ys[0] - ys[1]), *middles, ys[-1] - (ys[-2] - ys[-1])]}
 
 
-def borderless_tables(cells: DataFrame, line_role: DataFrame) -> DataFrame:
-    """Cells of borderless tables: runs of table lines of a page, each by ``borderless``; runs that are no table give none."""
-    schema = "doc_id long, page_no int, table_no int, r0 int, c0 int, row_span int, col_span int, text string, align string, pad_left_pt double, confidence double, left double, right double, top double, bottom double"
+def borderless_tables(lines: DataFrame, cells: DataFrame, line_role: DataFrame) -> DataFrame:
+    """Cells of borderless tables: each run of table lines of a page, blank ones among them, by ``borderless``; runs that are no table give none."""
+    schema = "doc_id long, page_no int, run_no int, r0 int, c0 int, row_span int, col_span int, text string, align string, pad_left_pt double, confidence double, left double, right double, top double, bottom double"
 
     def page(p: pd.DataFrame) -> pd.DataFrame:
-        rows, run, before, table_no = [], [], None, 0
-
-        def close() -> None:
-            nonlocal table_no
-            made = borderless(run)
-            if made:
-                for r, c, down, wide, text, align, pad in made["cells"]:
-                    box = made["columns"][c], made["columns"][c + wide], made["rows"][r], made["rows"][r + down]
-                    rows.append((int(p["doc_id"].iloc[0]), int(p["page_no"].iloc[0]), table_no, r, c, down, wide, text, align, pad, made["confidence"], *box))
-                table_no += 1
-            run.clear()
-
-        for no, line in p.sort_values(["line_no", "cell_no"]).groupby("line_no"):
-            if before is not None and no != before + 1 and run:
-                close()
-            run.append((line["y"].iloc[0], line["size"].iloc[0], list(line[["text", "x", "x_end"]].itertuples(index=False, name=None))))
-            before = no
-        if run:
-            close()
+        rows = []
+        for run_no, run in p.sort_values("line_no").groupby("run_no"):
+            made = borderless([(y, size, [(c["text"], c["x"], c["x_end"]) for c in held] if held is not None else []) for y, size, held in zip(run["y"], run["size"], run["cells"], strict=True)])
+            for r, c, down, wide, text, align, pad in made["cells"] if made else ():
+                box = made["columns"][c], made["columns"][c + wide], made["rows"][r], made["rows"][r + down]
+                rows.append((int(p["doc_id"].iloc[0]), int(p["page_no"].iloc[0]), int(run_no), r, c, down, wide, text, align, pad, made["confidence"], *box))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
-    tabled = cells.join(line_role.where("role = 'table'").select(*PAGE, "line_no"), [*PAGE, "line_no"], "left_semi")
+    keys = [*PAGE, "line_no"]
+    held = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cell_no", "text", "x", "x_end"))).alias("cells"))
+    tabled = line_role.where("role = 'table'").join(lines.select(*keys, "y", "size"), keys).join(held, keys, "left")
     return tabled.groupBy(*PAGE).applyInPandas(page, schema)

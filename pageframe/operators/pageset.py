@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageframe.operators.ordering import folded
+
 PAGE_WIDTH, PAGE_HEIGHT = 595.28, 841.89
 
 
@@ -127,19 +129,17 @@ def split_on_blank(pages: DataFrame, is_blank: Column) -> DataFrame:
 def split_by_size(pages: DataFrame, max_bytes: int) -> DataFrame:
     """Parts in page order, closed before the page that would take them over the cap; a page over the cap stands alone.
 
-    The fold keeps only a document's page numbers and sizes.
+    A document's pages are walked in order with their part's number, size and length so far; unknown sizes count as none.
     """
-    listed = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_index", "bytes"))).alias("_pages"))
-    start = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).alias("part"), F.array().cast("array<int>").alias("parts"))
 
-    def add(state: Column, page: Column) -> Column:
-        closes = (state["size"] > 0) & (state["size"] + page["bytes"] > max_bytes) & (F.size(state["parts"]) > 0)
-        part = F.when(closes, state["part"] + 1).otherwise(state["part"])
-        return F.struct(F.when(closes, page["bytes"]).otherwise(state["size"] + page["bytes"]).alias("size"), part.alias("part"), F.concat(state["parts"], F.array(part)).alias("parts"))
+    def step(state: tuple[int, int, int], size: int | None) -> tuple[tuple[int, int, int], tuple[int, int]]:
+        part, total, pos = state
+        size = size or 0
+        if total > 0 and total + size > max_bytes:
+            part, total, pos = part + 1, 0, 0
+        return (part, total + size, pos + 1), (part, pos)
 
-    parts = listed.select("doc_id", F.posexplode(F.arrays_zip(F.transform("_pages", lambda p: p["page_index"]).alias("page_index"), F.aggregate("_pages", start, add, lambda s: s["parts"]).alias("part_no"))).alias("_i", "is"))
-    found = pages.join(parts.select("doc_id", "is.*"), ["doc_id", "page_index"])
-    return found.withColumn("pos", _place(["doc_id", "part_no"], "page_index"))
+    return folded(pages, "doc_id", ["page_index"], ["bytes"], "part_no int, pos int", lambda: (0, 0, 0), step)
 
 
 def add_source(spec: DataFrame, pages: DataFrame, added: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageframe.operators.ordering import numbered
+
 REQUIRED = ("slug", "file", "tool_id", "status", "category", "name", "title", "description", "h1")
 STATUSES = ("live", "soon")
 EXTERNAL = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:|//|#)"
@@ -51,7 +53,7 @@ def routes(df: DataFrame, base: str) -> DataFrame:
 def sitemap(df: DataFrame, base: str) -> DataFrame:
     """(pos, loc) of live pages, the root first, then by order."""
     live = routes(df.where("status = 'live'"), base)
-    return live.select(F.col("canonical").alias("loc"), "route", "ord").withColumn("pos", F.row_number().over(Window.orderBy(F.col("route") != "/", "ord")) - 1).select("pos", "loc")  # a registry's rows
+    return numbered(live.select(F.col("canonical").alias("loc"), "route", "ord"), F.when(F.col("route") != "/", F.col("ord").cast("long")), ["ord"]).select("pos", "loc")
 
 
 def redirects(df: DataFrame) -> DataFrame:
@@ -121,5 +123,5 @@ def check_contains(df: DataFrame, key: str, text: str, terms: list[str]) -> Data
 def ordered_subset(master: DataFrame, wanted: DataFrame, version: str) -> tuple[DataFrame, DataFrame]:
     """Wanted files in the master's order with a version appended, and those the master does not know."""
     w = wanted.select("file").distinct()
-    known = master.join(w, "file", "left_semi").withColumn("pos", F.row_number().over(Window.orderBy("ord")) - 1)  # a manifest's rows
+    known = numbered(master.join(w, "file", "left_semi"), F.col("ord").cast("long"), ["file"])
     return known.select("pos", F.concat("file", F.lit(f"?v={version}")).alias("file")), w.join(master.select("file").distinct(), "file", "left_anti")

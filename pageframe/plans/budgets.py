@@ -25,21 +25,26 @@ def variants(spark, sf):
 
 
 def pixels(spark, sf):
-    """Documents as one-channel images of their own bytes, sixteen to a row."""
-    d = D.table(spark, sf, "documents").where("text IS NOT NULL")
-    return d.select("doc_id", F.col("text").cast("binary").alias("data"), F.lit(1).alias("nChannels"))
+    """Documents as one-channel images: white pixels by id, then the bytes of the text; no text is no pixel more."""
+    white = F.unhex(F.expr("repeat('FF', cast(doc_id % 3 * 40000 as int))"))
+    return D.table(spark, sf, "documents").select("doc_id", F.concat(white, F.coalesce("text", F.lit("")).cast("binary")).alias("data"), F.lit(1).alias("nChannels"))
 
 
-@query("f2_invert", "SELECT doc_id, strlen(text) AS n_bytes, sha256(text) AS twice FROM documents WHERE text IS NOT NULL AND strlen(text) > 0")
+_BYTES = "WITH px AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, doc_id % 3 * 40000 AS white FROM documents)"
+
+
+@query("f2_invert", _BYTES + " SELECT doc_id, white + len(h) // 2 AS n_bytes, sha256(unhex(repeat('00', white::INTEGER) || translate(h, '0123456789ABCDEF', 'FEDCBA9876543210'))) AS inverted FROM px")
 def invert(spark, sf):
-    """Inverting twice gives the bytes again."""
-    p = R.invert(pixels(spark, sf).where("length(data) > 0"))
-    return R.invert(p).select("doc_id", F.length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("twice"))
+    return R.invert(pixels(spark, sf)).select("doc_id", F.length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("inverted"))
 
 
-@query("f3_ink_ratio", "SELECT doc_id, strlen(text) AS n_bytes, false AS is_blank FROM documents WHERE text IS NOT NULL AND strlen(text) > 0")
+@query(
+    "f3_ink_ratio",
+    _BYTES + """, k AS (SELECT doc_id, h, white + len(h) // 2 AS n, len(list_filter(range(len(h) // 2), lambda i: substr(h, 2 * i + 1, 2) < 'F5')) AS dark FROM px)
+SELECT doc_id, n AS n_bytes, CASE WHEN n > 0 THEN round(dark / n, 9) END AS ink, n > 0 AND coalesce(dark / nullif(n, 0) < 0.004, false) AS is_blank FROM k""",
+)
 def ink(spark, sf):
-    return R.ink_ratio(pixels(spark, sf).where("length(data) > 0")).select("doc_id", F.length("data").cast("long").alias("n_bytes"), "is_blank")
+    return R.ink_ratio(pixels(spark, sf)).select("doc_id", F.length("data").cast("long").alias("n_bytes"), F.round("ink", 9).alias("ink"), "is_blank")
 
 
 @query(
@@ -74,9 +79,18 @@ def choose(spark, sf):
     return R.choose_variant(assets(spark, sf), variants(spark, sf), F.lit(9000))
 
 
-@query("f8_ladder_choice", _V + " SELECT a.asset_id, CASE WHEN coalesce(f.bytes, l.bytes) < own THEN coalesce(f.step, l.step) END AS step, CASE WHEN coalesce(f.bytes, l.bytes) < own THEN coalesce(f.bytes, l.bytes) ELSE own END AS out_bytes FROM a JOIN l USING (asset_id) LEFT JOIN f USING (asset_id)")
+_TRIES = """WITH l AS (SELECT unnest(range(1, 11)) AS step, unnest([0.85, 0.75, 0.65, 0.55, 0.45, 0.35, 0.25, 0.7, 0.6, 0.5]::DOUBLE[]) AS q, unnest([1, 1, 1, 1, 1, 1, 1, 0.85, 0.85, 0.85]::DOUBLE[]) AS k),
+v AS (SELECT p_partkey AS asset_id, p_size * 1000 AS own, step, floor(p_size * 1300 * q * k * k + p_partkey % 7 * step * 90)::BIGINT AS bytes FROM part, l),
+f AS (SELECT asset_id, arg_min(bytes, step) AS bytes, min(step) AS step FROM v WHERE bytes <= 9000 GROUP BY asset_id), s AS (SELECT asset_id, any_value(own) AS own, min(row(bytes, step)) AS x FROM v GROUP BY asset_id)"""
+
+
+@query("f8_ladder_choice", _TRIES + " SELECT asset_id, CASE WHEN b < own THEN step END AS step, CASE WHEN b < own THEN b ELSE own END AS out_bytes FROM (SELECT asset_id, own, coalesce(f.bytes, x[1]) AS b, coalesce(f.step, x[2]) AS step FROM s LEFT JOIN f USING (asset_id))")
 def ladder(spark, sf):
-    return R.ladder_choice(assets(spark, sf), variants(spark, sf), F.lit(9000))
+    """Every part tried at each step of the ladder; sizes follow quality and scale, with a part of their own that grows from step to step."""
+    steps = F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(q).alias("q"), F.lit(k).alias("k")) for i, (q, k) in enumerate(R.LADDER)])
+    tried = D.table(spark, sf, "part").select("p_partkey", "p_size", F.inline(steps))
+    size = F.floor(F.col("p_size") * 1300 * F.col("q") * F.col("k") * F.col("k") + F.col("p_partkey") % 7 * F.col("step") * 90)
+    return R.ladder_choice(assets(spark, sf), tried.select(F.col("p_partkey").alias("asset_id"), "step", size.cast("long").alias("bytes")), F.lit(9000))
 
 
 _OUT = "WITH o AS (SELECT p_partkey AS asset_id, p_brand AS brand, p_size * 1000 AS bytes, p_size * 1000 - (p_partkey % 13 - 2) * p_size * 10 AS out_bytes FROM part), k AS (SELECT *, out_bytes >= bytes OR (bytes - out_bytes) / bytes < 0.04 AS orig FROM o)"
@@ -106,9 +120,9 @@ def to_pages(spark, sf):
 KEY = "0123456789abcdef"
 
 
-@query("g1_protect_unlock", "SELECT doc_id, sha256(text) AS opened, true AS sealed_ok, NULL::VARCHAR AS wrong FROM documents WHERE text IS NOT NULL")
+@query("g1_protect_unlock", "SELECT doc_id, sha256(coalesce(text, '')) AS opened, true AS sealed_ok, NULL::VARCHAR AS wrong FROM documents")
 def protect(spark, sf):
-    sealed = G.protect(D.table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text"), "text", F.lit(KEY))
+    sealed = G.protect(D.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", F.lit(KEY))
     opened = G.unlock(sealed, F.lit(KEY)).withColumn("wrong", F.try_aes_decrypt("sealed", F.lit(KEY[::-1])).cast("string"))
     return opened.select("doc_id", F.sha2("opened", 256).alias("opened"), F.col("sealed").isNotNull().alias("sealed_ok"), "wrong")
 
@@ -133,16 +147,18 @@ def recover(spark, sf):
     return G.recover(D.table(spark, sf, "part").withColumn("text", text), "text", "brand").select("p_partkey", "value", "tier")
 
 
-@query(
-    "i1_replay_edits",
-    """WITH RECURSIVE log AS (SELECT user_id AS doc_id, event_id AS seq, ['commit', 'undo', 'commit', 'redo', 'commit', 'undo', 'commit', 'commit', 'load', 'commit'][event_id % 10 + 1] AS op, 'v' || event_id AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+def replay_sql(seq: str) -> str:
+    """The edit log replayed by recursion, with the given number for each edit: ``i`` from 1, or ``seq``."""
+    return """WITH RECURSIVE log AS (SELECT user_id AS doc_id, event_id AS seq, ['commit', 'undo', 'commit', 'redo', 'commit', 'undo', 'commit', 'commit', 'load', 'commit'][event_id % 10 + 1] AS op, 'v' || event_id AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
 f AS (SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS seq, NULL::VARCHAR AS value, []::VARCHAR[] AS u, []::VARCHAR[] AS r FROM (SELECT DISTINCT doc_id FROM log)
 UNION ALL SELECT l.doc_id, l.i, l.seq, CASE WHEN op IN ('commit', 'load') THEN l.value WHEN op = 'undo' AND len(u) > 0 THEN u[-1] WHEN op = 'redo' AND len(r) > 0 THEN r[-1] ELSE f.value END,
   CASE WHEN op = 'load' THEN [] WHEN op = 'commit' OR op = 'redo' AND len(r) > 0 THEN list_append(u, f.value)[-50:] WHEN op = 'undo' AND len(u) > 0 THEN u[:-2] ELSE u END,
   CASE WHEN op IN ('load', 'commit') THEN [] WHEN op = 'undo' AND len(u) > 0 THEN list_append(r, f.value)[-50:] WHEN op = 'redo' AND len(r) > 0 THEN r[:-2] ELSE r END
 FROM f JOIN log l ON l.doc_id = f.doc_id AND l.i = f.i + 1)
-SELECT doc_id, seq, value, len(u) AS n_undo, len(r) AS n_redo FROM f WHERE i > 0""",
-)
+SELECT doc_id, SEQ AS seq, value, len(u) AS n_undo, len(r) AS n_redo FROM f WHERE i > 0""".replace("SEQ", seq)
+
+
+@query("i1_replay_edits", replay_sql("seq"))
 def replay(spark, sf):
     return I.replay_edits(D.edit_log(spark, sf))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pageframe.functions import text as T
+from pageframe.operators import blocks as BL
 from pageframe.operators import layout as L
 from pageframe.operators import layout_tables as LT
 from pageframe.plans import derive as D
@@ -13,10 +14,10 @@ from pageframe.plans.registry import query
 from pageframe.plans.stamps import rounded
 
 _LINES = """, li AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY y DESC) - 1 AS line_no FROM text_items),
-lines AS (SELECT doc_id, page_no, line_no, y, string_agg(str, '' ORDER BY x) AS text, arg_min(size, x) AS size, min(x) AS min_x, max(x + width) AS max_x FROM li GROUP BY doc_id, page_no, line_no, y)"""
-_CELLS = """, st AS (SELECT *, CASE WHEN lag(x + width) OVER l IS NULL OR x - lag(x + width) OVER l < greatest(9, size * 1.15) THEN 0 ELSE 1 END AS cut FROM li WINDOW l AS (PARTITION BY doc_id, page_no, line_no ORDER BY x)),
+lines AS (SELECT doc_id, page_no, line_no, y, string_agg(str, '' ORDER BY x) AS text, arg_min(size, x) AS size, min(x) FILTER (str <> ' ') AS min_x, max(x + width) FILTER (str <> ' ') AS max_x FROM li GROUP BY doc_id, page_no, line_no, y)"""
+_CELLS = """, st AS (SELECT *, CASE WHEN lag(x) OVER l IS NULL OR lag(str) OVER l = ' ' THEN 0 WHEN str = ' ' OR x - lag(x + width) OVER l >= greatest(9, size * 1.15) THEN 1 ELSE 0 END AS cut FROM li WINDOW l AS (PARTITION BY doc_id, page_no, line_no ORDER BY x)),
 nu AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id, page_no, line_no ORDER BY x) AS cell_no FROM st),
-cells AS (SELECT doc_id, page_no, line_no, cell_no::INTEGER AS cell_no, string_agg(str, '' ORDER BY x) AS text, min(x) AS x, max(x + width) AS x_end FROM nu GROUP BY doc_id, page_no, line_no, cell_no)"""
+cells AS (SELECT doc_id, page_no, line_no, cell_no::INTEGER AS cell_no, string_agg(str, '' ORDER BY x) AS text, min(x) AS x, max(x + width) AS x_end FROM nu WHERE str <> ' ' GROUP BY doc_id, page_no, line_no, cell_no)"""
 
 
 def items(spark, sf):
@@ -47,11 +48,13 @@ def split(spark, sf):
 
 @query(
     "d3_extract_rows",
-    ti("""SELECT doc_id, page_no, CASE WHEN c < 6 THEN 0 ELSE line_no END AS row_no, CASE WHEN c < 6 THEN 'Page ' || (page_no + 1) || ' (image content)' ELSE text END AS joined FROM lines JOIN (SELECT doc_id, page_no, sum(length(text)) AS c FROM lines GROUP BY ALL) USING (doc_id, page_no)
-UNION ALL SELECT doc_id, page_no, CASE WHEN sum(length(text)) < 6 THEN 1 ELSE max(line_no) + 1 END, '' FROM lines GROUP BY doc_id, page_no"""),
+    ti(""", cut AS (SELECT doc_id, page_no, line_no, regexp_replace(string_agg(CASE WHEN str = ' ' THEN chr(31) ELSE str END, '' ORDER BY x), '^\\x1F|\\x1F$', '', 'g') AS joined FROM li GROUP BY ALL),
+pg AS (SELECT doc_id, page_no, sum(length(trim(text))) AS c, max(line_no) AS last FROM lines GROUP BY doc_id, page_no)
+SELECT doc_id, page_no, line_no AS row_no, joined FROM cut JOIN pg USING (doc_id, page_no) WHERE c >= 6 UNION ALL SELECT doc_id, page_no, 0, 'Page ' || (page_no + 1) || ' (image content)' FROM pg WHERE c < 6
+UNION ALL SELECT doc_id, page_no, CASE WHEN c < 6 THEN 1 ELSE last + 1 END, NULL FROM pg""").replace("  , cut", ", cut").replace(" , cut", ", cut"),
 )
 def rows(spark, sf):
-    return L.extract_rows(D.text_items(spark, sf)).select("doc_id", "page_no", "row_no", F.array_join("cells", "|").alias("joined"))
+    return L.extract_rows(D.text_items(spark, sf)).select("doc_id", "page_no", "row_no", F.when(F.size("cells") > 0, F.array_join("cells", "\x1f")).alias("joined"))
 
 
 @query(
@@ -65,7 +68,7 @@ def clusters(spark, sf):
     return L.cluster_1d(o, ["o_custkey"], "v", 12).select("o_custkey", F.posexplode("centres").alias("n", "centre")).select("o_custkey", "n", F.round("centre", 6).alias("centre"))
 
 
-_PARA = """, g AS (SELECT *, lag(y) OVER w - y AS gap, coalesce(lag(y) OVER w - y > lag(size) OVER w * 1.6, true) AS begins FROM lines WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY line_no)),
+_PARA = """, g AS (SELECT *, lag(y) OVER w - y AS gap, coalesce(lag(y) OVER w - y > lag(size) OVER w * 1.6, true) AS begins FROM lines WHERE min_x IS NOT NULL WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY line_no)),
 p AS (SELECT *, sum(begins::INTEGER) OVER (PARTITION BY doc_id, page_no ORDER BY line_no) - 1 AS para_no FROM g),
 b AS (SELECT *, NOT begins AND coalesce(lag(max_x) OVER q < 0.65 * max(max_x) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS breaks FROM p WINDOW q AS (PARTITION BY doc_id, page_no, para_no ORDER BY line_no))"""
 
@@ -73,7 +76,7 @@ b AS (SELECT *, NOT begins AND coalesce(lag(max_x) OVER q < 0.65 * max(max_x) OV
 @query(
     "d5_paragraphs",
     D.sql(
-        _LINES + _PARA + """ SELECT doc_id, page_no, para_no, count(*) AS n_lines, string_agg(text, ' ' ORDER BY line_no) AS text, CASE WHEN count(gap) FILTER (WHERE begins) > 0 THEN round(least(max(gap) FILTER (WHERE begins), 200), 6) END AS spacing_before, CASE WHEN count(*) > 1 THEN round(greatest(6, least(60, avg(gap) FILTER (WHERE NOT begins))), 6) END AS line_spacing, count(*) FILTER (WHERE breaks) AS n_breaks,
+        _LINES + _PARA + """ SELECT doc_id, page_no, para_no, count(*) AS n_lines, string_agg(CASE WHEN breaks THEN chr(10) ELSE '' END || text, ' ' ORDER BY line_no) AS text, CASE WHEN count(gap) FILTER (WHERE begins) > 0 THEN round(least(max(gap) FILTER (WHERE begins), 200), 6) END AS spacing_before, CASE WHEN count(*) > 1 THEN round(greatest(6, least(60, avg(gap) FILTER (WHERE NOT begins))), 6) END AS line_spacing, count(*) FILTER (WHERE breaks) AS n_breaks,
   CASE WHEN 595.28 - arg_min(max_x, line_no) < 595.28 * 0.04 AND arg_min(min_x, line_no) > 595.28 * 0.2 THEN 'right' WHEN arg_min(min_x, line_no) > 595.28 * 0.15 AND 595.28 - arg_min(max_x, line_no) > 595.28 * 0.15 AND abs(arg_min(min_x, line_no) - 595.28 + arg_min(max_x, line_no)) < 595.28 * 0.08 THEN 'center' ELSE 'left' END AS align
 FROM b GROUP BY doc_id, page_no, para_no""",
         "text_items",
@@ -81,7 +84,7 @@ FROM b GROUP BY doc_id, page_no, para_no""",
 )
 def paragraphs(spark, sf):
     p = L.to_paragraphs(lines(spark, sf), F.lit(595.28))
-    return p.select("doc_id", "page_no", "para_no", "n_lines", F.replace("text", F.lit("\n"), F.lit("")).alias("text"), F.round("spacing_before", 6).alias("spacing_before"), F.when(F.col("n_lines") > 1, F.round("line_spacing", 6)).alias("line_spacing"), "n_breaks", "align")
+    return p.select("doc_id", "page_no", "para_no", "n_lines", "text", F.round("spacing_before", 6).alias("spacing_before"), F.when(F.col("n_lines") > 1, F.round("line_spacing", 6)).alias("line_spacing"), "n_breaks", "align")
 
 
 @query("d5_paragraph_runs", D.sql(_LINES + _PARA + " SELECT p.doc_id, p.page_no, para_no, l.line_no AS run_line, string_agg(str, '' ORDER BY x) AS text FROM li l JOIN p USING (doc_id, page_no, line_no) GROUP BY p.doc_id, p.page_no, para_no, l.line_no", "text_items"))
@@ -101,18 +104,18 @@ def list_items(spark, sf):
 _ALIGN = "CASE WHEN r < w * 0.08 AND l > w * 0.15 THEN 'right' WHEN l > w * 0.15 AND r > w * 0.15 AND abs(l - r) < w * 0.12 THEN 'center' ELSE 'left' END"
 
 
-@query("d7_alignment", ti(f"SELECT doc_id, page_no, line_no, {_ALIGN} AS align, CASE WHEN {_ALIGN} = 'left' THEN greatest(2, least(14, l)) ELSE 4 END AS pad FROM (SELECT doc_id, page_no, line_no, min_x - (50 - line_no % 9 * 5) AS l, 520 - max_x + line_no % 7 * 9 AS r, 470.0 + line_no % 9 * 5 + line_no % 7 * 9 AS w FROM lines)"))
+@query("d7_alignment", ti(f"SELECT doc_id, page_no, line_no, {_ALIGN} AS align, CASE WHEN {_ALIGN} = 'left' THEN greatest(2, least(14, l)) ELSE 4 END AS pad, CASE WHEN t > 0.3 * h AND d < 0.15 * h AND h > 4 THEN 'bottom' WHEN t > 0.25 * h AND d > 0.25 * h AND abs(t - d) < 0.15 * h AND h > 4 THEN 'center' ELSE 'top' END AS valign FROM (SELECT doc_id, page_no, line_no, line_no % 5 * 4.0 AS t, line_no % 4 * 3.0 AS d, line_no % 5 * 4.0 + line_no % 4 * 3.0 + line_no % 3 * 2 + 2 AS h, min_x - (50 - line_no % 9 * 5) AS l, 520 - max_x + line_no % 7 * 9 AS r, 470.0 + line_no % 9 * 5 + line_no % 7 * 9 AS w FROM lines)"))
 def alignment(spark, sf):
     k = F.col("line_no")
-    g = lines(spark, sf).select("doc_id", "page_no", "line_no", (F.col("min_x") - (50 - k % 9 * 5)).alias("l"), (520 - F.col("max_x") + k % 7 * 9).alias("r"), (470.0 + k % 9 * 5 + k % 7 * 9).alias("w"))
+    g = lines(spark, sf).select("doc_id", "page_no", "line_no", (F.col("min_x") - (50 - k % 9 * 5)).alias("l"), (520 - F.col("max_x") + k % 7 * 9).alias("r"), (470.0 + k % 9 * 5 + k % 7 * 9).alias("w"), (k % 5 * 4.0).alias("t"), (k % 4 * 3.0).alias("d"), (k % 5 * 4.0 + k % 4 * 3.0 + k % 3 * 2 + 2).alias("h"))
     a = L.cell_align(F.col("l"), F.col("r"), F.col("w"))
-    return g.select("doc_id", "page_no", "line_no", a.alias("align"), L.pad_left(a, F.col("l")).alias("pad"))
+    return g.select("doc_id", "page_no", "line_no", a.alias("align"), L.pad_left(a, F.col("l")).alias("pad"), L.vertical_align(F.col("t"), F.col("d"), F.col("h")).alias("valign"))
 
 
 @query("d8_line_roles")
 def roles(spark, sf):
-    small = cells(spark, sf)
-    return LT.line_roles(small, L.split_cells(lines(spark, sf), L.big_gap(F.lit(595.28))))
+    l = lines(spark, sf)
+    return LT.line_roles(l, L.split_cells(l, L.small_gap(F.col("size"))), L.split_cells(l, L.big_gap(F.lit(595.28))))
 
 
 def shapes(spark, sf):
@@ -125,14 +128,67 @@ def shapes(spark, sf):
     return every.select("*", F.array(F.lit(0), F.lit(0), F.lit(0)).alias("stroke"), F.lit(None).cast("array<int>").alias("fill"))
 
 
-@query("d9_ruled_grids")
+def grid_sql(items: str) -> str:
+    """The cells of the grid of ``shapes`` on every page, with their text and its place, from a table of items."""
+    return f""", gc AS (SELECT doc_id, page_no, r, c, s, 45.0 + 240 * c AS l, 45.0 + 240 * (c + s) AS rt, 800.0 - 60 * r AS top, 740.0 - 60 * r AS low FROM (SELECT DISTINCT doc_id, page_no FROM {items}),
+  (SELECT unnest([0, 0, 1, 1, 1, 2, 2]) AS r, unnest([0, 1, 0, 1, 0, 0, 1]) AS c, unnest([1, 1, 1, 1, 2, 1, 1]) AS s) WHERE r <> 1 OR (s = 2) = ((doc_id + page_no) % 2 = 1)),
+gi AS (SELECT gc.*, i.str, i.x, i.width, i.size, i.y FROM gc JOIN {items} i ON i.doc_id = gc.doc_id AND i.page_no = gc.page_no AND i.y BETWEEN low - 2 AND top + 2 AND i.x >= l - 1 AND i.x < rt + 1),
+gl AS (SELECT doc_id, page_no, r, c, y, string_agg(str, '' ORDER BY x) AS txt, any_value(size) AS size FROM gi GROUP BY ALL HAVING bool_or(str <> ' ')),
+gt AS (SELECT doc_id, page_no, r, c, trim(string_agg(CASE WHEN gap THEN ' ' ELSE '' END || txt, ' ' ORDER BY y DESC)) AS txt FROM (SELECT *, coalesce(lag(y) OVER w - y > lag(size) OVER w * 1.6, false) AS gap FROM gl WINDOW w AS (PARTITION BY doc_id, page_no, r, c ORDER BY y DESC)) GROUP BY ALL),
+gp AS (SELECT doc_id, page_no, r, c, min(x) FILTER (str <> ' ') - any_value(l) AS lg, any_value(rt) - max(x + width) FILTER (str <> ' ') AS rg, any_value(rt - l) AS w, any_value(top) - max(y) AS ab, min(y) - any_value(low) AS be FROM gi GROUP BY ALL),
+ga AS (SELECT *, CASE WHEN rg < w * 0.08 AND lg > w * 0.15 THEN 'right' WHEN lg > w * 0.15 AND rg > w * 0.15 AND abs(lg - rg) < w * 0.12 THEN 'center' ELSE 'left' END AS align FROM gp WHERE lg IS NOT NULL),
+grid AS (SELECT doc_id, page_no, 0 AS table_no, r AS r0, c AS c0, 1 AS row_span, s AS col_span, coalesce(txt, '') AS text, coalesce(align, 'left') AS align,
+  CASE WHEN be < 9 AND ab > 18 THEN 'bottom' WHEN ab > 15 AND be > 15 AND abs(ab - be) < 9 THEN 'center' ELSE 'top' END AS valign, CASE WHEN align = 'left' THEN greatest(2, least(14, lg)) ELSE 4 END::DOUBLE AS pad_left_pt, l::DOUBLE AS "left", rt::DOUBLE AS "right", top::DOUBLE AS top, low::DOUBLE AS bottom
+  FROM gc LEFT JOIN gt USING (doc_id, page_no, r, c) LEFT JOIN ga USING (doc_id, page_no, r, c))"""
+
+
+@query("d9_ruled_grids", D.sql(grid_sql("text_items") + " SELECT * FROM grid", "text_items"))
 def grids(spark, sf):
     return rounded(LT.detect_grids(shapes(spark, sf), items(spark, sf)))
 
 
 @query("d10_borderless_tables")
 def borderless(spark, sf):
-    return rounded(LT.borderless_tables(cells(spark, sf), roles(spark, sf)))
+    l = lines(spark, sf)
+    small = L.split_cells(l, L.small_gap(F.col("size")))
+    return rounded(LT.borderless_tables(l, small, LT.line_roles(l, small, L.split_cells(l, L.big_gap(F.lit(595.28))))))
+
+
+_BLOCKS = (
+    """, bi AS (SELECT doc_id, page_no, item_no, CASE WHEN str = ' ' THEN 'f' ELSE str END AS str, item_no // 12 % 40 AS ln, item_no % 12 AS k, 50.0 + item_no % 12 * 36 + CASE WHEN item_no // 12 % 10 IN (6, 7) AND item_no % 12 >= 6 THEN 100 ELSE 0 END AS x, 36.0 AS width, y, size FROM text_items)"""
+    + grid_sql("(SELECT * FROM bi WHERE (doc_id + page_no) % 3 > 0)")
+    + """, bl AS (SELECT doc_id, page_no, ln, y, any_value(size) AS size, ln % 10 IN (6, 7) AND max(k) >= 6 AS col FROM bi WHERE y > 802 OR y < 618 OR (doc_id + page_no) % 3 = 0 GROUP BY doc_id, page_no, ln, y),
+br AS (SELECT *, sum(ch) OVER w AS run FROM (SELECT *, CASE WHEN lag(col) OVER w = col THEN 0 ELSE 1 END AS ch FROM bl WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY ln)) WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY ln)),
+bs AS (SELECT doc_id, page_no, run, col, CASE WHEN col AND k >= 6 THEN 1 ELSE 0 END AS side, ln, br.y, br.size, string_agg(str, '' ORDER BY x) AS txt, max(x + width) AS max_x, min(x) AS min_x FROM br JOIN bi USING (doc_id, page_no, ln) GROUP BY ALL),
+b1 AS (SELECT *, coalesce(lag(y) OVER w - y > lag(size) OVER w * 1.6, true) AS begins FROM bs WINDOW w AS (PARTITION BY doc_id, page_no, run, side ORDER BY ln)),
+b2 AS (SELECT *, sum(begins::INTEGER) OVER (PARTITION BY doc_id, page_no, run, side ORDER BY ln) AS para FROM b1),
+b3 AS (SELECT *, NOT begins AND coalesce(lag(max_x) OVER q < 0.65 * max(max_x) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS breaks FROM b2 WINDOW q AS (PARTITION BY doc_id, page_no, run, side, para ORDER BY ln)),
+bp AS (SELECT doc_id, page_no, run, col, side, para, max(y) AS y, min(y) AS low, string_agg(CASE WHEN breaks THEN chr(10) ELSE '' END || txt, ' ' ORDER BY ln) AS txt FROM b3 GROUP BY doc_id, page_no, run, col, side, para),
+st AS (SELECT doc_id, page_no, y AS sy FROM (SELECT DISTINCT doc_id, page_no FROM bi WHERE (doc_id + page_no) % 3 = 0), (SELECT unnest([95.0, 428.0]) AS y)),
+every AS (
+  SELECT doc_id, page_no, 'paragraph' AS type, y, NULL::INTEGER AS n_rows, NULL::INTEGER AS n_cols, txt AS joined, false AS shaded, run, para AS no FROM bp WHERE NOT col
+  UNION ALL SELECT doc_id, page_no, 'columns', max(y), NULL, NULL, string_agg(txt, '|' ORDER BY side, para), min(low) >= 287 AND max(y) <= 343, run, 0 FROM bp WHERE col GROUP BY doc_id, page_no, run
+  UNION ALL SELECT doc_id, page_no, 'gridtable', 800, 3, 2, string_agg(text, '|' ORDER BY r0, c0), false, -1, 0 FROM grid GROUP BY doc_id, page_no
+  UNION ALL SELECT doc_id, page_no, 'separator', sy, NULL, NULL, '', false, -2, 0 FROM st WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, page_no, y, min(min_x) AS a, max(max_x) AS b FROM bs GROUP BY doc_id, page_no, y) t WHERE t.doc_id = st.doc_id AND t.page_no = st.page_no AND abs(t.y - sy) <= 4 AND least(b, 445) - greatest(a, 45) > 0.4 * least(400, b - a)))
+SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y DESC, run, no) - 1 AS pos, type, y::DOUBLE AS y, n_rows, n_cols, joined, shaded FROM every"""
+)
+
+
+@query("d_blocks", D.sql(_BLOCKS, "text_items"))
+def blocks(spark, sf):
+    """Pages with a grid at the top or with an underline and a separator, text that stands in two columns on some lines, and a box around some of those."""
+    k, line = F.col("item_no") % 12, F.floor(F.col("item_no") / 12)
+    shift = F.when((line % 10).isin(6, 7) & (k >= 6), 100.0).otherwise(0.0)
+    words = D.text_items(spark, sf).withColumn("str", F.when(F.col("str") == " ", "f").otherwise(F.col("str"))).withColumn("x", 50.0 + k * 36 + shift).withColumn("width", F.lit(36.0))
+    i = L.group_lines(words)
+    more = [(20, 45.0, 95.0, 400.0, 1.0), (21, 45.0, 428.0, 400.0, 1.0), (22, 40.0, 290.0, 520.0, 50.0)]
+    made = [F.struct(F.lit(n).alias("shape_no"), *[F.lit(v).alias(c) for c, v in zip("xywh", box, strict=True)]) for n, *box in more]
+    rgb = lambda *v: F.array(*[F.lit(x) for x in v])
+    extra = words.select("doc_id", "page_no").distinct().select("doc_id", "page_no", F.inline(F.array(*made)))
+    extra = extra.withColumn("stroke", F.when(F.col("h") < 2, rgb(0, 0, 0))).withColumn("fill", F.when(F.col("h") > 2, rgb(200, 210, 220)))
+    third = (F.col("doc_id") + F.col("page_no")) % 3
+    b = BL.page_blocks(i, shapes(spark, sf).where(third > 0).unionByName(extra.where((third == 0) | (F.col("h") > 2))), 595.28)
+    return b.select("doc_id", "page_no", "pos", "type", "y", "n_rows", "n_cols", F.array_join("texts", "|").alias("joined"), F.col("shade").isNotNull().alias("shaded"))
 
 
 @query(
@@ -157,7 +213,7 @@ def strokes(spark, sf):
 
 @query(
     "d12_underlines",
-    ti(_STROKES.lstrip() + """, u AS (SELECT s.doc_id, s.page_no, shape_no, min(line_no) AS line_no FROM strokes s JOIN lines l ON l.doc_id = s.doc_id AND l.page_no = s.page_no AND abs(s.y - l.y) <= 4 AND least(max_x, x + w) - greatest(min_x, x) > 0.4 * least(w, max_x - min_x) GROUP BY ALL)
+    ti(_STROKES.lstrip() + """, u AS (SELECT s.doc_id, s.page_no, shape_no, min(line_no) AS line_no FROM strokes s JOIN lines l ON l.doc_id = s.doc_id AND l.page_no = s.page_no AND l.min_x IS NOT NULL AND abs(s.y - l.y) <= 4 AND least(max_x, x + w) - greatest(min_x, x) > 0.4 * least(w, max_x - min_x) GROUP BY ALL)
 SELECT doc_id, page_no, shape_no, line_no FROM strokes LEFT JOIN u USING (doc_id, page_no, shape_no)""").replace(" , strokes", ", strokes", 1),
 )
 def underlines(spark, sf):
@@ -181,8 +237,8 @@ def boxes(spark, sf):
 
 @query(
     "d14_nearest_color",
-    ti(""", spans AS (SELECT doc_id, page_no, item_no AS span_no, x + item_no % 3 * 10 AS sx, y - item_no % 4 * 6 AS sy FROM li WHERE item_no % 5 = 0),
-m AS (SELECT l.doc_id, l.page_no, l.item_no, span_no, row_number() OVER (PARTITION BY l.doc_id, l.page_no, l.item_no ORDER BY (sx - x) * (sx - x) + (sy - y) * (sy - y), span_no DESC) AS i FROM li l JOIN spans s ON s.doc_id = l.doc_id AND s.page_no = l.page_no WHERE (sx - x) * (sx - x) + (sy - y) * (sy - y) <= 1600)
+    ti(""", spans AS (SELECT doc_id, page_no, item_no AS span_no, x + item_no % 3 * 10 AS sx, y - item_no % 4 * 6 AS sy, floor((y - item_no % 4 * 6) / 40) AS sq FROM li WHERE item_no % 5 = 0),
+m AS (SELECT l.doc_id, l.page_no, l.item_no, span_no, row_number() OVER (PARTITION BY l.doc_id, l.page_no, l.item_no ORDER BY (sx - x) * (sx - x) + (sy - y) * (sy - y), span_no DESC) AS i FROM li l, (SELECT unnest([-1, 0, 1]) AS d) JOIN spans s ON s.doc_id = l.doc_id AND s.page_no = l.page_no AND s.sq = floor(l.y / 40) + d WHERE (sx - x) * (sx - x) + (sy - y) * (sy - y) <= 1600)
 SELECT doc_id, page_no, item_no, m.span_no % 256 AS red FROM li LEFT JOIN (SELECT * FROM m WHERE i = 1) m USING (doc_id, page_no, item_no)""").replace(" , spans", ", spans"),
 )
 def colors(spark, sf):
@@ -202,32 +258,32 @@ def in_cells(spark, sf):
     return L.images_in_cells(i, c).select("doc_id", "page_no", "image_no", "r0")
 
 
-_RUN = """, p AS (SELECT doc_id, page_index // 4 AS page_no, page_index % 4 AS para_no, CASE WHEN page_index % 4 = 0 AND page_index % 5 <> 0 THEN 'head' ELSE text END AS text FROM doc_pages),
+_RUN = """, p AS (SELECT doc_id, page_index // 4 AS page_no, page_index % 4 AS para_no, CASE WHEN page_index % 4 = 0 AND page_index % 5 <> 0 THEN 'head' WHEN page_index % 4 = 3 AND page_index % 7 <> 0 THEN ' Foot ' ELSE text END AS text FROM doc_pages),
 n AS (SELECT doc_id, count(DISTINCT page_no) AS n_pages FROM p GROUP BY doc_id),
-e AS (SELECT doc_id, page_no, lower(trim(arg_min(text, para_no))) AS t FROM p GROUP BY doc_id, page_no),
-c AS (SELECT doc_id, t, count(*) AS k, min(page_no) AS f FROM e WHERE t <> '' GROUP BY doc_id, t),
-b AS (SELECT doc_id, t, k FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, f) = 1),
-h AS (SELECT b.doc_id, t FROM b JOIN n USING (doc_id) WHERE n_pages >= 2 AND k >= greatest(2, ceil(n_pages * 0.6)))
-SELECT p.doc_id, page_no, min(para_no) AS para_no FROM p JOIN h ON h.doc_id = p.doc_id AND lower(trim(text)) = t GROUP BY p.doc_id, page_no"""
+e AS (SELECT doc_id, page_no, 'header' AS role, lower(trim(arg_min(text, para_no))) AS t FROM p GROUP BY doc_id, page_no UNION ALL SELECT doc_id, page_no, 'footer', lower(trim(arg_max(text, para_no))) FROM p GROUP BY doc_id, page_no),
+c AS (SELECT doc_id, role, t, count(*) AS k, min(page_no) AS f FROM e WHERE t <> '' GROUP BY ALL),
+b AS (SELECT doc_id, role, t, k FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, role ORDER BY k DESC, f) = 1),
+h AS (SELECT b.doc_id, role, t FROM b JOIN n USING (doc_id) WHERE n_pages >= 2 AND k >= greatest(2, ceil(n_pages * 0.6)))
+SELECT p.doc_id, page_no, role, min(para_no) AS para_no FROM p JOIN h ON h.doc_id = p.doc_id AND lower(trim(text)) = t GROUP BY p.doc_id, page_no, role"""
 
 
 @query("d16_running_headers", D.sql(_RUN, "doc_pages"))
 def running(spark, sf):
     i = F.col("page_index")
-    p = D.doc_pages(spark, sf).select("doc_id", F.floor(i / 4).cast("int").alias("page_no"), (i % 4).alias("para_no"), F.when((i % 4 == 0) & (i % 5 != 0), "head").otherwise(F.col("text")).alias("text"))
+    p = D.doc_pages(spark, sf).select("doc_id", F.floor(i / 4).cast("int").alias("page_no"), (i % 4).alias("para_no"), F.when((i % 4 == 0) & (i % 5 != 0), "head").when((i % 4 == 3) & (i % 7 != 0), " Foot ").otherwise(F.col("text")).alias("text"))
     n = p.groupBy("doc_id").agg(F.countDistinct("page_no").alias("n_pages"))
-    return L.detect_running(p, n).where("role = 'header'").select("doc_id", "page_no", "para_no")
+    return L.detect_running(p, n).select("doc_id", "page_no", "role", "para_no")
 
 
 @query(
     "d17_reading_order",
-    ti("""SELECT doc_id, page_no, kind, no, placement, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y DESC, kind, no) - 1 AS pos FROM (SELECT doc_id, page_no, 'block' AS kind, line_no AS no, y, NULL AS placement FROM lines
-UNION ALL SELECT doc_id, page_no, 'image', line_no, y - line_no % 4 * 9, CASE WHEN line_no % 2 = 0 THEN 'centered' ELSE 'anchored' END FROM lines WHERE line_no % 6 = 1 OR line_no % 6 = 4)"""),
+    ti("""SELECT doc_id, page_no, kind, no, placement, round(y_from_top, 6) AS y_from_top, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y DESC, kind, no) - 1 AS pos FROM (SELECT doc_id, page_no, 'block' AS kind, line_no AS no, y, NULL AS placement, NULL AS y_from_top FROM lines
+UNION ALL SELECT doc_id, page_no, 'image', line_no, y - line_no % 4 * 9, CASE WHEN line_no % 2 = 0 THEN 'centered' ELSE 'anchored' END, 821.89 - (y - line_no % 4 * 9) FROM lines WHERE line_no % 6 = 1 OR line_no % 6 = 4)"""),
 )
 def order(spark, sf):
     l, k = lines(spark, sf), F.col("line_no")
     i = l.where("line_no % 6 IN (1, 4)").select("doc_id", "page_no", k.alias("image_no"), (F.col("y") - k % 4 * 9).alias("y_pt"), F.when(k % 2 == 0, 300.0).otherwise(100.0).alias("width_pt"), F.lit(20.0).alias("height_pt"), F.lit(595.28).alias("page_width_pt"), F.lit(841.89).alias("page_height_pt"))
-    return L.reading_order(l.select("doc_id", "page_no", k.alias("block_no"), "y"), i).select("doc_id", "page_no", "kind", "no", "placement", "pos")
+    return L.reading_order(l.select("doc_id", "page_no", k.alias("block_no"), "y"), i).select("doc_id", "page_no", "kind", "no", "placement", F.round("y_from_top", 6).alias("y_from_top"), "pos")
 
 
 @query("d18_has_text", D.sql("SELECT doc_id, page_index // 3 AS page_no, bool_or(page_index % 3 <> 1 AND trim(text) <> '') AS has_text FROM doc_pages GROUP BY doc_id, page_index // 3", "doc_pages"))

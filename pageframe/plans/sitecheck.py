@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pageframe.operators import sitecheck as H
+from pageframe.operators.ordering import numbered
 from pageframe.plans import derive as D
 from pageframe.plans.registry import query
-from pageframe.sources.intake import order_of
 
 _REG = """reg AS (SELECT p_partkey AS ord, lower(replace(p_name, ' ', '-')) || '-' || p_partkey % 1900 AS slug, CASE WHEN p_partkey % 40 = 0 THEN 'Bad File.htm' ELSE 'part-' || p_partkey % 1950 || '.html' END AS file, 'tool' || p_partkey AS tool_id,
   CASE WHEN p_partkey % 30 = 0 THEN 'gone' WHEN p_partkey % 4 = 0 THEN 'soon' ELSE 'live' END AS status, p_brand AS category, p_name AS name, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_name || ' title' END AS title, CASE WHEN p_partkey % 25 = 0 THEN '' ELSE p_type END AS description, p_name AS h1,
@@ -87,19 +87,35 @@ def broken(spark, sf):
     return H.broken_links(D.table(spark, sf, "pages"), known).select("page_id", "n")
 
 
-@query("h8_check_scripts", r"SELECT page_id, len(regexp_extract_all(html, '(?i)<script\b[^>]*>')) AS n_scripts, true AS in_order, true AS pinned FROM pages")
+def tagged(spark, sf):
+    """Pages with tags by id: scripts in and out of order, with and without integrity, and metadata that every other page has."""
+    k = F.col("page_id")
+    scripts_ = F.when(k % 4 == 0, '<script src="a.js"></script><SCRIPT src=\'b.js\'></SCRIPT>').when(k % 4 == 1, '<script src="b.js"></script><script src="a.js"></script>').when(k % 4 == 2, '<script src="https://x.example/c.js" integrity="sha" crossorigin></script>').otherwise('<script src="//x.example/c.js"></script>')
+    id_ = k.cast("string")
+    metas = F.when(k % 2 == 0, F.concat(F.lit('<META name="Description" content="About '), id_, F.lit('"><meta content="noindex" name="robots"><link rel="canonical" href="https://x.example/'), id_, F.lit('"><script type="application/ld+json">{"@type": "T'), id_, F.lit('"}</script>'))).otherwise("")
+    return D.table(spark, sf, "pages").withColumn("html", F.concat(scripts_, metas, F.coalesce("html", F.lit(""))))
+
+
+@query(
+    "h8_check_scripts",
+    r"SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '(?i)<script\b[^>]*>')) + CASE WHEN page_id % 4 < 2 THEN 2 ELSE 1 END + (page_id % 2 = 0)::INTEGER AS n_scripts, page_id % 4 = 0 AND NOT regexp_matches(coalesce(html, ''), '(?i)<script[^>]*\ssrc') AS in_order, page_id % 4 <> 3 AS pinned FROM pages",
+)
 def scripts(spark, sf):
-    return H.check_scripts(D.table(spark, sf, "pages"), [])
+    return H.check_scripts(tagged(spark, sf), ["a.js", "b.js"])
 
 
-@query("h9_page_meta", r"SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, '' AS description, '' AS canonical, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h1, 0 AS n_types FROM pages")
+@query(
+    "h9_page_meta",
+    r"""SELECT page_id, regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1) AS title, CASE WHEN page_id % 2 = 0 THEN 'About ' || page_id ELSE '' END AS description, CASE WHEN page_id % 2 = 0 THEN 'https://x.example/' || page_id ELSE '' END AS canonical,
+  CASE WHEN page_id % 2 = 0 THEN 'noindex' ELSE '' END AS robots, regexp_extract(coalesce(html, ''), '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h1, CASE WHEN page_id % 2 = 0 THEN 'T' || page_id ELSE '' END AS types FROM pages""",
+)
 def meta(spark, sf):
-    return H.page_meta(D.table(spark, sf, "pages")).select("page_id", "title", "description", "canonical", "h1", F.size("types").alias("n_types"))
+    return H.page_meta(tagged(spark, sf)).withColumn("types", F.array_join("types", " "))
 
 
 @query("h10_check_sitemap", "WITH s AS (SELECT row_number() OVER (ORDER BY page_id) - 1 AS pos, url, page_id FROM pages) SELECT 'order' AS problem, pos, url AS loc FROM s WHERE page_id % 10 = 3 UNION ALL SELECT 'duplicate', min(pos), url FROM s GROUP BY url HAVING count(*) > 1")
 def check_sitemap(spark, sf):
-    s = order_of(D.table(spark, sf, "pages").select("page_id", F.col("url").alias("loc")).withColumn("k", F.lit(0)), ["k"], F.col("page_id"))
+    s = numbered(D.table(spark, sf, "pages").select("page_id", F.col("url").alias("loc")), F.col("page_id"), ["loc"])
     return H.check_sitemap(s.select("pos", "loc"), s.select("pos", F.when(F.col("page_id") % 10 == 3, "other").otherwise(F.col("loc")).alias("loc")))
 
 
@@ -108,7 +124,9 @@ def contains(spark, sf):
     return H.check_contains(D.table(spark, sf, "pages"), "page_id", "html", ["&copy;", "href", "nowhere", "<h1>"])
 
 
-@query("h12_ordered_subset", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_name || '-' || p_partkey || '?v=7' AS file FROM part WHERE p_size % 3 = 0")
+@query("h12_ordered_subset", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_name || '-' || p_partkey || '?v=7' AS file FROM part WHERE p_size % 3 = 0 UNION ALL SELECT NULL, n_name FROM nation")
 def subset(spark, sf):
     m = D.table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), "p_size", F.concat("p_name", F.lit("-"), F.col("p_partkey").cast("string")).alias("file"))
-    return H.ordered_subset(m, m.where("p_size % 3 = 0").select("file"), "7")[0]
+    wanted = m.where("p_size % 3 = 0").select("file").union(D.table(spark, sf, "nation").select("n_name"))
+    known, unknown = H.ordered_subset(m, wanted, "7")
+    return known.union(unknown.select(F.lit(None).cast("int"), "file"))

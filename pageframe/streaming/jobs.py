@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pageframe.operators.editlog import CAP
+from pageframe.operators.editlog import applied
 from pageframe.sources import intake
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -23,58 +23,55 @@ def file_stream(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.lit("").alias("mime"), F.col("length").alias("size"), "content")
 
 
-def intake_stream(files: DataFrame, accept: str, good: str, bad: str, checkpoint: str) -> StreamingQuery:
-    """Checks each file's type, size and first bytes, and, within a micro-batch, the count and total; good files and quarantined ones are
-    appended to two folders. A batch that is run again after a failure writes the same rows to the folder of its own number."""
+def checked(files: DataFrame, accept: str, batch: str) -> DataFrame:
+    """``files`` (path, name, mime, size, content) with the ``error_code`` of type, size, count and total of its ``batch``, or of its first bytes.
 
-    def split(batch: DataFrame, number: int) -> None:
-        checked = intake.validate_intake(batch.withColumn("batch", F.lit(number)), "batch", accept)
-        signed = intake.check_signature(checked).withColumn("error_code", F.coalesce("error_code", F.when(~F.col("signature_ok"), "invalid-signature")))
-        ok, failed = intake.split_bad(signed.drop("signature_ok", "batch"), "error_code")
-        ok.write.mode("overwrite").parquet(f"{good}/batch={number}")
-        failed.drop("content").write.mode("overwrite").parquet(f"{bad}/batch={number}")
+    Names and sizes are judged first, without contents; only the bytes of files that pass, and are within the limit of
+    their kind, are looked at, and a file source reads no others.
+    """
+    judged = intake.validate_intake(files.drop("content"), batch, accept).select("path", "error_code")
+    most = max(intake.MAX_BYTES.values())
+    held = files.where(F.col("size") <= most).select("path", "name", "mime", "content").join(judged.where("error_code IS NULL").select("path"), "path", "left_semi")
+    signed = intake.check_signature(held).select("path", "content", "signature_ok")
+    found = files.drop("content").join(judged, "path").join(signed, "path", "left")
+    return found.withColumn("error_code", F.coalesce("error_code", F.when(~F.col("signature_ok"), "invalid-signature"))).withColumn("content", F.when(F.col("error_code").isNull(), F.col("content"))).drop("signature_ok")
 
-    return files.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def intake_stream(files: DataFrame, accept: str, out: str, checkpoint: str, batch: str | None = None) -> StreamingQuery:
+    """Checks each file, and the count and total of each ``batch`` within a micro-batch, or of the micro-batch. All rows go to ``out``
+    in one write, parted by micro-batch and by whether they are ``good`` (1 or 0); quarantined ones carry their error and no bytes. A batch that
+    is run again after a failure writes the same rows to the folder of its own number."""
+
+    def split(rows: DataFrame, number: int) -> None:
+        keyed = rows if batch else rows.withColumn("batch", F.lit(number))
+        done = checked(keyed, accept, batch or "batch")
+        done.withColumn("good", F.col("error_code").isNull().cast("int")).drop(*([] if batch else ["batch"])).write.partitionBy("good").mode("overwrite").parquet(f"{out}/batch={number}")
 
-def _applied(state: dict, op: str, value: str | None) -> None:
-    undo, redo = state["undo"], state["redo"]
-    if op in ("load", "commit"):
-        if op == "commit":
-            undo.append(state["value"])
-        else:
-            undo.clear()
-        redo.clear()
-        state["value"] = value
-    elif op in ("undo", "redo"):
-        source, target = (undo, redo) if op == "undo" else (redo, undo)
-        if source:
-            target.append(state["value"])
-            state["value"] = source.pop()
-    del undo[:-CAP], redo[:-CAP]
+    return files.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def replayed(log: DataFrame, idle: str | None = "7 days") -> DataFrame:
     """(doc_id, seq, value, n_undo, n_redo) of a stream of edits numbered from 0 in each document.
 
-    State is a document's value, its two bounded stacks and the edits that came before their turn; those wait until the gap closes. A
-    document without edits for ``idle`` of processing time is forgotten; without ``idle`` none is, and a run over what is available can end.
+    State is a document's value, its two bounded stacks, the number of its next edit and the edits that came before their turn;
+    those wait until the gap closes. A document without edits for ``idle`` of processing time loses its stacks, but not its
+    value and its place in the order; without ``idle`` none does, and a run over what is available can end.
     """
     wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        state = json.loads(group.get[0]) if group.exists else {"next": 0, "value": None, "undo": [], "redo": [], "early": {}}
         if group.hasTimedOut:
-            group.remove()
+            group.update((json.dumps({**state, "undo": [], "redo": []}),))
             return
-        state = json.loads(group.get[0]) if group.exists else {"next": 0, "value": None, "undo": [], "redo": [], "early": {}}
         for frame in frames:
             for seq, op, value in frame[["seq", "op", "value"]].itertuples(index=False, name=None):
                 if seq >= state["next"]:
                     state["early"][str(int(seq))] = [op, value]
         out = []
         while (edit := state["early"].pop(str(state["next"]), None)) is not None:
-            _applied(state, *edit)
+            applied(state, *edit)
             out.append((key[0], state["next"], state["value"], len(state["undo"]), len(state["redo"])))
             state["next"] += 1
         group.update((json.dumps(state),))

@@ -3,7 +3,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from pageframe.operators import blocks as BL
 from pageframe.operators import editlog, layout, layout_tables, protect, raster
+from pageframe.operators import layout as L
+from pageframe.operators import layout_tables as LT
 
 ITEM = "doc_id long, page_no int, item_no int, str string, x double, y double, width double, size double"
 
@@ -112,3 +115,42 @@ def test_protect_round_trip(spark):
     sealed = protect.protect(df, "text", F.lit("0123456789abcdef"))
     assert [r.opened for r in protect.unlock(sealed, F.lit("0123456789abcdef")).orderBy("id").collect()] == ["secret", ""]
     assert [r.access for r in protect.triage(sealed, F.lit("fedcba9876543210")).collect()] == ["unreadable"] * 2
+
+
+def test_roles_of_blank_and_stray_lines():
+    three, two, one, none = [10.0, 100.0, 200.0], [10.0, 100.0], [50.0], []
+    run = lambda *lines, split=(): LT.roles([list(x) for x in lines], [i in split for i in range(len(lines))])
+    assert run(three, three) == ["table"] * 2 and run(three, none) == [None] * 2
+    assert run(three, none, two, one) == ["table"] * 3 + [None]  # a blank line is bridged once
+    assert run(three, none, none, three, three) == [None] * 3 + ["table"] * 2  # two end the table
+    assert run(three, two, one, two, one, two) == ["table"] * 4 + [None] * 2
+    assert run(three, [12.0, 14.0], three) == ["table"] * 3  # no band of its own for the second cell: a stray between two rows
+    assert run(three, [300.0, 400.0], split=(1,)) == ["table"] * 2 and run(two, two, split=(0,)) == ["column", None]
+
+
+def test_tables_go_on_over_a_blank_line(spark):
+    items = [(1, 0, 10 * r + c, f"{'abc'[c]}{r}", 50.0 + 100 * c, 700.0 - 20 * r, 30.0, 10.0) for r in (0, 1, 3, 4) for c in range(3)] + [(1, 0, 99, " ", 50.0, 660.0, 5.0, 10.0)]
+    df = L.group_lines(spark.createDataFrame(items, "doc_id long, page_no int, item_no int, str string, x double, y double, width double, size double"))
+    l = L.lines_of(df)
+    small = L.split_cells(l, L.small_gap(F.col("size")))
+    roles = LT.line_roles(l, small, L.split_cells(l, L.big_gap(F.lit(595.0))))
+    assert [(r.line_no, r.role, r.run_no) for r in roles.orderBy("line_no").collect()] == [(i, "table", 0) for i in range(5)]
+    cells = LT.borderless_tables(l, small, roles).orderBy("r0", "c0").collect()
+    assert {r.run_no for r in cells} == {0} and [r.text for r in cells if r.r0 != 2] == [f"{'abc'[c]}{r}" for r in (0, 1, 3, 4) for c in range(3)]
+    assert all(r.text == "" for r in cells if r.r0 == 2)
+
+
+def test_page_blocks(spark):
+    def words(line, *texts, xs=None, size=10.0):
+        return [(1, 0, 100 * line + i, t, (xs or [50.0 + 100 * k for k in range(len(texts))])[i], 780.0 - 20 * line, 40.0, size) for i, t in enumerate(texts)]
+
+    items = words(0, "Title", size=20.0) + words(1, "a", "b", "c") + words(2, "d", "e", "f") + words(3, "end of it")
+    items += words(5, "left", "right", xs=[50.0, 350.0]) + words(7, "k1", "v1", "w1", xs=[50.0, 52.0 + 60, 300.0]) + words(8, "only", "two", xs=[50.0, 112.0])
+    df = L.group_lines(spark.createDataFrame(items, "doc_id long, page_no int, item_no int, str string, x double, y double, width double, size double"))
+    black = [0, 0, 0]
+    shapes = [(1, 0, 0, 40.0, 758.0, 90.0, 1.0, black, None), (1, 0, 1, 40.0, 600.0, 300.0, 1.0, black, None), (1, 0, 2, 40.0, 730.0, 300.0, 40.0, black, [200, 210, 220])]
+    df_shapes = spark.createDataFrame(shapes, "doc_id long, page_no int, shape_no int, x double, y double, w double, h double, stroke array<int>, fill array<int>")
+    got = [(r.type, r.texts, r.shade, r.border) for r in BL.page_blocks(df, df_shapes, 595.0).orderBy("pos").collect()]
+    assert got[:4] == [("paragraph", ["Title"], None, None), ("gridtable", ["a", "b", "c", "d", "e", "f"], [200, 210, 220], black), ("paragraph", ["end of it"], None, None), ("columns", ["left", "right"], None, None)]
+    # "k1" reaches into the column of "v1", so the rows are not clear enough for bands.
+    assert got[4:] == [("table", ["k1", "v1", "w1", "only", "two", ""], None, None), ("separator", [], None, None)]

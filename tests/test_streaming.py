@@ -12,9 +12,11 @@ def test_intake_stream(spark, tmp_path):
     for name, data in {"a.pdf": b"xx%PDF-1.7", "b.pdf": b"no header", "c.csv": b"a,b", "d.txt": b"text", "e.docx": b"PK\x03\x04rest"}.items():
         (source / name).write_bytes(data)
     files = jobs.file_stream(spark, f"file://{source}")
-    jobs.intake_stream(files, ".pdf,.csv,.docx", f"file://{tmp_path}/good", f"file://{tmp_path}/bad", f"file://{tmp_path}/ck").awaitTermination(120)
-    good = {r.name for r in spark.read.parquet(f"file://{tmp_path}/good").collect()}
-    bad = {r.name: r.error_code for r in spark.read.parquet(f"file://{tmp_path}/bad").collect()}
+    jobs.intake_stream(files, ".pdf,.csv,.docx", f"file://{tmp_path}/out", f"file://{tmp_path}/ck").awaitTermination(120)
+    rows = spark.read.parquet(f"file://{tmp_path}/out").collect()
+    good = {r.name for r in rows if r.good}
+    bad = {r.name: r.error_code for r in rows if not r.good}
+    assert all((r.content is not None) == bool(r.good) for r in rows)
     assert good == {"a.pdf", "c.csv", "e.docx"}
     assert bad == {"b.pdf": "invalid-signature", "d.txt": "unsupported-type"}
 
@@ -35,3 +37,30 @@ def test_edits_wait_for_their_turn(spark, tmp_path):
     run()
     got = {tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
     assert got == {tuple(r) for r in replay_edits(log).collect()}
+
+
+def test_idle_documents_keep_their_place(spark, tmp_path):
+    """After the timeout the stacks are gone, but the value and the next number stay, and later edits are applied."""
+    import time
+
+    rows = [(1, 0, "commit", "a"), (1, 1, "commit", "b")]
+    schema = "doc_id long, seq long, op string, value string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{tmp_path}/log")
+    stream = spark.readStream.schema(schema).parquet(f"file://{tmp_path}/log")
+    out = f"file://{tmp_path}/out"
+    query = jobs.replayed(stream, idle="1 seconds").writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(processingTime="500 milliseconds").start(out)
+
+    def wait_for(n: int) -> None:
+        until = time.time() + 40
+        while time.time() < until and not ((tmp_path / "out" / "_spark_metadata").exists() and spark.read.schema("seq long").parquet(out).count() >= n):
+            time.sleep(0.5)
+
+    try:
+        wait_for(2)
+        time.sleep(4)
+        spark.createDataFrame([(1, 2, "undo", None), (1, 3, "commit", "c")], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/log")
+        wait_for(4)
+    finally:
+        query.stop()
+    got = sorted((r.seq, r.value, r.n_undo) for r in spark.read.parquet(out).collect())
+    assert got == [(0, "a", 1), (1, "b", 2), (2, "b", 0), (3, "c", 1)]
