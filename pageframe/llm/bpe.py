@@ -10,7 +10,8 @@ Tokens are ranks of a public vocabulary file whose path is a parameter; each mat
 encoded on its own and special tokens are ordinary text, as the tiktoken library does.
 
 Defined cases: null text counts as empty and has no tokens; text of any length is encoded whole, in time
-proportional to its length; repeated rows are encoded each; lone surrogates cannot occur in Spark strings.
+proportional to its length; repeated rows are encoded each; lone surrogates cannot occur in Spark strings; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ parts merge into that of the whole, and give estimates of resemblance, containme
 Only DataFrame functions are used.
 
 Defined cases: null text counts as empty; a text of one to four words has one shingle, all its words; a text without
-words has an empty sketch, which is like another empty one (1) and unlike any other (0); repeated rows keep their own.
+words has an empty sketch, which is like another empty one (1) and unlike any other (0); repeated rows keep their own; rows
+of one id follow each other by their texts, and null ids come last; a text of any length is sketched whole; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

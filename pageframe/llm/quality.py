@@ -7,8 +7,9 @@ widens by the sampling noise that a histogram of that length has. Only DataFrame
 
 Defined cases: null or empty text has no words and fails the base rules; rows without language are judged but
 add nothing to a reference; where a row's language has no reference (too few words), or none has, the method keeps
-what the base rules keep; repeated rows are
-judged each on its own; other columns of the input are ignored.
+what the base rules keep; repeated rows are judged each on its own; a text of any length is judged whole; of languages
+equally near the first in order of its code counts; an empty table gives an empty result; other columns of the input are
+ignored.
 """
 
 from __future__ import annotations
@@ -83,11 +84,12 @@ def dup_lines(text: Column) -> Column:
 
 
 def class_counts(text: Column) -> Column:
-    """Array of code points by character class, the classes of CLASSES and then the others."""
+    """struct<classes, n_symbols>: code points by character class, those of CLASSES and then the others; and, found among the others, the symbols."""
 
     def step(rest: Column, left: list[str], found: list[Column]) -> Column:
         if not left:
-            return F.array(*found, F.length(rest).cast("double"))
+            symbols = F.length(rest) - F.length(F.translate(rest, SYMBOLS, ""))
+            return F.struct(F.array(*found, F.length(rest).cast("double")).alias("classes"), symbols.cast("long").alias("n_symbols"))
         return common.let(F.regexp_replace(rest, CLASSES[left[0]], ""), lambda less: step(less, left[1:], [*found, (F.length(rest) - F.length(less)).cast("double")]))
 
     return step(F.coalesce(text, F.lit("")), list(CLASSES), [])
@@ -127,19 +129,18 @@ def measures(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     size, table = _slots(docs.sparkSession, vocabulary)
     held = F.split(F.lit("\n".join(table)), "\n")
     known = lambda w: F.filter(F.transform(w, lambda x: F.lower(x)), lambda x: F.get(held, _bucket(x, size)) == x)
-    text = F.coalesce(F.col("text"), F.lit(""))
     per_word = lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"), _rle(F.transform(known(w), lambda x: _bucket(x, size))).alias("hits")
     )
+    spaces = list(CLASSES).index("space")
+    word_chars = (F.aggregate("by_char.classes", F.lit(0.0), lambda a, b: a + b) - F.col("by_char.classes")[spaces]).cast("long")
     return docs.select(
         "doc_id",
         "lang",
         common.let(common.words(F.col("text")), per_word).alias("by_word"),
-        F.length(F.regexp_replace(text, common.SPACE, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         dup_lines(F.col("text")).alias("n_dup_lines"),
-        class_counts(F.col("text")).alias("classes"),
-    ).select("doc_id", "lang", "by_word.*", "word_chars", "n_symbols", "n_dup_lines", "classes")
+        class_counts(F.col("text")).alias("by_char"),
+    ).select("doc_id", "lang", "by_word.*", word_chars.alias("word_chars"), "by_char.n_symbols", "n_dup_lines", "by_char.classes")
 
 
 def _slots(spark: SparkSession, vocabulary: list[str]) -> tuple[int, list[str]]:
