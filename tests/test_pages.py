@@ -108,3 +108,32 @@ def test_scan_prunes_content(spark, tmp_path):
     assert [r.name for r in found.select("name", "size").collect()] == ["a.pdf"]
     checked = intake.check_signature(found.withColumn("mime", F.lit("application/pdf"))).first()
     assert checked.signature_ok
+
+
+def test_points_of_a_box_on_the_page(spark):
+    from pageframe.operators import stamps
+
+    row = spark.sql("SELECT array(named_struct('x', 0.0D, 'y', 0.0D), named_struct('x', 100.0D, 'y', 50.0D)) AS points, 10.0D AS x, 20.0D AS y, 200.0D AS w, 40.0D AS h")
+    found = row.select(stamps.absolute_points(F.col("points"), *[F.col(c) for c in "xywh"]).alias("p")).first().p
+    assert [(p.x, p.y) for p in found] == [(10.0, 60.0), (210.0, 40.0)]
+
+
+def test_parts_are_written_apart(spark, tmp_path):
+    df = pages(spark, 5).withColumn("out_id", F.col("doc_id")).withColumn("part_no", F.floor(F.col("page_index") / 2))
+    intake.write_parts(df, f"file://{tmp_path}/parts")
+    assert sorted(p.name for p in (tmp_path / "parts" / "out_id=1").iterdir()) == ["part_no=0", "part_no=1", "part_no=2"]
+    assert spark.read.parquet(f"file://{tmp_path}/parts").groupBy("part_no").count().orderBy("part_no").collect()[2]["count"] == 1
+
+
+def test_numbering_by_ranges(spark):
+    from pageframe.operators.ordering import folded, numbered
+
+    df = spark.createDataFrame([(i * 37 % 1000, f"t{i % 3}") for i in range(1000)] + [(None, "n"), (5, "a"), (5, "b")], "k long, t string")
+    got = sorted(numbered(df, F.col("k"), ["t"]).collect(), key=lambda r: r.pos)
+    assert [r.pos for r in got] == list(range(1003)) and got[0].k is None
+    assert [(r.k, r.t) for r in got[1:]] == sorted((r.k, r.t) for r in got[1:])
+    assert numbered(df.limit(0), F.col("k"), ["t"]).count() == 0
+    sums = folded(df.where("k IS NOT NULL"), "t", ["k"], ["k"], "total bigint, n int", lambda: (0, 0), lambda s, k: ((s[0] + k, s[1] + 1), (s[0] + k, s[1])))
+    for r in sums.groupBy("t").agg(F.max("total").alias("total"), F.max("n").alias("n"), F.sum("k").alias("k"), F.count("*").alias("rows")).collect():
+        assert r.total == r.k and r.n == r.rows - 1
+    assert folded(df.limit(0), "t", ["k"], ["k"], "total bigint", lambda: 0, lambda s, k: (s, (s,))).count() == 0
