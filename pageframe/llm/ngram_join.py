@@ -183,7 +183,8 @@ def central_pairs(rows: DataFrame, join: Join = DEFAULT) -> DataFrame:
     size_class = F.floor(F.log(F.col("n")) / -F.log(F.lit(join.percent / 100)))
     # A size class and the next one: sizes that fit may lie on both sides of a border.
     spread = rows.where(F.col("members") > join.few).select("*", F.explode(F.array(size_class, size_class + 1)).alias("sizes"))
-    central = spread.groupBy("key", "sizes").agg(F.min(F.struct((1 - F.col("rem") / F.col("n")).alias("own"), "rep", "n", "rem", "label")).alias("to"))
+    # Stored, so that its size is known: small, it is broadcast and no list is shuffled; large, Spark splits the lists in the join.
+    central = common.stored(spread.groupBy("key", "sizes").agg(F.min(F.struct((1 - F.col("rem") / F.col("n")).alias("own"), "rep", "n", "rem", "label")).alias("to")), "join-central")
     offered = spread.join(central, ["key", "sizes"]).where((F.col("to.label") != F.col("label")) & _fits(join, F.col("n"), F.col("to.n"), F.least("rem", "to.rem")))
     votes = offered.groupBy("rep", F.col("to.rep").alias("to")).agg(F.count("*").alias("votes"))
     best = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("votes"), "to"))  # at most a document's own lists

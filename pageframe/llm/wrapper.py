@@ -56,10 +56,10 @@ AWAY_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promos promotion banner banners "
     "sidebar sidebars aside widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager masthead footer "
     "cookie cookies consent gdpr notice notices newsletter share sharing social related recommended recommendations comment comments commentlist "
-    "disqus complementary contentinfo".split()
+    "disqus complementary contentinfo popup modal overlay subscribe subscription signup login replies reply respond".split()
 )
 #: Words that may also name content.
-UNSURE_WORDS = frozenset("alert popup modal overlay subscribe subscription signup login search replies reply respond".split())
+UNSURE_WORDS = frozenset("alert search".split())
 
 #: Words beside which a listed word of an id still names a part of the layout; beside others ("related-work") it is a heading's anchor.
 LAYOUT_WORDS = frozenset("area articles bar block bottom box container content div form inner items left link links list main outer page panel post posts right section site slot top unit wrap wrapper".split())
