@@ -62,3 +62,53 @@ k AS (SELECT n.conv_id, n.turn, role, regexp_replace(text, '^\s+|\s+$', '', 'g')
 t AS (SELECT conv_id, turn, 1::BIGINT AS depth, step AS path FROM k WHERE parent_turn IS NULL UNION ALL SELECT k.conv_id, k.turn, depth + 1, path || '/' || step FROM t JOIN k ON k.conv_id = t.conv_id AND k.parent_turn = t.turn)
 SELECT conv_id, turn, role, text, parent_turn, depth, path, n_quotes FROM k JOIN t USING (conv_id, turn)
 """
+
+#: The unsigned CRC-32 of an ASCII text, bit by bit.
+_CRC = "xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split({}, ''), lambda c: list_concat([ascii(c)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1])))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"
+
+
+def _repair() -> str:
+    """op12: each conversation row by row, with the cheapest prefix for each place in the pattern as (cost, edits, messages)."""
+    kind = "STRUCT(c BIGINT, e VARCHAR, o VARCHAR)"
+    edit = lambda x, cost, letter, said, when="true": f"CASE WHEN {x} IS NOT NULL AND {when} THEN {{'c': ({x}.c + {cost})::BIGINT, 'e': {x}.e || '{letter}', 'o': {x}.o || {said}}} END"
+    least = lambda *xs: f"list_sort(list_filter([{', '.join(xs)}], lambda x: x IS NOT NULL))[1]"
+    line = lambda role, text: f"chr(10) || {role} || ':' || {text}"
+    insert = lambda x, role: edit(x, 3, "I", line(f"'{role}'", "''"))
+    gone = lambda x: edit(x, 4, "D", "''")
+    kept = lambda x, initial: edit(x, "3 * cut::INT", "K", line("role", "text"), f"NOT must AND role[1] = '{initial}'")
+    changed = lambda x, role: edit(x, "3 + 3 * cut::INT", "R", line(f"'{role}'", "text"), "NOT must")
+    opened = f"SELECT conv_id, i, s, p, u2 AS u, {least('a', insert('u2', 'assistant'))} AS a FROM (SELECT *, {least('u', insert('s', 'user'), insert('p', 'user'), insert('a', 'user'))} AS u2 FROM walk)"
+    key = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+    return f"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format('(' + key + ')')} % 20 AS fault FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM k, LATERAL (SELECT unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)))),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+n AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS two FROM r),
+f AS (SELECT *, blank OR again AS must, NOT blank AND NOT again AND open AS cut FROM n),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'e': '', 'o': ''}}::{kind} AS s, NULL::{kind} AS p, NULL::{kind} AS u, NULL::{kind} AS a FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT w.conv_id, f.i, {gone('s')}, {least(gone('p'), kept('s', 's'))}, {least(gone('u'), *[kept(x, 'u') for x in 'spa'], *[changed(x, 'user') for x in 'spa'])}, {least(gone('a'), kept('u', 'a'), changed('u', 'assistant'))}
+  FROM ({opened}) w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1),
+ends AS (SELECT conv_id, {least('s', 'a')} AS x FROM ({opened}) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(NOT blank AND again) AS duplicate, count_if(cut) AS truncated, count_if(two NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT ends.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, x.c AS cost, x.e AS audit, sha256(x.o[2:]) AS repaired_sha256
+FROM ends LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ends.conv_id
+"""
+
+
+REPAIR = _repair()
+
+#: op13: every prefix of every rebuilt conversation by a digest of its turns, and each node's least member's prefixes as its ancestors.
+TRIE = f"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, c - c % 100 AS base, {_CRC.format('c::VARCHAR')} % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+b AS (SELECT h.c, i, role, text FROM h JOIN t ON t.c = base WHERE i <= h UNION ALL SELECT c, i, role, text FROM t JOIN h USING (c) WHERE i > h),
+s AS (SELECT c, row_number() OVER w AS d, md5(string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER w) AS k, length(text) AS n FROM b WINDOW w AS (PARTITION BY c ORDER BY i)),
+p AS (SELECT c, d, k, lag(k, 1, '') OVER (PARTITION BY c ORDER BY d) AS above, n, d = max(d) OVER (PARTITION BY c) AS ends FROM s UNION ALL SELECT c, 0, '', NULL, 0, c NOT IN (SELECT c FROM s) FROM h),
+g AS (SELECT k, any_value(d) AS d, any_value(above) AS above, any_value(n) AS n, min(c) AS c, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY k),
+kids AS (SELECT above AS k, count(*) AS n FROM g WHERE above IS NOT NULL GROUP BY above),
+sums AS (SELECT p.k, count_if(g.k NOT IN (SELECT k FROM kids)) AS n_leaves, sum((n_convs - 1) * g.n) AS saved FROM g JOIN p ON p.c = g.c AND p.d <= g.d GROUP BY p.k)
+SELECT g.c AS conv_id, g.d AS depth, up.c AS parent_conv_id, g.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved::BIGINT AS saved_tokens, g.ends_sha256
+FROM g LEFT JOIN g up ON up.k = g.above LEFT JOIN kids ON kids.k = g.k JOIN sums ON sums.k = g.k
+"""
