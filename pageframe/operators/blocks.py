@@ -1,66 +1,361 @@
-"""A page's content as blocks in reading order: grids, tables, columns, paragraphs and separators."""
+"""A page's content as blocks in reading order, in one pass over its items, shapes and images.
+
+All that lies on a page travels once, by page, sorted, and is read as a stream; a task holds one page. What repeats across
+a document's pages is found from the pages' first and last paragraphs alone.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from itertools import pairwise
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageframe.operators import layout as L
+from pageframe.functions.text import LIST_ITEM, reordered
 from pageframe.operators import layout_tables as LT
-from pageframe.operators.layout import PAGE
+from pageframe.operators.layout import LINE_TOLERANCE, PAGE
+from pageframe.sources import shared
+
+SIZE, NEXT, ITEM, SHAPE, IMAGE = range(5)
+STYLE = ("bold", "italic", "font_family", "color")
+RUN = "struct<text:string,bold:boolean,italic:boolean,underline:boolean,color:array<int>,size:double,font_family:string,is_break:boolean>"
+#: ``images`` are those inside a grid's cells, with the number of the cell among ``texts``; ``runs`` has a list for each of them.
+BLOCK = (
+    "type string, y double, n_rows int, n_cols int, texts array<string>, shade array<int>, border array<int>, align string, list_item boolean, "
+    f"runs array<array<{RUN}>>, images array<struct<image_no:int,cell:int>>, image_no int, placement string, x_pt double, y_from_top double"
+)
+_RUN = pa.struct([("text", pa.string()), ("bold", pa.bool_()), ("italic", pa.bool_()), ("underline", pa.bool_()), ("color", pa.list_(pa.int32())), ("size", pa.float64()), ("font_family", pa.string()), ("is_break", pa.bool_())])
+_BLOCK = pa.struct(
+    [("type", pa.string()), ("y", pa.float64()), ("n_rows", pa.int32()), ("n_cols", pa.int32()), ("texts", pa.list_(pa.string())), ("shade", pa.list_(pa.int32())), ("border", pa.list_(pa.int32())), ("align", pa.string()), ("list_item", pa.bool_())]
+    + [("runs", pa.list_(pa.list_(_RUN))), ("images", pa.list_(pa.struct([("image_no", pa.int32()), ("cell", pa.int32())]))), ("image_no", pa.int32()), ("placement", pa.string()), ("x_pt", pa.float64()), ("y_from_top", pa.float64())]
+    + [("norm", pa.string()), ("nth", pa.int32())]
+)
+_PAGE = f"doc_id long, page_no int, first string, last string, changes boolean, blocks array<struct<{', '.join(':'.join(c.split(' ', 1)) for c in BLOCK.split(', '))},norm:string,nth:int>>"
+_BREAK = {"text": "", "is_break": True}
+
+
+class Line:
+    """Items (no, x, y, width, str, size, style) of one height, from the left."""
+
+    __slots__ = ("y", "items", "text", "size", "min_x", "max_x", "underlined")
+
+    def __init__(self, y: float, items: list[tuple]):
+        self.y, self.items, self.underlined = y, items, False
+        self.text = "".join(i[4] for i in items)
+        seen = [i for i in items if LT.visible(i[4])]
+        self.size = (seen or items)[0][5] if items else 10.0
+        self.min_x = min((i[1] for i in seen), default=None)
+        self.max_x = max((i[1] + i[3] for i in seen), default=None)
+
+
+def lines_of(items: list[tuple]) -> list[Line]:
+    """Lines from the top: an item joins the first line begun within three points of it, in order of arrival."""
+    begun: list[float] = []
+    held: list[list[tuple]] = []
+    known: dict[float, int] = {}
+    for item in items:
+        y = item[2]
+        at = known.get(y)
+        if at is None:
+            at = next((k for k, b in enumerate(begun) if abs(b - y) <= LINE_TOLERANCE), len(begun))
+            if at == len(begun):
+                begun.append(y)
+                held.append([])
+            known[y] = at
+        held[at].append(item)
+    return [Line(begun[k], sorted(held[k], key=lambda i: (i[1], i[0]))) for k in sorted(range(len(begun)), key=lambda k: -begun[k])]
+
+
+def runs_of(line: Line) -> list[dict]:
+    """A line's items with neighbours of one style joined, and the space after it."""
+    out: list[dict] = []
+    last = None
+    for _, _, _, _, text, size, style in line.items:
+        now = (size, style)
+        if now == last:
+            out[-1]["text"] += text
+        else:
+            bold, italic, family, color = style or (None,) * 4
+            out.append({"text": text, "bold": bold, "italic": italic, "underline": line.underlined, "color": color, "size": size, "font_family": family, "is_break": False})
+            last = now
+    out.append({"text": " ", "bold": False, "italic": False, "underline": False, "size": line.size, "is_break": False})
+    return out
+
+
+def paragraphs(lines: list[Line], page_width: float | None = None) -> list[dict]:
+    """Paragraphs of lines from the top, as ``layout.to_paragraphs`` finds them, with their runs."""
+    out: list[dict] = []
+    before, widest, open_ = None, 0.0, False
+    for line in lines:
+        if line.min_x is None:
+            open_ = False
+            continue
+        if not open_ or before.y - line.y > before.size * 1.6:
+            align = "left"
+            if page_width is not None:
+                left, right = line.min_x, page_width - line.max_x
+                if right < page_width * 0.04 and left > page_width * 0.2:
+                    align = "right"
+                elif left > page_width * 0.15 and right > page_width * 0.15 and abs(left - right) < page_width * 0.08:
+                    align = "center"
+            out.append({"type": "paragraph", "y": line.y, "text": line.text, "align": align, "list_item": bool(LIST_ITEM.match(line.text)), "runs": runs_of(line)})
+            widest = line.max_x
+        else:
+            breaks = widest > 0 and before.max_x < widest * 0.65
+            out[-1]["text"] += (" \n" if breaks else " ") + line.text
+            out[-1]["runs"] += [_BREAK] * breaks + runs_of(line)
+            widest = max(widest, line.max_x)
+        before, open_ = line, True
+    return out
+
+
+def split_cells(items: list[tuple], gap: float) -> list[list[tuple]]:
+    """Items of a line in cells, as ``layout.split_cells`` parts them; cells without visible text are left out."""
+    cells: list[list[tuple]] = [[]]
+    at, seen = None, False
+    for item in items:
+        x, width, shown = item[1], item[3], LT.visible(item[4])
+        jump = x - at if at is not None else 0.0
+        filler = not shown and width > gap
+        if seen and (max(jump, width) if filler else jump) >= gap:
+            cells.append([])
+            seen = False
+        seen = seen or shown
+        if not filler:
+            cells[-1].append(item)
+        at = x + width
+    return [c for c in cells if any(LT.visible(i[4]) for i in c)]
+
+
+def _text(cell: list[tuple]) -> str:
+    return "".join(i[4] for i in cell).strip(" ")
+
+
+def _end(cell: list[tuple]) -> float:
+    return max(i[1] + i[3] for i in cell)
+
+
+def _plain(cells: list[list[str]]) -> tuple[list[str], int, int]:
+    """Rows of one width: a lone cell spans it, others are filled up with empty ones."""
+    width = max(map(len, cells))
+    rows = [row if len(row) == 1 and width > 1 else row + [""] * (width - len(row)) for row in cells]
+    return [reordered(t) for row in rows for t in row], len(rows), max(width if len(row) == 1 else len(row) for row in rows)
+
+
+def _shaded(box: tuple | None) -> tuple[list[int] | None, list[int] | None]:
+    """Shade and border of a box (…, stroke, fill); a shade only where text stays legible on it."""
+    if box is None:
+        return None, None
+    stroke, fill = box[5], box[6]
+    legible = fill is not None and not all(v >= 245 for v in fill[:3]) and 0.299 * fill[0] + 0.587 * fill[1] + 0.114 * fill[2] >= 140
+    return (fill if legible else None), stroke
 
-RUN = [*PAGE, "run_no"]
 
+def page_of(items: list[tuple], shapes: list[tuple], images: list[tuple], width: float | None, height: float | None) -> list[dict]:
+    """The blocks of one page. Shapes are (no, x, y, w, h, stroke, fill), images (no, x, y, w, h).
+
+    Lines inside a ruled grid are its cells, and images that fit one of its cells or one of a borderless table lie in it.
+    """
+    lines = lines_of(items)
+    blocks: list[tuple] = []  # (-y, run, number in the run, block)
+    grid = LT.ruled_grid([s[1:5] for s in shapes if s[5] is not None])
+    tables: list[tuple] = []  # (block, column bounds, row bounds, cells)
+    if grid:
+        ys, xs, cells = grid
+        made = LT.grid_cells(grid, [(line.y, line.items) for line in lines])
+        runs = [[r for k, p in enumerate(paragraphs([Line(y, its) for y, its in own])) for r in [*[_BREAK] * (k > 0), *p["runs"]]] for own in (m["lines"] for m in made)]
+        block = {"type": "gridtable", "y": ys[0], "n_rows": max(r + down for r, _, down, _ in cells), "n_cols": max(c + wide for _, c, _, wide in cells), "texts": [m["text"] for m in made], "runs": runs}
+        blocks.append((-ys[0], -1, 0, block))
+        tables.append((block, xs, ys, cells))
+        outside = lambda y: y > ys[0] + 2 or y < ys[-1] - 2
+        lines = [line for line in lines if outside(line.y)]
+        shapes = [s for s in shapes if not (min(s[3], s[4]) < 2.5 and s[5] is not None) or outside(s[2])]
+
+    for no, x, y, w, h, stroke, _ in shapes:
+        if stroke is not None and h < 2.5 and w > 3:
+            under = next((line for line in lines if line.min_x is not None and abs(y - line.y) <= 4 and min(line.max_x, x + w) - max(line.min_x, x) > 0.4 * min(w, line.max_x - line.min_x)), None)
+            if under is not None:
+                under.underlined = True
+            elif w > 30:
+                blocks.append((-y, -2, no, {"type": "separator", "y": y, "texts": []}))
+    boxes = [s for s in shapes if s[3] > 15 and s[4] > 15 and (s[5] is not None or s[6] is not None)]
+
+    small = [split_cells(line.items, max(9.0, line.size * 1.15)) for line in lines]
+    halves: list = [None] * len(lines)
+    if width is not None:
+        wide = max(80.0, width * 0.14)
+        for k, line in enumerate(lines):
+            two = split_cells(line.items, wide) if len(small[k]) > 1 else []
+            halves[k] = two if len(two) == 2 and all(_text(c) for c in two) else None
+    found = LT.roles([[c[0][1] for c in cells] for cells in small], [h is not None for h in halves])
+    at = run = 0
+    while at < len(lines):
+        end = next((k for k in range(at + 1, len(lines)) if found[k] != found[at]), len(lines))
+        top, low = lines[at].y, lines[end - 1].y
+        met = [b for b in boxes if b[2] <= low + 3 and b[2] + b[4] >= top - 3]
+        shade, border = _shaded(min(met, key=lambda b: (b[3] * b[4], b[0])) if met else None)
+        if found[at] is None:
+            for no, p in enumerate(paragraphs(lines[at:end], width)):
+                blocks.append((-p["y"], run, no, {**p, "texts": [p["text"]], "runs": [p["runs"]]}))
+        elif found[at] == "column":
+            sides = [paragraphs([Line(line.y, cell) for line, half in zip(lines[at:end], halves[at:end], strict=True) for cell in half[s : s + 1]]) for s in (0, 1)]
+            both = [p for side in sides for p in side]
+            blocks.append((-max(p["y"] for p in both), run, 0, {"type": "columns", "y": max(p["y"] for p in both), "texts": [p["text"] for p in both], "runs": [p["runs"] for p in both], "shade": shade}))
+        else:
+            clear = LT.borderless([(line.y, line.size, [(_text(c), c[0][1], _end(c)) for c in cells]) for line, cells in zip(lines[at:end], small[at:end], strict=True)])
+            block = {"y": top, "shade": shade, "border": border}
+            if clear:
+                cells = [c[:4] for c in clear["cells"]]
+                block |= {"type": "gridtable", "texts": [reordered(c[4]) for c in clear["cells"]], "n_rows": max(r for r, *_ in cells) + 1, "n_cols": max(c + w for _, c, _, w in cells)}
+                tables.append((block, clear["columns"], clear["rows"], cells))
+            else:
+                texts, n_rows, n_cols = _plain([[_text(c) for c in cells] for cells in small[at:end] if cells])
+                block |= {"type": "table", "texts": texts, "n_rows": n_rows, "n_cols": n_cols}
+            blocks.append((-top, run, 0, block))
+        at, run = end, run + 1
+    for image in images:
+        held = next((hit for table in tables if (hit := _cell_of(image, table))), None)
+        if held:
+            held[0].setdefault("images", []).append({"image_no": image[0], "cell": held[1]})
+        else:
+            no, x, y, w, h = image
+            wide = width is not None and w >= width * 0.35
+            blocks.append((-y, 1 << 30, no, {"type": "image", "y": y, "texts": [], "image_no": no, "placement": "centered" if wide else "anchored", "x_pt": x, "y_from_top": height - y - h if height is not None else None}))
+    return [b for *_, b in sorted(blocks, key=lambda b: b[:3])]
+
+
+def _cell_of(image: tuple, table: tuple) -> tuple[dict, int] | None:
+    """The table's block and the number of its cell that holds an image's centre, if the image is not far larger than it."""
+    _, x, y, w, h = image
+    block, columns, rows, cells = table
+    cx, cy = x + w / 2, y + h / 2
+    c = next((k for k, (a, b) in enumerate(pairwise(columns)) if a <= cx <= b), None)
+    r = next((k for k, (a, b) in enumerate(pairwise(rows)) if b <= cy <= a), None)
+    if c is None or r is None:
+        return None
+    for no, (r0, c0, down, wide) in enumerate(cells):
+        if r0 <= r < r0 + down and c0 <= c < c0 + wide:
+            fits = w <= 1.3 * (columns[c0 + wide] - columns[c0]) and h <= 1.3 * (rows[r0] - rows[r0 + down])
+            return (block, no) if fits else None
+    return None
+
+
+def _has_text(blocks: list[dict]) -> bool:
+    return any(LT.visible(t) for b in blocks for t in b["texts"] if b["type"] in ("paragraph", "table", "gridtable", "columns"))
+
+
+def _parts(items: DataFrame, shapes: DataFrame, images: DataFrame | None, pages: DataFrame | None) -> DataFrame:
+    """Items, shapes, images and pages as rows of one shape; a page is also told to the one before it, which has to know its size."""
+    nothing = F.lit(None)
+    kinds = {"x": "double", "y": "double", "w": "double", "h": "double", "str": "string", "size": "double", "stroke": "array<int>", "fill": "array<int>", "bold": "boolean", "italic": "boolean", "font_family": "string", "color": "array<int>"}
+
+    def part(df: DataFrame, kind: Column, no: str, **columns: str) -> DataFrame:
+        return df.select("doc_id", F.col("page_no").cast("int").alias("page_no"), kind.alias("kind"), F.col(no).cast("int").alias("no"), *[(F.col(columns[c]) if c in columns else nothing).cast(t).alias(c) for c, t in kinds.items()])
+
+    style = {c: c for c in STYLE if c in items.columns}
+    every = part(items, F.lit(ITEM), "item_no", x="x", y="y", w="width", str="str", size="size", **style)
+    every = every.union(part(shapes, F.lit(SHAPE), "shape_no", x="x", y="y", w="w", h="h", stroke="stroke", fill="fill"))
+    if images is not None:
+        every = every.union(part(images, F.lit(IMAGE), "image_no", x="x_pt", y="y_pt", w="width_pt", h="height_pt"))
+    if pages is not None:
+        told = F.inline(F.array(F.struct(F.lit(SIZE).alias("kind"), F.col("page_no")), F.struct(F.lit(NEXT).alias("kind"), (F.col("page_no") - 1).alias("page_no"))))
+        every = every.union(part(pages.select("doc_id", "width_pt", "height_pt", told), F.col("kind"), "kind", w="width_pt", h="height_pt"))
+    return every
 
-def page_blocks(items: DataFrame, shapes: DataFrame, page_width: float) -> DataFrame:
-    """(doc_id, page_no, pos, type, y, n_rows, n_cols, texts, shade, border) of pages of items with lines and of shapes.
+
+def folded(items: DataFrame, shapes: DataFrame, page_width: float | None = None, images: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """A row a page: its blocks, the normalised text of its first and last paragraph, and whether the next page has another size (null: there is none)."""
+    names = ["x", "y", "w", "h", "str", "size", "stroke", "fill", *STYLE]
+    whole = pages is not None
+
+    def finished(doc: int, page: int, rows: list[tuple]) -> dict | None:
+        size = next((r for r in rows if r[0] == SIZE), None)
+        if whole and size is None:
+            return None  # of no page of the document
+        after = next((r for r in rows if r[0] == NEXT), None)
+        # An item's style is one value, equal where all of it is.
+        its = [(r[1], r[2], r[3], r[4] or 0.0, r[6] or "", r[7] or 10.0, (r[10], r[11], r[12], tuple(r[13]) if r[13] else None)) for r in rows if r[0] == ITEM and r[2] is not None and r[3] is not None]
+        boxes = [(r[1], r[2], r[3], r[4], r[5], r[8], r[9]) for r in rows if r[0] == SHAPE and None not in r[2:6]]
+        pictures = [r[1:6] for r in rows if r[0] == IMAGE and None not in r[2:6]]
+        width, height = (size[4], size[5]) if size else (page_width, None)
+        blocks = page_of(its, boxes, pictures, width, height)
+        if whole and not _has_text(blocks):
+            blocks = [{"type": "pageimage", "texts": []}]
+        told: dict[str, int] = {}
+        for b in blocks:
+            if b["type"] == "paragraph" and (norm := "".join(r["text"] for r in b["runs"][0]).strip().lower()):
+                b["norm"], b["nth"] = norm, told.get(norm, 0)
+                told[norm] = b["nth"] + 1
+        edge = [b.get("norm") for b in blocks if b["type"] == "paragraph"]
+        rounded = lambda v: None if v is None else int(v + 0.5)
+        changes = None if after is None else [rounded(v) for v in after[4:6]] != [rounded(width), rounded(height)]
+        return {"doc_id": doc, "page_no": page, "first": edge[0] if edge else None, "last": edge[-1] if edge else None, "changes": changes, "blocks": blocks}
+
+    fields = pa.schema([("doc_id", pa.int64()), ("page_no", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("changes", pa.bool_()), ("blocks", pa.list_(_BLOCK))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        known, rows = None, []
+        for batch in batches:
+            docs, numbers, *columns = (batch.column(c).to_pylist() for c in ("doc_id", "page_no", "kind", "no", *names))
+            for doc, page, *row in zip(docs, numbers, *columns, strict=True):
+                if (doc, page) != known:
+                    if known is not None and (made := finished(*known, rows)):
+                        out.append(made)
+                    known, rows = (doc, page), []
+                rows.append(tuple(row))
+            if len(out) >= 64:
+                yield pa.RecordBatch.from_pylist(out, schema=fields)
+                out = []
+        if known is not None and (made := finished(*known, rows)):
+            out.append(made)
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=fields)
+
+    laid = _parts(items, shapes, images, pages).repartition(*PAGE).sortWithinPartitions(*PAGE, "kind", "no")
+    return laid.mapInArrow(run, _PAGE)
+
+
+def page_blocks(items: DataFrame, shapes: DataFrame, page_width: float, images: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page_no, pos, type, y, n_rows, n_cols, texts, shade, border and more, see ``BLOCK``) of pages of items, shapes and images.
 
     Lines inside a ruled grid are its cells. Of the others, runs of table lines become borderless tables ("gridtable"), or where
     their columns are not clear plain ones ("table"); lines that a big gap parts become "columns", left paragraphs before right
     ones; the rest become paragraphs. Thin strokes under no text are separators. A run takes the shade and border of the
-    smallest box around it. Blocks go down the page; of one height, in the order of their runs.
+    smallest box around it, but paragraphs stand on no box and columns take its shade only. Blocks go down the page; of one
+    height, in the order of their runs, images last. Items, shapes and images without a place are left out.
+    """
+    pages = folded(items, shapes, page_width, images)
+    return pages.select(*PAGE, F.posexplode("blocks").alias("pos", "b")).select(*PAGE, "pos", "b.*").drop("norm", "nth")
+
+
+def document_blocks(items: DataFrame, shapes: DataFrame, images: DataFrame, pages: DataFrame) -> DataFrame:
+    """The blocks of whole documents: ``page_blocks`` of ``pages`` (doc_id, page_no from 0 on, width_pt, height_pt), and what the pages share.
+
+    A first or last paragraph that 60 percent of a document's pages, two at least, have in common leaves their flow: it has the type
+    header or footer and no ``pos``; of equal counts the text that comes first wins. A page without visible text is one
+    "pageimage". After every page that has a next one stands a "pagebreak", or a "sectionbreak" where the next one's rounded size differs.
     """
-    grid = LT.detect_grids(shapes, items)
-    extent = grid.groupBy(*PAGE).agg(F.max("top").alias("_top"), F.min("bottom").alias("_low"))
-    outside = lambda df, y: df.join(extent, PAGE, "left").where(F.col("_top").isNull() | (F.col(y) > F.col("_top") + 2) | (F.col(y) < F.col("_low") - 2)).drop("_top", "_low")
-    lines = L.lines_of(outside(items, "line_y"))
-    small, big = L.split_cells(lines, L.small_gap(F.col("size"))), L.split_cells(lines, L.big_gap(F.lit(page_width)))
-    roles = LT.line_roles(lines, small, big)
-    placed = lines.join(roles, [*PAGE, "line_no"])
-    is_thin = (F.least("w", "h") < 2.5) & F.col("stroke").isNotNull()
-    shapes = outside(shapes.where(is_thin), "y").unionByName(shapes.where(~is_thin))
-
-    runs = placed.groupBy(*RUN, "role").agg(F.max("y").alias("y_top"), F.min("y").alias("y_bottom"))
-    boxes = L.enclosing_box(runs, shapes)
-
-    def block(df: DataFrame, kind: str, texts: str, n_rows="null", n_cols="null") -> DataFrame:
-        return df.select(*RUN, F.lit(kind).alias("type"), "y", F.expr(f"cast({n_rows} as int)").alias("n_rows"), F.expr(f"cast({n_cols} as int)").alias("n_cols"), F.col(texts).alias("texts"), F.col("no").cast("int").alias("no"))
-
-    in_order = lambda *by: F.transform(F.sort_array(F.collect_list(F.struct(*by, "text"))), lambda x: x["text"])
-    top = runs.where("role = 'table'").select(*RUN, F.col("y_top").alias("y"), F.lit(0).alias("no"))
-    clear = LT.borderless_tables(lines, small, roles)
-    tables = clear.groupBy(*RUN).agg(in_order("r0", "c0").alias("texts"), (F.max("r0") + 1).alias("n_rows"), F.max(F.col("c0") + F.col("col_span")).alias("n_cols")).join(top, RUN)
-
-    unclear = top.join(tables.select(*RUN), RUN, "left_anti").select(*RUN).join(roles, RUN).join(small, [*PAGE, "line_no"])
-    listed = unclear.groupBy(*RUN, "line_no").agg(in_order("cell_no").alias("cells")).withColumnRenamed("run_no", "table_no")
-    filled = L.fallback_table(listed).withColumnRenamed("table_no", "run_no").select(*RUN, "line_no", "row")
-    plain = filled.groupBy(*RUN).agg(
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("line_no", F.transform("row", lambda c: c["text"]).alias("texts")))), lambda x: x["texts"])).alias("texts"),
-        F.count("*").alias("n_rows"), F.max(F.aggregate("row", F.lit(0), lambda a, c: a + c["span"])).alias("n_cols"),
-    ).join(top, RUN)
-
-    sides = big.join(roles.where("role = 'column'"), [*PAGE, "line_no"]).select(*RUN, (F.col("cell_no") > 0).cast("int").alias("side"), "line_no", "y", "size", "text", F.col("x").alias("min_x"), F.col("x_end").alias("max_x"), F.lit(False).alias("is_blank"))
-    halves = L.to_paragraphs(sides, keys=[*RUN, "side"])
-    columns = halves.groupBy(*RUN).agg(in_order("side", "para_no").alias("texts"), F.max("y").alias("y"), F.lit(0).alias("no"))
-
-    text = L.to_paragraphs(placed.where("role IS NULL"), F.lit(page_width), keys=RUN).select(*RUN, "y", F.array("text").alias("texts"), F.col("para_no").alias("no"))
-    grids = grid.groupBy(*PAGE).agg(F.lit(-1).alias("run_no"), F.max("top").alias("y"), in_order("r0", "c0").alias("texts"), F.max(F.col("r0") + F.col("row_span")).alias("n_rows"), F.max(F.col("c0") + F.col("col_span")).alias("n_cols"), F.lit(0).alias("no"))
-    rules = L.match_underlines(lines, shapes)[1].select(*PAGE, F.lit(-2).alias("run_no"), "y", F.array().cast("array<string>").alias("texts"), F.col("shape_no").alias("no"))
-
-    every = block(grids, "gridtable", "texts", "n_rows", "n_cols").union(block(tables, "gridtable", "texts", "n_rows", "n_cols")).union(block(plain, "table", "texts", "n_rows", "n_cols"))
-    every = every.union(block(columns, "columns", "texts")).union(block(text, "paragraph", "texts")).union(block(rules, "separator", "texts"))
-    boxed = every.join(boxes.select(*RUN, "shade", "border"), RUN, "left")
-    # Paragraphs stand on no box; columns take its shade only.
-    has = F.col("type").isin("table", "gridtable", "columns")
-    pos = F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("y"), "run_no", "no")) - 1
-    return boxed.select(*PAGE, pos.alias("pos"), "type", "y", "n_rows", "n_cols", "texts", F.when(has, F.col("shade")).alias("shade"), F.when(has & (F.col("type") != "columns"), F.col("border")).alias("border"))
+    spark = items.sparkSession
+    path = shared.folder(spark, "page-blocks")
+    made = folded(items, shapes, None, images, pages)
+    made.write.parquet(path)
+    held = spark.read.schema(made.schema).parquet(path)
+    told = held.select("doc_id", "page_no", F.inline(F.array(*[F.struct(F.lit(role).alias("role"), norm.alias("norm")) for role, norm in (("page", F.lit("")), ("header", F.col("first")), ("footer", F.col("last")))])))
+    counts = told.where("norm IS NOT NULL").groupBy("doc_id", "role", "norm").agg(F.count("*").alias("n"), F.min("page_no").alias("at"))
+    best = lambda role: F.min_by(F.struct("norm", "n"), F.when(F.col("role") == role, F.struct(-F.col("n"), F.col("at"), F.col("norm")))).alias(role)
+    chosen = counts.groupBy("doc_id").agg(F.sum(F.when(F.col("role") == "page", F.col("n"))).alias("n_pages"), best("header"), best("footer"))
+    enough = lambda role: F.when((F.col("n_pages") >= 2) & (F.col(f"{role}.n") >= F.greatest(F.lit(2), F.ceil(F.col("n_pages") * 0.6))), F.col(f"{role}.norm")).alias(role)
+    both = held.join(chosen.select("doc_id", enough("header"), enough("footer")).where("header IS NOT NULL OR footer IS NOT NULL"), "doc_id", "left")
+    is_head = lambda b: F.coalesce((b["norm"] == F.col("header")) & (b["nth"] == 0), F.lit(False))
+    # Footers go after headers, so one text on both edges takes its second paragraph.
+    is_foot = lambda b: F.coalesce((b["norm"] == F.col("footer")) & (b["nth"] == F.coalesce((F.col("header") == F.col("footer")).cast("int"), F.lit(0))), F.lit(False))
+    names = [c.split(" ", 1)[0] for c in BLOCK.split(", ")]
+    block = lambda b, pos, kind=None: F.struct(pos.alias("pos"), *[(b[c] if c != "type" or kind is None else kind).alias(c) for c in names])
+    flow = F.transform(F.filter("blocks", lambda b: ~is_head(b) & ~is_foot(b)), lambda b, i: block(b, i))
+    edges = F.transform(F.filter("blocks", lambda b: is_head(b) | is_foot(b)), lambda b: block(b, F.lit(None).cast("int"), F.when(is_head(b), "header").otherwise("footer")))
+    blank = {c: F.lit(None).cast(t) for c, t in (x.split(" ", 1) for x in BLOCK.split(", "))}
+    breaks = F.array(F.struct(F.size(flow).alias("pos"), *[(F.when(F.col("changes"), "sectionbreak").otherwise("pagebreak") if c == "type" else F.array().cast("array<string>") if c == "texts" else blank[c]).alias(c) for c in names]))
+    return both.select(*PAGE, F.inline(F.concat(flow, edges, F.when(F.col("changes").isNotNull(), breaks).otherwise(F.slice(breaks, 1, 0)))))

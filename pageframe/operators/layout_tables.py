@@ -7,12 +7,14 @@ page, never a document.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageframe.operators.layout import PAGE
+from pageframe.functions.text import fix_devanagari
+from pageframe.operators.layout import PAGE, cell_align, pad_left, vertical_align
 
 NUMERIC = re.compile(r"^-?[\d,]+\.?\d*%?$")
 COLUMN_TOLERANCE = 12.0
@@ -84,14 +86,8 @@ def line_roles(lines: DataFrame, small_cells: DataFrame, big_cells: DataFrame) -
     return every.groupBy(*PAGE).applyInPandas(page, "doc_id long, page_no int, line_no int, role string, run_no int")
 
 
-def _beside(left: float, right: float, width: float) -> str:
-    if right < width * 0.08 and left > width * 0.15:
-        return "right"
-    return "center" if left > width * 0.15 and right > width * 0.15 and abs(left - right) < width * 0.12 else "left"
-
-
-def _pad(align: str, gap: float) -> float:
-    return max(2.0, min(14.0, gap)) if align == "left" else 4.0
+def visible(text: str) -> bool:
+    return text.strip(" \t\n\x0b\f\r") != ""
 
 
 def _covered(strokes: list[tuple[float, float, float]], lines: list[float], cuts: list[float]) -> list[list[bool]]:
@@ -142,9 +138,28 @@ def cell_text(lines: list[tuple[float, float, str]]) -> str:
     return out.strip()
 
 
+def grid_cells(grid: tuple, lines: list[tuple[float, list[tuple]]]) -> list[dict]:
+    """Of each cell of a ruled grid its text, its lines (y, items) and the gaps around its text: left, right, above, below.
+
+    Lines come from the top with their items (no, x, y, width, str, size, ...) from the left, and are found by halving.
+    """
+    ys, xs, cells = grid
+    heights, starts = [-y for y, _ in lines], [[i[1] for i in items] for _, items in lines]
+    out = []
+    for r, c, down, wide in cells:
+        left, right, top, low = xs[c], xs[c + wide], ys[r], ys[r + down]
+        held = range(bisect_left(heights, -(min(top, ys[0]) + 2)), bisect_right(heights, -(max(low, ys[-1]) - 2)))
+        own = [(lines[k][0], its) for k in held if (its := lines[k][1][bisect_left(starts[k], left - 1) : bisect_left(starts[k], right + 1)])]
+        seen = [i for _, its in own for i in its if visible(i[4])]
+        gaps = (min(i[1] for i in seen) - left, right - max(i[1] + i[3] for i in seen), top - own[0][0], own[-1][0] - low) if seen else (None,) * 4
+        text = cell_text([(y, next((i[5] for i in its if visible(i[4])), 10.0), "".join(i[4] for i in its)) for y, its in own])
+        out.append({"text": text, "lines": own, "gaps": gaps})
+    return out
+
+
 def detect_grids(shapes: DataFrame, items: DataFrame) -> DataFrame:
     """Cells of ruled grids with their text, alignment and box; items need ``line_no`` and ``line_y``. One grid a page takes all its strokes."""
-    schema = "doc_id long, page_no int, table_no int, r0 int, c0 int, row_span int, col_span int, text string, align string, valign string, pad_left_pt double, left double, right double, top double, bottom double"
+    raw = "doc_id long, page_no int, table_no int, r0 int, c0 int, row_span int, col_span int, text string, gap_left double, gap_right double, gap_top double, gap_bottom double, left double, right double, top double, bottom double"
 
     def page(s: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -152,32 +167,30 @@ def detect_grids(shapes: DataFrame, items: DataFrame) -> DataFrame:
         grid = ruled_grid(list(s[["x", "y", "w", "h"]].itertuples(index=False, name=None)))
         if grid:
             ys, xs, cells = grid
-            its = i.sort_values(["line_no", "x", "item_no"])
-            for r, c, down, wide in cells:
-                left, right, top, low = xs[c], xs[c + wide], ys[r], ys[r + down]
-                own = its[(its["line_y"] <= min(top, ys[0]) + 2) & (its["line_y"] >= max(low, ys[-1]) - 2) & (its["x"] >= left - 1) & (its["x"] < right + 1)]
-                lines = [(y, next((z for z, t in zip(g["size"], g["str"], strict=True) if t.strip()), 10.0), "".join(g["str"])) for y, g in own.groupby("line_y", sort=False)]
-                seen, align, valign, pad = own[own["str"].str.strip() != ""], "left", "top", 4.0
-                if len(seen):
-                    gap = seen["x"].min() - left
-                    align = _beside(gap, right - (seen["x"] + seen["width"]).max(), right - left)
-                    pad = _pad(align, gap)
-                    above, below, high = top - own["line_y"].max(), own["line_y"].min() - low, top - low
-                    if high > 4 and below < high * 0.15 and above > high * 0.3:
-                        valign = "bottom"
-                    elif high > 4 and above > high * 0.25 and below > high * 0.25 and abs(above - below) < high * 0.15:
-                        valign = "center"
-                rows.append((int(s["doc_id"].iloc[0]), int(s["page_no"].iloc[0]), 0, r, c, down, wide, cell_text(lines), align, valign, pad, left, right, top, low))
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
+            columns = i.sort_values(["line_no", "x", "item_no"])[["item_no", "x", "line_y", "width", "str", "size"]]
+            lines: list[tuple[float, list[tuple]]] = []
+            for item in columns.itertuples(index=False, name=None):
+                if not lines or lines[-1][0] != item[2]:
+                    lines.append((item[2], []))
+                lines[-1][1].append(item)
+            for (r, c, down, wide), cell in zip(cells, grid_cells(grid, lines), strict=True):
+                rows.append((int(s["doc_id"].iloc[0]), int(s["page_no"].iloc[0]), 0, r, c, down, wide, cell["text"], *cell["gaps"], xs[c], xs[c + wide], ys[r], ys[r + down]))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in raw.split(", ")])
 
     stroked = shapes.where("stroke IS NOT NULL").select(*PAGE, "shape_no", "x", "y", "w", "h")
     words = items.select(*PAGE, "item_no", "line_no", "line_y", "x", "width", "size", "str")
-    return stroked.groupBy(*PAGE).cogroup(words.groupBy(*PAGE)).applyInPandas(page, schema)
+    cells = stroked.groupBy(*PAGE).cogroup(words.groupBy(*PAGE)).applyInPandas(page, raw)
+    align = F.coalesce(cell_align(F.col("gap_left"), F.col("gap_right"), F.col("right") - F.col("left")), F.lit("left"))
+    pad = F.when(F.col("gap_left").isNull(), 4.0).otherwise(pad_left(align, F.col("gap_left")))
+    valign = F.coalesce(vertical_align(F.col("gap_top"), F.col("gap_bottom"), F.col("top") - F.col("bottom")), F.lit("top"))
+    return cells.select(*PAGE, "table_no", "r0", "c0", "row_span", "col_span", fix_devanagari(F.col("text")).alias("text"), align.alias("align"), valign.alias("valign"), pad.alias("pad_left_pt"), "left", "right", "top", "bottom")
 
 
 def borderless(run: list[tuple[float, float, list[tuple[str, float, float]]]]) -> dict | None:
     """A table of lines (y, size, cells (text, x, end)), or None where columns are not clear enough.
 
+    Its cells are (row, column, rows, columns, text, gap before the text, gap behind it), the gaps None where there is no text.
+
     Bands are the clustered starts of all cells; each row puts its cells in the nearest bands, wide ones over several. Rows in which cells
     meet are unclean: their texts are joined. The share of clean rows times the share of bands used in half the rows is the confidence.
     """
@@ -238,12 +251,10 @@ def borderless(run: list[tuple[float, float, list[tuple[str, float, float]]]]) -
             if (r, k) in under or isinstance(slot, int):
                 continue
             if slot is None:
-                out.append((r, k, 1, 1, "", "left", 4.0))
+                out.append((r, k, 1, 1, "", None, None))
                 continue
             text, span, x, end = slot
-            right, gap = edges[k + span - 1], x - bands[k]
-            align = _beside(gap, right - end, right - bands[k])
-            out.append((r, k, 2 if (r + 1, k) in under else 1, span, text, align, _pad(align, gap)))
+            out.append((r, k, 2 if (r + 1, k) in under else 1, span, text, x - bands[k], edges[k + span - 1] - end))
     ys = [y for y, _, _ in run]
     middles = [(a + b) / 2 for a, b in zip(ys, ys[1:], strict=False)]
     return {"cells": out, "confidence": confidence, "columns": [*bands, edges[-1]], "rows": [ys[0] + (ys[0] - ys[1]), *middles, ys[-1] - (ys[-2] - ys[-1])]}
@@ -251,18 +262,21 @@ def borderless(run: list[tuple[float, float, list[tuple[str, float, float]]]]) -
 
 def borderless_tables(lines: DataFrame, cells: DataFrame, line_role: DataFrame) -> DataFrame:
     """Cells of borderless tables: each run of table lines of a page, blank ones among them, by ``borderless``; runs that are no table give none."""
-    schema = "doc_id long, page_no int, run_no int, r0 int, c0 int, row_span int, col_span int, text string, align string, pad_left_pt double, confidence double, left double, right double, top double, bottom double"
+    raw = "doc_id long, page_no int, run_no int, r0 int, c0 int, row_span int, col_span int, text string, gap_left double, gap_right double, confidence double, left double, right double, top double, bottom double"
 
     def page(p: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for run_no, run in p.sort_values("line_no").groupby("run_no"):
             made = borderless([(y, size, [(c["text"], c["x"], c["x_end"]) for c in held] if held is not None else []) for y, size, held in zip(run["y"], run["size"], run["cells"], strict=True)])
-            for r, c, down, wide, text, align, pad in made["cells"] if made else ():
+            for r, c, down, wide, text, before, behind in made["cells"] if made else ():
                 box = made["columns"][c], made["columns"][c + wide], made["rows"][r], made["rows"][r + down]
-                rows.append((int(p["doc_id"].iloc[0]), int(p["page_no"].iloc[0]), int(run_no), r, c, down, wide, text, align, pad, made["confidence"], *box))
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
+                rows.append((int(p["doc_id"].iloc[0]), int(p["page_no"].iloc[0]), int(run_no), r, c, down, wide, text, before, behind, made["confidence"], *box))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in raw.split(", ")])
 
     keys = [*PAGE, "line_no"]
     held = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cell_no", "text", "x", "x_end"))).alias("cells"))
     tabled = line_role.where("role = 'table'").join(lines.select(*keys, "y", "size"), keys).join(held, keys, "left")
-    return tabled.groupBy(*PAGE).applyInPandas(page, schema)
+    found = tabled.groupBy(*PAGE).applyInPandas(page, raw)
+    align = F.coalesce(cell_align(F.col("gap_left"), F.col("gap_right"), F.col("right") - F.col("left")), F.lit("left"))
+    pad = F.when(F.col("gap_left").isNull(), 4.0).otherwise(pad_left(align, F.col("gap_left")))
+    return found.select(*PAGE, "run_no", "r0", "c0", "row_span", "col_span", fix_devanagari(F.col("text")).alias("text"), align.alias("align"), pad.alias("pad_left_pt"), "confidence", "left", "right", "top", "bottom")

@@ -118,14 +118,28 @@ def roles(spark, sf):
     return LT.line_roles(l, L.split_cells(l, L.small_gap(F.col("size"))), L.split_cells(l, L.big_gap(F.lit(595.28))))
 
 
+def item_pages(spark, sf):
+    """doc_id and page_no of the pages that ``text_items`` fills, counted from the documents' words."""
+    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \n]+"), lambda w: w != ""))
+    return D.table(spark, sf, "documents").select("doc_id", n.alias("n")).where("n > 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 480).cast("int"))).alias("page_no"))
+
+
+_LINE_BOXES = [(i, 45.0, 800.0 - 60 * i, 480.0, 1.0) for i in range(4)] + [(4 + i, 45.0 + 240 * i, 620.0, 1.0, 180.0) for i in (0, 2)] + [(7 + r, 285.0, 620.0 + 60 * r, 1.0, 60.0) for r in range(3)]
+
+
+def boxed(pages, made):
+    """A row for each of the boxes (shape_no, x, y, w, h) on every page."""
+    return pages.select("doc_id", "page_no", F.inline(F.array(*[F.struct(F.lit(n).alias("shape_no"), *[F.lit(v).alias(c) for c, v in zip("xywh", box, strict=True)]) for n, *box in made])))
+
+
+def rgb(*v):
+    return F.array(*[F.lit(x) for x in v])
+
+
 def shapes(spark, sf):
     """Strokes of a grid of three rows and two columns on every page, with one divider left out on odd pages, and a filled box."""
-    page = D.text_items(spark, sf).select("doc_id", "page_no").distinct()
-    flat = [(i, 45.0, 800.0 - 60 * i, 480.0, 1.0) for i in range(4)] + [(4 + i, 45.0 + 240 * i, 620.0, 1.0, 180.0) for i in (0, 2)]
-    mid = [(7 + r, 285.0, 620.0 + 60 * r, 1.0, 60.0) for r in range(3)]
-    made = [F.struct(F.lit(n).alias("shape_no"), *[F.lit(v).alias(c) for c, v in zip("xywh", box, strict=True)]) for n, *box in flat + mid]
-    every = page.select("doc_id", "page_no", F.inline(F.array(*made))).where("NOT (shape_no = 8 AND (doc_id + page_no) % 2 = 1)")
-    return every.select("*", F.array(F.lit(0), F.lit(0), F.lit(0)).alias("stroke"), F.lit(None).cast("array<int>").alias("fill"))
+    every = boxed(item_pages(spark, sf), _LINE_BOXES).where("NOT (shape_no = 8 AND (doc_id + page_no) % 2 = 1)")
+    return every.select("*", rgb(0, 0, 0).alias("stroke"), F.lit(None).cast("array<int>").alias("fill"))
 
 
 def grid_sql(items: str) -> str:
@@ -154,43 +168,95 @@ def borderless(spark, sf):
     return rounded(LT.borderless_tables(l, small, LT.line_roles(l, small, L.split_cells(l, L.big_gap(F.lit(595.28))))))
 
 
-_BLOCKS = (
-    """, bi AS (SELECT doc_id, page_no, item_no, CASE WHEN str = ' ' THEN 'f' ELSE str END AS str, item_no // 12 % 40 AS ln, item_no % 12 AS k, 50.0 + item_no % 12 * 36 + CASE WHEN item_no // 12 % 10 IN (6, 7) AND item_no % 12 >= 6 THEN 100 ELSE 0 END AS x, 36.0 AS width, y, size FROM text_items)"""
-    + grid_sql("(SELECT * FROM bi WHERE (doc_id + page_no) % 3 > 0)")
-    + """, bl AS (SELECT doc_id, page_no, ln, y, any_value(size) AS size, ln % 10 IN (6, 7) AND max(k) >= 6 AS col FROM bi WHERE y > 802 OR y < 618 OR (doc_id + page_no) % 3 = 0 GROUP BY doc_id, page_no, ln, y),
-br AS (SELECT *, sum(ch) OVER w AS run FROM (SELECT *, CASE WHEN lag(col) OVER w = col THEN 0 ELSE 1 END AS ch FROM bl WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY ln)) WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY ln)),
-bs AS (SELECT doc_id, page_no, run, col, CASE WHEN col AND k >= 6 THEN 1 ELSE 0 END AS side, ln, br.y, br.size, string_agg(str, '' ORDER BY x) AS txt, max(x + width) AS max_x, min(x) AS min_x FROM br JOIN bi USING (doc_id, page_no, ln) GROUP BY ALL),
+def block_sql(more: str = "") -> str:
+    """Tables up to ``every``, the blocks of the pages of ``block_words`` and ``block_shapes``; ``more`` adds rows to the words."""
+    return (
+        f""", bi AS (SELECT doc_id, page_no, item_no, CASE WHEN str = ' ' THEN 'f' ELSE str END AS str, item_no // 12 % 40 AS ln, item_no % 12 AS k, 50.0 + item_no % 12 * 36 + CASE WHEN item_no // 12 % 10 IN (6, 7) AND item_no % 12 >= 6 THEN 100 ELSE 0 END AS x, 36.0 AS width, y, size, item_no % 12 < 3 AS bold FROM text_items{more})"""
+        + grid_sql("(SELECT * FROM bi WHERE (doc_id + page_no) % 3 > 0)")
+        + """, bl AS (SELECT doc_id, page_no, ln, y, any_value(size) AS size, ln % 10 IN (6, 7) AND max(k) >= 6 AS col FROM bi WHERE y > 802 OR y < 618 OR (doc_id + page_no) % 3 = 0 GROUP BY doc_id, page_no, ln, y),
+br AS (SELECT *, CASE WHEN ln = 20 AND (doc_id + page_no) % 3 = 0 THEN '_' ELSE '' END AS u, sum(ch) OVER w AS run FROM (SELECT *, CASE WHEN lag(col) OVER w = col THEN 0 ELSE 1 END AS ch FROM bl WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY ln)) WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY ln)),
+bs AS (SELECT doc_id, page_no, run, col, CASE WHEN col AND k >= 6 THEN 1 ELSE 0 END AS side, ln, br.y, br.size, string_agg(str, '' ORDER BY x) AS txt, max(x + width) AS max_x, min(x) AS min_x,
+  coalesce(any_value(u) || '*' || string_agg(str, '' ORDER BY x) FILTER (bold) || '|', '') || coalesce(any_value(u) || string_agg(str, '' ORDER BY x) FILTER (NOT bold) || '|', '') || ' |' AS styled FROM br JOIN bi USING (doc_id, page_no, ln) GROUP BY ALL),
 b1 AS (SELECT *, coalesce(lag(y) OVER w - y > lag(size) OVER w * 1.6, true) AS begins FROM bs WINDOW w AS (PARTITION BY doc_id, page_no, run, side ORDER BY ln)),
 b2 AS (SELECT *, sum(begins::INTEGER) OVER (PARTITION BY doc_id, page_no, run, side ORDER BY ln) AS para FROM b1),
 b3 AS (SELECT *, NOT begins AND coalesce(lag(max_x) OVER q < 0.65 * max(max_x) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS breaks FROM b2 WINDOW q AS (PARTITION BY doc_id, page_no, run, side, para ORDER BY ln)),
-bp AS (SELECT doc_id, page_no, run, col, side, para, max(y) AS y, min(y) AS low, string_agg(CASE WHEN breaks THEN chr(10) ELSE '' END || txt, ' ' ORDER BY ln) AS txt FROM b3 GROUP BY doc_id, page_no, run, col, side, para),
+bp AS (SELECT doc_id, page_no, run, col, side, para, max(y) AS y, min(y) AS low, string_agg(CASE WHEN breaks THEN chr(10) ELSE '' END || txt, ' ' ORDER BY ln) AS txt, string_agg(CASE WHEN breaks THEN '/|' ELSE '' END || styled, '' ORDER BY ln) AS styled, lower(trim(string_agg(txt, ' ' ORDER BY ln))) AS norm FROM b3 GROUP BY doc_id, page_no, run, col, side, para),
 st AS (SELECT doc_id, page_no, y AS sy FROM (SELECT DISTINCT doc_id, page_no FROM bi WHERE (doc_id + page_no) % 3 = 0), (SELECT unnest([95.0, 428.0]) AS y)),
 every AS (
-  SELECT doc_id, page_no, 'paragraph' AS type, y, NULL::INTEGER AS n_rows, NULL::INTEGER AS n_cols, txt AS joined, false AS shaded, run, para AS no FROM bp WHERE NOT col
-  UNION ALL SELECT doc_id, page_no, 'columns', max(y), NULL, NULL, string_agg(txt, '|' ORDER BY side, para), min(low) >= 287 AND max(y) <= 343, run, 0 FROM bp WHERE col GROUP BY doc_id, page_no, run
-  UNION ALL SELECT doc_id, page_no, 'gridtable', 800, 3, 2, string_agg(text, '|' ORDER BY r0, c0), false, -1, 0 FROM grid GROUP BY doc_id, page_no
-  UNION ALL SELECT doc_id, page_no, 'separator', sy, NULL, NULL, '', false, -2, 0 FROM st WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, page_no, y, min(min_x) AS a, max(max_x) AS b FROM bs GROUP BY doc_id, page_no, y) t WHERE t.doc_id = st.doc_id AND t.page_no = st.page_no AND abs(t.y - sy) <= 4 AND least(b, 445) - greatest(a, 45) > 0.4 * least(400, b - a)))
-SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y DESC, run, no) - 1 AS pos, type, y::DOUBLE AS y, n_rows, n_cols, joined, shaded FROM every"""
-)
+  SELECT doc_id, page_no, 'paragraph' AS type, y, NULL::INTEGER AS n_rows, NULL::INTEGER AS n_cols, txt AS joined, false AS shaded, run, para AS no, styled, norm FROM bp WHERE NOT col
+  UNION ALL SELECT doc_id, page_no, 'columns', max(y), NULL, NULL, string_agg(txt, '|' ORDER BY side, para), min(low) >= 287 AND max(y) <= 343, run, 0, NULL, NULL FROM bp WHERE col GROUP BY doc_id, page_no, run
+  UNION ALL SELECT doc_id, page_no, 'gridtable', 800, 3, 2, string_agg(text, '|' ORDER BY r0, c0), false, -1, 0, NULL, NULL FROM grid GROUP BY doc_id, page_no
+  UNION ALL SELECT doc_id, page_no, 'separator', sy, NULL, NULL, '', false, -2, 0, NULL, NULL FROM st WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, page_no, y, min(min_x) AS a, max(max_x) AS b FROM bs GROUP BY doc_id, page_no, y) t WHERE t.doc_id = st.doc_id AND t.page_no = st.page_no AND abs(t.y - sy) <= 4 AND least(b, 445) - greatest(a, 45) > 0.4 * least(400, b - a)))"""
+    )
+
+
+_BLOCKS = block_sql() + " SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y DESC, run, no) - 1 AS pos, type, y::DOUBLE AS y, n_rows, n_cols, joined, shaded FROM every"
+
+
+def block_words(spark, sf):
+    """Words of which some stand in two columns, without fillers."""
+    k, line = F.col("item_no") % 12, F.floor(F.col("item_no") / 12)
+    shift = F.when((line % 10).isin(6, 7) & (k >= 6), 100.0).otherwise(0.0)
+    return D.text_items(spark, sf).withColumn("str", F.when(F.col("str") == " ", "f").otherwise(F.col("str"))).withColumn("x", 50.0 + k * 36 + shift).withColumn("width", F.lit(36.0))
+
+
+def block_shapes(spark, sf):
+    """Grids on two pages of three, an underline and a separator on the third, and a filled box on all."""
+    every = boxed(item_pages(spark, sf), [*_LINE_BOXES, (20, 45.0, 95.0, 400.0, 1.0), (21, 45.0, 428.0, 400.0, 1.0), (22, 40.0, 290.0, 520.0, 50.0)])
+    on = F.expr("CASE WHEN shape_no < 20 THEN (doc_id + page_no) % 3 > 0 AND NOT (shape_no = 8 AND (doc_id + page_no) % 2 = 1) WHEN shape_no < 22 THEN (doc_id + page_no) % 3 = 0 ELSE true END")
+    return every.where(on).withColumn("stroke", F.when(F.col("shape_no") < 22, rgb(0, 0, 0))).withColumn("fill", F.when(F.col("shape_no") == 22, rgb(200, 210, 220)))
 
 
 @query("d_blocks", D.sql(_BLOCKS, "text_items"))
 def blocks(spark, sf):
     """Pages with a grid at the top or with an underline and a separator, text that stands in two columns on some lines, and a box around some of those."""
-    k, line = F.col("item_no") % 12, F.floor(F.col("item_no") / 12)
-    shift = F.when((line % 10).isin(6, 7) & (k >= 6), 100.0).otherwise(0.0)
-    words = D.text_items(spark, sf).withColumn("str", F.when(F.col("str") == " ", "f").otherwise(F.col("str"))).withColumn("x", 50.0 + k * 36 + shift).withColumn("width", F.lit(36.0))
-    i = L.group_lines(words)
-    more = [(20, 45.0, 95.0, 400.0, 1.0), (21, 45.0, 428.0, 400.0, 1.0), (22, 40.0, 290.0, 520.0, 50.0)]
-    made = [F.struct(F.lit(n).alias("shape_no"), *[F.lit(v).alias(c) for c, v in zip("xywh", box, strict=True)]) for n, *box in more]
-    rgb = lambda *v: F.array(*[F.lit(x) for x in v])
-    extra = words.select("doc_id", "page_no").distinct().select("doc_id", "page_no", F.inline(F.array(*made)))
-    extra = extra.withColumn("stroke", F.when(F.col("h") < 2, rgb(0, 0, 0))).withColumn("fill", F.when(F.col("h") > 2, rgb(200, 210, 220)))
-    third = (F.col("doc_id") + F.col("page_no")) % 3
-    b = BL.page_blocks(i, shapes(spark, sf).where(third > 0).unionByName(extra.where((third == 0) | (F.col("h") > 2))), 595.28)
+    b = BL.page_blocks(block_words(spark, sf), block_shapes(spark, sf), 595.28)
     return b.select("doc_id", "page_no", "pos", "type", "y", "n_rows", "n_cols", F.array_join("texts", "|").alias("joined"), F.col("shade").isNotNull().alias("shaded"))
 
 
+_EDGES = " UNION ALL SELECT doc_id, page_no, 100000 + e, ['Head', 'FOOT'][e + 1], [-1, 40][e + 1], 0, 50.0, 20.0, [830.0, 20.0][e + 1], 10.0, false FROM (SELECT DISTINCT doc_id, page_no FROM text_items), (SELECT unnest([0, 1]) AS e) WHERE page_no % (5 + 2 * e) <> 4"
+_DOCUMENT = (
+    block_sql(_EDGES)
+    + """, n AS (SELECT doc_id, coalesce(max(page_no) + 2, 1) AS n_pages FROM documents LEFT JOIN text_items USING (doc_id) GROUP BY doc_id),
+im AS (SELECT doc_id, page_no, i, [60.0, 50, 500, 60][i + 1] AS x, [750.0, 400, 500, 700][i + 1] AS y, [50.0, 300, 20, 400][i + 1] AS w, [40.0, 30, 20, 30][i + 1] AS h FROM (SELECT DISTINCT doc_id, page_no FROM bi), (SELECT unnest([0, 1, 2, 3]) AS i) WHERE i = 0 OR (doc_id + page_no) % (i + 2) = 1),
+inside AS (SELECT im.doc_id, im.page_no, i, r0, c0 FROM im JOIN grid g ON g.doc_id = im.doc_id AND g.page_no = im.page_no AND x + w / 2 BETWEEN g.left AND g.right AND y + h / 2 BETWEEN g.bottom AND g.top AND w <= 1.3 * (g.right - g.left) AND h <= 1.3 * (g.top - g.bottom)),
+nums AS (SELECT doc_id, page_no, r0, c0, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY r0, c0) - 1 AS cell FROM grid),
+held AS (SELECT doc_id, page_no, string_agg(i || ':' || cell, ',' ORDER BY i) AS held FROM inside JOIN nums USING (doc_id, page_no, r0, c0) GROUP BY doc_id, page_no),
+al AS (
+  SELECT doc_id, page_no, type, y, joined, shaded, run, no, styled, norm, CASE WHEN type = 'gridtable' THEN held END AS held, NULL AS placement, NULL::DOUBLE AS y_from_top FROM every LEFT JOIN held USING (doc_id, page_no)
+  UNION ALL SELECT doc_id, page_no, 'image', y, '', false, 1000000, i, NULL, NULL, NULL, CASE WHEN w >= 0.35 * 595.28 THEN 'centered' ELSE 'anchored' END, CASE WHEN (doc_id + page_no) % 5 = 0 THEN 900.4 ELSE 841.89 END - y - h FROM im ANTI JOIN inside USING (doc_id, page_no, i)),
+od AS (SELECT *, row_number() OVER w AS idx, row_number() OVER (PARTITION BY doc_id, page_no, norm ORDER BY y DESC, run, no) AS nth FROM al WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY y DESC, run, no)),
+ed AS (SELECT doc_id, page_no, 'header' AS role, arg_min(norm, idx) AS norm FROM od WHERE type = 'paragraph' GROUP BY ALL UNION ALL SELECT doc_id, page_no, 'footer', arg_max(norm, idx) FROM od WHERE type = 'paragraph' GROUP BY ALL),
+ch AS (SELECT doc_id, role, norm FROM (SELECT doc_id, role, norm, count(*) AS c, min(page_no) AS f FROM ed WHERE norm <> '' GROUP BY ALL) JOIN n USING (doc_id) WHERE n_pages >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id, role ORDER BY c DESC, f, norm) = 1 AND c >= greatest(2, ceil(n_pages * 0.6))),
+rl AS (SELECT od.*, CASE WHEN hd.norm IS NOT NULL AND nth = 1 THEN 'header' WHEN ft.norm IS NOT NULL AND nth = CASE WHEN hd.norm IS NULL THEN 1 ELSE 2 END THEN 'footer' END AS role
+  FROM od LEFT JOIN ch hd ON hd.doc_id = od.doc_id AND hd.role = 'header' AND hd.norm = od.norm LEFT JOIN ch ft ON ft.doc_id = od.doc_id AND ft.role = 'footer' AND ft.norm = od.norm),
+fl AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, role IS NULL ORDER BY idx) - 1 AS pos FROM rl)
+SELECT doc_id, page_no, CASE WHEN role IS NULL THEN pos END AS pos, coalesce(role, type) AS type, y::DOUBLE AS y, joined, styled, held, placement, round(y_from_top, 6) AS y_from_top FROM fl
+UNION ALL SELECT doc_id, n_pages - 1, 0, 'pageimage', NULL, '', NULL, NULL, NULL, NULL FROM n
+UNION ALL SELECT doc_id, page_no, count(*) FILTER (role IS NULL), CASE WHEN ((doc_id + page_no) % 5 = 0) = ((doc_id + page_no + 1) % 5 = 0) THEN 'pagebreak' ELSE 'sectionbreak' END, NULL, '', NULL, NULL, NULL, NULL FROM fl GROUP BY doc_id, page_no"""
+)
+
+
+@query("d_document_blocks", D.sql(_DOCUMENT, "text_items"))
+def document(spark, sf):
+    """The pages of ``d_blocks`` with running headers and footers on most, images in and beside the grids, two sizes, and an empty last page each."""
+    on = item_pages(spark, sf)
+    edges = on.select("doc_id", "page_no", F.inline(F.array(*[F.struct(F.lit(100000 + e).alias("item_no"), F.lit(text).alias("str"), F.lit(50.0).alias("x"), F.lit(y).alias("y"), F.lit(20.0).alias("width"), F.lit(10.0).alias("size"), F.lit(False).alias("bold")) for e, text, y in ((0, "Head", 830.0), (1, "FOOT", 20.0))])))
+    edges = edges.where("page_no % (5 + 2 * (item_no - 100000)) <> 4")
+    words = block_words(spark, sf).withColumn("bold", F.col("item_no") % 12 < 3).unionByName(edges)
+    boxes = ((0, 60.0, 750.0, 50.0, 40.0), (1, 50.0, 400.0, 300.0, 30.0), (2, 500.0, 500.0, 20.0, 20.0), (3, 60.0, 700.0, 400.0, 30.0))
+    images = on.select("doc_id", "page_no", F.inline(F.array(*[F.struct(F.lit(i).alias("image_no"), *[F.lit(v).alias(c) for c, v in zip(("x_pt", "y_pt", "width_pt", "height_pt"), box, strict=True)]) for i, *box in boxes])))
+    images = images.where("image_no = 0 OR (doc_id + page_no) % (image_no + 2) = 1")
+    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \n]+"), lambda w: w != ""))
+    pages_ = D.table(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.ceil(n / 480).cast("int"))).alias("page_no"))
+    pages_ = pages_.select("*", F.lit(595.28).alias("width_pt"), F.when((F.col("doc_id") + F.col("page_no")) % 5 == 0, 900.4).otherwise(841.89).alias("height_pt"))
+    b = BL.document_blocks(words, block_shapes(spark, sf), images, pages_)
+    mark = lambda r: F.concat(F.when(r["is_break"], "/").otherwise(F.concat(F.when(r["underline"], "_").otherwise(""), F.when(r["bold"], "*").otherwise(""), r["text"])), F.lit("|"))
+    styled = F.when(F.col("type").isin("paragraph", "header", "footer"), F.array_join(F.transform(F.get("runs", F.lit(0)), mark), ""))
+    held = F.when(F.size("images") > 0, F.array_join(F.transform("images", lambda i: F.concat_ws(":", i["image_no"], i["cell"])), ","))
+    return b.select("doc_id", "page_no", "pos", "type", "y", F.array_join("texts", "|").alias("joined"), styled.alias("styled"), held.alias("held"), "placement", F.round("y_from_top", 6).alias("y_from_top"))
+
+
 @query(
     "d11_fallback_table",
     ti("""SELECT doc_id, page_no, line_no, CASE WHEN n = 1 AND w > 1 THEN 1 ELSE w END AS n_cells, CASE WHEN n = 1 THEN w ELSE 1 END AS first_span, joined || CASE WHEN n = 1 THEN '' ELSE repeat('|', w - n) END AS joined

@@ -146,7 +146,7 @@ def test_page_blocks(spark):
 
     items = words(0, "Title", size=20.0) + words(1, "a", "b", "c") + words(2, "d", "e", "f") + words(3, "end of it")
     items += words(5, "left", "right", xs=[50.0, 350.0]) + words(7, "k1", "v1", "w1", xs=[50.0, 52.0 + 60, 300.0]) + words(8, "only", "two", xs=[50.0, 112.0])
-    df = L.group_lines(spark.createDataFrame(items, "doc_id long, page_no int, item_no int, str string, x double, y double, width double, size double"))
+    df = spark.createDataFrame(items, "doc_id long, page_no int, item_no int, str string, x double, y double, width double, size double")
     black = [0, 0, 0]
     shapes = [(1, 0, 0, 40.0, 758.0, 90.0, 1.0, black, None), (1, 0, 1, 40.0, 600.0, 300.0, 1.0, black, None), (1, 0, 2, 40.0, 730.0, 300.0, 40.0, black, [200, 210, 220])]
     df_shapes = spark.createDataFrame(shapes, "doc_id long, page_no int, shape_no int, x double, y double, w double, h double, stroke array<int>, fill array<int>")
