@@ -6,10 +6,15 @@ order of arrival are ``aggregate`` over a page's or a line's own items.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pageframe.functions.text import is_list_item
+from pageframe.operators.ordering import dealt, so_far
 
 PAGE = ["doc_id", "page_no"]
 LINE_TOLERANCE = 3.0
@@ -120,6 +125,41 @@ def cluster_1d(df: DataFrame, keys: list[str], value: str, tolerance: float) ->
     return sorted_.select(*keys, F.aggregate("_v", F.array().cast("array<double>"), add).alias("centres"))
 
 
+def cluster_long(df: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
+    """(keys, centre, n_values): the clusters of ``cluster_1d``, a row each, for keys with any number of values.
+
+    Where a value lies further than the tolerance from the one before it a new cluster begins whatever the centre, which is no
+    larger than that one. Keys are cut there, and the pieces, of any size too, are walked apart in sorted streams that
+    hold a centre. Values that are null or no number are left out.
+    """
+    values = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    rows = so_far(dealt(values, keys, ["_v"], "values"), keys, ["_v"], _last=(F.max, F.col("_v"), False))
+    cut = F.when(F.col("_last").isNull() | (F.col("_v") - F.col("_last") > tolerance), F.col("_v"))
+    rows = so_far(rows.withColumn("_cut", cut), keys, ["_v"], _piece=(F.max, F.col("_cut"), True)).select(*keys, "_piece", "_v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, out, kinds = None, [], None
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), [*kinds, pa.float64(), pa.int64()], strict=True)], names=[*keys, "centre", "n_values"])
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
+            for *at, v in zip(*(batch.column(c).to_pylist() for c in (*keys, "_piece", "_v")), strict=True):
+                if held and held[0] == at and v - held[1] <= tolerance:
+                    held[1:] = (held[1] + v) / 2, held[2] + 1
+                else:
+                    if held:
+                        out.append((*held[0][:-1], *held[1:]))
+                    held = [at, v, 1]
+            if len(out) >= 1000:
+                yield made()
+                out = []
+        if held:
+            out.append((*held[0][:-1], *held[1:]))
+            yield made()
+
+    schema = StructType([*[values.schema[k] for k in keys], *StructType.fromDDL("centre double, n_values long")])
+    return rows.repartition(*keys, "_piece").sortWithinPartitions(*keys, "_piece", "_v").mapInArrow(run, schema)
+
+
 def margin_align(left: Column, right: Column, width: Column, near: float = 0.04, far: float = 0.2, off: float = 0.15, even: float = 0.08) -> Column:
     """right or center by the gaps beside a text, else left; the defaults are those of pages."""
     return F.when((right < width * near) & (left > width * far), "right").when((left > width * off) & (right > width * off) & (F.abs(left - right) < width * even), "center").otherwise("left")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from pageframe.sources.shared import stored
+
 RANGES = 256
 #: Arrow types of the columns that a fold adds.
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
@@ -53,3 +55,30 @@ def folded(df: DataFrame, key: str, order: list[str], inputs: list[str], outputs
 
     laid = df.repartition(key).sortWithinPartitions(key, *order)
     return laid.mapInArrow(run, StructType([*df.schema, *StructType.fromDDL(outputs)]))
+
+
+def dealt(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` in the shared folder by ranges of its keys and order, with the number ``_range``: a key of any size lies in as many as it fills."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()), name)
+
+
+def so_far(rows: DataFrame, keys: list[str], order: list[str], **columns: tuple[Callable[[Column], Column], Column, bool]) -> DataFrame:
+    """``dealt`` rows with columns over their key's rows so far: (aggregate that a range can begin for the next, of what, whether the row itself counts).
+
+    Each range is walked by itself and goes on from what the ranges before it end with, a row a key and range.
+    """
+    within, ranges = [*keys, "_range"], Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*within).agg(*[how(of).alias(f"_{c}") for c, (how, of, _) in columns.items()])
+    before = parts.select(*within, *[(F.sum if how is F.count else how)(F.col(f"_{c}")).over(ranges).alias(f"_{c}") for c, (how, _, _) in columns.items()])
+    local = lambda own: Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    walked = rows
+    for c, (how, of, own) in columns.items():
+        walked = walked.withColumn(c, how(of).over(local(own)))
+    before = before.select(*[F.col(k).alias(f"_at_{k}") for k in within], *[f"_{c}" for c in columns])
+    same = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in within]
+    joined = walked.join(before, same).drop(*[f"_at_{k}" for k in within])
+    for c, (how, _, _) in columns.items():
+        both = F.array_compact(F.array(F.col(f"_{c}"), F.col(c)))
+        joined = joined.withColumn(c, F.aggregate(both, F.lit(0).cast("long"), lambda a, x: a + x) if how in (F.sum, F.count) else F.array_max(both)).drop(f"_{c}")
+    return joined

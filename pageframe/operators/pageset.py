@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageframe.operators.ordering import folded
+from pageframe.operators.ordering import dealt, folded, so_far
+from pageframe.sources.shared import stored
 
 PAGE_WIDTH, PAGE_HEIGHT = 595.28, 841.89
 
@@ -142,6 +143,58 @@ def split_by_size(pages: DataFrame, max_bytes: int) -> DataFrame:
     return folded(pages, "doc_id", ["page_index"], ["bytes"], "part_no int, pos int", lambda: (0, 0, 0), step)
 
 
+def _successors(starts: DataFrame, max_bytes: int) -> DataFrame:
+    """(doc_id, at, next): where the part that begins at a byte of a document ends, for the bytes at which its pages begin.
+
+    The page that holds the byte ``max_bytes`` further on is the first that does not fit. Pages and those bytes meet in stretches of the
+    document of that length, a page in its own and the one after it; of each stretch the last page begun before a byte holds it.
+    """
+    width = max(1, max_bytes)
+    stretch = lambda c: F.floor(F.col(c) / width)
+    page = F.struct("at", "end").alias("page")
+    own = starts.select("doc_id", stretch("at").alias("_s"), F.col("at").alias("_by"), F.lit(0).alias("_kind"), page, F.lit(None).cast("long").alias("start"))
+    over = starts.where(F.col("end") > (stretch("at") + 1) * width).select("doc_id", (stretch("at") + 1).alias("_s"), F.col("at").alias("_by"), F.lit(0).alias("_kind"), page, F.lit(None).cast("long").alias("start"))
+    asked = starts.where(F.col("at") + max_bytes < F.col("total")).withColumn("_by", F.col("at") + max_bytes)
+    asked = asked.select("doc_id", stretch("_by").alias("_s"), "_by", F.lit(1).alias("_kind"), F.lit(None).cast("struct<at:bigint,end:bigint>").alias("page"), F.col("at").alias("start"), "total")
+    every = asked.unionByName(own, allowMissingColumns=True).unionByName(over, allowMissingColumns=True)
+    held = every.withColumn("page", F.last("page", ignorenulls=True).over(Window.partitionBy("doc_id", "_s").orderBy("_by", "_kind").rowsBetween(Window.unboundedPreceding, 0)))
+    # A page that is over the cap by itself is its own part.
+    step = F.when(F.col("page.at") > F.col("start"), F.col("page.at")).otherwise(F.col("page.end"))
+    return held.where("_kind = 1").select("doc_id", F.col("start").alias("at"), step.alias("next"), "total").where("next <= total").drop("total")
+
+
+def split_long(pages: DataFrame, max_bytes: int) -> DataFrame:
+    """``split_by_size`` for documents of any number of pages, which no task walks whole.
+
+    Bytes are summed over ranges of pages. Every page that could begin a part knows where that part would end; from the first page on
+    these successors are followed by doubling, each turn twice as far as the one before, so there are as many turns as a
+    document's parts have binary digits. Pages without bytes fill the part before them, unless one page filled that beyond the cap.
+    """
+    rows = dealt(pages.withColumn("_size", F.greatest(F.coalesce("bytes", F.lit(0)), F.lit(0)).cast("long")), ["doc_id"], ["page_index"], "long-pages")
+    rows = stored(so_far(rows, ["doc_id"], ["page_index"], _at=(F.sum, F.col("_size"), False), _place=(F.count, F.lit(1), False)), "long-sums")
+    total = rows.groupBy("doc_id").agg(F.sum("_size").alias("total"))
+    starts = rows.where("_size > 0").select("doc_id", F.col("_at").alias("at"), (F.col("_at") + F.col("_size")).alias("end")).join(total, "doc_id")
+    jumps = stored(_successors(starts, max_bytes), "long-jumps")
+    first = jumps
+    reached = stored(total.select("doc_id", F.lit(0).cast("long").alias("at"), F.lit(0).alias("part_no"), F.lit(0).cast("long").alias("_before")), "long-reached")
+    new, turn = reached, 1
+    while not jumps.isEmpty():
+        new = stored(reached.join(jumps, ["doc_id", "at"]).select("doc_id", F.col("next").alias("at"), (F.col("part_no") + turn).alias("part_no")), "long-new")
+        if new.isEmpty():
+            break
+        reached = reached.drop("_before").unionByName(new)
+        further = jumps.select("doc_id", F.col("at").alias("next"), F.col("next").alias("far"))
+        jumps, turn = stored(jumps.join(further, ["doc_id", "next"]).select("doc_id", "at", F.col("far").alias("next")), "long-jumps"), 2 * turn
+    reached = stored(reached.select("doc_id", "at", "part_no"), "long-reached")
+    ended = reached.join(first, ["doc_id", "at"]).select("doc_id", F.col("next").alias("at"), (F.col("next") - F.col("at") > max_bytes).alias("_over"))
+    begun = reached.join(ended, ["doc_id", "at"], "left").withColumnRenamed("at", "_at").withColumnRenamed("part_no", "_begins")
+    filler = (F.col("_size") == 0) & (F.col("_begins") > 0) & ~F.coalesce("_over", F.lit(False))
+    marked = rows.join(begun, ["doc_id", "_at"], "left").withColumn("_begins", F.when(filler, F.col("_begins") - 1).otherwise(F.col("_begins")).cast("long"))
+    found = so_far(marked, ["doc_id"], ["page_index"], part_no=(F.max, F.col("_begins"), True)).withColumn("part_no", F.col("part_no").cast("int"))
+    heads = found.groupBy("doc_id", "part_no").agg(F.min("_place").alias("_head"))
+    return found.join(heads, ["doc_id", "part_no"]).withColumn("pos", (F.col("_place") - F.col("_head")).cast("int")).select(*pages.columns, "part_no", "pos")
+
+
 def add_source(spec: DataFrame, pages: DataFrame, added: DataFrame) -> DataFrame:
     """A spec with the pages of the documents of (out_id, doc_id) after each output's own."""
     last = spec.groupBy("out_id").agg((F.max("pos") + 1).alias("_from"))

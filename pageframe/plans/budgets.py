@@ -163,6 +163,13 @@ def replay(spark, sf):
     return I.replay_edits(D.edit_log(spark, sf))
 
 
+@query("i1_replay_one_log", replay_sql("seq").replace("user_id AS doc_id", "event_id // 100000 AS doc_id").replace("PARTITION BY user_id", "PARTITION BY event_id // 100000"))
+def replay_one(spark, sf):
+    """All events as edits of one document for each hundred thousand, replayed in ranges."""
+    log = D.edit_log(spark, sf).withColumn("doc_id", F.floor(F.col("seq") / 100000))
+    return I.replay_in_ranges(log)
+
+
 _OBJ = "WITH log AS (SELECT user_id AS doc_id, 'o' || event_id % 7 AS object_id, event_id AS seq, CASE WHEN event_id % 10 < 4 THEN 'add' WHEN event_id % 10 < 9 THEN 'patch' ELSE 'delete' END AS op, 'f' || event_id % 3 AS field, event_id::VARCHAR AS value FROM events)"
 
 

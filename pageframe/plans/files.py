@@ -44,6 +44,32 @@ def sheets(spark, sf):
     return cells.select(F.regexp_extract("path", r"sheet=(\d+)", 1).cast("long").alias("sheet"), "row_no", "col_no", "value")
 
 
+def in_splits(spark, size: str):
+    """A session like ``spark`` that reads files in splits of a size, however small they are."""
+    session = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        if (value := spark.conf.get(key, None)) is not None:
+            session.conf.set(key, value)
+    session.conf.set("spark.sql.files.maxPartitionBytes", size)
+    session.conf.set("spark.sql.files.openCostInBytes", "1k")
+    return session
+
+
+@query(
+    "a8_sheet_in_splits",
+    """SELECT sheet, row_no, col_no, [o_orderkey::VARCHAR, CASE o_orderkey % 3 WHEN 0 THEN o_orderstatus || chr(10) || '"' || chr(13) || chr(10) || o_orderpriority WHEN 1 THEN '"' || o_orderstatus || '",' ELSE o_orderpriority END, ''][col_no + 1] AS value
+FROM (SELECT *, o_custkey % 3 AS sheet, row_number() OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderkey) - 1 AS row_no FROM orders), (SELECT unnest([0, 1, 2]) AS col_no)""",
+)
+def sheet_in_splits(spark, sf):
+    """Orders as three CSV sheets whose cells have quotes and line breaks, read in splits that end anywhere in them."""
+    to = folder(spark, "sheets")
+    said = F.when(F.col("o_orderkey") % 3 == 0, F.concat("o_orderstatus", F.lit('\n"\r\n'), "o_orderpriority")).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit('"'), "o_orderstatus", F.lit('",'))).otherwise(F.col("o_orderpriority"))
+    o = D.table(spark, sf, "orders").select((F.col("o_custkey") % 3).alias("sheet"), "o_orderkey", said.alias("said"), F.lit("").alias("blank"))
+    o.repartition(3, "sheet").sortWithinPartitions("sheet", "o_orderkey").write.partitionBy("sheet").option("escape", '"').option("emptyValue", "").csv(to)
+    cells = A.read_sheet_csv(in_splits(spark, "64k"), f"{to}/sheet=*")
+    return cells.select(F.regexp_extract("path", r"sheet=(\d+)", 1).cast("long").alias("sheet"), "row_no", "col_no", "value")
+
+
 @F.pandas_udf(BinaryType())
 def bitmap(key: pd.Series) -> pd.Series:
     """An uncompressed 24-bit image of a key: (key % 7 + 2) by (key % 5 + 1) points, each of blue x, green y and red key."""

@@ -68,6 +68,21 @@ def clusters(spark, sf):
     return L.cluster_1d(o, ["o_custkey"], "v", 12).select("o_custkey", F.posexplode("centres").alias("n", "centre")).select("o_custkey", "n", F.round("centre", 6).alias("centre"))
 
 
+@query(
+    "d4_cluster_long",
+    """WITH RECURSIVE o AS (SELECT o_orderkey % 2 AS k, o_totalprice::DOUBLE AS v FROM orders),
+g AS (SELECT k, v, CASE WHEN v - lag(v) OVER w <= 20 THEN 0 ELSE 1 END AS cut FROM o WINDOW w AS (PARTITION BY k ORDER BY v)),
+p AS (SELECT k, v, sum(cut) OVER (PARTITION BY k ORDER BY v ROWS UNBOUNDED PRECEDING) AS p FROM g),
+n AS (SELECT *, row_number() OVER (PARTITION BY k, p ORDER BY v) AS i FROM p),
+f AS (SELECT k, p, 1::BIGINT AS i, 1 AS c, v AS centre FROM n WHERE i = 1 UNION ALL SELECT n.k, n.p, n.i, CASE WHEN n.v - centre <= 20 THEN c ELSE c + 1 END, CASE WHEN n.v - centre <= 20 THEN (centre + n.v) / 2 ELSE n.v END FROM f JOIN n ON n.k = f.k AND n.p = f.p AND n.i = f.i + 1)
+SELECT k, round(arg_max(centre, i), 6) AS centre, count(*) AS n_values FROM f GROUP BY k, p, c""",
+)
+def long_clusters(spark, sf):
+    """The prices of all orders as two keys."""
+    o = D.table(spark, sf, "orders").select((F.col("o_orderkey") % 2).alias("k"), F.col("o_totalprice").cast("double").alias("v"))
+    return L.cluster_long(o, ["k"], "v", 20).select("k", F.round("centre", 6).alias("centre"), "n_values")
+
+
 _PARA = """, g AS (SELECT *, lag(y) OVER w - y AS gap, coalesce(lag(y) OVER w - y > lag(size) OVER w * 1.6, true) AS begins FROM lines WHERE min_x IS NOT NULL WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY line_no)),
 p AS (SELECT *, sum(begins::INTEGER) OVER (PARTITION BY doc_id, page_no ORDER BY line_no) - 1 AS para_no FROM g),
 b AS (SELECT *, NOT begins AND coalesce(lag(max_x) OVER q < 0.65 * max(max_x) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS breaks FROM p WINDOW q AS (PARTITION BY doc_id, page_no, para_no ORDER BY line_no))"""

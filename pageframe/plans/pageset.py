@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pageframe.functions import lists as L
+from pageframe.operators import ordering as O
 from pageframe.operators import pageset as B
 from pageframe.plans import derive as D
 from pageframe.plans.registry import query
@@ -183,6 +184,22 @@ def by_size(spark, sf):
     return B.split_by_size(pages(spark, sf), 800).select("doc_id", "page_index", "part_no")
 
 
+@query(
+    "b16_split_long",
+    """WITH RECURSIVE l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+p AS (SELECT doc_id % 3 AS book, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id, i) - 1 AS page_index, bytes FROM (SELECT doc_id, unnest(range(len(l))) AS i, unnest(list_transform(l, lambda x: strlen(x))) AS bytes FROM l)),
+f AS (SELECT book, 0::BIGINT AS page_index, 0 AS part_no, 0 AS pos, bytes AS size FROM p WHERE page_index = 0
+  UNION ALL SELECT p.book, p.page_index, CASE WHEN size > 0 AND size + bytes > 3000 THEN part_no + 1 ELSE part_no END, CASE WHEN size > 0 AND size + bytes > 3000 THEN 0 ELSE pos + 1 END, CASE WHEN size > 0 AND size + bytes > 3000 THEN bytes ELSE size + bytes END FROM f JOIN p ON p.book = f.book AND p.page_index = f.page_index + 1)
+SELECT book, page_index, part_no, pos FROM f""",
+)
+def long_books(spark, sf):
+    """All documents bound to three, each split under a cap that many pages and documents fill and some pages exceed."""
+    bound = pages(spark, sf).select((F.col("doc_id") % 3).alias("book"), "doc_id", F.col("page_index").alias("i"), "bytes")
+    place = O.so_far(O.dealt(bound, ["book"], ["doc_id", "i"], "books"), ["book"], ["doc_id", "i"], at=(F.count, F.lit(1), False))
+    rows = B.split_long(place.select(F.col("book").alias("doc_id"), F.col("at").alias("page_index"), "bytes"), 3000)
+    return rows.select(F.col("doc_id").alias("book"), "page_index", "part_no", "pos")
+
+
 @query(
     "b17_organize",
     D.sql(f", {_SPEC} SELECT out_id, row_number() OVER (PARTITION BY out_id ORDER BY pos) - 1 AS pos, s.doc_id, s.page_index, ((p.rotation + s.rotation) % 360)::INTEGER AS rotation, width_pt FROM spec s JOIN doc_pages p USING (doc_id, page_index) WHERE doc_id % 5 <> 2", "doc_pages"),

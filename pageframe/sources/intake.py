@@ -124,16 +124,34 @@ def validate_dims(df: DataFrame) -> DataFrame:
     return df.withColumn("dims_error", code)
 
 
-def read_sheet_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of header-less CSV files as (path, row_no, col_no, value), blanks as empty strings.
+def sheet_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(path, row_no, row) of header-less CSV files of any size, which are read in splits.
 
-    A file's rows are numbered by their place in the file, so a file is read as one piece; quoted line breaks are kept.
+    A line break inside quotes does not end a row. Whether a line begins inside quotes follows from the number of quotes before it: of
+    each split their parity is taken, and the number of rows that begin in it for either parity at its start; summed
+    over the splits before, a row each, these give every split its parity and the number of its first row. Rows of one line stay where
+    they are, others are put together from their lines. An open quote takes in the rest of its file; a file without line feeds is one line.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    row = r'(?:"(?:[^"]|"")*"|[^"\r\n])*(?:\r\n|\n|\r|$)'
-    rows = whole.select("path", F.posexplode(F.filter(F.regexp_extract_all("value", F.lit(f"({row})"), 1), lambda r: r != "")).alias("row_no", "row"))
-    cell = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
-    cells = rows.select("path", "row_no", F.posexplode(F.regexp_extract_all(F.regexp_replace("row", r"[\r\n]+$", ""), F.lit(cell), 1)).alias("col_no", "raw"))
+    text = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    lines = text.select("path", "block", "line", F.posexplode(F.split("value", r"\r(?!\z)")).alias("piece", "value"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    order = Window.partitionBy("path", "block").orderBy("line", "piece")
+    lines = lines.withColumn("n", quotes).withColumn("inside", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2)
+    splits = lines.groupBy("path", "block").agg((F.sum("n") % 2).alias("parity"), F.count_if(F.col("inside") == 0).alias("if_out"), F.count_if(F.col("inside") == 1).alias("if_in"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("began", F.coalesce(F.sum("parity").over(before), F.lit(0)) % 2).withColumn("rows", F.when(F.col("began") == 0, F.col("if_out")).otherwise(F.col("if_in")))
+    splits = splits.select("path", "block", "began", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
+    placed = lines.join(splits, ["path", "block"]).withColumn("begins", (F.col("inside") + F.col("began")) % 2 == 0).withColumn("row_no", F.col("first") + F.sum(F.col("begins").cast("long")).over(order) - 1)
+    one = placed.where("begins AND n % 2 = 0").select("path", "row_no", F.col("value").alias("row"))
+    joined = F.transform(F.sort_array(F.collect_list(F.struct("block", "line", "piece", "value"))), lambda x, i: F.concat(F.when(i == 0, "").when(x["piece"] == 0, "\n").otherwise("\r"), x["value"]))
+    more = placed.where("NOT (begins AND n % 2 = 0)").groupBy("path", "row_no").agg(F.array_join(joined, "").alias("row"))
+    return one.unionByName(more)
+
+
+def read_sheet_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of header-less CSV files as (path, row_no, col_no, value), blanks as empty strings; quoted line breaks are kept. See ``sheet_rows``."""
+    cell = r',("(?:[^"]|"")*"|[^,]*)'  # after the comma before it; the first cell gets one too
+    cells = sheet_rows(spark, path).select("path", "row_no", F.posexplode(F.regexp_extract_all(F.concat(F.lit(","), F.regexp_replace("row", r"[\r\n]+$", "")), F.lit(cell), F.lit(1))).alias("col_no", "raw"))
     unquoted = F.when(F.col("raw").startswith('"'), F.regexp_replace(F.expr("substring(raw, 2, length(raw) - 2)"), '""', '"')).otherwise(F.col("raw"))
     return cells.select("path", "row_no", "col_no", unquoted.alias("value"))
 

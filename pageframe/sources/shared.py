@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,16 +21,23 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that what follows reads the same rows however often."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_files(files: DataFrame, to: str) -> None:
-    """Writes each row of (name, content) as a file of a mounted folder; a task that is lost or runs twice leaves whole files only."""
-    root = urlparse(to).path
+    """Writes each row of (name, content) as a file of a folder, in whatever file system it is; a task that is lost or runs twice leaves whole files only."""
 
     def write(rows: Iterator) -> None:
-        os.makedirs(root, exist_ok=True)
+        system, root = fs.FileSystem.from_uri(to)
+        system.create_dir(root, recursive=True)
         for row in rows:
             part = f"{root}/.{row.name}.{uuid.uuid4().hex}"
-            with open(part, "wb") as out:
-                out.write(row.content)
-            os.replace(part, f"{root}/{row.name}")
+            with system.open_output_stream(part) as out:
+                out.write(bytes(row.content))
+            system.move(part, f"{root}/{row.name}")
 
     files.select("name", "content").foreachPartition(write)
