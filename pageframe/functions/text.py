@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from pageframe.functions import fonts
+
 
 def winansi_safe(text: Column) -> Column:
     """Text in Latin-1: known signs by their spelling, others as ``?`` (two beyond the basic plane)."""
@@ -83,20 +85,22 @@ def hex_to_rgb01(text: Column) -> Column:
     return F.when(text.rlike(r"^#[0-9A-Fa-f]{6}$"), F.array(part(2), part(4), part(6))).otherwise(F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
 
 
-def wrap_text(text: Column, width: float = 495.0, size: float = 11.0, advance: float = 0.5) -> Column:
-    """Lines of a text, filled greedily; a first word that is too long leaves an empty line before it.
-
-    A character is ``advance`` of the size wide.
-    """
-    most = int(width // (size * advance))
-    start = F.struct(F.lit("").alias("line"), F.array().cast("array<string>").alias("lines"))
+def wrap_text(text: Column, width: float = 495.0, size: float = 11.0, font: str = "regular") -> Column:
+    """Lines of a paragraph, filled greedily by the measured widths of its words; an empty paragraph is one empty line, and a first
+    word that is too long leaves an empty line before it."""
+    most, blank = width * 1000 / size, fonts.widths(font)[32]
+    words = F.transform(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: F.struct(w.alias("text"), fonts.units(w, font).alias("units")))
+    start = F.struct(F.lit("").alias("line"), F.lit(0).cast("long").alias("units"), F.array().cast("array<string>").alias("lines"))
 
     def add(state: Column, word: Column) -> Column:
-        longer = F.when(state["line"] == "", word).otherwise(F.concat(state["line"], F.lit(" "), word))
-        fits = F.length(longer) <= most
-        return F.when(fits, F.struct(longer.alias("line"), state["lines"].alias("lines"))).otherwise(F.struct(word.alias("line"), F.concat(state["lines"], F.array(state["line"])).alias("lines")))
-
-    return F.aggregate(F.split(F.coalesce(text, F.lit("")), r"\s+"), start, add, lambda s: F.when(s["line"] == "", s["lines"]).otherwise(F.concat(s["lines"], F.array(s["line"]))))
+        first = state["line"] == ""
+        units = F.when(first, word["units"]).otherwise(state["units"] + blank + word["units"])
+        longer = F.when(first, word["text"]).otherwise(F.concat(state["line"], F.lit(" "), word["text"]))
+        kept = F.struct(longer.alias("line"), units.alias("units"), state["lines"].alias("lines"))
+        closed = F.struct(word["text"].alias("line"), word["units"].alias("units"), F.concat(state["lines"], F.array(state["line"])).alias("lines"))
+        return F.when(units <= most, kept).otherwise(closed)
+
+    return F.aggregate(words, start, add, lambda s: F.concat(s["lines"], F.array(s["line"])))
 
 
 def search(df: DataFrame, q: str, k: int = 8) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageframe.functions.fonts import text_width, widths
+
 #: Known kinds of annotation.
 TYPES = ("text", "image", "rect", "ellipse", "line", "freehand", "highlight", "signature")
 
@@ -18,10 +20,6 @@ def _clamp(x: Column, low: Column | float, high: Column | float) -> Column:
     return F.greatest(lit(low), F.least(lit(high), x))
 
 
-def text_width(text: Column, size: Column | float, advance: float = 0.5) -> Column:
-    return F.length(text) * size * advance
-
-
 def strip_x(position: str, width: Column, wide: Column) -> Column:
     """Left at 30, centred, or 30 from the right."""
     return {"left": F.lit(30.0), "center": (width - wide) / 2, "right": width - 30 - wide}[position]
@@ -41,7 +39,8 @@ def page_numbers(pages: DataFrame, fmt: str = "n / t", start: int = 1, targeted:
 def watermark(pages: DataFrame, text: str = "", position: str = "center", size: float = 48, opacity: float = 0.3) -> DataFrame:
     """Where a watermark stands on each page; corners keep a margin of 60 points or 8 percent."""
     text, size, opacity = text.strip() or "WATERMARK", max(6.0, size), min(1.0, max(0.05, opacity))
-    wide = len(text) * size * 0.5
+    table = widths("bold")
+    wide = sum(table[ord(c)] if ord(c) < len(table) else table[48] for c in text) * size / 1000
     w, h = F.col("width_pt"), F.col("height_pt")
     margin = F.least(F.lit(60.0), w * 0.08, h * 0.08)
     x = {"left": margin, "right": w - margin - wide}.get(position.rpartition("-")[2], w / 2 - wide / 2)

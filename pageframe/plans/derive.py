@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageframe.functions.fonts import widths
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -77,6 +79,11 @@ text_items AS (
 }
 
 
+def units_sql(text: str, font: str = "regular") -> str:
+    """The width of a text in thousandths of its size, character by character from the font's table."""
+    return f"coalesce(list_sum(list_transform(string_split({text}, ''), lambda c: CASE WHEN c = '' THEN 0 ELSE coalesce({widths(font)}[unicode(c) + 1], 556) END)), 0)"
+
+
 def sql(body: str, *names: str) -> str:
     """``body`` after the named tables; a body that begins with a comma goes on with tables of its own."""
     return "WITH " + ",\n".join(SQL[n] for n in names) + ("" if body.startswith(",") else "\n") + body

@@ -123,11 +123,11 @@ def quarantine(spark, sf):
 @query(
     "e1_wrap_text",
     D.sql(
-        """, s AS (SELECT doc_id, page_index, string_split_regex(text, '\\s+') AS l FROM doc_pages),
-f AS (SELECT doc_id, page_index, 1 AS i, 0 AS line, '' AS now, NULL::VARCHAR AS done, l FROM s
-UNION ALL SELECT doc_id, page_index, i + 1, line + (NOT fits)::INTEGER, CASE WHEN fits THEN longer ELSE word END, CASE WHEN NOT fits THEN now END, l
-FROM (SELECT *, length(longer) <= 90 AS fits FROM (SELECT *, CASE WHEN now = '' THEN word ELSE now || ' ' || word END AS longer FROM (SELECT *, l[i] AS word FROM f WHERE i <= len(l)))))
-SELECT doc_id, page_index, line - 1 AS line_no, done AS line FROM f WHERE done IS NOT NULL UNION ALL SELECT doc_id, page_index, line, now FROM f WHERE i = len(l) + 1 AND now <> ''""",
+        f""", s AS (SELECT doc_id, page_index, string_split_regex(text, '\\s+') AS l, list_transform(string_split_regex(text, '\\s+'), lambda w: {D.units_sql("w")}) AS u FROM doc_pages),
+f AS (SELECT doc_id, page_index, 1 AS i, 0 AS line, '' AS now, 0::HUGEINT AS used, NULL::VARCHAR AS done, l, u FROM s
+UNION ALL SELECT doc_id, page_index, i + 1, line + (NOT fits)::INTEGER, CASE WHEN fits THEN longer ELSE l[i] END, CASE WHEN fits THEN units ELSE u[i] END, CASE WHEN NOT fits THEN now END, l, u
+FROM (SELECT *, units * 11 <= 495000 AS fits FROM (SELECT *, CASE WHEN now = '' THEN l[i] ELSE now || ' ' || l[i] END AS longer, CASE WHEN now = '' THEN u[i] ELSE used + 278 + u[i] END AS units FROM f WHERE i <= len(l))))
+SELECT doc_id, page_index, line - 1 AS line_no, done AS line FROM f WHERE done IS NOT NULL UNION ALL SELECT doc_id, page_index, line, now FROM f WHERE i = len(l) + 1""",
         "doc_pages",
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 )

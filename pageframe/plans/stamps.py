@@ -34,7 +34,7 @@ def objects(spark, sf):
     "c1_page_numbers",
     D.sql(
         f""", t AS (SELECT doc_id, page_index, width_pt, 'Page ' || (row_number() OVER (PARTITION BY doc_id ORDER BY page_index) + 2) || ' of ' || (count(*) OVER (PARTITION BY doc_id) + 2) AS label FROM doc_pages WHERE {CHOSEN})
-SELECT doc_id, page_index, label, {r("(width_pt - length(label) * 5.0) / 2", "x_pt")}, 20.0 AS y_pt FROM t""",
+SELECT doc_id, page_index, label, {r("(width_pt - " + D.units_sql("label") + " / 100.0) / 2", "x_pt")}, 20.0 AS y_pt FROM t""",
         "doc_pages",
     ),
 )
@@ -42,7 +42,7 @@ def numbers(spark, sf):
     return rounded(C.page_numbers(pages(spark, sf), "Page n of t", 3, F.expr(CHOSEN)), "doc_id", "page_index", "label", "x_pt", "y_pt")
 
 
-@query("c2_watermark", D.sql(f"SELECT doc_id, page_index, 'WATERMARK' AS label, {r('width_pt - least(60, width_pt * 0.08, height_pt * 0.08) - 90', 'x_pt')}, {r('height_pt - least(60, width_pt * 0.08, height_pt * 0.08) - 20', 'y_pt')}, 1.0 AS opacity FROM doc_pages", "doc_pages"))
+@query("c2_watermark", D.sql(f"SELECT doc_id, page_index, 'WATERMARK' AS label, {r('width_pt - least(60, width_pt * 0.08, height_pt * 0.08) - ' + D.units_sql("'WATERMARK'", 'bold') + ' / 50.0', 'x_pt')}, {r('height_pt - least(60, width_pt * 0.08, height_pt * 0.08) - 20', 'y_pt')}, 1.0 AS opacity FROM doc_pages", "doc_pages"))
 def watermark(spark, sf):
     return rounded(C.watermark(pages(spark, sf), " ", "top-right", 20, 3), "doc_id", "page_index", "label", "x_pt", "y_pt", "opacity")
 
@@ -50,8 +50,8 @@ def watermark(spark, sf):
 @query(
     "c3_header_footer",
     D.sql(
-        f"""SELECT doc_id, page_index, 'header' AS kind, left(text, 30) AS label, height_pt - 25 AS y_pt, {r("width_pt - 30 - length(left(text, 30)) * 5.0", "x_pt")} FROM doc_pages WHERE trim(left(text, 30)) <> ''
-UNION ALL SELECT doc_id, page_index, 'footer', 'doc ' || doc_id, 15.0, {r("width_pt - 30 - length('doc ' || doc_id) * 5.0", "x_pt")} FROM doc_pages WHERE page_index % 2 = 0""",
+        f"""SELECT doc_id, page_index, 'header' AS kind, left(text, 30) AS label, height_pt - 25 AS y_pt, {r("width_pt - 30 - " + D.units_sql("left(text, 30)") + " / 100.0", "x_pt")} FROM doc_pages WHERE trim(left(text, 30)) <> ''
+UNION ALL SELECT doc_id, page_index, 'footer', 'doc ' || doc_id, 15.0, {r("width_pt - 30 - " + D.units_sql("('doc ' || doc_id)") + " / 100.0", "x_pt")} FROM doc_pages WHERE page_index % 2 = 0""",
         "doc_pages",
     ),
 )

@@ -101,5 +101,5 @@ def test_sheets_in_small_splits(spark, tmp_path):
 
 def test_files_are_written_whole(spark):
     to = folder(spark, "files")
-    write_files(spark.createDataFrame([("a.bin", b"\x00\x01"), ("b.bin", b"")], "name string, content binary"), to)
-    assert {(r.path.rpartition("/")[2], r.length) for r in spark.read.format("binaryFile").load(to).select("path", "length").collect()} == {("a.bin", 2), ("b.bin", 0)}
+    write_files(spark.createDataFrame([("a.bin", b"\x00\x01"), ("b.bin", b"\xff")], "name string, content binary"), to)
+    assert {(r.path.rpartition("/")[2], r.length) for r in spark.read.format("binaryFile").load(to).select("path", "length").collect()} == {("a.bin", 2), ("b.bin", 1)}
