@@ -70,6 +70,19 @@ def sheet_in_splits(spark, sf):
     return cells.select(F.regexp_extract("path", r"sheet=(\d+)", 1).cast("long").alias("sheet"), "row_no", "col_no", "value")
 
 
+@query(
+    "a10_parts_sink",
+    D.sql("SELECT batch_id, CASE WHEN count(*) OVER (PARTITION BY batch_id) = 1 THEN batch_id::VARCHAR ELSE 'part_' || (file_id % 30 + 1) END AS part_name, file_id, batch_id % 3 = 1 AS rerun FROM files WHERE batch_id % 3 <> 1 OR file_id % 7 = 0", "files"),
+)
+def parts_sink(spark, sf):
+    """Batches of files as outputs with parts, of which a second run replaces every third batch by fewer parts; what lies in the folder then."""
+    to = folder(spark, "parts")
+    f = D.files(spark, sf).select("batch_id", "file_id", (F.col("file_id") % 30).alias("part_no"))
+    A.replace_outputs(f.withColumn("rerun", F.lit(False)), to, "batch_id")
+    A.replace_outputs(f.where("batch_id % 3 = 1 AND file_id % 7 = 0").withColumn("rerun", F.lit(True)), to, "batch_id")
+    return spark.read.parquet(to).select(F.col("batch_id").cast("long").alias("batch_id"), "part_name", "file_id", "rerun")
+
+
 @F.pandas_udf(BinaryType())
 def bitmap(key: pd.Series) -> pd.Series:
     """An uncompressed 24-bit image of a key: (key % 7 + 2) by (key % 5 + 1) points, each of blue x, green y and red key."""
@@ -122,12 +135,23 @@ def intake_stream(spark, sf):
     return spark.read.parquet(f"{to}/out").select("file_id", "error_code", (F.col("good") == 1).alias("good"))
 
 
+@query("s1_file_stream", D.sql(f"SELECT file_id, coalesce(error_code, CASE WHEN NOT signature_ok THEN 'invalid-signature' END) AS error_code, error_code IS NULL AND signature_ok AS good, octet_length(content) AS n_bytes FROM ({INTAKE_SQL.replace('FROM files', 'FROM real')}) JOIN ({SIGNATURE_SQL.replace('FROM files', 'FROM real')}) USING (file_id) JOIN real USING (file_id)".replace("SELECT file_id, coalesce", ", real AS (SELECT * REPLACE (octet_length(content) AS size, file_id AS batch_id, '' AS mime) FROM files WHERE octet_length(content) > 0) SELECT file_id, coalesce", 1), "files"))
+def file_stream(spark, sf):
+    """Documents as real files of a folder, forty a micro-batch; what the stream wrote of them."""
+    to = folder(spark, "arriving")
+    name = F.concat(F.col("file_id").cast("string"), F.lit("-"), "name")
+    write_files(D.files(spark, sf).where("octet_length(content) > 0").select(name.alias("name"), "content"), f"{to}/in")
+    jobs.intake_stream(jobs.file_stream(spark, f"{to}/in"), ACCEPT, f"{to}/out", f"{to}/checkpoint").awaitTermination()
+    done = spark.read.parquet(f"{to}/out")
+    return done.select(F.regexp_extract("name", r"^(\d+)-", 1).cast("long").alias("file_id"), "error_code", (F.col("good") == 1).alias("good"), F.col("size").alias("n_bytes"))
+
+
 @query("s2_edit_stream", replay_sql("i - 1"))
 def edit_stream(spark, sf):
     """The edit log as a stream of numbered edits, replayed as keyed state; what was appended."""
     to = folder(spark, "edits")
     log = A.order_of(D.edit_log(spark, sf), ["doc_id"], F.col("seq"), name="place")
     log.select("doc_id", F.col("place").cast("long").alias("seq"), "op", "value").write.parquet(f"{to}/in")
-    arriving = spark.readStream.schema("doc_id long, seq long, op string, value string").parquet(f"{to}/in")
+    arriving = jobs.state_session(spark).readStream.schema("doc_id long, seq long, op string, value string").parquet(f"{to}/in")
     jobs.append_available(jobs.replayed(arriving, idle=None), f"{to}/out", f"{to}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{to}/out")

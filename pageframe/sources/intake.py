@@ -173,9 +173,20 @@ def part_names(df: DataFrame, out: str, part: str, prefix: str = "part") -> Data
 
 
 def write_parts(df: DataFrame, path: str, out: str = "out_id", part: str = "part_no") -> None:
+    """Writes all outputs anew, a folder a part."""
     df.write.partitionBy(out, part).mode("overwrite").parquet(path)
 
 
+def replace_outputs(df: DataFrame, path: str, out: str = "out_id", part: str = "part_no", prefix: str = "part") -> None:
+    """Writes outputs as a table of folders, one an output, keyed by ``out`` so that equal names never meet; ``part_name`` tells parts apart.
+
+    An output of one part bears its own name, one of many is a set of ``prefix_i``. A run replaces the outputs that it has, with all their
+    parts, and no others.
+    """
+    named = part_names(df, out, part, prefix)
+    named.write.partitionBy(out).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
 def manifest(df: DataFrame) -> DataFrame:
     return df.select("name", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("bytes"), F.sha2(F.coalesce("content", F.lit("").cast("binary")), 256).alias("sha256"))
 

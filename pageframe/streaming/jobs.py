@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from pageframe.operators.editlog import applied
 from pageframe.sources import intake
@@ -17,9 +15,9 @@ from pageframe.sources import intake
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def file_stream(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Files of a folder as they arrive, with the columns that intake needs."""
-    found = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", glob).load(path)
+def file_stream(spark: SparkSession, path: str, glob: str = "*", at_once: int = intake.MAX_FILES) -> DataFrame:
+    """Files of a folder as they arrive, at most ``at_once`` a micro-batch, with the columns that intake needs."""
+    found = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", glob).option("maxFilesPerTrigger", at_once).load(path)
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.lit("").alias("mime"), F.col("length").alias("size"), "content")
 
 
@@ -50,36 +48,68 @@ def intake_stream(files: DataFrame, accept: str, out: str, checkpoint: str, batc
     return files.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def replayed(log: DataFrame, idle: str | None = "7 days") -> DataFrame:
-    """(doc_id, seq, value, n_undo, n_redo) of a stream of edits numbered from 0 in each document.
+def state_session(spark: SparkSession) -> SparkSession:
+    """A session like ``spark`` whose streams keep their state in RocksDB, where it may grow beyond memory; ``replayed`` needs it."""
+    session = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        session.conf.set(key, spark.conf.get(key))
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return session
 
-    State is a document's value, its two bounded stacks, the number of its next edit and the edits that came before their turn;
-    those wait until the gap closes. A document without edits for ``idle`` of processing time loses its stacks, but not its
-    value and its place in the order; without ``idle`` none does, and a run over what is available can end.
-    """
-    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        state = json.loads(group.get[0]) if group.exists else {"next": 0, "value": None, "undo": [], "redo": [], "early": {}}
-        if group.hasTimedOut:
-            group.update((json.dumps({**state, "undo": [], "redo": []}),))
-            return
-        for frame in frames:
-            for seq, op, value in frame[["seq", "op", "value"]].itertuples(index=False, name=None):
-                if seq >= state["next"]:
-                    state["early"][str(int(seq))] = [op, value]
+
+class Replay(StatefulProcessor):
+    """Undo and redo of one document: its value and next number, its two bounded stacks as lists, and edits that came before their turn by number."""
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.place = handle.getValueState("place", "next long, value string")
+        self.undo = handle.getListState("undo", "value string", self.idle_ms)
+        self.redo = handle.getListState("redo", "value string", self.idle_ms)
+        self.early = handle.getMapState("early", "seq long", "op string, value string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        number, value = self.place.get() if self.place.exists() else (0, None)
+        state = {"value": value, "undo": [v for (v,) in self.undo.get()], "redo": [v for (v,) in self.redo.get()]}
+        now: dict[int, tuple] = {}
+        for frame in rows:
+            for seq, op, new in frame[["seq", "op", "value"]].itertuples(index=False, name=None):
+                if seq >= number:
+                    now[int(seq)] = (op, new)
         out = []
-        while (edit := state["early"].pop(str(state["next"]), None)) is not None:
+        while True:
+            edit = now.pop(number, None)
+            if self.early.containsKey((number,)):
+                edit = edit or tuple(self.early.getValue((number,)))
+                self.early.removeKey((number,))
+            if edit is None:
+                break
             applied(state, *edit)
-            out.append((key[0], state["next"], state["value"], len(state["undo"]), len(state["redo"])))
-            state["next"] += 1
-        group.update((json.dumps(state),))
-        if wait:
-            group.setTimeoutDuration(wait)
+            out.append((key[0], number, state["value"], len(state["undo"]), len(state["redo"])))
+            number += 1
+        for seq, edit in now.items():
+            self.early.updateValue((seq,), edit)
+        self.place.update((number, state["value"]))
+        for stack, held in ((self.undo, state["undo"]), (self.redo, state["redo"])):
+            if held:
+                stack.put([(v,) for v in held])
+            else:
+                stack.clear()
         yield pd.DataFrame(out, columns=["doc_id", "seq", "value", "n_undo", "n_redo"])
 
-    return log.groupBy("doc_id").applyInPandasWithState(step, "doc_id long, seq long, value string, n_undo int, n_redo int", "state string", "append", timeout)
+    def close(self) -> None:
+        pass
+
+
+def replayed(log: DataFrame, idle: str | None = "7 days") -> DataFrame:
+    """(doc_id, seq, value, n_undo, n_redo) of a stream of edits numbered from 0 in each document, read in a ``state_session``.
+
+    Edits that come before their turn wait until the gap closes, outside memory. Stacks that were not written for ``idle`` of processing
+    time expire; a document's value and its place in the order stay. Without ``idle`` nothing expires.
+    """
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+    return log.groupBy("doc_id").transformWithStateInPandas(Replay(wait), "doc_id long, seq long, value string, n_undo int, n_redo int", "Append", "ProcessingTime" if idle else "None")
 
 
 def append_available(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

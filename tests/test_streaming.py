@@ -26,7 +26,7 @@ def test_edits_wait_for_their_turn(spark, tmp_path):
     log = spark.createDataFrame([(d, i, op, f"v{d}.{i}") for d in (1, 2) for i, op in enumerate(ops)], "doc_id long, seq long, op string, value string")
     late = F.col("seq") % 3 == 1
     log.where(~late).coalesce(1).write.parquet(f"file://{tmp_path}/log")
-    stream = spark.readStream.schema(log.schema).parquet(f"file://{tmp_path}/log")
+    stream = jobs.state_session(spark).readStream.schema(log.schema).parquet(f"file://{tmp_path}/log")
 
     def run():
         query = jobs.append_available(jobs.replayed(stream, idle=None), f"file://{tmp_path}/out", f"file://{tmp_path}/ck")
@@ -46,7 +46,7 @@ def test_idle_documents_keep_their_place(spark, tmp_path):
     rows = [(1, 0, "commit", "a"), (1, 1, "commit", "b")]
     schema = "doc_id long, seq long, op string, value string"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{tmp_path}/log")
-    stream = spark.readStream.schema(schema).parquet(f"file://{tmp_path}/log")
+    stream = jobs.state_session(spark).readStream.schema(schema).parquet(f"file://{tmp_path}/log")
     out = f"file://{tmp_path}/out"
     query = jobs.replayed(stream, idle="1 seconds").writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(processingTime="500 milliseconds").start(out)
 
