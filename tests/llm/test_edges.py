@@ -101,6 +101,31 @@ def test_language_sample_is_bounded_and_fixed(spark):
     assert sum(map(len, one.languages.values())) == 2 and np.array_equal(one.by_family, two.by_family)
 
 
+def test_mixing_of_heavy_tails(spark):
+    """One document of half a source's words; the small ones make up what it cannot take in part."""
+    for share, small, n, large in ((0.4, 100, 1000, 100000), (0.8, 100, 1000, 100000), (1.8, 100, 1000, 100000), (0.4, 100, 3000, 1000000)):
+        sized = [("a", small)] * n + [("a", large)] + [("b", 7)] * 11 + [("b", 40)]
+        counts = spark.createDataFrame([("a", small, n), ("a", large, 1), ("b", 7, 11), ("b", 40, 1)], "key string, size long, n long")
+        size = {k: sum(s for kk, s in sized if kk == k) for k in "ab"}
+        sources = spark.createDataFrame([(k, size[k], 2.0 * size[k], 1.0, share * size[k]) for k in "ab"], "key string, source_size long, cap double, weight double, target double")
+        state = mixing.duals(counts, sources, mixing.Mix(max_steps=39))
+        got = Counter()
+        for r in mixing.copies_by_size(counts, state).collect():
+            assert 0 <= r.total <= 2 * sized.count((r.key, r.size))
+            got[r.key] += r.total * r.size
+        assert abs(got["a"] - share * size["a"]) <= small / 2 and abs(got["b"] - share * size["b"]) <= 3.5
+
+
+def test_mixing_of_a_large_document_in_whole(spark):
+    rows = [(i, "w " * 100, "a") for i in range(400)] + [(1000, "w " * 40000, "a")] + [(2000 + i, "w " * 50, s) for i, s in enumerate("bcdef" * 300)]
+    source, taken, target = {i: s for i, _, s in rows}, Counter(), {}
+    for r in mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        assert r.taken <= 2 * r.size
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+    assert len(target) == 6 and all(abs(taken[s] - t) <= (50 if s == "a" else 25) for s, t in target.items())
+
+
 def test_mixing_rates_are_the_entropy_balance(spark):
     """Duals found again by bisection, and copies by the documents' own order."""
     rng = random.Random(3)
