@@ -238,8 +238,8 @@ def _bands(low: Column, high: Column, height: float) -> Column:
     return F.when(low <= high, F.sequence(at(low), at(high))).otherwise(F.array().cast("array<bigint>"))
 
 
-def match_underlines(lines: DataFrame, shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, page_no, shape_no, line_no) of thin strokes under lines, each with the topmost line it fits, and the separators left over.
+def underlined(lines: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Thin strokes with the ``line_no`` of the topmost line they underline; of others those over 30 wide are separators and have none.
 
     Strokes meet the lines of their own bands of a page only.
     """
@@ -249,7 +249,7 @@ def match_underlines(lines: DataFrame, shapes: DataFrame) -> tuple[DataFrame, Da
     texts = lines.where("min_x IS NOT NULL").select(*PAGE, "line_no", "y", "min_x", "max_x", F.floor(F.col("y") / 16).alias("band"))
     met = near.join(texts, [*PAGE, "band"]).where((F.abs(F.col("stroke_y") - F.col("y")) <= 4) & (overlap > 0.4 * F.least(F.col("w"), F.col("max_x") - F.col("min_x"))))
     used = met.groupBy(*PAGE, "shape_no").agg(F.min("line_no").alias("line_no"))
-    return used, thin.where("w > 30").join(used, [*PAGE, "shape_no"], "left_anti")
+    return thin.join(used, [*PAGE, "shape_no"], "left").where("line_no IS NOT NULL OR w > 30")
 
 
 def enclosing_box(runs: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -264,13 +264,15 @@ def enclosing_box(runs: DataFrame, shapes: DataFrame) -> DataFrame:
 
 
 def nearest_color(items: DataFrame, spans: DataFrame, most: float = 40.0) -> DataFrame:
-    """Items with the colour of the nearest span within ``most``, the last of equal ones. Spans go to the squares around theirs, so that
-    items meet only those near them."""
-    square = lambda c, d=0: F.floor(F.col(c) / most) + d
-    around = F.explode(F.array(*[F.struct(square("x", i).alias("sx"), square("y", j).alias("sy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    near = spans.select(*PAGE, "span_no", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("color").alias("_color"), around.alias("s")).select("*", "s.*").drop("s")
+    """Items with the colour of the nearest span within ``most``, the last of equal ones. Spans go to the squares, twice as wide, that
+    their distance reaches, four at most, so that items meet only those near them."""
+    side = 2 * most
+    square = lambda c, d=0.0: F.floor((F.col(c) + d) / side)
+    reached = lambda c: F.sequence(square(c, -most), square(c, most))
+    spread = spans.select(*PAGE, "span_no", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("color").alias("_color"), F.explode(reached("x")).alias("sx"), reached("y").alias("_sy"))
+    near = spread.withColumn("sy", F.explode("_sy")).drop("_sy")
     d2 = F.pow(F.col("_x") - F.col("x"), 2) + F.pow(F.col("_y") - F.col("y"), 2)
-    met = items.withColumn("sx", square("x")).withColumn("sy", square("y")).join(near, [*PAGE, "sx", "sy"]).withColumn("_d", d2).where(F.col("_d") <= most * most)
+    met = items.select(*PAGE, "item_no", "x", "y", square("x").alias("sx"), square("y").alias("sy")).join(near, [*PAGE, "sx", "sy"]).withColumn("_d", d2).where(F.col("_d") <= most * most)
     best = met.groupBy(*PAGE, "item_no").agg(F.min_by("_color", F.struct("_d", -F.col("span_no"))).alias("color"))
     return items.drop("color").join(best, [*PAGE, "item_no"], "left")
 

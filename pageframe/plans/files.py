@@ -125,6 +125,14 @@ def crop(spark, sf):
     return R.crop(i).select("doc_id", "width", "height", F.sha2("data", 256).alias("pixels"))
 
 
+@query("f7_search_variant")
+def search(spark, sf):
+    """Documents as images of their bytes, sixteen a row, coded to fit a budget."""
+    d = D.table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("b"))
+    rows = d.select("key", F.lit(16).alias("width"), F.floor(F.octet_length("b") / 16).cast("int").alias("height"), F.lit(1).alias("nChannels"), "b")
+    return R.search_variant(rows.select("*", F.substring("b", 1, 16 * F.col("height")).alias("data"), F.octet_length("b").cast("long").alias("bytes")), 600)
+
+
 @query("s1_intake_stream", D.sql(f"SELECT file_id, coalesce(error_code, CASE WHEN NOT signature_ok THEN 'invalid-signature' END) AS error_code, error_code IS NULL AND signature_ok AS good FROM ({INTAKE_SQL}) JOIN ({SIGNATURE_SQL}) USING (file_id)", "files"))
 def intake_stream(spark, sf):
     """Documents as files that arrive in a folder, each of its own batch number; what the stream wrote of them."""
@@ -135,13 +143,22 @@ def intake_stream(spark, sf):
     return spark.read.parquet(f"{to}/out").select("file_id", "error_code", (F.col("good") == 1).alias("good"))
 
 
-@query("s1_file_stream", D.sql(f"SELECT file_id, coalesce(error_code, CASE WHEN NOT signature_ok THEN 'invalid-signature' END) AS error_code, error_code IS NULL AND signature_ok AS good, octet_length(content) AS n_bytes FROM ({INTAKE_SQL.replace('FROM files', 'FROM real')}) JOIN ({SIGNATURE_SQL.replace('FROM files', 'FROM real')}) USING (file_id) JOIN real USING (file_id)".replace("SELECT file_id, coalesce", ", real AS (SELECT * REPLACE (octet_length(content) AS size, file_id AS batch_id, '' AS mime) FROM files WHERE octet_length(content) > 0) SELECT file_id, coalesce", 1), "files"))
+_REAL = """, real AS (SELECT *, '' AS mime, octet_length(content) AS size, 0 AS batch_id FROM (SELECT min(file_id) AS file_id, arg_min(name, file_id) AS name, unhex(string_agg(hex(content), '' ORDER BY file_id)) AS content FROM files GROUP BY file_id // 25) WHERE octet_length(content) > 0),
+"""
+
+
+@query(
+    "s1_file_stream",
+    D.sql(_REAL + f"i AS ({INTAKE_SQL.replace('FROM files', 'FROM real').replace('count(*) OVER b > 40', 'false')}), s AS ({SIGNATURE_SQL.replace('FROM files', 'FROM real')}) SELECT file_id, coalesce(error_code, CASE WHEN NOT signature_ok THEN 'invalid-signature' END) AS error_code, error_code IS NULL AND signature_ok AS good, size AS n_bytes FROM i JOIN s USING (file_id) JOIN real USING (file_id)", "files"),
+)
 def file_stream(spark, sf):
-    """Documents as real files of a folder, forty a micro-batch; what the stream wrote of them."""
+    """Documents, 25 to a file, as real files of a folder that a stream takes sixteen at a time; what it wrote of them."""
     to = folder(spark, "arriving")
-    name = F.concat(F.col("file_id").cast("string"), F.lit("-"), "name")
-    write_files(D.files(spark, sf).where("octet_length(content) > 0").select(name.alias("name"), "content"), f"{to}/in")
-    jobs.intake_stream(jobs.file_stream(spark, f"{to}/in"), ACCEPT, f"{to}/out", f"{to}/checkpoint").awaitTermination()
+    each = D.files(spark, sf).where("content IS NOT NULL").groupBy(F.floor(F.col("file_id") / 25).alias("at")).agg(F.min("file_id").alias("file_id"), F.sort_array(F.collect_list(F.struct("file_id", "name", "content"))).alias("own"))
+    content = F.aggregate("own", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["content"]))
+    name = F.concat(F.col("file_id").cast("string"), F.lit("-"), F.get("own", F.lit(0))["name"])
+    write_files(each.select(name.alias("name"), content.alias("content")).where("octet_length(content) > 0"), f"{to}/in")
+    jobs.intake_stream(jobs.file_stream(spark, f"{to}/in", at_once=16), ACCEPT, f"{to}/out", f"{to}/checkpoint").awaitTermination()
     done = spark.read.parquet(f"{to}/out")
     return done.select(F.regexp_extract("name", r"^(\d+)-", 1).cast("long").alias("file_id"), "error_code", (F.col("good") == 1).alias("good"), F.col("size").alias("n_bytes"))
 

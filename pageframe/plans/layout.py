@@ -12,6 +12,7 @@ from pageframe.plans import derive as D
 from pageframe.plans.pageset import pages
 from pageframe.plans.registry import query
 from pageframe.plans.stamps import rounded
+from pageframe.sources.shared import stored
 
 _LINES = """, li AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY y DESC) - 1 AS line_no FROM text_items),
 lines AS (SELECT doc_id, page_no, line_no, y, string_agg(str, '' ORDER BY x) AS text, arg_min(size, x) AS size, min(x) FILTER (str <> ' ') AS min_x, max(x + width) FILTER (str <> ' ') AS max_x FROM li GROUP BY doc_id, page_no, line_no, y)"""
@@ -127,7 +128,26 @@ def alignment(spark, sf):
     return g.select("doc_id", "page_no", "line_no", a.alias("align"), L.pad_left(a, F.col("l")).alias("pad"), L.vertical_align(F.col("t"), F.col("d"), F.col("h")).alias("valign"))
 
 
-@query("d8_line_roles")
+_CENTRES = "list_reduce(list_transform(list_sort({}), lambda v: [v]), lambda a, b: CASE WHEN b[1] - a[-1] <= 12 THEN list_append(a[:-2], (a[-1] + b[1]) / 2) ELSE list_concat(a, b) END)"
+
+
+def _goes_on(bands: str, xs: str) -> str:
+    first = f"list_filter(range(len({bands})), lambda k: abs({bands}[k + 1] - {xs}[1]) <= 12)[1]"
+    return f"(len({xs}) > 2 OR len({xs}) = 2 AND coalesce(len(list_filter(range(len({bands})), lambda k: abs({bands}[k + 1] - {xs}[2]) <= 12 AND k <> {first})) > 0, false))"
+
+
+#: Line by line with the bands of the open table, the number of its strays and its first line; no line of these pages has a big gap.
+_ROLES = f""", lx AS (SELECT doc_id, page_no, line_no, coalesce(list(x ORDER BY cell_no) FILTER (x IS NOT NULL), []::DOUBLE[]) AS xs FROM lines LEFT JOIN (SELECT doc_id, page_no, line_no, cell_no, x::DOUBLE AS x FROM cells) USING (doc_id, page_no, line_no) GROUP BY ALL),
+ln AS (SELECT *, lead(xs) OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS nx FROM lx),
+f AS (
+  SELECT doc_id, page_no, -1::BIGINT AS line_no, NULL::DOUBLE[] AS bands, 0 AS strays, NULL::BIGINT AS begun FROM (SELECT DISTINCT doc_id, page_no FROM lines)
+  UNION ALL SELECT doc_id, page_no, line_no, CASE WHEN opens THEN {_CENTRES.format("xs")} WHEN ends OR bands IS NULL THEN NULL WHEN goes THEN {_CENTRES.format("list_concat(bands, xs)")} ELSE bands END, CASE WHEN opens THEN 0 WHEN goes THEN strays ELSE strays + 1 END, CASE WHEN opens THEN line_no WHEN NOT ends THEN begun END
+  FROM (SELECT *, NOT goes AND (strays > 0 OR nx IS NULL OR NOT {_goes_on("bands", "nx")}) AS ends, bands IS NULL AND len(xs) >= 3 AS opens FROM (SELECT ln.*, bands, strays, begun, bands IS NOT NULL AND {_goes_on("bands", "xs")} AS goes FROM f JOIN ln ON ln.doc_id = f.doc_id AND ln.page_no = f.page_no AND ln.line_no = f.line_no + 1))),
+rl AS (SELECT doc_id, page_no, line_no, CASE WHEN begun IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, page_no, begun) >= 2 THEN 'table' END AS role FROM f WHERE line_no >= 0)
+SELECT doc_id, page_no, line_no, role, sum(turn) OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS run_no FROM (SELECT *, CASE WHEN lag(line_no) OVER w IS NULL OR role IS NOT DISTINCT FROM lag(role) OVER w THEN 0 ELSE 1 END AS turn FROM rl WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY line_no))"""
+
+
+@query("d8_line_roles", ti(_ROLES.lstrip(), True).replace(" , lx", ", lx", 1).replace("WITH ", "WITH RECURSIVE ", 1))
 def roles(spark, sf):
     l = lines(spark, sf)
     return LT.line_roles(l, L.split_cells(l, L.small_gap(F.col("size"))), L.split_cells(l, L.big_gap(F.lit(595.28))))
@@ -208,6 +228,11 @@ every AS (
 _BLOCKS = block_sql() + " SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y DESC, run, no) - 1 AS pos, type, y::DOUBLE AS y, n_rows, n_cols, joined, shaded FROM every"
 
 
+def marked(runs):
+    """Runs as one text: * before bold ones, _ before underlined ones, / for breaks, each ended by a bar."""
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.when(r["is_break"], "/").otherwise(F.concat(F.when(r["underline"], "_").otherwise(""), F.when(r["bold"], "*").otherwise(""), r["text"])), F.lit("|"))), "")
+
+
 def block_words(spark, sf):
     """Words of which some stand in two columns, without fillers."""
     k, line = F.col("item_no") % 12, F.floor(F.col("item_no") / 12)
@@ -229,6 +254,27 @@ def blocks(spark, sf):
     return b.select("doc_id", "page_no", "pos", "type", "y", "n_rows", "n_cols", F.array_join("texts", "|").alias("joined"), F.col("shade").isNotNull().alias("shaded"))
 
 
+@query(
+    "d9_cell_runs",
+    D.sql(
+        block_sql()
+        + """, ci AS (SELECT gc.doc_id, gc.page_no, r, c, i.y, i.x, i.width, i.str, i.size, i.bold FROM gc JOIN bi i ON i.doc_id = gc.doc_id AND i.page_no = gc.page_no AND i.y BETWEEN low - 2 AND top + 2 AND i.x >= l - 1 AND i.x < rt + 1),
+cl AS (SELECT doc_id, page_no, r, c, y, any_value(size) AS size, max(x + width) AS max_x, coalesce('*' || string_agg(str, '' ORDER BY x) FILTER (bold) || '|', '') || coalesce(string_agg(str, '' ORDER BY x) FILTER (NOT bold) || '|', '') || ' |' AS styled FROM ci GROUP BY ALL),
+c1 AS (SELECT *, coalesce(lag(y) OVER w - y > lag(size) OVER w * 1.6, false) AS para FROM cl WINDOW w AS (PARTITION BY doc_id, page_no, r, c ORDER BY y DESC)),
+c2 AS (SELECT *, sum(para::INTEGER) OVER (PARTITION BY doc_id, page_no, r, c ORDER BY y DESC) AS p FROM c1),
+c3 AS (SELECT *, para OR coalesce(lag(max_x) OVER q < 0.65 * max(max_x) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS breaks FROM c2 WINDOW q AS (PARTITION BY doc_id, page_no, r, c, p ORDER BY y DESC)),
+ct AS (SELECT doc_id, page_no, r, c, string_agg(CASE WHEN breaks THEN '/|' ELSE '' END || styled, '' ORDER BY y DESC) AS styled FROM c3 GROUP BY ALL)
+SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY r, c) - 1 AS cell, coalesce(styled, '') AS styled FROM gc LEFT JOIN ct USING (doc_id, page_no, r, c) WHERE (doc_id + page_no) % 3 > 0""",
+        "text_items",
+    ),
+)
+def cell_runs(spark, sf):
+    """The cells of the grids of ``d_blocks`` as runs of styles and breaks."""
+    words = block_words(spark, sf).withColumn("bold", F.col("item_no") % 12 < 3)
+    b = BL.page_blocks(words, block_shapes(spark, sf), 595.28).where("type = 'gridtable'").select("doc_id", "page_no", F.posexplode("runs").alias("cell", "runs"))
+    return b.select("doc_id", "page_no", "cell", marked(F.col("runs")).alias("styled"))
+
+
 _EDGES = " UNION ALL SELECT doc_id, page_no, 100000 + e, ['Head', 'FOOT'][e + 1], [-1, 40][e + 1], 0, 50.0, 20.0, [830.0, 20.0][e + 1], 10.0, false FROM (SELECT DISTINCT doc_id, page_no FROM text_items), (SELECT unnest([0, 1]) AS e) WHERE page_no % (5 + 2 * e) <> 4"
 _DOCUMENT = (
     block_sql(_EDGES)
@@ -266,8 +312,7 @@ def document(spark, sf):
     pages_ = D.table(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.ceil(n / 480).cast("int"))).alias("page_no"))
     pages_ = pages_.select("*", F.lit(595.28).alias("width_pt"), F.when((F.col("doc_id") + F.col("page_no")) % 5 == 0, 900.4).otherwise(841.89).alias("height_pt"))
     b = BL.document_blocks(words, block_shapes(spark, sf), images, pages_)
-    mark = lambda r: F.concat(F.when(r["is_break"], "/").otherwise(F.concat(F.when(r["underline"], "_").otherwise(""), F.when(r["bold"], "*").otherwise(""), r["text"])), F.lit("|"))
-    styled = F.when(F.col("type").isin("paragraph", "header", "footer"), F.array_join(F.transform(F.get("runs", F.lit(0)), mark), ""))
+    styled = F.when(F.col("type").isin("paragraph", "header", "footer"), marked(F.get("runs", F.lit(0))))
     held = F.when(F.size("images") > 0, F.array_join(F.transform("images", lambda i: F.concat_ws(":", i["image_no"], i["cell"])), ","))
     return b.select("doc_id", "page_no", "pos", "type", "y", F.array_join("texts", "|").alias("joined"), styled.alias("styled"), held.alias("held"), "placement", F.round("y_from_top", 6).alias("y_from_top"))
 
@@ -286,10 +331,10 @@ def fallback(spark, sf):
 _STROKES = ", strokes AS (SELECT doc_id, page_no, line_no AS shape_no, min_x + line_no % 5 * 60 AS x, y - 2 - line_no % 3 AS y, 150.0 AS w, 1.0 AS h FROM lines)"
 
 
-def strokes(spark, sf):
+def strokes(of):
+    """Strokes below and beside lines."""
     k = F.col("line_no")
-    black = F.array(F.lit(0), F.lit(0), F.lit(0))
-    return lines(spark, sf).select("doc_id", "page_no", k.alias("shape_no"), (F.col("min_x") + k % 5 * 60).alias("x"), (F.col("y") - 2 - k % 3).alias("y"), F.lit(150.0).alias("w"), F.lit(1.0).alias("h"), black.alias("stroke"), F.lit(None).cast("array<int>").alias("fill"))
+    return of.select("doc_id", "page_no", k.alias("shape_no"), (F.col("min_x") + k % 5 * 60).alias("x"), (F.col("y") - 2 - k % 3).alias("y"), F.lit(150.0).alias("w"), F.lit(1.0).alias("h"), rgb(0, 0, 0).alias("stroke"), F.lit(None).cast("array<int>").alias("fill"))
 
 
 @query(
@@ -298,8 +343,8 @@ def strokes(spark, sf):
 SELECT doc_id, page_no, shape_no, line_no FROM strokes LEFT JOIN u USING (doc_id, page_no, shape_no)""").replace(" , strokes", ", strokes", 1),
 )
 def underlines(spark, sf):
-    used, left = L.match_underlines(lines(spark, sf), strokes(spark, sf))
-    return used.union(left.select("doc_id", "page_no", "shape_no", F.lit(None).cast("int")))
+    l = stored(lines(spark, sf).select("doc_id", "page_no", "line_no", "y", "min_x", "max_x"), "lines")
+    return L.underlined(l, strokes(l)).select("doc_id", "page_no", "shape_no", "line_no")
 
 
 @query(
@@ -323,7 +368,7 @@ m AS (SELECT l.doc_id, l.page_no, l.item_no, span_no, row_number() OVER (PARTITI
 SELECT doc_id, page_no, item_no, m.span_no % 256 AS red FROM li LEFT JOIN (SELECT * FROM m WHERE i = 1) m USING (doc_id, page_no, item_no)""").replace(" , spans", ", spans"),
 )
 def colors(spark, sf):
-    i, k = items(spark, sf), F.col("item_no")
+    i, k = D.text_items(spark, sf).select("doc_id", "page_no", "item_no", "x", "y"), F.col("item_no")
     spans = i.where("item_no % 5 = 0").select("doc_id", "page_no", k.alias("span_no"), (F.col("x") + k % 3 * 10).alias("x"), (F.col("y") - k % 4 * 6).alias("y"), F.array(k % 256, F.lit(0), F.lit(0)).alias("color"))
     return L.nearest_color(i, spans).select("doc_id", "page_no", "item_no", F.col("color")[0].alias("red"))
 

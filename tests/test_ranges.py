@@ -103,3 +103,28 @@ def test_files_are_written_whole(spark):
     to = folder(spark, "files")
     write_files(spark.createDataFrame([("a.bin", b"\x00\x01"), ("b.bin", b"\xff")], "name string, content binary"), to)
     assert {(r.path.rpartition("/")[2], r.length) for r in spark.read.format("binaryFile").load(to).select("path", "length").collect()} == {("a.bin", 2), ("b.bin", 1)}
+
+
+def test_search_meets_the_budget(spark):
+    """Of the points that six halvings can reach, the best quality that fits, found by trying them all."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from pageframe.operators import raster
+
+    rng = np.random.default_rng(4)
+    images = {k: (rng.integers(0, 256, (40, 30, 3)) // (1 + k)).astype(np.uint8) for k in range(6)}
+    rows = [(k, 30, 40, 3, p.tobytes(), 3600) for k, p in images.items()] + [(90, 0, 0, 3, None, 5000), (91, 30, 40, 3, images[0].tobytes(), 100)]
+    df = spark.createDataFrame(rows, "key long, width int, height int, nChannels int, data binary, bytes long").withColumn("more", F.lit(1))
+    for budget in (200, 1200, 1800, 2400):
+        got = {r.key: (r.t, r.out_bytes, r.achieved) for r in raster.search_variant(df, budget).collect()}
+        assert got[90] == (None, 5000, False) and got[91] == (None, 100, True)
+        for k, p in images.items():
+            sizes = {i / 64: len(raster.encoded(p, *raster.variant_at(i / 64))) for i in range(1, 64)}
+            fits = [t for t, n in sizes.items() if n <= budget]
+            steady = all(a >= b for a, b in zip(list(sizes.values()), list(sizes.values())[1:], strict=False))
+            if fits and steady:
+                assert got[k] == (min(fits), sizes[min(fits)], True)
+            else:
+                assert got[k][1] == sizes[got[k][0]] and got[k][2] == (got[k][1] <= budget)
+    assert raster.search_variant(df.limit(0), 100).collect() == []
