@@ -5,8 +5,8 @@ scaled by their square root to unit length. A one-versus-rest linear machine for
 it every pair of languages has a machine of its own, and the language with the most votes wins, the sum of margins
 deciding ties.
 
-The machines are fitted on a bounded sample: ``Fit.per_language`` rows of each of at most ``Fit.max_languages`` languages,
-the most frequent ones, and ``Fit.rows`` in all; a language's rows are those of the smallest hash of the id, and of an id
+The machines are fitted on a bounded sample: ``Fit.per_language`` rows of each language and ``Fit.rows`` in all, or one of each
+where there are more languages than that; a language's rows are those of the smallest hash of the id, and of an id
 with several texts the first in order counts. Everything else covers all rows and whole texts.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; with no labelled row all texts are; with
@@ -51,7 +51,8 @@ UNDETERMINED = "und"
 @dataclass(frozen=True)
 class Fit:
     per_language: int = 400
-    max_languages: int = 200
+    #: At most so many languages, the largest, if it is set.
+    max_languages: int | None = None
     rows: int = 20_000
     dims: int = 2048
     epochs: int = 30
@@ -191,8 +192,9 @@ def _likely(x: np.ndarray) -> tuple[np.ndarray, float, float]:
 def learned(rows: DataFrame, fit: Fit = DEFAULT) -> Model | None:
     """A model of (doc_id, text, lang), fitted on the bounded sample; features are made where the texts are, and only they reach the driver."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(fit.max_languages).collect()
-    each = min(fit.per_language, fit.rows // max(len(counts), 1))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+    counts = (counts if fit.max_languages is None else counts.limit(fit.max_languages)).collect()  # a row a language
+    each = max(1, min(fit.per_language, fit.rows // max(len(counts), 1)))
     if not counts:
         return None
     # Hashes are even, so below this share of them lie twice as many rows as are wanted, and a language's rank is made among few.
