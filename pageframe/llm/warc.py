@@ -86,13 +86,16 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha: str, refer
 
 
 def dictionary(records: list[bytes], archive: Archive = DEFAULT) -> zstandard.ZstdCompressionDict:
-    """Built from records spread evenly over the archive, as many as fit the sample."""
+    """Built from records spread evenly over the archive, as many as fit the sample, of large ones the beginning."""
     step = max(1, sum(map(len, records)) // archive.sample_bytes)
-    sample, left = [], archive.sample_bytes
-    for r in records[::step]:
-        if len(r) <= left:
-            sample.append(r)
-            left -= len(r)
+    chosen, left = records[::step], archive.sample_bytes
+    most = left
+    for k, size in enumerate(sorted(map(len, chosen))):
+        most = left // (len(chosen) - k)
+        if size > most:
+            break
+        left, most = left - size, size
+    sample = [r[: max(1, most)] for r in chosen]
     try:
         return zstandard.train_dictionary(archive.dictionary_bytes, sample, k=256, d=8, level=archive.level)
     except zstandard.ZstdError:  # too few samples
