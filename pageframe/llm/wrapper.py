@@ -20,8 +20,8 @@ Defined cases: null html is an empty page with empty text; a url that is null or
 of a page cut short what is there counts; a page without article is judged by its host's wrapper; where no place fits a
 page, or less than half of its text is there, all its text that is not set aside counts; where everything would be
 template or set aside by words, it is kept; repeated rows are extracted each and count once; an empty table gives an
-empty result; a page of any length is read whole, in time proportional to it, and elements nested deeper than
-``DEPTH`` lie beside each other; other columns of the input are ignored. Text that a browser does not show (scripts,
+empty result; a page of any length is read whole; of elements nested deeper than ``DEPTH`` those that are set aside still are, and
+what the others hold lies in the element around them; other columns of the input are ignored. Text that a browser does not show (scripts,
 styles, templates, frames, what stands in for media) and form fields are no text; formulas, drawings and buttons are
 text of the block around them.
 """
@@ -32,6 +32,8 @@ import hashlib
 import html as entities
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -79,8 +81,12 @@ TEXT, GROUP = "#", "("
 FREE = 3
 #: Texts that a repeated slot may hold on every page alike.
 SAME = 16
-#: Elements below each other; deeper ones lie beside each other.
+#: Elements below each other.
 DEPTH = 200
+#: Entries of the table by which two lists are aligned; longer ones are cut at keys that occur once in both, or else in stretches.
+TABLE, STRETCH = 250_000, 500
+#: Optional siblings of one name and different marks from which they are one element, that accepts every element with the marks all have.
+MANY, ANY = 64, ".*"
 
 
 def _marks(attributes: str) -> str:
@@ -98,7 +104,7 @@ def _marks(attributes: str) -> str:
 def tree(page: str) -> list:
     """A page as nested [key, kids]: kids are elements or texts, in order; texts are decoded, with single spaces."""
     root: list = ["", []]
-    stack, texts, at, end, flat = [root], [], 0, len(page), ""
+    stack, texts, at, end, flat, aside = [root], [], 0, len(page), "", 0
 
     def close_text() -> None:
         if texts:
@@ -108,9 +114,14 @@ def tree(page: str) -> list:
                 stack[-1][1].append(block)
 
     def open_(key: str) -> None:
-        stack[-1][1].append([key, []])
-        if len(stack) <= DEPTH:
+        nonlocal aside
+        aside = aside if aside < len(stack) else 0
+        if len(stack) <= DEPTH or not aside and _away(key):
+            aside = aside if len(stack) <= DEPTH else len(stack)
+            stack[-1][1].append([key, []])
             stack.append(stack[-1][1][-1])
+        else:  # what it holds lies in the element around it
+            stack.append([key, stack[-1][1]])
 
     def close_to(names: tuple[str, ...], within: frozenset = frozenset()) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -232,29 +243,124 @@ def merged(a: list, b: list, within: bool = False) -> list:
 
 
 def aligned(a: list, b: list, within: bool = False) -> list:
-    """Two element lists as one: common elements in a longest common order, the others optional in their places."""
+    """Two element lists as one: common elements in a common order, the others optional in their places."""
     if not a or not b:
-        return [[k[0], k[1] | OPTIONAL, *k[2:]] for k in a or b]
+        return general([[k[0], k[1] | OPTIONAL, *k[2:]] for k in a or b])
+    a, b = accepted(a, b), accepted(b, a)
     x, y = _keys(a), _keys(b)
     if x == y:
         return [merged(p, q, within) for p, q in zip(a, b, strict=True)]
+    out, i, j = [], 0, 0
+    for p, q in [*matches(x, y), (len(x), len(y))]:
+        out += [[k[0], k[1] | OPTIONAL, *k[2:]] for k in (*a[i:p], *b[j:q])]
+        if p < len(x):
+            out.append(merged(a[p], b[q], within))
+        i, j = p + 1, q + 1
+    return general(free_order(folded(out)))
+
+
+def matches(x: list[str], y: list[str], i: int = 0, j: int = 0) -> list[tuple[int, int]]:
+    """Places of equal keys in two lists, upwards in both: a longest such list where the table is small, else one between anchors."""
+    head = next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+    tail = next((k for k, (p, q) in enumerate(zip(x[head:][::-1], y[head:][::-1], strict=False)) if p != q), min(len(x), len(y)) - head)
+    n, m = len(x) - tail, len(y) - tail
+    ends = [(i + n + k, j + m + k) for k in range(tail)]
+    begins = [(i + k, j + k) for k in range(head)]
+    inner = _between(x[head:n], y[head:m], i + head, j + head)
+    return [*begins, *inner, *ends]
+
+
+def _between(x: list[str], y: list[str], i: int, j: int) -> list[tuple[int, int]]:
+    if not x or not y or set(x).isdisjoint(y):
+        return []
+    if len(x) * len(y) <= TABLE:
+        return [(i + p, j + q) for p, q in _longest(x, y)]
+    counts, others = Counter(x), Counter(y)
+    place = {k: q for q, k in enumerate(y) if others[k] == 1}
+    anchors = _rising([(p, place[k]) for p, k in enumerate(x) if counts[k] == 1 and k in place])
+    if not anchors:  # stretches that lie at the same share of both lists
+        parts = max(len(x), len(y)) // STRETCH + 1
+        anchors = [(len(x) * k // parts, len(y) * k // parts) for k in range(1, parts)]
+    out, p, q = [], 0, 0
+    for c, d in [*anchors, (len(x), len(y))]:
+        if c < p or d < q:
+            continue
+        out += matches(x[p:c], y[q:d], i + p, j + q)
+        p, q = c, d
+        if c < len(x) and d < len(y) and x[c] == y[d]:
+            out.append((i + c, j + d))
+            p, q = c + 1, d + 1
+    return out
+
+
+def _longest(x: list[str], y: list[str]) -> Iterator[tuple[int, int]]:
     n, m = len(x), len(y)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         row, below = best[i], best[i + 1]
         for j in range(m - 1, -1, -1):
             row[j] = below[j + 1] + 1 if x[i] == y[j] else max(below[j], row[j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and x[i] == y[j]:
-            out.append(merged(a[i], b[j], within))
+    i = j = 0
+    while i < n and j < m:
+        if x[i] == y[j]:
+            yield i, j
             i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
         else:
-            from_a = j == m or i < n and best[i + 1][j] >= best[i][j + 1]
-            one = a[i] if from_a else b[j]
-            out.append([one[0], one[1] | OPTIONAL, *one[2:]])
-            i, j = i + from_a, j + (not from_a)
-    return free_order(folded(out))
+            j += 1
+
+
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest run of pairs that rises in both places, from pairs that rise in the first."""
+    tops: list[int] = []
+    ends: list[int] = []
+    before: list[int] = []
+    for k, (_, q) in enumerate(pairs):
+        at = bisect_left(tops, q)
+        tops[at : at + 1], ends[at : at + 1] = [q], [k]
+        before.append(ends[at - 1] if at else -1)
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
+@lru_cache(maxsize=4096)
+def _accepts(general_key: str, key: str) -> bool:
+    """Whether a key that stands for many accepts an element's: the same name, and all of its marks."""
+    name, *marks = general_key.removesuffix(ANY).split(".")
+    first, *own = key.split(".")
+    return name == first and set(marks) <= set(own)
+
+
+def accepted(kids: list, others: list) -> list:
+    """``kids`` with the keys that stand for many in ``others`` in place of those they accept."""
+    many = [k[0] for k in others if k[0].endswith(ANY)]
+    if not many:
+        return kids
+    return folded([[next((g for g in many if k[0] not in (TEXT, GROUP) and _accepts(g, k[0])), k[0]), *k[1:]] for k in kids])
+
+
+def general(kids: list) -> list:
+    """Where a list has ``MANY`` optional elements of one name or more, marks that differ from page to page tell nothing: from the
+    first to the last of them they become one repeated element with the marks that all have, beside it what else stands there."""
+    by: dict[str, list[int]] = {}
+    for i, k in enumerate(kids):
+        if k[1] & OPTIONAL and k[0] not in (TEXT, GROUP):
+            by.setdefault(k[0].partition(".")[0], []).append(i)
+    for name, at in by.items():
+        if len(at) < MANY:
+            continue
+        marks = set.intersection(*(set(kids[i][0].removesuffix(ANY).split(".")[1:]) for i in at))
+        one = kids[at[0]]
+        for i in at[1:]:
+            one = [one[0], one[1] | kids[i][1], one[2] + kids[i][2], aligned(one[3], kids[i][3], True)]
+        one = [".".join([name, *sorted(marks)]) + ANY, one[1] | REPEATED, *one[2:]]
+        kids = [*kids[: at[0]], one, *[k for i, k in enumerate(kids[at[0] + 1 :], at[0] + 1) if i not in set(at)]]
+        return general(kids)
+    return kids
 
 
 def free_order(kids: list, flag: int = OPTIONAL) -> list:
@@ -398,7 +504,8 @@ def laid(page: list, plan: dict) -> list[tuple[str, str]]:
     everything = list(texts_of(page, "", keep)) or list(texts_of(page, "", keep, words=False))
     at = [(page, "")]
     for keys in plan["path"]:
-        at = [(k, f"{path}/{k[0]}") for node, path in at for k in node[1] if not isinstance(k, str) and k[0] in keys]
+        many = [k for k in keys if k.endswith(ANY)]
+        at = [(k, f"{path}/{k[0]}") for node, path in at for k in node[1] if not isinstance(k, str) and (k[0] in keys or any(_accepts(g, k[0]) for g in many))]
     there = [x for node, path in at for x in texts_of(node, path, keep)]
     return there if 2 * _size(there) >= _size(everything) else everything
 
@@ -466,9 +573,16 @@ def _aligned(parts: DataFrame, fan_in: int) -> DataFrame:
 
     schema = "host string, wrapper string, n_pages long"
     parts = parts.where("wrapper IS NOT NULL").select("host", "wrapper", "n_pages")
-    # A host has at most one part a task; they are aligned `fan_in` groups at a time, then those results.
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(fan_in))).groupBy("host", "salt").applyInPandas(lambda p: join(p), schema)
-    return salted.groupBy("host").applyInPandas(lambda p: join(p), schema)
+    # A host has a part for each task that read it; `fan_in` of them are aligned in one group, and so on until each host has one.
+    while True:
+        counted = common.stored(parts.groupBy("host").agg(F.count("*").alias("n_parts")), "wrapper-counts")
+        most = counted.agg(F.max("n_parts")).first()[0] or 0
+        groups = F.ceil(F.col("n_parts") / fan_in).cast("int")
+        salted = parts.join(counted, "host").withColumn("salt", F.pmod(F.xxhash64("wrapper"), groups))
+        parts = salted.groupBy("host", "salt").applyInPandas(lambda p: join(p), schema)
+        if most <= fan_in:
+            return parts
+        parts = common.stored(parts, "wrapper-joined")
 
 
 def _templates(parts: DataFrame) -> DataFrame:
