@@ -120,11 +120,15 @@ def to_pages(spark, sf):
 KEY = "0123456789abcdef"
 
 
-@query("g1_protect_unlock", "SELECT doc_id, sha256(coalesce(text, '')) AS opened, true AS sealed_ok, NULL::VARCHAR AS wrong FROM documents")
+@query("g1_protect_unlock", "SELECT doc_id, CASE WHEN doc_id % 7 <> 1 THEN sha256(t) END AS opened, t IS NOT NULL AS sealed_ok, CASE WHEN doc_id % 7 = 1 THEN sha256(t) END AS wrong FROM (SELECT doc_id, CASE WHEN doc_id % 10 <> 3 THEN coalesce(text, '') END AS t FROM documents)")
 def protect(spark, sf):
-    sealed = G.protect(D.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", F.lit(KEY))
-    opened = G.unlock(sealed, F.lit(KEY)).withColumn("wrong", F.try_aes_decrypt("sealed", F.lit(KEY[::-1])).cast("string"))
-    return opened.select("doc_id", F.sha2("opened", 256).alias("opened"), F.col("sealed").isNotNull().alias("sealed_ok"), "wrong")
+    """Texts of which every tenth is missing, and every seventh is sealed with another key."""
+    other = F.lit(KEY[::-1])
+    text = F.when(F.col("doc_id") % 10 != 3, F.coalesce("text", F.lit("")))
+    sealed = G.protect(D.table(spark, sf, "documents").select("doc_id", text.alias("text")), "text", F.lit(KEY))
+    sealed = sealed.withColumn("sealed", F.when(F.col("doc_id") % 7 == 1, F.aes_encrypt("text", other)).otherwise(F.col("sealed")))
+    opened = G.unlock(sealed, F.lit(KEY)).withColumn("wrong", F.try_aes_decrypt("sealed", other).cast("string"))
+    return opened.select("doc_id", F.sha2("opened", 256).alias("opened"), F.col("sealed").isNotNull().alias("sealed_ok"), F.sha2("wrong", 256).alias("wrong"))
 
 
 @query("g2_permission_bits", "SELECT p_partkey, (-4 - CASE WHEN p_partkey % 2 = 1 THEN 0 ELSE 4 END - CASE WHEN p_partkey % 3 = 1 THEN 0 ELSE 8 END - CASE WHEN p_partkey % 5 = 1 THEN 0 ELSE 16 END - CASE WHEN p_partkey % 7 = 1 THEN 0 ELSE 32 END)::INTEGER AS bits FROM part")

@@ -76,9 +76,14 @@ def redirects(spark, sf):
 _LINKS = r"""links AS (SELECT page_id, unnest(range(len(l))) AS n, unnest(l) AS link FROM (SELECT page_id, regexp_extract_all(html, '(?i)\b(?:href|src)\s*=\s*["'']([^"'']*)["'']', 1) AS l FROM pages))"""
 
 
-@query("h7_links", f"WITH {_LINKS} SELECT page_id, n, link, regexp_replace(link, '[#?].*$', '') AS target, false AS escapes FROM links WHERE link <> '' AND NOT regexp_matches(link, '^(?:[a-zA-Z][a-zA-Z0-9+.\\-]*:|//|#)')")
+_CLIMBS = "['../up.html', 'a/../b.html#top', 'a/../../c.html?q=1', './d.html', '../e/../f.html'][page_id % 5 + 1]"
+
+
+@query("h7_links", "WITH " + _LINKS.replace("FROM pages", f"FROM (SELECT page_id, html || '<a href=\"' || {_CLIMBS} || '\">x</a>' AS html FROM pages)") + r" SELECT page_id, n, link, regexp_replace(link, '[#?].*$', '') AS target, link IN ('../up.html', 'a/../../c.html?q=1', '../e/../f.html') AS escapes FROM links WHERE link <> '' AND NOT regexp_matches(link, '^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:|//|#)')")
 def links(spark, sf):
-    return H.links(D.table(spark, sf, "pages"))
+    """All pages with one more link each, of which some climb above the root."""
+    more = F.element_at(F.array(*[F.lit(x) for x in ("../up.html", "a/../b.html#top", "a/../../c.html?q=1", "./d.html", "../e/../f.html")]), (F.col("page_id") % 5 + 1).cast("int"))
+    return H.links(D.table(spark, sf, "pages").withColumn("html", F.concat("html", F.lit('<a href="'), more, F.lit('">x</a>'))))
 
 
 @query("h7_broken_links", rf"WITH {_LINKS} SELECT page_id, n FROM links WHERE link <> '' AND NOT regexp_matches(link, '^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:|//|#)') AND regexp_replace(regexp_replace(regexp_replace(link, '[#?].*$', ''), '^\.?/', ''), '\.html$', '') NOT IN (SELECT unnest(string_split(text, ' ')) FROM benchmark)")
