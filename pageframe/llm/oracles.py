@@ -1,5 +1,9 @@
 """DuckDB SQL for the queries that SQL can express, written without the operators' shortcuts."""
 
+from __future__ import annotations
+
+from pageframe.llm.sharding import SIZE, lookup_table
+
 #: op6: all counts by exploded words and windows, references by plain grouping, distances bin by bin.
 QUALITY = r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, lang FROM documents),
@@ -112,3 +116,8 @@ sums AS (SELECT p.k, count_if(g.k NOT IN (SELECT k FROM kids)) AS n_leaves, sum(
 SELECT g.c AS conv_id, g.d AS depth, up.c AS parent_conv_id, g.n_convs, coalesce(kids.n, 0) AS n_children, n_leaves, saved::BIGINT AS saved_tokens, g.ends_sha256
 FROM g LEFT JOIN g up ON up.k = g.above LEFT JOIN kids ON kids.k = g.k JOIN sums ON sums.k = g.k
 """
+
+
+def sharding_sql() -> str:
+    """op8: the first 60 bits of a key's MD5, modulo the table's size, and the shard that the table has there."""
+    return f"""SELECT doc_id, slot::INTEGER AS slot, {lookup_table()}[slot + 1] AS shard FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {SIZE} AS slot FROM documents)"""

@@ -104,4 +104,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quotation_linking": oracles.QUOTES, "op5_warc": oracles.WARC, "op6_quality_rules": oracles.QUALITY, "op12_structure_repair": oracles.REPAIR, "op13_prefix_trie": oracles.TRIE}
+    return {"op3_quotation_linking": oracles.QUOTES, "op5_warc": oracles.WARC, "op6_quality_rules": oracles.QUALITY, "op8_sharding": oracles.sharding_sql(), "op12_structure_repair": oracles.REPAIR, "op13_prefix_trie": oracles.TRIE}
