@@ -166,7 +166,7 @@ def page_of(items: list[tuple], shapes: list[tuple], images: list[tuple], width:
         ys, xs, cells = grid
         made = LT.grid_cells(grid, [(line.y, line.items) for line in lines])
         runs = [[r for k, p in enumerate(paragraphs([Line(y, its) for y, its in own])) for r in [*[_BREAK] * (k > 0), *p["runs"]]] for own in (m["lines"] for m in made)]
-        block = {"type": "gridtable", "y": ys[0], "n_rows": max(r + down for r, _, down, _ in cells), "n_cols": max(c + wide for _, c, _, wide in cells), "texts": [m["text"] for m in made], "runs": runs}
+        block = {"type": "gridtable", "y": ys[0], "n_rows": max(r + down for r, _, down, _ in cells), "n_cols": max(c + wide for _, c, _, wide in cells), "texts": [reordered(m["text"]) for m in made], "runs": runs}
         blocks.append((-ys[0], -1, 0, block))
         tables.append((block, xs, ys, cells))
         outside = lambda y: y > ys[0] + 2 or y < ys[-1] - 2
