@@ -6,7 +6,7 @@ a document's pages is found from the pages' first and last paragraphs alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import pyarrow as pa
@@ -183,12 +183,7 @@ def page_of(items: list[tuple], shapes: list[tuple], images: list[tuple], width:
     boxes = [s for s in shapes if s[3] > 15 and s[4] > 15 and (s[5] is not None or s[6] is not None)]
 
     small = [split_cells(line.items, max(9.0, line.size * 1.15)) for line in lines]
-    halves: list = [None] * len(lines)
-    if width is not None:
-        wide = max(80.0, width * 0.14)
-        for k, line in enumerate(lines):
-            two = split_cells(line.items, wide) if len(small[k]) > 1 else []
-            halves[k] = two if len(two) == 2 and all(_text(c) for c in two) else None
+    halves = [_halves(line, width) if width is not None and len(cells) > 1 else None for line, cells in zip(lines, small, strict=True)]
     found = LT.roles([[c[0][1] for c in cells] for cells in small], [h is not None for h in halves])
     at = run = 0
     while at < len(lines):
@@ -294,28 +289,92 @@ def folded(items: DataFrame, shapes: DataFrame, page_width: float | None = None,
         return {"doc_id": doc, "page_no": page, "first": edge[0] if edge else None, "last": edge[-1] if edge else None, "changes": changes, "blocks": blocks}
 
     fields = pa.schema([("doc_id", pa.int64()), ("page_no", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("changes", pa.bool_()), ("blocks", pa.list_(_BLOCK))])
+    return by_page(_parts(items, shapes, images, pages), ["kind", "no", *names], lambda *page: [made] if (made := finished(*page)) else [], fields, _PAGE)
+
+
+def by_page(parts: DataFrame, names: list[str], finished: Callable[[int, int, list[tuple]], list[dict]], fields: pa.Schema, schema: str) -> DataFrame:
+    """What ``finished`` makes of each page's rows, tuples of ``names`` in the order of kind and number; pages come as a sorted stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
         known, rows = None, []
         for batch in batches:
-            docs, numbers, *columns = (batch.column(c).to_pylist() for c in ("doc_id", "page_no", "kind", "no", *names))
+            docs, numbers, *columns = (batch.column(c).to_pylist() for c in ("doc_id", "page_no", *names))
             for doc, page, *row in zip(docs, numbers, *columns, strict=True):
                 if (doc, page) != known:
-                    if known is not None and (made := finished(*known, rows)):
-                        out.append(made)
+                    if known is not None:
+                        out += finished(*known, rows)
                     known, rows = (doc, page), []
                 rows.append(tuple(row))
             if len(out) >= 64:
                 yield pa.RecordBatch.from_pylist(out, schema=fields)
                 out = []
-        if known is not None and (made := finished(*known, rows)):
-            out.append(made)
+        if known is not None:
+            out += finished(*known, rows)
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=fields)
 
-    laid = _parts(items, shapes, images, pages).repartition(*PAGE).sortWithinPartitions(*PAGE, "kind", "no")
-    return laid.mapInArrow(run, _PAGE)
+    return parts.repartition(*PAGE).sortWithinPartitions(*PAGE, "kind", "no").mapInArrow(run, schema)
+
+
+def _placed(row: tuple) -> tuple:
+    """An item of ``by_page`` as ``lines_of`` takes it, without a style."""
+    no, x, y, w, text, size = row
+    return no, x, y, w or 0.0, text or "", size or 10.0, None
+
+
+def _halves(line: Line, page_width: float) -> list | None:
+    two = split_cells(line.items, max(80.0, page_width * 0.14))
+    return two if len(two) == 2 and all(_text(c) for c in two) else None
+
+
+def _lines(items: DataFrame, page_width: float, finished: Callable[[int, int, list[Line], list, list], list[dict]], fields: pa.Schema, schema: str) -> DataFrame:
+    """``finished`` of the lines of every page, their cells at small gaps and their roles."""
+
+    def page(doc: int, number: int, rows: list[tuple]) -> list[dict]:
+        lines = lines_of([_placed(r) for r in rows if r[1] is not None and r[2] is not None])
+        small = [split_cells(line.items, max(9.0, line.size * 1.15)) for line in lines]
+        found = LT.roles([[c[0][1] for c in cells] for cells in small], [_halves(line, page_width) is not None for line in lines])
+        return finished(doc, number, lines, small, found)
+
+    parts = items.select("doc_id", F.col("page_no").cast("int").alias("page_no"), F.lit(ITEM).alias("kind"), F.col("item_no").cast("int").alias("no"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "width")], "str", F.col("size").cast("double").alias("size"))
+    return by_page(parts, ["no", "x", "y", "width", "str", "size"], page, fields, schema)
+
+
+def page_roles(items: DataFrame, page_width: float) -> DataFrame:
+    """``layout_tables.line_roles`` of pages of items, lines and cells found in the same pass."""
+    fields = pa.schema([("doc_id", pa.int64()), ("page_no", pa.int32()), ("line_no", pa.int32()), ("role", pa.string()), ("run_no", pa.int32())])
+
+    def finished(doc: int, page: int, lines: list[Line], small: list, found: list) -> list[dict]:
+        run, out = 0, []
+        for k, role in enumerate(found):
+            run += k > 0 and role != found[k - 1]
+            out.append({"doc_id": doc, "page_no": page, "line_no": k, "role": role, "run_no": run})
+        return out
+
+    return _lines(items, page_width, finished, fields, "doc_id long, page_no int, line_no int, role string, run_no int")
+
+
+def page_tables(items: DataFrame, page_width: float) -> DataFrame:
+    """``layout_tables.borderless_tables`` of pages of items, lines, cells and roles found in the same pass."""
+    ints, doubles = ("run_no", "r0", "c0", "row_span", "col_span"), ("gap_left", "gap_right", "confidence", "left", "right", "top", "bottom")
+    fields = pa.schema([("doc_id", pa.int64()), ("page_no", pa.int32()), *[(c, pa.int32()) for c in ints], ("text", pa.string()), *[(c, pa.float64()) for c in doubles]])
+    schema = f"doc_id long, page_no int, {', '.join(f'{c} int' for c in ints)}, text string, {', '.join(f'{c} double' for c in doubles)}"
+
+    def finished(doc: int, page: int, lines: list[Line], small: list, found: list) -> list[dict]:
+        at = run = 0
+        out = []
+        while at < len(lines):
+            end = next((k for k in range(at + 1, len(lines)) if found[k] != found[at]), len(lines))
+            if found[at] == "table":
+                made = LT.borderless([(line.y, line.size, [(_text(c), c[0][1], _end(c)) for c in cells]) for line, cells in zip(lines[at:end], small[at:end], strict=True)])
+                for r, c, down, wide, text, before, behind in made["cells"] if made else ():
+                    box = (made["columns"][c], made["columns"][c + wide], made["rows"][r], made["rows"][r + down])
+                    out.append(dict(zip(fields.names, (doc, page, run, r, c, down, wide, text, before, behind, made["confidence"], *box), strict=True)))
+            at, run = end, run + 1
+        return out
+
+    return LT.judged_cells(_lines(items, page_width, finished, fields, schema))
 
 
 def page_blocks(items: DataFrame, shapes: DataFrame, page_width: float, images: DataFrame | None = None) -> DataFrame:

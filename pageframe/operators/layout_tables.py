@@ -276,7 +276,11 @@ def borderless_tables(lines: DataFrame, cells: DataFrame, line_role: DataFrame)
     keys = [*PAGE, "line_no"]
     held = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cell_no", "text", "x", "x_end"))).alias("cells"))
     tabled = line_role.where("role = 'table'").join(lines.select(*keys, "y", "size"), keys).join(held, keys, "left")
-    found = tabled.groupBy(*PAGE).applyInPandas(page, raw)
+    return judged_cells(tabled.groupBy(*PAGE).applyInPandas(page, raw))
+
+
+def judged_cells(found: DataFrame) -> DataFrame:
+    """Cells of borderless tables with their alignment and padding in place of the gaps beside their text."""
     align = F.coalesce(cell_align(F.col("gap_left"), F.col("gap_right"), F.col("right") - F.col("left")), F.lit("left"))
     pad = F.when(F.col("gap_left").isNull(), 4.0).otherwise(pad_left(align, F.col("gap_left")))
     return found.select(*PAGE, "run_no", "r0", "c0", "row_span", "col_span", fix_devanagari(F.col("text")).alias("text"), align.alias("align"), pad.alias("pad_left_pt"), "confidence", "left", "right", "top", "bottom")

@@ -149,8 +149,7 @@ SELECT doc_id, page_no, line_no, role, sum(turn) OVER (PARTITION BY doc_id, page
 
 @query("d8_line_roles", ti(_ROLES.lstrip(), True).replace(" , lx", ", lx", 1).replace("WITH ", "WITH RECURSIVE ", 1))
 def roles(spark, sf):
-    l = lines(spark, sf)
-    return LT.line_roles(l, L.split_cells(l, L.small_gap(F.col("size"))), L.split_cells(l, L.big_gap(F.lit(595.28))))
+    return BL.page_roles(D.text_items(spark, sf), 595.28)
 
 
 def item_pages(spark, sf):
@@ -198,9 +197,7 @@ def grids(spark, sf):
 
 @query("d10_borderless_tables")
 def borderless(spark, sf):
-    l = lines(spark, sf)
-    small = L.split_cells(l, L.small_gap(F.col("size")))
-    return rounded(LT.borderless_tables(l, small, LT.line_roles(l, small, L.split_cells(l, L.big_gap(F.lit(595.28))))))
+    return rounded(BL.page_tables(D.text_items(spark, sf), 595.28))
 
 
 def block_sql(more: str = "") -> str:

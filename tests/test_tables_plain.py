@@ -6,6 +6,7 @@ from pathlib import Path
 
 import pytest
 
+from pageframe.operators import blocks as BL
 from pageframe.operators import layout_tables as LT
 
 SF = Path("/root/testdata/sf0.001")
@@ -113,3 +114,7 @@ def test_the_words_of_the_driver(spark):
     for r in rows:
         runs.setdefault((r.doc_id, r.page_no, r.run_no), []).append((r.y, r.size, [(c.text, c.x, c.x_end) for c in r.cells or []]))
     assert len(runs) > 20 and sum(map(same, runs.values())) > 0
+    # The pass over whole pages finds the same roles and tables as the operators over lines and cells.
+    every = LT.line_roles(lines, small, L.split_cells(lines, L.big_gap(F.lit(595.28))))
+    assert set(map(tuple, BL.page_roles(P.D.text_items(spark, str(SF)), 595.28).collect())) == set(map(tuple, every.collect()))
+    assert set(map(tuple, BL.page_tables(P.D.text_items(spark, str(SF)), 595.28).collect())) == set(map(tuple, LT.borderless_tables(lines, small, every).collect()))
