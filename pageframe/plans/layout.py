@@ -138,7 +138,7 @@ def _goes_on(bands: str, xs: str) -> str:
 
 #: Line by line with the bands of the open table, the number of its strays and its first line; no line of these pages has a big gap.
 _ROLES = f""", lx AS (SELECT doc_id, page_no, line_no, coalesce(list(x ORDER BY cell_no) FILTER (x IS NOT NULL), []::DOUBLE[]) AS xs FROM lines LEFT JOIN (SELECT doc_id, page_no, line_no, cell_no, x::DOUBLE AS x FROM cells) USING (doc_id, page_no, line_no) GROUP BY ALL),
-ln AS (SELECT *, lead(xs) OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS nx FROM lx),
+ln AS MATERIALIZED (SELECT *, lead(xs) OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS nx FROM lx),
 f AS (
   SELECT doc_id, page_no, -1::BIGINT AS line_no, NULL::DOUBLE[] AS bands, 0 AS strays, NULL::BIGINT AS begun FROM (SELECT DISTINCT doc_id, page_no FROM lines)
   UNION ALL SELECT doc_id, page_no, line_no, CASE WHEN opens THEN {_CENTRES.format("xs")} WHEN ends OR bands IS NULL THEN NULL WHEN goes THEN {_CENTRES.format("list_concat(bands, xs)")} ELSE bands END, CASE WHEN opens THEN 0 WHEN goes THEN strays ELSE strays + 1 END, CASE WHEN opens THEN line_no WHEN NOT ends THEN begun END
@@ -180,7 +180,7 @@ def grid_sql(items: str) -> str:
     """The cells of the grid of ``shapes`` on every page, with their text and its place, from a table of items."""
     return f""", gc AS (SELECT doc_id, page_no, r, c, s, 45.0 + 240 * c AS l, 45.0 + 240 * (c + s) AS rt, 800.0 - 60 * r AS top, 740.0 - 60 * r AS low FROM (SELECT DISTINCT doc_id, page_no FROM {items}),
   (SELECT unnest([0, 0, 1, 1, 1, 2, 2]) AS r, unnest([0, 1, 0, 1, 0, 0, 1]) AS c, unnest([1, 1, 1, 1, 2, 1, 1]) AS s) WHERE r <> 1 OR (s = 2) = ((doc_id + page_no) % 2 = 1)),
-gi AS (SELECT gc.*, i.str, i.x, i.width, i.size, i.y FROM gc JOIN {items} i ON i.doc_id = gc.doc_id AND i.page_no = gc.page_no AND i.y BETWEEN low - 2 AND top + 2 AND i.x >= l - 1 AND i.x < rt + 1),
+gi AS (SELECT doc_id, page_no, r, c, l, rt, top, low, str, x, width, size, y FROM gc JOIN (SELECT *, unnest(list_filter([0, 1, 2], lambda k: y BETWEEN 738 - 60 * k AND 802 - 60 * k)) AS r FROM {items}) i USING (doc_id, page_no, r) WHERE x >= l - 1 AND x < rt + 1),
 gl AS (SELECT doc_id, page_no, r, c, y, string_agg(str, '' ORDER BY x) AS txt, any_value(size) AS size FROM gi GROUP BY ALL HAVING bool_or(str <> ' ')),
 gt AS (SELECT doc_id, page_no, r, c, trim(string_agg(CASE WHEN gap THEN ' ' ELSE '' END || txt, ' ' ORDER BY y DESC)) AS txt FROM (SELECT *, coalesce(lag(y) OVER w - y > lag(size) OVER w * 1.6, false) AS gap FROM gl WINDOW w AS (PARTITION BY doc_id, page_no, r, c ORDER BY y DESC)) GROUP BY ALL),
 gp AS (SELECT doc_id, page_no, r, c, min(x) FILTER (str <> ' ') - any_value(l) AS lg, any_value(rt) - max(x + width) FILTER (str <> ' ') AS rg, any_value(rt - l) AS w, any_value(top) - max(y) AS ab, min(y) - any_value(low) AS be FROM gi GROUP BY ALL),
