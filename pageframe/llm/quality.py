@@ -14,6 +14,7 @@ ignored.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,23 +100,26 @@ def _bucket(word: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(n)).cast("int")
 
 
-def common_words(docs: DataFrame, rules: Rules = DEFAULT, buckets: int = 1 << 16) -> DataFrame:
+def common_words(docs: DataFrame, rules: Rules = DEFAULT, buckets: int = 1 << 16, broadcast_rows: int = 1 << 18) -> DataFrame:
     """(lang, word, share) of all words of at least ``common_share`` of their language's words.
 
     Hashed words are counted first; only buckets that reach the share can hold a common word, and there are at most
-    1 / share of them a language, so the second count shuffles a bounded number of keys. Both count all rows.
+    1 / share of them a language, so the second count shuffles a bounded number of keys. Both count all rows. The buckets
+    are broadcast up to ``broadcast_rows`` of them (a thousand languages) and joined by a shuffle of counted words beyond.
     """
     each = docs.where(F.col("lang").isNotNull()).select("lang", F.explode(F.transform(common.words(F.col("text")), lambda w: F.lower(w))).alias("word"))
     hashed = common.stored(each.groupBy("lang", _bucket(F.col("word"), buckets).alias("bucket")).agg(F.count("*").alias("n")), "quality-buckets")
     totals = hashed.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= rules.reference_words)
-    heavy = hashed.join(F.broadcast(totals), "lang").where(F.col("n") >= rules.common_share * F.col("total"))  # a row a language
-    heavy = F.broadcast(heavy.select("lang", "bucket", "total"))  # at most 1 / common_share rows a language
-    counts = each.withColumn("bucket", _bucket(F.col("word"), buckets)).join(heavy, ["lang", "bucket"]).groupBy("lang", "word").agg(F.count("*").alias("n"), F.first("total").alias("total"))
-    return counts.where(F.col("n") >= rules.common_share * F.col("total")).select("lang", "word", (F.col("n") / F.col("total")).alias("share"))
-
-
-def _doubles(values: list[float]) -> Column:
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+    heavy = hashed.join(totals, "lang").where(F.col("n") >= rules.common_share * F.col("total"))
+    heavy = common.stored(heavy.select("lang", "bucket", "total"), "quality-heavy")  # at most 1 / common_share rows a language
+    each = each.withColumn("bucket", _bucket(F.col("word"), buckets))
+    if heavy.count() <= broadcast_rows:
+        counts = each.join(F.broadcast(heavy), ["lang", "bucket"]).groupBy("lang", "word").agg(F.count("*").alias("n"), F.first("total").alias("total"))
+    else:
+        counts = each.groupBy("lang", "word", "bucket").agg(F.count("*").alias("n")).join(heavy, ["lang", "bucket"])
+    found = common.stored(counts.where(F.col("n") >= rules.common_share * F.col("total")).select("lang", "word", (F.col("n") / F.col("total")).alias("share")), "quality-words")
+    common.forget(hashed, heavy)
+    return found
 
 
 def _js(p: Column, q: Column) -> Column:
@@ -124,14 +128,39 @@ def _js(p: Column, q: Column) -> Column:
     return half(p) + half(q)
 
 
-def measures(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """The base counts of every row, its class counts and its counts of the words of the vocabulary, by slot of ``_slots``."""
-    size, table = _slots(docs.sparkSession, vocabulary)
-    held = F.split(F.lit("\n".join(table)), "\n")
-    known = lambda w: F.filter(F.transform(w, lambda x: F.lower(x)), lambda x: F.get(held, _bucket(x, size)) == x)
-    per_word = lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"), _rle(F.transform(known(w), lambda x: _bucket(x, size))).alias("hits")
-    )
+def _constant(value: list, schema: str) -> Column:
+    """An array as one constant of a plan, however long it is."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """Words in buckets of their hash, four buckets a word, so that a word is found in one of them."""
+
+    buckets: list[list[str]]
+
+    @staticmethod
+    def of(spark: SparkSession, words: list[str]) -> Vocabulary:
+        buckets: list[list[str]] = [[] for _ in range(4 * len(words) + 1)]
+        if words:
+            rows = spark.sql("SELECT word, xxhash64(word) AS h FROM (SELECT explode(split(:words, '\n')) AS word)", args={"words": "\n".join(words)})
+            for r in rows.collect():
+                buckets[r.h % len(buckets)].append(r.word)
+        return Vocabulary(buckets)
+
+    def at(self, table: Column, word: Column) -> Column:
+        """What a table by bucket holds where the word would be."""
+        return F.get(table, _bucket(word, len(self.buckets)))
+
+    def known(self, words: Column) -> Column:
+        """The words of an array that the vocabulary has, in lower case, repeats included."""
+        table = _constant(self.buckets, "array<array<string>>")
+        return F.filter(F.transform(words, lambda x: F.lower(x)), lambda x: F.array_contains(self.at(table, x), x))
+
+
+def measures(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """The base counts of every row, its class counts and its counts of the words of the vocabulary."""
+    per_word = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"), _rle(vocabulary.known(w)).alias("hits"))
     spaces = list(CLASSES).index("space")
     word_chars = (F.aggregate("by_char.classes", F.lit(0.0), lambda a, b: a + b) - F.col("by_char.classes")[spaces]).cast("long")
     return docs.select(
@@ -143,65 +172,63 @@ def measures(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     ).select("doc_id", "lang", "by_word.*", word_chars.alias("word_chars"), "by_char.n_symbols", "n_dup_lines", "by_char.classes")
 
 
-def _slots(spark: SparkSession, vocabulary: list[str]) -> tuple[int, list[str]]:
-    """A table in which each word stands at the remainder of its hash, without two at one place; "" where none is."""
-    if not vocabulary:
-        return 1, [""]
-    rows = spark.sql("SELECT word, xxhash64(word) AS h FROM (SELECT explode(split(:words, '\n')) AS word)", args={"words": "\n".join(vocabulary)}).collect()
-    size = 1024
-    while len({r.h % size for r in rows}) < len(rows):
-        size += size // 8 + 1
-    table = [""] * size
-    for r in rows:
-        table[r.h % size] = r.word
-    return size, table
+@dataclass(frozen=True)
+class References:
+    """What all languages hold, as two constants of a plan whose expressions are the same for any number of languages:
+    a row a language, and by bucket of the vocabulary its words with each language in which they are common."""
+
+    vocabulary: Vocabulary
+    languages: list[dict]
+    shares: list[list[dict]]
+
+    def distances(self, share: Column) -> Column:
+        """array<struct<chars, words, lang>>: the distance of a row's classes and words to each language."""
+        languages = _constant(self.languages, "array<struct<lang:string,chars:array<double>,held:double>>")
+        shares = _constant(self.shares, "array<array<struct<word:string,l:int,q:double>>>")
+        # Words of a reference that the text lacks give half their share each; the words found replace that.
+        gain = lambda l, p, q: F.struct(l.alias("l"), p.alias("p"), (_js(p, q) - q / 2).alias("gain"))  # noqa: E731, E741
+        same = lambda hit: F.filter(self.vocabulary.at(shares, hit["value"]), lambda v: v["word"] == hit["value"])
+        met = F.transform("hits", lambda hit: F.transform(same(hit), lambda v: gain(v["l"], hit["n"] / F.col("n_words"), v["q"])))
+        root = lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))
+
+        def one(lang: Column, i: Column, p: Column, found: Column) -> Column:
+            by_char = sum((_js(p[k], lang["chars"][k]) for k in range(len(CLASSES) + 1)), F.lit(0.0))
+            none = F.struct(F.lit(0.0).alias("gain"), F.lit(0.0).alias("p"))
+            add = lambda a, b: F.struct((a["gain"] + b["gain"]).alias("gain"), (a["p"] + b["p"]).alias("p"))
+            rest = lambda s: s["gain"] + lang["held"] / 2 + _js(F.greatest(1.0 - s["p"], F.lit(0.0)), F.greatest(1.0 - lang["held"], F.lit(0.0)))
+            by_word = F.aggregate(F.filter(found, lambda f: f["l"] == i), none, add, rest)
+            return F.struct(root(by_char).alias("chars"), root(by_word).alias("words"), lang["lang"].alias("lang"))
+
+        return common.let(share, lambda p: common.let(F.flatten(met), lambda found: F.transform(languages, lambda lang, i: one(lang, i, p, found))))
 
 
 def judge(docs: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """The base counts, both distances to the nearest language, ``base_failed`` and ``kept`` of every row."""
-    spark = docs.sparkSession
     common_rows = common_words(docs, rules).collect()  # at most 1 / common_share rows a language
-    vocabulary = sorted({r.word for r in common_rows})
+    vocabulary = Vocabulary.of(docs.sparkSession, sorted({r.word for r in common_rows}))
     languages = sorted({r.lang for r in common_rows})
-    size, table = _slots(spark, vocabulary)
-    place = {w: i for i, w in enumerate(table) if w}
     stats = common.stored(measures(docs, vocabulary), "quality-stats")
 
     n_classes = len(CLASSES) + 1
     sums = stats.where(F.col("lang").isin(languages)).groupBy("lang").agg(*[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(n_classes)])
     chars = {r[0]: [x / max(sum(r[1:]), 1) for x in r[1:]] for r in sums.collect()}  # a row a language
+    number = {lang: i for i, lang in enumerate(languages)}
+    of_word: dict[str, list[dict]] = {}
+    held = dict.fromkeys(languages, 0.0)
+    for r in sorted(common_rows):
+        of_word.setdefault(r.word, []).append({"word": r.word, "l": number[r.lang], "q": r.share})
+        held[r.lang] += r.share
+    shares = [[x for word in bucket for x in of_word[word]] for bucket in vocabulary.buckets]
+    references = References(vocabulary, [{"lang": x, "chars": chars[x], "held": held[x]} for x in languages], shares)
 
     total = F.aggregate("classes", F.lit(0.0), lambda a, b: a + b)
     share = common.let(total, lambda t: F.transform("classes", lambda x: x / t))
-
-    def distances(lang: str) -> Column:
-        q = [0.0] * size
-        for r in common_rows:
-            if r.lang == lang:
-                q[place[r.word]] = r.share
-        shares, in_lang = _doubles(q), sum(q)
-        by_char = common.let(share, lambda p: sum((_js(p[i], F.lit(float(chars[lang][i]))) for i in range(n_classes)), F.lit(0.0)))
-
-        # Words of the reference that the text lacks give half their share each; the words found replace that.
-        def add(so_far: Column, hit: Column) -> Column:
-            pair = F.struct((hit["n"] / F.col("n_words")).alias("p"), F.get(shares, hit["value"]).alias("q"))
-            return common.let(pair, lambda b: F.struct(
-                (so_far["sum"] + F.when(b["q"] > 0, _js(b["p"], b["q"]) - b["q"] / 2).otherwise(0.0)).alias("sum"),
-                (so_far["p"] + F.when(b["q"] > 0, b["p"]).otherwise(0.0)).alias("p")))
-
-        def finish(found: Column) -> Column:
-            return found["sum"] + in_lang / 2 + _js(F.greatest(1.0 - found["p"], F.lit(0.0)), F.lit(max(1.0 - in_lang, 0.0)))
-
-        by_word = F.aggregate("hits", F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("p")), add, finish)
-        root = lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))
-        return F.struct(root(by_char).alias("chars"), root(by_word).alias("words"), F.lit(lang).alias("lang"))
-
-    apart = [distances(lang) for lang in languages]
+    apart = references.distances(share) if languages else F.lit(None).cast("array<struct<chars:double,words:double,lang:string>>")
     n_chars = F.col("n_chars_judged")
     slack_c = F.lit(rules.noise) / F.greatest(n_chars, F.lit(1.0))
     slack_w = F.lit(rules.noise) / F.greatest(F.col("n_words"), F.lit(1))
     base_failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    out = stats.withColumn("n_chars_judged", total).withColumn("apart", F.array(*apart) if apart else F.lit(None).cast("array<struct<chars:double,words:double,lang:string>>"))
+    out = stats.withColumn("n_chars_judged", total).withColumn("apart", apart)
     near = F.array_min(F.transform("apart", lambda a: F.struct((F.greatest(a["chars"] - rules.max_chars, a["words"] - rules.max_words)).alias("over"), a["chars"].alias("chars"), a["words"].alias("words"), a["lang"].alias("lang"))))
     fits = (
         ((n_chars < rules.min_chars_judged) | (F.pow(F.col("near.chars"), 2) <= rules.max_chars**2 + slack_c))

@@ -63,6 +63,73 @@ def test_quality_keeps_rare_languages(spark):
     assert few[2000]
 
 
+def _prose_of(rng, n_languages, shared="la de un"):
+    """Rows (doc_id, text, lang): languages with words of their own, three that all have, and rare ones."""
+    rows = []
+    for lang in range(n_languages):
+        own = [f"{a}{lang:x}{b}" for a in ("k", "mo", "ti") for b in ("a", "el", "os", "u")]
+        for i in range(3):
+            rows.append((len(rows), " ".join(rng.choice(own + shared.split()) if rng.random() < 0.9 else f"r{rng.randrange(10**6)}" for _ in range(900)), f"l{lang}"))
+    return rows
+
+
+def _distances(rows, rules):
+    """{doc_id: (nearest, its distances)} by plain counting."""
+    import math
+    import unicodedata
+
+    kind = lambda c: ("space" if c in " \t\n\v\f\r" else {"Ll": "lower", "Lu": "upper", "Lt": "upper", "Nd": "digit"}.get(unicodedata.category(c)) or ("stop" if c in ".,;:?'()-" else "other"))
+    js = lambda p, q: sum((x * math.log2(2 * x / (x + y)) if x else 0) / 2 + (y * math.log2(2 * y / (x + y)) if y else 0) / 2 for x, y in zip(p, q, strict=True))
+    by_words, by_chars = {}, {}
+    for _, text, lang in rows:
+        by_words.setdefault(lang, Counter()).update(text.lower().split())
+        by_chars.setdefault(lang, Counter()).update(map(kind, text))
+    heavy = {lang: {w: n / sum(c.values()) for w, n in c.items() if n >= rules.common_share * sum(c.values())} for lang, c in by_words.items()}
+    out = {}
+    for at, text, _ in rows:
+        n, chars, total = Counter(text.lower().split()), Counter(map(kind, text)), len(text.split())
+        each = []
+        for lang, q in heavy.items():
+            p = [n[w] / total for w in q]
+            words_apart = math.sqrt(js([*p, 1 - sum(p)], [*q.values(), 1 - sum(q.values())]))
+            of = by_chars[lang]
+            chars_apart = math.sqrt(max(js([chars[k] / len(text) for k in of], [v / sum(of.values()) for v in of.values()]), 0))
+            each.append((max(chars_apart - rules.max_chars, words_apart - rules.max_words), lang, chars_apart, words_apart))
+        out[at] = min(each)[1:]
+    return out
+
+
+def test_quality_of_two_hundred_languages(spark):
+    """Every row's nearest language and its distances against plain counting; the plan has as many expressions as with two languages."""
+    import random
+
+    sizes = {}
+    for n in (2, 200):
+        rows = _prose_of(random.Random(n), n)
+        found = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+        got = {r.doc_id: (r.nearest_lang, r.js_chars, r.js_words) for r in found.collect()}
+        for at, (lang, chars, apart) in _distances(rows, quality.DEFAULT).items():
+            assert got[at][0] == lang == rows[at][2] and abs(got[at][1] - chars) < 1e-6 and abs(got[at][2] - apart) < 1e-9
+        sizes[n] = found._jdf.queryExecution().analyzed().toString().count("lambdafunction")
+    assert sizes[2] == sizes[200] > 0
+
+
+def test_quality_counts_words_alike_beyond_the_broadcast(spark):
+    import random
+
+    df = spark.createDataFrame(_prose_of(random.Random(5), 5), "doc_id long, text string, lang string")
+    few, many = (sorted(map(tuple, quality.common_words(df, broadcast_rows=n).collect())) for n in (1 << 18, 0))
+    assert few == many and len({lang for lang, *_ in few}) == 5
+
+
+def test_quality_vocabulary(spark):
+    words_of = [f"w{i}" for i in range(30_000)]
+    vocabulary = quality.Vocabulary.of(spark, words_of)
+    assert sorted(w for b in vocabulary.buckets for w in b) == sorted(words_of) and max(map(len, vocabulary.buckets)) < 10
+    df = spark.createDataFrame([(words_of[:500] + ["no", "W7"],)], "w array<string>").select(vocabulary.known(F.col("w")).alias("known"))
+    assert df.first().known == words_of[:500] + ["w7"]
+
+
 def test_language_filter_rejects_unlearned_languages(spark):
     import random
 
