@@ -107,7 +107,8 @@ def common_words(docs: DataFrame, rules: Rules = DEFAULT, buckets: int = 1 << 16
     1 / share of them a language, so the second count shuffles a bounded number of keys. Both count all rows. The buckets
     are broadcast up to ``broadcast_rows`` of them (a thousand languages) and joined by a shuffle of counted words beyond.
     """
-    each = docs.where(F.col("lang").isNotNull()).select("lang", F.explode(F.transform(common.words(F.col("text")), lambda w: F.lower(w))).alias("word"))
+    # Lower case before the split and empty words left out after it: no lambda runs a word.
+    each = docs.where(F.col("lang").isNotNull()).select("lang", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), common.SPACE)).alias("word")).where("word <> ''")
     hashed = common.stored(each.groupBy("lang", _bucket(F.col("word"), buckets).alias("bucket")).agg(F.count("*").alias("n")), "quality-buckets")
     totals = hashed.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= rules.reference_words)
     heavy = hashed.join(totals, "lang").where(F.col("n") >= rules.common_share * F.col("total"))
