@@ -23,10 +23,10 @@ def turned(rotation: Column, delta: Column | int) -> Column:
     return F.pmod(rotation + delta, F.lit(360)).cast("int")
 
 
-def merge_docs(pages: DataFrame, file_order: DataFrame) -> DataFrame:
-    """All pages of the documents of (out_id, doc_id, ord), in that order; outputs of one document are dropped."""
-    enough = file_order.groupBy("out_id").agg(F.count("*").alias("_n")).where("_n >= 2").select("out_id")
-    return pages.join(file_order.join(enough, "out_id"), "doc_id").withColumn("pos", _place(["out_id"], "ord", "page_index"))
+def merge_docs(pages: DataFrame, file_order: DataFrame, least: int = 2) -> DataFrame:
+    """All pages of the documents of (out_id, doc_id, ord), in that order; outputs of fewer than ``least`` documents are dropped."""
+    enough = file_order.groupBy("out_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("out_id")
+    return pages.join(file_order if least <= 1 else file_order.join(enough, "out_id"), "doc_id").withColumn("pos", _place(["out_id"], "ord", "page_index"))
 
 
 def order_by_name(files: DataFrame, batch: str) -> DataFrame:

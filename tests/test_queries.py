@@ -46,3 +46,12 @@ def test_query(spark, duck, name):
         assert rows(got) == rows(duck.sql(ORACLES[name]).df())
     else:
         assert len(got)
+
+
+@pytest.mark.parametrize("name", ["b1_merge_docs", "b9_select_parity", "b10_duplicate_pages", "b17_organize", "b17_add_source", "b18_assemble"])
+def test_outputs_of_one_document_and_without_text(spark, tmp_path, name):
+    texts = ["a\nb", None, "c", "", "d\ne\nf\ng", "h", None, "i\nj", "k\nl\nm"]  # the last output has one document
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.sql(ORACLES[name]).df())
