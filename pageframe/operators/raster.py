@@ -142,12 +142,17 @@ def search_variant(images: DataFrame, budget: int, steps: int = 6) -> DataFrame:
     return images.select("key", "width", "height", "nChannels", "data", "bytes").mapInPandas(run, "key long, t double, out_bytes long, achieved boolean")
 
 
+def _with_budget(variants: DataFrame, assets: DataFrame, budget: Column) -> DataFrame:
+    """Variants with their asset's budget, both dealt by asset: no table of assets is broadcast, and rows come sorted to what sums them."""
+    return variants.join(assets.select("asset_id", budget.alias("_budget")).hint("merge"), "asset_id")
+
+
 def choose_variant(assets: DataFrame, variants: DataFrame, budget: Column) -> DataFrame:
     """Per asset: itself if it fits the budget, else the variant of lowest t that does, else the smallest, with ``achieved``."""
-    v = variants.join(assets.select("asset_id", F.col("bytes").alias("_own"), budget.alias("_budget")), "asset_id")
+    v = _with_budget(variants, assets, budget)
     fitting = F.min_by(F.struct("t", F.col("bytes").alias("size")), F.when(F.col("bytes") <= F.col("_budget"), F.col("t")))
     best = v.groupBy("asset_id").agg(fitting.alias("_fit"), F.min_by(F.struct("t", F.col("bytes").alias("size")), F.struct("bytes", "t")).alias("_least"))
-    found = assets.withColumn("_budget", budget).join(best, "asset_id", "left")
+    found = assets.withColumn("_budget", budget).hint("merge").join(best, "asset_id", "left")
     kept = F.col("bytes") <= F.col("_budget")
     pick = F.coalesce("_fit", "_least")
     return found.select("asset_id", F.when(~kept, pick["t"]).alias("t"), F.when(kept, F.col("bytes")).otherwise(F.coalesce(pick["size"], F.col("bytes"))).alias("out_bytes"), (kept | F.col("_fit").isNotNull()).alias("achieved"))
@@ -155,10 +160,10 @@ def choose_variant(assets: DataFrame, variants: DataFrame, budget: Column) -> Da
 
 def ladder_choice(assets: DataFrame, tries: DataFrame, budget: Column) -> DataFrame:
     """Per asset, of its tries (asset_id, step, bytes): the first that fits, else the smallest; the original if that is not smaller."""
-    t = tries.join(assets.select("asset_id", budget.alias("_budget")), "asset_id")
+    t = _with_budget(tries, assets, budget)
     pair = F.struct("step", F.col("bytes").alias("size"))
     best = t.groupBy("asset_id").agg(F.min_by(pair, F.when(F.col("bytes") <= F.col("_budget"), F.col("step"))).alias("_fit"), F.min_by(pair, F.struct("bytes", "step")).alias("_least"))
-    found = assets.join(best, "asset_id", "left")
+    found = assets.hint("merge").join(best, "asset_id", "left")
     pick = F.coalesce("_fit", "_least")
     smaller = F.coalesce(pick["size"] < F.col("bytes"), F.lit(False))
     return found.select("asset_id", F.when(smaller, pick["step"]).alias("step"), F.when(smaller, pick["size"]).otherwise(F.col("bytes")).alias("out_bytes"))

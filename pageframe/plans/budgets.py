@@ -18,10 +18,15 @@ def assets(spark, sf):
     return D.table(spark, sf, "part").select(F.col("p_partkey").alias("asset_id"), (F.col("p_size") * 1000).cast("long").alias("bytes"), (F.col("p_size") * 70).alias("width_px"), (F.col("p_size") * 50).alias("height_px"))
 
 
+def spread(rows, key):
+    """Rows dealt by a key before each becomes many: a table in one small file is one task, and would stay in it."""
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 64), key)
+
+
 def variants(spark, sf):
     """Seventeen variants of every part, smaller step by step."""
     i = F.explode(F.sequence(F.lit(0), F.lit(16)))
-    return assets(spark, sf).select("asset_id", F.col("bytes").alias("b"), i.alias("i")).select("asset_id", (F.col("i") / 16).alias("t"), (F.col("i") + 1).alias("step"), F.expr("cast(round(b * (1.05 - i / 20.0D)) as bigint)").alias("bytes"))
+    return spread(assets(spark, sf), "asset_id").select("asset_id", F.col("bytes").alias("b"), i.alias("i")).select("asset_id", (F.col("i") / 16).alias("t"), (F.col("i") + 1).alias("step"), F.expr("cast(round(b * (1.05 - i / 20.0D)) as bigint)").alias("bytes"))
 
 
 def pixels(spark, sf):
@@ -88,7 +93,7 @@ f AS (SELECT asset_id, arg_min(bytes, step) AS bytes, min(step) AS step FROM v W
 def ladder(spark, sf):
     """Every part tried at each step of the ladder; sizes follow quality and scale, with a part of their own that grows from step to step."""
     steps = F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(q).alias("q"), F.lit(k).alias("k")) for i, (q, k) in enumerate(R.LADDER)])
-    tried = D.table(spark, sf, "part").select("p_partkey", "p_size", F.inline(steps))
+    tried = spread(D.table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", "p_size", F.inline(steps))
     size = F.floor(F.col("p_size") * 1300 * F.col("q") * F.col("k") * F.col("k") + F.col("p_partkey") % 7 * F.col("step") * 90)
     return R.ladder_choice(assets(spark, sf), tried.select(F.col("p_partkey").alias("asset_id"), "step", size.cast("long").alias("bytes")), F.lit(9000))
 

@@ -2,7 +2,10 @@
 
 import random
 
-from pageframe.operators import editlog, layout, ordering, pageset
+import pytest
+from pyspark.sql import functions as F
+
+from pageframe.operators import editlog, layout, ordering, pageset, raster
 from pageframe.sources import intake
 from pageframe.sources.shared import folder, write_files
 
@@ -128,3 +131,15 @@ def test_search_meets_the_budget(spark):
             else:
                 assert got[k][1] == sizes[got[k][0]] and got[k][2] == (got[k][1] <= budget)
     assert raster.search_variant(df.limit(0), 100).collect() == []
+
+
+@pytest.mark.parametrize("choose", [raster.choose_variant, raster.ladder_choice])
+def test_choices_broadcast_no_table_of_assets(spark, choose):
+    assets = spark.range(3000).selectExpr("id AS asset_id", "id * 10 AS bytes")
+    tries = assets.selectExpr("asset_id", "explode(array(1, 2, 3)) AS step", "bytes").selectExpr("asset_id", "step", "step / 4.0D AS t", "bytes DIV step AS bytes")
+    found = choose(assets, tries, F.lit(9000))
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+    got = {r.asset_id: r.out_bytes for r in found.collect()}
+    fit = lambda b: next((b // s for s in (1, 2, 3) if b // s <= 9000), b // 3)
+    assert got == {i: fit(10 * i) for i in range(3000)}
