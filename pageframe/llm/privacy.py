@@ -10,8 +10,8 @@ can be data of that kind: a phone number without ``+``, a card number with a wro
 Defined cases: null text counts as empty, and empty text has no spans; a text of any length is searched whole; repeated
 rows get the same spans each, rows that share an id with another text their own; an id may be null; an empty table
 gives an empty result; columns besides ``doc_id`` and ``text`` are ignored by ``found`` and kept by ``redacted``, whatever
-they are called. A context needs ``SUPPORT`` different values, and one in ``SHARE`` of its kind's values, so there are at most
-``3 * SHARE`` of them a kind: that is the only table that is broadcast.
+they are called. A context needs ``SUPPORT`` different values, in a corpus of any size, so contexts grow with the values: Spark
+broadcasts tables of them while they are small and shuffles what meets them beyond, with the same rows.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ CORE = r"[0-9A-Za-z+(](?:.*[0-9A-Za-z])?"
 OTHER = "\x01"
 #: A context is read from at most so many characters beside a candidate.
 NEAR = 80
-SURE, SUPPORT, SHARE, ROUNDS = 0.8, 5, 2000, 4
+SURE, SUPPORT, ROUNDS = 0.8, 5, 4
 
 
 def _starts(sizes: Column) -> Column:
@@ -153,39 +153,35 @@ def occurrences(rows: DataFrame) -> DataFrame:
 
 
 def fillers(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """context and the number of plain words of all texts that stand in it, repeats counted."""
+    """Of each of ``contexts``, stored and all different, the number of plain words of all texts that stand in it, repeats counted."""
     lasts = contexts.select(F.get(F.split("context", " "), F.lit(1)).alias("last")).distinct()
     words = docs.select(F.transform(common.words(F.lower("text")), lambda w: F.when(w.rlike("[0-9@]"), F.lit(OTHER)).otherwise(w)).alias("w")).where(F.size("w") > 1)
     at = F.sequence(F.lit(1), F.size("w") - 1)
     rows = words.select(F.inline(F.transform(at, lambda i: F.struct(F.when(i > 1, F.get("w", i - 2)).otherwise(F.lit("")).alias("before"), F.get("w", i - 1).alias("last"), F.get("w", i).alias("word"), F.coalesce(F.get("w", i + 1), F.lit("")).alias("after")))))
-    met = rows.where(F.col("word") != OTHER).join(F.broadcast(lasts), "last")  # as few as contexts
-    return met.select(F.explode(_contexts(F.col("before"), F.col("last"), F.col("after"))).alias("context")).join(F.broadcast(contexts.select("context").distinct()), "context").groupBy("context").agg(F.count("*").alias("n_plain"))
+    met = rows.where(F.col("word") != OTHER).join(common.stored(lasts, "privacy-lasts"), "last")
+    return met.select(F.explode(_contexts(F.col("before"), F.col("last"), F.col("after"))).alias("context")).join(contexts, "context").groupBy("context").agg(F.count("*").alias("n_plain"))
 
 
 def learned(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(kind, value, score) of unseen values that sure contexts show to be personal data; ``found`` is of ``occurrences``."""
     edges = found.select("kind", "value", "seed", F.explode("contexts").alias("context")).groupBy("kind", "context", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     edges = common.stored(edges, "privacy-edges")
-    values = {r["kind"]: r["n"] for r in edges.groupBy("kind", "value").agg(F.lit(1).alias("one")).groupBy("kind").agg(F.count("*").alias("n")).collect()}  # a row a kind
-    needed = F.lit(SUPPORT)
-    for kind, n in sorted(values.items()):
-        needed = F.when(F.col("kind") == kind, F.lit(max(SUPPORT, -(-n // SHARE)))).otherwise(needed)
-    contexts = common.stored(edges.groupBy("kind", "context").agg(F.count("*").alias("n_values")).withColumn("needed", needed).where("n_values >= needed").drop("n_values"), "privacy-contexts")
+    contexts = common.stored(edges.groupBy("kind", "context").agg(F.count("*").alias("n_values")).where(F.col("n_values") >= SUPPORT).select("kind", "context"), "privacy-contexts")
     if contexts.isEmpty():
         return edges.select("kind", "value", F.lit(0.0).alias("score")).limit(0)
-    edges = edges.join(F.broadcast(contexts), ["kind", "context"])
+    edges = edges.join(contexts, ["kind", "context"])
     # All that stands in a context: plain words, and candidates once each whatever kinds they may be of.
-    kept = contexts.select("context").distinct()
-    held = found.groupBy("key", "start", "value", "contexts").agg(F.lit(1).alias("one")).select(F.explode("contexts").alias("context")).join(F.broadcast(kept), "context").groupBy("context").agg(F.count("*").alias("n_held"))
-    total = kept.join(fillers(docs, contexts), "context", "left").join(held, "context", "left").select("context", (F.coalesce("n_plain", F.lit(0)) + F.coalesce("n_held", F.lit(0))).alias("n_all"))
-    edges = common.stored(edges.join(F.broadcast(total), "context"), "privacy-graph")
+    kept = common.stored(contexts.select("context").distinct(), "privacy-kept")
+    held = found.groupBy("key", "start", "value", "contexts").agg(F.lit(1).alias("one")).select(F.explode("contexts").alias("context")).join(kept, "context").groupBy("context").agg(F.count("*").alias("n_held"))
+    total = kept.join(fillers(docs, kept), "context", "left").join(held, "context", "left").select("context", (F.coalesce("n_plain", F.lit(0)) + F.coalesce("n_held", F.lit(0))).alias("n_all"))
+    edges = common.stored(edges.join(common.stored(total, "privacy-totals"), "context"), "privacy-graph")
     sure = edges.where("seed").select("kind", "value", F.lit(1.0).alias("score")).distinct()
     count = -1
     for _ in range(ROUNDS):
         weighed = edges.join(sure, ["kind", "value"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-        rule = weighed.groupBy("kind", "context").agg((F.sum(F.col("n") * F.col("score")) / (F.max("n_all") + 1)).alias("trust"), F.count_if(F.col("score") >= SURE).alias("n_known"), F.max("needed").alias("needed"))
-        rule = rule.where((F.col("trust") >= SURE) & (F.col("n_known") >= F.col("needed"))).select("kind", "context", "trust")
-        scored = edges.join(F.broadcast(rule), ["kind", "context"], "left").groupBy("kind", "value").agg(F.when(F.max("seed"), 1.0).otherwise(F.coalesce(F.max("trust"), F.lit(0.0))).alias("score"))
+        rule = weighed.groupBy("kind", "context").agg((F.sum(F.col("n") * F.col("score")) / (F.max("n_all") + 1)).alias("trust"), F.count_if(F.col("score") >= SURE).alias("n_known"))
+        rule = rule.where((F.col("trust") >= SURE) & (F.col("n_known") >= SUPPORT)).select("kind", "context", "trust")
+        scored = edges.join(common.stored(rule, "privacy-rule"), ["kind", "context"], "left").groupBy("kind", "value").agg(F.when(F.max("seed"), 1.0).otherwise(F.coalesce(F.max("trust"), F.lit(0.0))).alias("score"))
         sure = common.stored(scored.where(F.col("score") >= SURE), "privacy-sure")
         before, count = count, sure.count()
         if count == before:

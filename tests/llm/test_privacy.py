@@ -81,6 +81,15 @@ def test_second_turn_uses_what_the_first_found(spark):
     assert got[len(first) + 20].spans == "phone:7:19"
 
 
+def test_rare_contexts_count_beside_many_values(spark):
+    """A context of five values finds a sixth, however many values other contexts hold."""
+    many = [". ".join(f"please call me at +1 555 {i:07d} today" for i in range(k, k + 100)) for k in range(0, 10_200, 100)]
+    few = [f"handy: +1 777 000000{i}" for i in range(5)] * 3 + ["handy: 777 000-1234"]
+    rows = spark.createDataFrame(list(enumerate(many + few)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in privacy.found(rows).collect()}
+    assert got[len(many) + len(few) - 1] == "phone:7:19"
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = privacy.found(odd_docs).collect()
     assert len(got) == odd_docs.count() and all(r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got)
