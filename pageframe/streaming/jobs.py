@@ -15,19 +15,20 @@ from pageframe.sources import intake
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def file_stream(spark: SparkSession, path: str, glob: str = "*", at_once: int = intake.MAX_FILES) -> DataFrame:
-    """Files of a folder as they arrive, at most ``at_once`` a micro-batch, with the columns that intake needs."""
-    found = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", glob).option("maxFilesPerTrigger", at_once).load(path)
+def file_stream(spark: SparkSession, path: str, glob: str = "*", at_once: int | None = intake.MAX_FILES) -> DataFrame:
+    """Files of a folder as they arrive, at most ``at_once`` a micro-batch (None: all there are), with the columns that intake needs."""
+    arriving = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", glob)
+    found = (arriving if at_once is None else arriving.option("maxFilesPerTrigger", at_once)).load(path)
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.lit("").alias("mime"), F.col("length").alias("size"), "content")
 
 
-def checked(files: DataFrame, accept: str, batch: str) -> DataFrame:
+def checked(files: DataFrame, accept: str, batch: str, most_files: int | None = intake.MAX_FILES) -> DataFrame:
     """``files`` (path, name, mime, size, content) with the ``error_code`` of type, size, count and total of its ``batch``, or of its first bytes.
 
     Names and sizes are judged first, without contents; only the bytes of files that pass, and are within the limit of
     their kind, are looked at, and a file source reads no others.
     """
-    judged = intake.validate_intake(files.drop("content"), batch, accept).select("path", "error_code")
+    judged = intake.validate_intake(files.drop("content"), batch, accept, most_files=most_files).select("path", "error_code")
     most = max(intake.MAX_BYTES.values())
     held = files.where(F.col("size") <= most).select("path", "name", "mime", "content").join(judged.where("error_code IS NULL").select("path"), "path", "left_semi")
     signed = intake.check_signature(held).select("path", "content", "signature_ok")
@@ -35,14 +36,14 @@ def checked(files: DataFrame, accept: str, batch: str) -> DataFrame:
     return found.withColumn("error_code", F.coalesce("error_code", F.when(~F.col("signature_ok"), "invalid-signature"))).withColumn("content", F.when(F.col("error_code").isNull(), F.col("content"))).drop("signature_ok")
 
 
-def intake_stream(files: DataFrame, accept: str, out: str, checkpoint: str, batch: str | None = None) -> StreamingQuery:
-    """Checks each file, and the count and total of each ``batch`` within a micro-batch, or of the micro-batch. All rows go to ``out``
+def intake_stream(files: DataFrame, accept: str, out: str, checkpoint: str, batch: str | None = None, most_files: int | None = intake.MAX_FILES) -> StreamingQuery:
+    """Checks each file, and the count (None: any) and total of each ``batch`` within a micro-batch, or of the micro-batch. All rows go to ``out``
     in one write, parted by micro-batch and by whether they are ``good`` (1 or 0); quarantined ones carry their error and no bytes. A batch that
     is run again after a failure writes the same rows to the folder of its own number."""
 
     def split(rows: DataFrame, number: int) -> None:
         keyed = rows if batch else rows.withColumn("batch", F.lit(number))
-        done = checked(keyed, accept, batch or "batch")
+        done = checked(keyed, accept, batch or "batch", most_files)
         done.withColumn("good", F.col("error_code").isNull().cast("int")).drop(*([] if batch else ["batch"])).write.partitionBy("good").mode("overwrite").parquet(f"{out}/batch={number}")
 
     return files.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -64,3 +64,15 @@ def test_idle_documents_keep_their_place(spark, tmp_path):
         query.stop()
     got = sorted((r.seq, r.value, r.n_undo) for r in spark.read.parquet(out).collect())
     assert got == [(0, "a", 1), (1, "b", 2), (2, "b", 0), (3, "c", 1)]
+
+
+def test_files_of_any_count_are_one_batch(spark, tmp_path):
+    from pageframe.streaming import jobs
+
+    (tmp_path / "in").mkdir()
+    for i in range(60):
+        (tmp_path / "in" / f"{i}.txt").write_text("x")
+    files = jobs.file_stream(spark, f"file://{tmp_path}/in", at_once=None)
+    jobs.intake_stream(files, "", f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint", most_files=None).awaitTermination()
+    done = spark.read.parquet(f"file://{tmp_path}/out")
+    assert done.count() == 60 and done.where("error_code IS NOT NULL").isEmpty() and done.select("batch").distinct().count() == 1
