@@ -118,3 +118,17 @@ def test_the_words_of_the_driver(spark):
     every = LT.line_roles(lines, small, L.split_cells(lines, L.big_gap(F.lit(595.28))))
     assert set(map(tuple, BL.page_roles(P.D.text_items(spark, str(SF)), 595.28).collect())) == set(map(tuple, every.collect()))
     assert set(map(tuple, BL.page_tables(P.D.text_items(spark, str(SF)), 595.28).collect())) == set(map(tuple, LT.borderless_tables(lines, small, every).collect()))
+
+
+def test_grids_in_one_stream_are_those_of_groups(spark):
+    """Ruled grids read as a sorted stream, without grouping a page's items as a data frame, are those of the grouped form."""
+    from pageframe.operators import blocks, layout, layout_tables
+    from pageframe.plans import derive
+    from pageframe.plans import layout as plan
+
+    sf = "/root/testdata/sf0.001"
+    words, strokes = derive.text_items(spark, sf).where("doc_id < 12"), plan.shapes(spark, sf).where("doc_id < 12")
+    found = blocks.page_grids(words, strokes)
+    old = layout_tables.detect_grids(strokes, layout.group_lines(words))
+    assert "FlatMapCoGroupsInPandas" not in found._jdf.queryExecution().toString()
+    assert found.count() == old.count() > 0 and found.exceptAll(old).isEmpty()
