@@ -9,7 +9,10 @@ from pageframe.operators import protect as G
 from pageframe.operators import raster as R
 from pageframe.plans import derive as D
 from pageframe.plans.registry import query
+from pageframe.sources.shared import small_batches
 
+#: Images that Python gets at a time.
+IMAGES = 64
 _PART = "SELECT p_partkey AS asset_id, p_size * 1000 AS bytes, p_size * 7 AS width_px, p_size * 3 AS height_px FROM part"
 _VARIANTS = "v AS (SELECT p_partkey AS asset_id, i / 16 AS t, (p_size * 1000 * (1.05 - i / 20.0))::BIGINT AS bytes FROM part, (SELECT unnest(range(17)) AS i)), a AS (SELECT p_partkey AS asset_id, p_size * 1000 AS bytes, 9000 AS budget FROM part)"
 
@@ -30,7 +33,8 @@ def variants(spark, sf):
 
 
 def pixels(spark, sf):
-    """Documents as one-channel images: white pixels by id, then the bytes of the text; no text is no pixel more."""
+    """Documents as one-channel images: white pixels by id, then the bytes of the text; no text is no pixel more. Python gets few at a time."""
+    spark = small_batches(spark, IMAGES)
     white = F.unhex(F.expr("repeat('FF', cast(doc_id % 3 * 40000 as int))"))
     return D.table(spark, sf, "documents").select("doc_id", F.concat(white, F.coalesce("text", F.lit("")).cast("binary")).alias("data"), F.lit(1).alias("nChannels"))
 

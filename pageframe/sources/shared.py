@@ -28,6 +28,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int) -> SparkSession:
+    """A session like ``spark`` that hands Python so many rows at a time, for rows that may be large."""
+    session = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.checkpoint.dir"):
+        if (value := spark.conf.get(key, None)) is not None and session.conf.get(key, None) != value:
+            session.conf.set(key, value)
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return session
+
+
 def write_files(files: DataFrame, to: str) -> None:
     """Writes each row of (name, content) as a file of a folder, in whatever file system it is; a task that is lost or runs twice leaves whole files only."""
 

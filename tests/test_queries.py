@@ -55,3 +55,9 @@ def test_outputs_of_one_document_and_without_text(spark, tmp_path, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.sql(ORACLES[name]).df())
+
+
+@pytest.mark.parametrize("name", ["f2_invert", "f3_ink_ratio", "f4_crop", "f7_search_variant"])
+def test_images_reach_python_few_at_a_time(spark, name):
+    made = QUERIES[name](spark, str(SF))
+    assert int(made.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 64
