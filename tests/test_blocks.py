@@ -69,3 +69,28 @@ def test_measured_wrapping(spark):
     got = row.select(*[T.wrap_text(F.col(c), 40, 10).alias(c) for c in "abcd"]).first()
     assert got.a == [""] and got.b == ["iiii iiii iiii"] and got.c == ["WWWW", "WWWW"] and got.d == ["é\U0001f600"]
     assert T.fonts.widths()[0xE9] == T.fonts.widths()[ord("e")] and len(T.fonts.widths("bold")) == 256
+
+
+def test_blocks_without_runs_and_pages_over_batches(spark):
+    """Blocks are the same without their runs, and however few items a batch has."""
+    rows = [(p % 4, p // 4, k, f"w{k} ", 50.0 + k % 6 * 40 + (100 if k // 6 % 5 == 3 and k % 6 > 2 else 0), 780.0 - k // 6 * 18, 36.0, 10.0, k % 6 == 1, False, "Sans", [1, 2, 3] if k % 5 == 0 else []) for p in range(12) for k in range(48)]
+    df = spark.createDataFrame([(d, p, n, t, float(x), y, w, z, *more) for d, p, n, t, x, y, w, z, *more in rows], ITEM)
+    shapes = spark.createDataFrame([(1, p, s[2], *s[3:]) for p in range(3) for s in grid(0)], SHAPE)
+    columns = ["doc_id", "page_no", "pos", "type", "y", "n_rows", "n_cols", "texts", "align"]
+    told = lambda b, *more: sorted(map(repr, b.select(*columns, *more).collect()))
+    whole = BL.page_blocks(df, shapes, 595.0)
+    bare, runs = told(whole), told(whole, "runs")
+    assert told(BL.page_blocks(df, shapes, 595.0, styled=False)) == bare
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        assert told(BL.page_blocks(df, shapes, 595.0), "runs") == runs
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_tables_cross_to_python_once(spark):
+    """A page's items come to Python in one pass, which also reorders signs of the cells."""
+    items = spark.createDataFrame([(1, 0, n, "ित" if n == 0 else f"t{n}", 50.0 + n % 3 * 100, 700.0 - n // 3 * 18, 20.0, 10.0) for n in range(12)], "doc_id long, page_no int, item_no int, str string, x double, y double, width double, size double")
+    made = BL.page_tables(items, 595.0)
+    assert "EvalPython" not in made._jdf.queryExecution().executedPlan().toString()
+    assert [r.text for r in made.orderBy("r0", "c0").collect()] == ["ति", *[f"t{n}" for n in range(1, 12)]]
