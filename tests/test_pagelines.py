@@ -103,3 +103,21 @@ def test_items_travel_once(spark, query):
     """Items are shuffled by page once, for an array of whole pages: no list of items is collected, none is joined again."""
     plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and plan.count("posexplode(filter(split") <= 1
+
+
+def test_nearest_color_by_plain_code(spark):
+    """Items and spans are shuffled once each, and every item has the colour that comparing all spans of its page gives it."""
+    rng = random.Random(8)
+    place = lambda: rng.choice([None, 0.0, 40.0, 80.0, -40.0, rng.uniform(-200, 400), float(rng.randint(0, 200))])
+    its = [(d, p, i, place(), place(), f"t{i}") for d in range(4) for p in range(2) for i in range(60)]
+    spans = [(d, p, i, place(), place(), [i, d]) for d in range(3) for p in range(3) for i in range(rng.choice([0, 5, 40]))]
+    want = {}
+    for d, p, i, x, y, _ in its:
+        near = [((sx - x) ** 2 + (sy - y) ** 2, -n, c) for e, q, n, sx, sy, c in spans if (e, q) == (d, p) and None not in (x, y, sx, sy) and (sx - x) ** 2 + (sy - y) ** 2 <= 1600]
+        want[d, p, i] = min(near)[2] if near else None
+    items = spark.createDataFrame(its, "doc_id long, page_no int, item_no int, x double, y double, str string")
+    made = L.nearest_color(items, spark.createDataFrame(spans, "doc_id long, page_no int, span_no int, x double, y double, color array<int>"))
+    assert made.columns == [*items.columns, "color"]
+    assert {(r.doc_id, r.page_no, r.item_no): r.color for r in made.collect()} == want
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
