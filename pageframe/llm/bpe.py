@@ -18,10 +18,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -44,14 +44,48 @@ class Vocabulary:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.ends: dict = {}  # tokens as a trie read from their last byte; None holds the token's id
+        # Tokens as an automaton over bytes: state << 8 | byte leads on; ``ends`` is a state's longest token, ``shorter`` a token's next one that ends it.
+        self.moves: dict[int, int] = {}
+        self.ends, self.falls = [-1], [0]
         for token, i in ranks.items():
-            node = self.ends
-            for byte in reversed(token):
-                node = node.setdefault(byte, {})
-            node[None] = i
+            state = 0
+            for byte in token:
+                to = self.moves.get(state << 8 | byte)
+                if to is None:
+                    to = self.moves[state << 8 | byte] = len(self.ends)
+                    self.ends.append(-1)
+                    self.falls.append(0)
+                state = to
+            self.ends[state] = i
+        self.shorter: dict[int, int] = {}
+        self.lengths = {i: len(t) for i, t in self.tokens.items()}
+        self.known: dict[int, int] = {}  # moves through shorter states
+        level: dict[int, list[tuple[int, int]]] = {}
+        for key, to in self.moves.items():
+            level.setdefault(key >> 8, []).append((key & 255, to))
+        queue = [0]
+        for state in queue:
+            for byte, to in level.get(state, ()):
+                fall = self.falls[to] = self.after(self.falls[state], byte) if state else 0
+                if (own := self.ends[to]) >= 0:
+                    self.shorter[own] = self.ends[fall]
+                else:
+                    self.ends[to] = self.ends[fall]
+                queue.append(to)
         self.pairs: dict[int, bool] = {}
 
+    def after(self, state: int, byte: int) -> int:
+        """The state after one more byte: that of the longest bytes before it with which a token begins."""
+        key = state << 8 | byte
+        to = self.moves.get(key)
+        while to is None and state:
+            state = self.falls[state]
+            to = self.moves.get(state << 8 | byte)
+        if len(self.known) >= CACHED_PAIRS:
+            self.known.clear()
+        self.known[key] = to = to or 0
+        return to
+
     def by_rank(self, data: bytes) -> list[int]:
         """Merges the adjacent pair of lowest rank until none is left. Only run on the bytes of two tokens."""
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -76,62 +110,72 @@ class PrefixTable:
     """The last token of every prefix of a byte sequence."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.vocabulary, self.data, self.last = vocabulary, b"", []
+        self.vocabulary, self.data, self.last, self.states = vocabulary, b"", [], []
         self.append(data)
 
-    def _token(self, end: int) -> int:
-        """The last token of the prefix of ``end`` bytes: of the tokens that end there, the longest that may follow what is before it."""
-        v, data, last = self.vocabulary, self.data, self.last
-        node, found, at = v.ends, [], end
-        while at:
-            at -= 1
-            node = node.get(data[at])
-            if node is None:
-                break
-            if None in node:
-                found.append((at, node[None]))
-        while found:
-            before, token = found.pop()
-            if not before:
-                return token
-            left = last[before - 1]
-            known = v.pairs.get(left << 20 | token)
-            if known or known is None and v.may_follow(left, token):
-                return token
-        raise ValueError(f"byte {data[end - 1]} is not in the vocabulary")
+    def _extend(self, more: bytes) -> None:
+        """Adds the last token of every further prefix: of the tokens that end there, the longest that may follow what is before it."""
+        v, last, states = self.vocabulary, self.last, self.states
+        known, ends, shorter, lengths, pairs = v.known, v.ends, v.shorter, v.lengths, v.pairs
+        state, end = states[-1] if states else 0, len(last)
+        for byte in more:
+            end += 1
+            to = known.get(state << 8 | byte)
+            state = v.after(state, byte) if to is None else to
+            token = ends[state]
+            while token >= 0:
+                before = end - lengths[token]
+                if not before:
+                    break
+                left = last[before - 1]
+                fits = pairs.get(left << 20 | token)
+                if fits or fits is None and v.may_follow(left, token):
+                    break
+                token = shorter[token]
+            if token < 0:
+                raise ValueError(f"byte {byte} is not in the vocabulary")
+            last.append(token)
+            states.append(state)
 
     def append(self, more: bytes) -> None:
         self.data += more
-        for end in range(len(self.last) + 1, len(self.data) + 1):
-            self.last.append(self._token(end))
+        self._extend(more)
 
     def turn_into(self, data: bytes) -> None:
         """Makes this the table of other bytes; what both begin with is not computed again."""
-        same = len(os.path.commonprefix((self.data, data)))
-        self.data, self.last = data[:same], self.last[:same]
-        self.append(data[same:])
+        same, old = 0, self.data
+        for x, y in zip(old, data, strict=False):
+            if x != y:
+                break
+            same += 1
+        del self.last[same:], self.states[same:]
+        self.data = data
+        self._extend(data[same:])
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Puts ``new`` in the place of data[start:stop]; returns how many prefixes were computed anew."""
-        old, tail, shift = self.last, self.data[stop:], len(new) - (stop - start)
+        old, old_states, tail, shift = self.last, self.states, self.data[stop:], len(new) - (stop - start)
         self.data = self.data[:start] + new + tail
-        self.last = old[:start]
+        self.last, self.states = old[:start], old_states[:start]
         end, same = start, 0
         # What follows depends on the bytes and on as many stored tokens as the longest token has bytes.
         while end < len(self.data) and same < self.vocabulary.longest:
+            self._extend(self.data[end : end + 1])
             end += 1
-            self.last.append(self._token(end))
             same = same + 1 if end - shift > stop and old[end - shift - 1] == self.last[-1] else 0
         computed = end - start
-        self.last += old[end - shift :] if end < len(self.data) else []
+        if end < len(self.data):
+            self.last += old[end - shift :]
+            self.states += old_states[end - shift :]
         return computed
 
     def encoding(self, end: int | None = None) -> list[int]:
         """Tokens of the prefix of ``end`` bytes, or of all."""
-        out, at = [], len(self.data) if end is None else end
+        out, at, last, lengths = [], len(self.data) if end is None else end, self.last, self.vocabulary.lengths
         while at:
-            out.append(self.last[at - 1])
-            at -= len(self.vocabulary.tokens[out[-1]])
+            token = last[at - 1]
+            out.append(token)
+            at -= lengths[token]
         return out[::-1]
 
 
@@ -192,10 +236,7 @@ class Codec:
             self._learn(new)
         known = self._words
         for words in texts:
-            out: list[int] = []
-            for word in words:
-                out += known[word]
-            yield out
+            yield list(chain.from_iterable(map(known.__getitem__, words)))
         for word in [w for w in new if len(w) > CACHED_CHARS]:
             del known[word]
 

@@ -196,6 +196,19 @@ def test_prefix_tables_append_and_edit():
         assert table.last == bpe.PrefixTable(v, table.data).last and computed <= len(table.data)
 
 
+def test_tokens_that_end_at_a_byte_are_one_step_each():
+    import random
+
+    rng, v = random.Random(2), bpe.codec(RANKS, PATTERN).vocabulary
+    table = bpe.PrefixTable(v, bytes(rng.choices(b" thereandonings\xe6\xbc", k=200)))
+    for end, state in enumerate(table.states, 1):
+        token, found = v.ends[state], []
+        while token >= 0:
+            found.append(v.tokens[token])
+            token = v.shorter[token]
+        assert found == [table.data[i:end] for i in range(end) if table.data[i:end] in v.ranks]
+
+
 def test_mixing_meets_targets(spark, odd_docs, no_docs):
     rows = [(i, " ".join("w" for _ in range(1 + i * 7 % 40)), f"s{i % 5}") for i in range(600)] + [(1000, "w " * 30, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
