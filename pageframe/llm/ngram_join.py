@@ -10,13 +10,16 @@ order begins with a low quarter of the hash space, so only that quarter is shuff
 n-gram at all. Theirs alone are then ordered by rarity over the whole space, and the shared ones among the first of
 each make candidate lists by n-gram.
 
-Only lists of at most ``few`` members are expanded into pairs. Of a longer list the smallest sets, ``hubs`` of them, are
+Lists of at most ``few`` members are expanded into pairs. Of a longer list only pairs between components matter: where no
+more than ``hubs`` members lie outside its commonest component, these are paired with all members. In the other long lists
+members outside are compared with all members by size and place, which few pairs pass, and those pairs are counted. Only
+where the comparisons or what passes are more than a multiple of the first lists' rows, lists are taken apart: the smallest sets, ``hubs`` of them, are
 counted with the members that may link to them, and the last of them, the hub, with all members after it. Two of these
 that link, at least one of them without a link to the hub, must share an n-gram that the hub lacks: if all they share were
 in the hub, which is no larger than either, both would link to it. How many they must share beyond the hub follows from
 their sizes and overlaps with it, so the first of each member's n-grams beyond the hub make new, shorter lists, and so
-on; hubs only grow from list to list, so this ends. Lists that are within one
-component are left out. After ``peels`` turns what is left is joined by n-gram, with all bounds in the join, which is
+on; hubs only grow from list to list, so this ends. Components are found again after each turn that links any, and lists
+within one are left out. After ``peels`` turns what is left is compared whole, which is
 the exact way for data in which members keep sharing what their hubs lack. A turn before the first counts the members
 of long lists with the set nearest to what the list's near copies have in common, to join near copies early.
 
@@ -55,6 +58,8 @@ class Join:
     hubs: int = 6
     #: Turns in which longer lists are taken apart by their hubs.
     peels: int = 12
+    #: Rows of long lists are compared with each other, by size and place alone, while that makes at most so many comparisons a row of the first lists.
+    compares: int = 64
 
 
 #: Bytes of a class in a broadcast: its key, id and two hashes, with what Spark adds to a row.
@@ -165,14 +170,26 @@ def candidates(held: DataFrame, join: Join = DEFAULT) -> DataFrame:
 
 
 def live(lists: DataFrame, labels: DataFrame | None, join: Join = DEFAULT) -> DataFrame:
-    """The lists of more than one component, each row with its component, its list's number of members and its ``hubs`` smallest sets."""
+    """The lists of more than one component, each row with its component and its list's number of members."""
     named = lists.withColumn("label", F.col("rep"))
     if labels is not None:
         named = lists.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     per = named.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("least"), F.max("label").alias("most"))
+    return named.join(per.where("least <> most").select("key", "members"), "key")
+
+
+def sided(rows: DataFrame, join: Join = DEFAULT) -> DataFrame:
+    """The lists of more than ``few`` members, each row with its list's ``home``, the commonest component, how many members are
+    ``outside`` it, and ``hubs``: all of those where they are no more than that, else the smallest sets."""
+    long = rows.where(F.col("members") > join.few)
+    parts = long.groupBy("key", "label").agg(F.count("*").alias("part"))
+    per = parts.groupBy("key").agg((F.sum("part") - F.max("part")).alias("outside"), F.max_by("label", F.struct("part", "label")).alias("home"))
+    named = common.stored(long.join(per, "key"), "join-sided")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "rep"))  # Spark keeps as many of a list a task before it shuffles
-    hubs = named.withColumn("rank", rank).where(F.col("rank") <= join.hubs).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "rep", "base", "rem", "label"))).alias("hubs"))
-    return named.join(per.where("least <> most").select("key", "members").join(hubs, "key"), "key")
+    ranked = named.where((F.col("outside") > join.hubs) | (F.col("label") != F.col("home"))).withColumn("rank", rank).where(F.col("rank") <= join.hubs)
+    out = common.stored(named.join(ranked.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "rep", "base", "rem", "label"))).alias("hubs")), "key"), "join-long")
+    common.forget(named)
+    return out
 
 
 def central_pairs(rows: DataFrame, join: Join = DEFAULT) -> DataFrame:
@@ -207,23 +224,41 @@ def few_pairs(rows: DataFrame, join: Join = DEFAULT) -> DataFrame:
     return lists.select(F.inline(F.flatten(F.transform("all", after)))).distinct()
 
 
-def joined_pairs(rows: DataFrame, join: Join = DEFAULT) -> DataFrame:
-    """(a, b) with a < b of different components in the lists of more than ``few`` members, whose sizes and places let them link."""
-    side = lambda s: rows.where(F.col("members") > join.few).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "base", "rem", "label")])
+def joined_pairs(long: DataFrame, join: Join = DEFAULT) -> DataFrame:
+    """(a, b) with a < b, once a list, of different components in the lists with more members outside than ``hubs``, whose sizes and
+    places let them link: members outside are joined with all members, so what is compared is what lies between components."""
+    wide = long.where(F.col("outside") > join.hubs)
+    side = lambda rows, s, *more: rows.select("key", *more, *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "base", "rem", "label")])
     most = F.least("base_a", "base_b") + F.least("rem_a", "rem_b")
-    can = (F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")) & _fits(join, F.col("n_a"), F.col("n_b"), most)
-    x, y = side("a"), side("b").withColumnRenamed("key", "other")
-    return x.join(y, (F.col("key") == F.col("other")) & can).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-
-
-def hub_pairs(rows: DataFrame, join: Join = DEFAULT) -> DataFrame:
-    """(a, b, far) of the members of the lists of more than ``few``: far ones with the last of their list's hubs, others with
-    the hubs before it that are of other components and may link."""
-    long = rows.where(F.col("members") > join.few).withColumn("hub", F.element_at("hubs", -1))
-    after = lambda hub: F.struct("n", "rep") > F.struct(hub["n"], hub["rep"])
-    far = long.where(after(F.col("hub"))).select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), F.lit(True).alias("far"))
-    can = lambda hub: after(hub) & (hub["label"] != F.col("label")) & _fits(join, F.col("n"), hub["n"], F.least(F.col("base"), hub["base"]) + F.least(F.col("rem"), hub["rem"]))
-    near = long.select(F.col("rep").alias("a"), F.explode(F.filter("hubs", can)).alias("b"))
+    once = (F.col("label_a") == F.col("home")) | (F.col("rep_a") < F.col("rep_b"))
+    can = (F.col("label_a") != F.col("label_b")) & once & _fits(join, F.col("n_a"), F.col("n_b"), most)
+    x, y = side(wide, "a", "home"), side(wide.where(F.col("label") != F.col("home")), "b").withColumnRenamed("key", "other")
+    return x.join(y, (F.col("key") == F.col("other")) & can).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+
+
+def _after(hub: Column) -> Column:
+    return F.struct("n", "rep") > F.struct(hub["n"], hub["rep"])
+
+
+def _may(hub: Column, join: Join) -> Column:
+    """Whether a member and a hub of its list are of different components and may link."""
+    return (hub["label"] != F.col("label")) & _fits(join, F.col("n"), hub["n"], F.least(F.col("base"), hub["base"]) + F.least(F.col("rem"), hub["rem"]))
+
+
+def outside_pairs(long: DataFrame, join: Join = DEFAULT) -> DataFrame:
+    """(a, b), a the larger set, of all that may link in the lists with no more members outside than ``hubs``: no more rows than hubs would make, and nothing is left."""
+    once = lambda hub: (F.col("label") == F.col("home")) | _after(hub)
+    each = long.where(F.col("outside") <= join.hubs).select("n", "rep", F.explode(F.filter("hubs", lambda hub: once(hub) & _may(hub, join))).alias("hub"))
+    later = _after(F.col("hub"))
+    return each.select(F.when(later, F.col("rep")).otherwise(F.col("hub.rep")).alias("a"), F.when(later, F.col("hub.rep")).otherwise(F.col("rep")).alias("b"))
+
+
+def hub_pairs(long: DataFrame, join: Join = DEFAULT) -> DataFrame:
+    """(a, b, far) of the members of the lists with more members outside than ``hubs``: far ones with the last of their list's
+    hubs, others with the hubs before it that are of other components and may link."""
+    wide = long.where(F.col("outside") > join.hubs).withColumn("hub", F.element_at("hubs", -1))
+    far = wide.where(_after(F.col("hub"))).select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), F.lit(True).alias("far"))
+    near = wide.select(F.col("rep").alias("a"), F.explode(F.filter("hubs", lambda hub: _after(hub) & _may(hub, join))).alias("b"))
     return far.union(near.select("a", "b.rep", F.lit(False)))
 
 
@@ -282,8 +317,14 @@ def joined(held: DataFrame, join: Join = DEFAULT) -> DataFrame | None:
     links, labels = [], None
 
     def found(pairs: DataFrame) -> DataFrame:
+        """The pairs' overlaps; of those that link, the ones between components are kept."""
         met = overlaps(held, pairs, join)
-        links.append(common.stored(met.where(linking).select("a", "b"), "join-links"))
+        new = met.where(linking).select("a", "b")
+        if labels is not None:
+            for end in ("a", "b"):
+                new = new.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}")), end, "left")
+            new = new.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+        links.append(common.stored(new, "join-links"))
         return met
 
     def merged() -> DataFrame | None:
@@ -299,21 +340,25 @@ def joined(held: DataFrame, join: Join = DEFAULT) -> DataFrame | None:
     lists = candidates(held, join)
     most = lists.count()
     rows = common.stored(live(lists, None, join), "join-live")
-    found(plain(central_pairs(rows, join)))
+    met = found(plain(central_pairs(rows, join)))
     labels = merged()
+    common.forget(rows, met)
     for turn in range(join.peels + 1):
         rows = common.stored(live(lists, labels, join), "join-live")
         common.forget(lists)
-        pairs = plain(few_pairs(rows, join))
-        expanded = rows.where(F.col("members") > join.few).agg(F.sum("members")).first()[0] or 0
-        if expanded and expanded > most and turn < join.peels:
-            met = found(pairs.union(hub_pairs(rows, join)))
+        long = sided(rows, join)
+        pairs = plain(few_pairs(rows, join).union(outside_pairs(long, join)))
+        between = long.where(F.col("outside") > join.hubs).agg(F.sum("outside")).first()[0] or 0
+        apart = turn < join.peels and between > 0
+        # Most of what is compared can't link by size and place; the rest is counted before sets are read for it.
+        if apart and (between > join.compares * most or joined_pairs(long, join).count() > most):
+            met = found(pairs.union(hub_pairs(long, join)))
             lists = common.stored(rekeyed(met, join), "join-lists")
-            common.forget(rows, met)
-            if turn == 0:  # most links are found by now; older labels only leave more to look at
-                labels = merged()
+            common.forget(rows, long, met)
+            labels = merged()
             continue
-        found(pairs.union(plain(joined_pairs(rows, join))) if expanded else pairs)
+        met = found(pairs.union(plain(joined_pairs(long, join))) if between else pairs)
+        common.forget(rows, long, met)
         return merged()
 
 

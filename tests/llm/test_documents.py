@@ -326,6 +326,43 @@ def test_long_lists_lose_no_link(spark, few, peels):
     assert sorted(map(tuple, ngram_join.linked(df, join).collect()), key=str) == brute(df.collect(), 2, 70)
 
 
+@pytest.mark.parametrize(("few", "hubs", "compares"), [(2, 1, 0), (4, 2, 64)])
+def test_lists_of_several_components_lose_no_link(spark, few, hubs, compares):
+    """Long lists in all their ways: members outside the commonest component paired, compared, or taken apart by hubs."""
+    import random
+
+    rng, join = random.Random(few + hubs + compares), ngram_join.Join(width=2, percent=70, few=few, hubs=hubs, peels=2, compares=compares)
+    vocabulary = [f"v{i}" for i in range(60)]
+    base, rows = rng.choices(vocabulary, k=24), []
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.choice((1, 2, 3, 5, 6))):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary[:12])
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.linked(df, join).collect()), key=str) == brute(df.collect(), 2, 70)
+
+
+def test_long_lists_stay_whole_where_few_pairs_may_link(spark, monkeypatch):
+    """Near copies in long lists of several components: what lies between them is few, and no list is taken apart by n-grams."""
+    import random
+
+    made, step = [], ngram_join.rekeyed
+    monkeypatch.setattr(ngram_join, "rekeyed", lambda *given: (out := step(*given), made.append(out.count()))[0])
+    rng, join = random.Random(16), ngram_join.Join(width=2, percent=70, few=4, peels=1)
+    vocabulary = [f"v{i}" for i in range(60)]
+    base, rows = [rng.choices(vocabulary, k=24) for _ in range(3)], []
+    for i in range(160):
+        w = list(base[i % 3])
+        for _ in range(rng.choice((1, 2, 2, 3, 3, 4))):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choices(vocabulary[:8], k=rng.choice((0, 1, 1, 2)))
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.linked(df, join).collect()), key=str) == brute(df.collect(), 2, 70)
+    assert sum(made) == 0, made
+
+
 def test_one_of_each_judges_texts(spark):
     rows = [(1, "a b c d e f g", 0, "x"), (8, "this text nobody else has at all", 1, "y"), (8, "a b c d e f g", 2, "z"), (8, "a b c d e f g", 2, "z"), (9, None, 3, None), (9, None, 3, None), (None, "a b c d e f g", 4, "n")]
     df = spark.createDataFrame(rows, "doc_id long, text string, _n int, _x0 string")
