@@ -223,7 +223,7 @@ def judge(docs: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     references = References(vocabulary, [{"lang": x, "chars": chars[x], "held": held[x]} for x in languages], shares)
 
     total = F.aggregate("classes", F.lit(0.0), lambda a, b: a + b)
-    share = common.let(total, lambda t: F.transform("classes", lambda x: x / t))
+    share = common.let(F.greatest(total, F.lit(1.0)), lambda t: F.transform("classes", lambda x: x / t))  # of an empty text all are 0
     apart = references.distances(share) if languages else F.lit(None).cast("array<struct<chars:double,words:double,lang:string>>")
     n_chars = F.col("n_chars_judged")
     slack_c = F.lit(rules.noise) / F.greatest(n_chars, F.lit(1.0))

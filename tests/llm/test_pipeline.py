@@ -24,6 +24,18 @@ def test_stages_keep_columns(spark, odd_docs, no_docs):
             out.count()
 
 
+def test_quality_stage_with_empty_texts_beside_references(spark, odd_docs):
+    """The driver's rows make references (``odd_docs`` alone has none); rows without a character lie in one row group with others, so that
+    no reader passes over them, and are held against the references."""
+    if not SF.exists():
+        pytest.skip("no test tables here")
+    columns = ["doc_id", "text", "lang", "source"]
+    plain = spark.read.parquet(f"{SF}/documents.parquet").select(columns)
+    odd = odd_docs.where("doc_id IN (3, 4, 5, 6)").selectExpr("-doc_id AS doc_id", *columns[1:])
+    kept = [{r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, "").collect()} for docs in (plain, plain.union(odd).coalesce(1))]
+    assert kept[0] == kept[1] != set()
+
+
 def test_run(spark):
     if not SF.exists():
         pytest.skip("no test tables here")
