@@ -94,3 +94,17 @@ def test_tables_cross_to_python_once(spark):
     made = BL.page_tables(items, 595.0)
     assert "EvalPython" not in made._jdf.queryExecution().executedPlan().toString()
     assert [r.text for r in made.orderBy("r0", "c0").collect()] == ["ति", *[f"t{n}" for n in range(1, 12)]]
+
+
+def test_parts_are_flat_and_keep_colours(spark):
+    """Arrays and structs among the columns that Python reads cost time at every row; colours travel as text beside the height."""
+    colours = [(None, None), ([], [1, 2, 3]), ([None], [0, None, 255]), ([-1], []), ([10, 20, 30, 40], None)]
+    rows = [(1, 0, k, 1.0, 2.0, 3.0, 4.0 + k, fill, stroke) for k, (stroke, fill) in enumerate(colours)]
+    shapes = spark.createDataFrame(rows, "doc_id long, page_no int, shape_no int, x double, y double, w double, h double, fill array<int>, stroke array<int>")
+    items = spark.createDataFrame([(1, 0, 0, "a", 1.0, 2.0, 3.0, 10.0, [9, 8, 7]), (1, 0, 1, "b", 5.0, 2.0, 3.0, 10.0, []), (1, 0, 2, "c", 9.0, 2.0, 3.0, 10.0, None)], "doc_id long, page_no int, item_no int, str string, x double, y double, width double, size double, color array<int>")
+    parts = BL._parts(items, shapes, None, None)
+    assert not [f.name for f in parts.schema if f.dataType.typeName() in ("array", "struct", "map")]
+    ids, lines, others = BL._split(parts.orderBy("kind", "no").toArrow().combine_chunks().to_batches()[0], 100.0, ("color",))
+    assert ids == [(1, 0)] and [r[5:] for r in others[0]] == [(4.0 + k, stroke, fill) for k, (stroke, fill) in enumerate(colours)]
+    assert [(text, style[3]) for line in lines[0] for text, _, style in line.runs] == [("a", (9, 8, 7)), ("bc", None)]
+    assert [i[6][3] for line in lines[0] for i in line.items] == [(9, 8, 7), None, None]
